@@ -108,7 +108,8 @@ def fenced_code(text, fence: str = "```python") -> dict[str, Column]:
     text = col(text)
     start0 = F.instr(text, fence)  # 1-based, 0 = absent
     body_start = start0 + F.lit(len(fence))
-    end = F.locate("```", text, body_start)
+    k = F.instr(text.substr(body_start, F.length(text) + 1), "```")  # next fence after the body start
+    end = F.when(k > 0, k + body_start - 1).otherwise(F.lit(0))
     has = start0 > 0
     body = F.when(has & (end > body_start), text.substr(body_start, end - body_start))
     return {"fence_found": has, "fenced_code": body,

@@ -132,8 +132,9 @@ def pending(problems: DataFrame, done: DataFrame, key: str = "problem_id") -> Da
 
 
 def numeric_answers(df: DataFrame, answer: str = "expected_answer", keep=None) -> DataFrame:
-    """Rows whose expected answer parses as a number (``pd.to_numeric`` succeeds)."""
-    out = df.filter(is_py_number(answer))
+    """Rows whose expected answer parses as a number (``pd.to_numeric`` gives a non-NaN value)."""
+    v = py_float(answer)
+    out = df.filter(v.isNotNull() & ~F.isnan(v))
     return out.select(*keep) if keep else out
 
 

@@ -903,7 +903,7 @@ def q_stm_log_windows(spark, sf):
     """Per-day, per-phase means of reward / kl / length from a log stream (1 h watermark)."""
     src, out, ckpt = (scratch_path(spark, n) for n in ("logw-src", "logw-out", "logw-ckpt"))
     SR.write_train_log(view(spark, sf, "train_log"), src)
-    ST.run_log_windows(spark, src, out, ckpt, SR.TRAIN_LOG_SCHEMA)
+    ST.run_log_windows(spark, src, out, ckpt, SR.TRAIN_LOG_STREAM_SCHEMA)
     return spark.read.parquet(out)
 
 

@@ -38,4 +38,4 @@ def word_count(e: str) -> str:
 
 
 def r6(e: str) -> str:
-    return f"round(CAST({e} AS DOUBLE), 6)"
+    return f"(round(CAST({e} AS DOUBLE), 6) + 0.0)"

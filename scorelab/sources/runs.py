@@ -89,18 +89,24 @@ def parse_run_name(name) -> dict:
             "kind": F.when(ok, F.when(g(6) == "", F.lit(None)).otherwise(g(6)))}
 
 
-TRAIN_LOG_SCHEMA = ("step long, phase string, timestamp timestamp, reward double, kl double, "
+TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"  # ISO text with microseconds, as the log writes it
+TRAIN_LOG_SCHEMA = ("step long, phase string, timestamp timestamp_ntz, reward double, kl double, "
                     "completion_length double, loss double, learning_rate double, reward_std double")
+# Event-time operators (watermarks) need TIMESTAMP; the session runs in UTC, so reading the
+# same text as TIMESTAMP keeps the wall-clock values.
+TRAIN_LOG_STREAM_SCHEMA = TRAIN_LOG_SCHEMA.replace("timestamp_ntz", "timestamp")
 
 
 def write_train_log(log: DataFrame, path: str) -> str:
-    log.write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
+    (log.write.mode("append").option("timestampFormat", TS_FORMAT)
+        .option("timestampNTZFormat", TS_FORMAT).json(path))
     return path
 
 
 def read_train_log(spark: SparkSession, path: str, schema: str = TRAIN_LOG_SCHEMA) -> DataFrame:
     """Step-metric JSON lines with a declared schema (absent metrics are null)."""
-    return spark.read.schema(schema).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]").json(path)
+    return (spark.read.schema(schema).option("timestampFormat", TS_FORMAT)
+            .option("timestampNTZFormat", TS_FORMAT).json(path))
 
 
 def generation_samples(df: DataFrame, path: str | None = None, prompt_chars: int = 200,
