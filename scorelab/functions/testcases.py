@@ -114,7 +114,7 @@ def test_cases(df, inputs: str = "inputs", outputs: str = "outputs"):
 
 # Fixed kinds reported by ``recover_type``.
 _INT_RE = r"^[+-]?(0|[1-9][0-9]*)$"
-_FLOAT_RE = r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+|[0-9]+)([eE][+-]?[0-9]+)?$"
+_FLOAT_RE = r"^[+-]?(([0-9]+\.[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|[0-9]+[eE][+-]?[0-9]+)$"
 
 
 def _literal_kind(x):
