@@ -81,11 +81,26 @@ def extract_answer(text, thinking_tag: str = THINKING_TAG, code_tag: str = CODE_
     return out
 
 
-def with_extraction(df, text_col: str = "model_output", **kw):
-    """Add the extractor columns; two projections so the tag regexes run once per row."""
-    fields = extract_answer(F.col(text_col), **kw)
-    base = df.withColumns({k: fields[k] for k in ("thinking", "code", "thinking_found", "code_found")})
-    return base.withColumns(pattern_counts("code", "code_found"))
+def with_extraction(df, text_col: str = "model_output", thinking_tag: str = THINKING_TAG,
+                    code_tag: str = CODE_TAG):
+    """Add the extractor columns.
+
+    Intermediate results are named columns of their own (raw tag contents,
+    fence-free code, position of the first ``def``), so every regex runs once
+    per row; Catalyst keeps them as separate projections inside the same
+    whole-stage-codegen stage instead of inlining them into each consumer.
+    """
+    t = F.col(text_col)
+    st = df.withColumns({"_th": extract_tag(t, thinking_tag), "_cr": extract_tag(t, code_tag)})
+    st = st.withColumn("_c1", F.regexp_replace(F.regexp_replace("_cr", r"(?mdU)^```\w*\n?", ""),
+                                               r"(?md)\n?```$", ""))
+    st = st.withColumn("_dp", F.regexp_instr("_c1", F.lit(r"(?mdU)^def\s+")))
+    cut = F.when(F.col("_dp") > 0, F.col("_c1").substr(F.col("_dp"), F.length("_c1") + 1)).otherwise(F.col("_c1"))
+    st = st.withColumns({"thinking": F.coalesce("_th", F.lit("")),
+                         "code": F.coalesce(F.when(F.col("_cr").isNotNull(), py_strip(cut)), F.lit("")),
+                         "thinking_found": F.col("_th").isNotNull(),
+                         "code_found": F.col("_cr").isNotNull()})
+    return st.withColumns(pattern_counts("code", "code_found")).drop("_th", "_cr", "_c1", "_dp")
 
 
 def substring_counts(code) -> dict[str, Column]:

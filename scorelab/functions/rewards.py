@@ -32,12 +32,8 @@ def r_tags(text) -> Column:
                 for t in (REASONING_END, SOLUTION_START, SOLUTION_END)), F.lit(0.0))
 
 
-def r_answer(text, truth, eos: str = "") -> Column:
-    """Exact / stripped / ratio-band reward for the formatted answer."""
-    guess = format_answer(text, eos)
-    truth = col(truth)
-    g, t = py_float(guess), py_float(truth)
-    ratio = g / t
+def _answer_rule(guess: Column, truth: Column, g: Column, t: Column) -> Column:
+    ratio = F.try_divide(g, t)
     numeric = g.isNotNull() & t.isNotNull() & (t != 0)
     in_band = lambda lo, hi: ~F.isnan(ratio) & (ratio >= lo) & (ratio <= hi)
     return (F.when(guess.isNull(), F.lit(ANSWER_NONE))
@@ -49,26 +45,53 @@ def r_answer(text, truth, eos: str = "") -> Column:
             .otherwise(F.lit(ANSWER_WRONG)))
 
 
-def r_number(text, truth) -> Column:
-    """Numeric equality of the first number after the solution tag (commas dropped)."""
-    guess = solution_number(text)
-    t = py_float(col(truth))
-    g = py_float(F.replace(py_strip(guess), F.lit(","), F.lit("")))
+def _number_rule(guess: Column, g: Column, t: Column) -> Column:
     return (F.when(guess.isNull(), F.lit(NUMBER_NONE))
             .when(t.isNull() | g.isNull(), F.lit(NUMBER_INVALID))
             .when((g == t) & ~F.isnan(g), F.lit(NUMBER_EQUAL))
             .otherwise(F.lit(NUMBER_WRONG)))
 
 
+def _number_value(guess: Column) -> Column:
+    return py_float(F.replace(py_strip(guess), F.lit(","), F.lit("")))
+
+
+def r_answer(text, truth, eos: str = "") -> Column:
+    """Exact / stripped / ratio-band reward for the formatted answer."""
+    guess, truth = format_answer(text, eos), col(truth)
+    return _answer_rule(guess, truth, py_float(guess), py_float(truth))
+
+
+def r_number(text, truth) -> Column:
+    """Numeric equality of the first number after the solution tag (commas dropped)."""
+    guess = solution_number(text)
+    return _number_rule(guess, _number_value(guess), py_float(col(truth)))
+
+
 def default_rewards(text: str = "completion", truth: str = "answer", eos: str = "") -> dict[str, Column]:
     return {"r_format": r_format(text, eos), "r_tags": r_tags(text),
             "r_answer": r_answer(text, truth, eos), "r_number": r_number(text, truth)}
 
 
-def score(df, rewards: dict[str, Column] | None = None, total: str = "reward"):
-    """Add every reward as a column and their sum."""
-    rewards = rewards or default_rewards()
-    out = df.withColumns(rewards)
+def score(df, rewards: dict[str, Column] | None = None, total: str = "reward", text: str = "completion",
+          truth: str = "answer", eos: str = ""):
+    """Add every reward as a column and their sum.
+
+    Without explicit rewards the four default rewards are computed from staged
+    inputs (formatted answer, first number, their float values), so each regex
+    and parse runs once per row.
+    """
+    if rewards is None:
+        st = df.withColumns({"_fmt": format_matches(text, eos), "_guess": format_answer(text, eos),
+                             "_num": solution_number(text)})
+        st = st.withColumns({"_gf": py_float("_guess"), "_tf": py_float(truth), "_nf": _number_value(F.col("_num"))})
+        rewards = {"r_format": F.when(F.col("_fmt"), F.lit(FORMAT_EXACT)).otherwise(F.lit(0.0)),
+                   "r_tags": r_tags(text),
+                   "r_answer": _answer_rule(F.col("_guess"), col(truth), F.col("_gf"), F.col("_tf")),
+                   "r_number": _number_rule(F.col("_num"), F.col("_nf"), F.col("_tf"))}
+        out = st.withColumns(rewards).drop("_fmt", "_guess", "_num", "_gf", "_tf", "_nf")
+    else:
+        out = df.withColumns(rewards)
     return out.withColumn(total, sum((F.col(k) for k in rewards), F.lit(0.0)))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 # Python's str.strip() set of ASCII whitespace.  Spark's trim() removes spaces only.
 WS = r"[ \t\n\r\f\x0B]"
+WS_CHARS = " \t\n\r\f\x0b"
 # Text accepted by Python's float() (after strip): digits with single underscores,
 # optional fraction / exponent.  Specials (inf, nan) are handled separately.
 NUMBER_RE = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
@@ -26,13 +27,12 @@ def col(c) -> Column:
 
 def py_strip(c) -> Column:
     """``str.strip()``: remove leading/trailing whitespace (not just spaces)."""
-    return F.regexp_replace(col(c), f"^{WS}+|{WS}+$", "")
+    return F.btrim(col(c), F.lit(WS_CHARS))
 
 
 def strip_chars(c, chars: str) -> Column:
     """``str.strip(chars)``."""
-    cls = "[" + "".join("\\" + ch if ch in "\\]^-[" else ch for ch in chars) + "]"
-    return F.regexp_replace(col(c), f"^{cls}+|{cls}+$", "")
+    return F.btrim(col(c), F.lit(chars))
 
 
 def literal_count(c, token: str) -> Column:

@@ -37,7 +37,7 @@ def build_session(master: str | None = None, app: str = "scorelab",
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.execution.pythonUDF.arrow.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("SCORELAB_DRIVER_MEM", "8g"))
+        .config("spark.driver.memory", os.environ.get("SCORELAB_DRIVER_MEM", "4g"))
         .config("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024))
     )
     spark = builder.getOrCreate()
