@@ -140,13 +140,15 @@ def q_src_generations(spark, sf):
 
 @query("sink_scored")
 def q_sink_scored(spark, sf):
-    """Scored rows as a table plus one summary document per setup; read the summary back."""
+    """Scored rows as a table plus one summary document per setup; read the summaries back."""
     sc = scored(spark, sf)
     summary = M.model_summary(sc)
     path = SR.write_scored(sc.select(*GEN_KEYS, "code_found", "thinking_found", "execution_success",
                                      "passed_count", "total_count", "pass_rate"),
                            summary, {"split": "eval", "n_models": len(MODEL_NAMES)}, scratch_path(spark, "scored"))
-    return SR.read_scored_summary(spark, path)
+    value_schema = ", ".join(f"{f.name}:{f.dataType.simpleString()}" for f in summary.schema.fields
+                             if f.name not in ("setup", "model"))
+    return SR.read_scored_summary(spark, path, value_schema)
 
 
 def _runs(spark, sf) -> DataFrame:

@@ -819,3 +819,30 @@ oracle("stm_model_summary", ctes("generations", GX) + f"""
 SELECT setup, model, count(*) AS n_outputs, round({rate('api_success')}, 6) AS api_success_rate,
   round({rate('code_found')}, 6) AS code_extraction_rate, round({rate('thinking_found')}, 6) AS thinking_extraction_rate
 FROM gx GROUP BY setup, model""")
+
+
+# ---------------------------------------------------------------- late additions
+
+oracle("sink_scored", ctes(*SCORED_CTES, SUMMARY) + final(_SUMMARY_COLS, _SUMMARY_D, "summary"))
+
+_INT = r"^[+-]?(0|[1-9][0-9]*)$"
+_FLT = r"^[+-]?(([0-9]+\.[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|[0-9]+[eE][+-]?[0-9]+)$"
+_INT_LIST = r"^\[\s*-?(0|[1-9][0-9]*)(\s*,\s*-?(0|[1-9][0-9]*))*\s*\]$"
+_DQ, _SQ = lit('"'), lit("'")
+
+
+def _recover_sql(v: str) -> str:
+    quoted = (f"(length({v}) >= 1 AND ((starts_with({v}, {_DQ}) AND ends_with({v}, {_DQ})) "
+              f"OR (starts_with({v}, {_SQ}) AND ends_with({v}, {_SQ}))))")
+    elems = f"list_transform(string_split(substr({v}, 2, length({v}) - 2), ','), lambda e: {strip('e')})"
+    kind = (f"CASE WHEN {quoted} THEN 'str' WHEN regexp_matches({v}, {lit(_INT)}) THEN 'int' "
+            f"WHEN regexp_matches({v}, {lit(_FLT)}) THEN 'float' WHEN {v} IN ('True', 'False') THEN 'bool' "
+            f"WHEN {v} = 'None' THEN 'none' WHEN regexp_matches({v}, {lit(_INT_LIST)}) THEN 'list' ELSE 'text' END")
+    text = (f"CASE WHEN {quoted} THEN substr({v}, 2, length({v}) - 2) "
+            f"WHEN regexp_matches({v}, {lit(_INT_LIST)}) THEN '[' || array_to_string({elems}, ', ') || ']' ELSE {v} END")
+    return f"{kind} AS kind, {text} AS text"
+
+
+oracle("ext_recover_type", ctes("problems", ("p", """SELECT problem_id, CAST(i - 1 AS INTEGER) AS pos, inputs[i] AS value
+  FROM (SELECT problem_id, inputs, unnest(generate_series(1, len(inputs))) AS i FROM problems)""")) + f"""
+SELECT problem_id, pos, value, {_recover_sql('value')} FROM p""")

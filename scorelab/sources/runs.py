@@ -133,10 +133,11 @@ def write_scored(rows: DataFrame, summary: DataFrame, meta: dict, path: str,
     return path
 
 
-def read_scored_summary(spark: SparkSession, path: str) -> DataFrame:
-    doc = spark.read.json(f"{path}/summary")
-    return doc.select("setup", F.explode(F.from_json(F.to_json("summary"), "map<string, string>"))
-                      .alias("model", "summary"))
+def read_scored_summary(spark: SparkSession, path: str, value_schema: str) -> DataFrame:
+    """Summary documents back to one row per (setup, model), typed by ``value_schema``."""
+    doc = spark.read.schema(f"setup string, metadata string, summary map<string, struct<{value_schema}>>") \
+        .json(f"{path}/summary")
+    return doc.select("setup", F.explode("summary").alias("model", "s")).select("setup", "model", "s.*")
 
 
 def read_experiment(spark: SparkSession, manifest: dict[str, str], reader=None) -> DataFrame:
