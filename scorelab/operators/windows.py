@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import safe_ratio
+from .select import distributed_rank
 
 CUMULATIVE_NS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 15, 20, 30, 50, 100)  # fixed values of the report
 
@@ -31,15 +32,35 @@ def cumulative(counts: DataFrame, ns=CUMULATIVE_NS, n_col: str = "n_test_cases")
                        safe_ratio(F.col("problems") * 100.0, F.col("_total")).alias("pct"))
 
 
+def trailing_mean(df: DataFrame, keys: list[str], order: list[str], value: str, k: int,
+                  name: str = "smoothed", chunk: int = 100_000) -> DataFrame:
+    """Mean of ``value`` over the current and ``k-1`` preceding rows of each key.
+
+    A window partitioned by the key would put a whole series (possibly a third
+    of the table) in one task.  Rows are numbered per key with a distributed
+    rank, cut into chunks of ``chunk`` consecutive positions, and the last
+    ``k-1`` rows of each chunk are also copied into the next chunk as context;
+    the window then runs per (key, chunk), at most ``chunk + k - 1`` rows.
+    """
+    ranked = distributed_rank(df, keys, [F.col(c) for c in order], name="_pos")
+    own = F.floor((F.col("_pos") - 1) / chunk)
+    tail = ((F.col("_pos") - 1) % chunk) >= (chunk - (k - 1))
+    copies = F.when(F.lit(k > 1) & tail, F.array(own, own + 1)).otherwise(F.array(own))
+    spread = ranked.withColumn("_own", own).withColumn("_chunk", F.explode(copies))
+    w = Window.partitionBy(*keys, "_chunk").orderBy("_pos").rowsBetween(-(k - 1), 0)
+    return (spread.withColumn(name, F.avg(value).over(w))
+                  .filter(F.col("_chunk") == F.col("_own"))
+                  .drop("_pos", "_own", "_chunk"))
+
+
 def metric_series(log: DataFrame, metrics: list[str], step: str = "step", phase: str = "phase",
-                  smooth: int | None = None) -> DataFrame:
+                  smooth: int | None = None, chunk: int = 100_000) -> DataFrame:
     """Metric by step in long form; optional trailing mean over ``smooth`` steps per phase."""
     long = log.select(step, phase, F.stack(F.lit(len(metrics)),
                                            *[x for m in metrics for x in (F.lit(m), F.col(m).cast("double"))])
                       .alias("metric", "value"))
     if smooth:
-        w = Window.partitionBy(phase, "metric").orderBy(step).rowsBetween(-(smooth - 1), 0)
-        long = long.withColumn("smoothed", F.avg("value").over(w))
+        long = trailing_mean(long, [phase, "metric"], [step], "value", smooth, "smoothed", chunk)
     return long
 
 

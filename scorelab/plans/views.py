@@ -137,6 +137,9 @@ FROM part
 """
 
 _SPARK_SQL = dict(VIEW_SQL, generations=_SPARK_GENERATIONS)
+# Base table behind each view (only that one is registered for the view's SQL).
+VIEW_BASE = {"raw_problems": "documents", "problems": "documents", "generations": "documents",
+             "test_results": "lineitem", "completions": "orders", "train_log": "events", "output_pairs": "part"}
 
 
 def register_tables(spark: SparkSession, sf_dir: str, names=BASE_TABLES) -> None:
@@ -153,7 +156,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A stand-in view (or a base table) over the tables in ``sf_dir``."""
     if name in BASE_TABLES:
         return table(spark, sf_dir, name)
-    register_tables(spark, sf_dir)
+    register_tables(spark, sf_dir, [VIEW_BASE[name]])
     return spark.sql(_SPARK_SQL[name])
 
 
