@@ -74,34 +74,58 @@ def normalize_output(c) -> Column:
     return F.when(_bracketed(s), _normalize_udf(F.when(_bracketed(s), s))).otherwise(s)
 
 
-def outputs_match_normalized(ne: Column, na: Column) -> Column:
-    """The comparison chain over already normalised texts.
+def _currency_clean(c: Column) -> Column:
+    return F.regexp_replace(py_strip(F.regexp_replace(c, CURRENCY, "")), r"(?d)\.0+$", "")
 
-    equal → equal without quotes → numeric (decides when both parse) →
-    currency-blind equal or numeric → False.
-    """
-    fe = py_float(F.replace(ne, F.lit(","), F.lit("")))
-    fa = py_float(F.replace(na, F.lit(","), F.lit("")))
-    both_num = fe.isNotNull() & fa.isNotNull()
-    close = F.coalesce(F.abs(fe - fa) < F.lit(1e-9), F.lit(False)) & ~F.isnan(fe - fa)
+
+def _num(c: Column) -> Column:
+    return py_float(F.replace(c, F.lit(","), F.lit("")))
+
+
+def _close(a: Column, b: Column) -> Column:
+    return F.coalesce((F.abs(a - b) < F.lit(1e-9)) & ~F.isnan(a - b), F.lit(False))
+
+
+def _match_rule(ne: Column, na: Column, fe: Column, fa: Column, ce: Column, ca: Column,
+                cfe: Column, cfa: Column) -> Column:
+    """equal → equal without quotes → numeric (decides when both parse) →
+    currency-blind equal or numeric → False."""
     has_cur = F.concat(ne, na).rlike(CURRENCY)
-    ce = F.regexp_replace(py_strip(F.regexp_replace(ne, CURRENCY, "")), r"(?d)\.0+$", "")
-    ca = F.regexp_replace(py_strip(F.regexp_replace(na, CURRENCY, "")), r"(?d)\.0+$", "")
-    cfe = py_float(F.replace(ce, F.lit(","), F.lit("")))
-    cfa = py_float(F.replace(ca, F.lit(","), F.lit("")))
-    cur_close = F.coalesce((F.abs(cfe - cfa) < F.lit(1e-9)) & ~F.isnan(cfe - cfa), F.lit(False))
     return (F.when(ne == na, True)
             .when(strip_chars(ne, "\"'") == strip_chars(na, "\"'"), True)
-            .when(both_num, close)
+            .when(fe.isNotNull() & fa.isNotNull(), _close(fe, fa))
             .when(has_cur & (ce == ca), True)
-            .when(has_cur, cur_close)
+            .when(has_cur, _close(cfe, cfa))
             .otherwise(False))
 
 
+def outputs_match_normalized(ne: Column, na: Column) -> Column:
+    """The comparison chain over already normalised texts (single expression)."""
+    ce, ca = _currency_clean(ne), _currency_clean(na)
+    return _match_rule(ne, na, _num(ne), _num(na), ce, ca, _num(ce), _num(ca))
+
+
 def outputs_match(expected, actual) -> Column:
     return outputs_match_normalized(normalize_output(expected), normalize_output(actual))
 
 
+def with_outputs_match(df, expected, actual, name: str = "match", normalized: bool = False):
+    """Add the comparison result as a column, staging its inputs.
+
+    The normalised texts, their float values and the currency-free texts are
+    named intermediate columns, so each parse runs once per row and the final
+    expression stays small enough for whole-stage codegen.
+    """
+    ne = col(expected) if normalized else normalize_output(expected)
+    na = col(actual) if normalized else normalize_output(actual)
+    st = df.withColumns({"_ne": ne, "_na": na})
+    st = st.withColumns({"_fe": _num(F.col("_ne")), "_fa": _num(F.col("_na")),
+                         "_ce": _currency_clean(F.col("_ne")), "_ca": _currency_clean(F.col("_na"))})
+    st = st.withColumns({"_cfe": _num(F.col("_ce")), "_cfa": _num(F.col("_ca"))})
+    rule = _match_rule(*[F.col(c) for c in ("_ne", "_na", "_fe", "_fa", "_ce", "_ca", "_cfe", "_cfa")])
+    return st.withColumn(name, rule).drop("_ne", "_na", "_fe", "_fa", "_ce", "_ca", "_cfe", "_cfa")
+
+
 def test_cases(df, inputs: str = "inputs", outputs: str = "outputs"):
     """One row per test: zip truncated to the shorter list, 1-based ``test_case``."""
     n = F.least(F.size(inputs), F.size(outputs))

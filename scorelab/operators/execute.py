@@ -24,8 +24,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.testcases import outputs_match, to_stdin
+from ..functions.testcases import to_stdin, with_outputs_match
 from ..functions.text import py_strip
+from ..session import cut_lineage
 
 # Modules the static import gate rejects.
 DANGEROUS_MODULES = ("os", "sys", "subprocess", "shutil", "tempfile", "pathlib", "glob", "fnmatch",
@@ -77,14 +78,15 @@ def _make_check_udf(deny):
 
 
 def code_checks(df: DataFrame, code: str = "code", deny=DANGEROUS_MODULES) -> DataFrame:
-    """Syntax, blocked imports and complexity for each distinct non-null code.
+    """Syntax, blocked imports and complexity for each distinct code.
 
     Returns ``(code_key, syntax_ok, syntax_error, blocked, n_functions, n_loops,
     n_ifs, complexity, safe)`` with ``code_key = sha2(code)``; join it back on
     the key.  Deduplication runs before the Python hop.
     """
-    distinct = (df.select(F.col(code).alias("_code")).filter(F.col("_code").isNotNull())
-                  .dropDuplicates(["_code"]))
+    # No filter on the code column here: a predicate would be pushed below the
+    # projection that derives the code and re-run its regexes; the UDF maps null to null.
+    distinct = df.select(F.col(code).alias("_code")).dropDuplicates(["_code"])
     checked = distinct.select(F.sha2("_code", 256).alias("code_key"),
                               _make_check_udf(deny)(F.col("_code")).alias("c")).select("code_key", "c.*")
     return checked.withColumns({"complexity": complexity_score(), "safe": F.col("syntax_ok") & (F.size("blocked") == 0)})
@@ -161,28 +163,54 @@ def _run_batches(timeout_s: float, mem_mb: int, deny: str, removed: str):
 def run_tests(tests: DataFrame, code: str = "code", test_input: str = "input",
               expected: str = "output", timeout_s: float = 10.0, mem_mb: int = 512,
               partitions: int | None = None, deny=DANGEROUS_MODULES,
-              removed=REMOVED_BUILTINS) -> DataFrame:
+              removed=REMOVED_BUILTINS, gate: bool = True) -> DataFrame:
     """Run every (code, test) row and compare its output with the expected one.
 
     ``tests`` has one row per test (see ``functions.testcases.test_cases``).
-    Adds ``converted_input, actual_output, passed, execution_time, error, timeout``.
+    The prepared table is read three times (gate, distinct runs, join back),
+    so it is materialised once with a reliable checkpoint instead of
+    recomputing its lineage per reader.  With ``gate`` on, code that fails the
+    syntax / import check is never executed (``execution_success`` false).
+    Adds ``converted_input, actual_output, passed, execution_time, error,
+    timeout, execution_success``.
     """
     spark = tests.sparkSession
-    prepared = tests.withColumns({"converted_input": to_stdin(test_input)})
+    prepared = tests.withColumn("converted_input", to_stdin(test_input))
     prepared = prepared.withColumn("run_key", F.sha2(F.concat_ws("\u0000", F.col(code), F.col("converted_input")), 256))
+    prepared = cut_lineage(prepared)
+    runs_in = (prepared.select("run_key", F.col(code).alias("code"), F.col("converted_input").alias("stdin"))
+                       .dropDuplicates(["run_key"]))
+    if gate:
+        checks = code_checks(prepared.select(F.col(code).alias("code")), "code").select("code_key", "safe")
+        runs_in = (runs_in.withColumn("code_key", F.sha2("code", 256))
+                          .join(checks, "code_key", "left")
+                          .withColumn("safe", F.coalesce("safe", F.lit(False))))
+    else:
+        runs_in = runs_in.withColumn("safe", F.lit(True))
     n = partitions or max(8, spark.sparkContext.defaultParallelism * 4)
-    distinct = (prepared.select("run_key", F.col(code).alias("code"), F.col("converted_input").alias("stdin"))
-                        .dropDuplicates(["run_key"]).repartition(n, "run_key"))
-    runs = distinct.mapInPandas(_run_batches(timeout_s, mem_mb, ",".join(deny), ",".join(removed)), RUN_SCHEMA)
-    out = prepared.join(runs, on="run_key", how="left")
+    to_run = runs_in.filter("safe").select("run_key", "code", "stdin").repartition(n, "run_key")
+    runs = to_run.mapInPandas(_run_batches(timeout_s, mem_mb, ",".join(deny), ",".join(removed)), RUN_SCHEMA)
+    verdict = runs_in.select("run_key", "safe").join(runs, "run_key", "left")
+    out = prepared.join(verdict, on="run_key", how="left")
     ok = (F.col("returncode") == 0) & ~F.col("timed_out")
-    actual = F.when(ok, py_strip("stdout")).otherwise(F.lit(""))
-    return (out.withColumn("actual_output", actual)
-               .withColumn("passed", ok & F.coalesce(outputs_match(py_strip(F.col(expected).cast("string")),
-                                                                   F.col("actual_output")), F.lit(False)))
-               .withColumns({"execution_time": F.col("elapsed"), "timeout": F.col("timed_out"),
-                             "error": F.coalesce(F.col("stderr"), F.lit(""))})
-               .drop("stdout", "stderr", "elapsed", "timed_out"))
+    out = out.withColumns({"actual_output": F.when(ok, py_strip("stdout")).otherwise(F.lit("")),
+                           "_ok": F.coalesce(ok, F.lit(False)),
+                           "_expected": py_strip(F.col(expected).cast("string"))})
+    out = with_outputs_match(out, "_expected", "actual_output", "_match")
+    return (out.withColumns({"passed": F.col("_ok") & F.coalesce(F.col("_match"), F.lit(False)),
+                             "execution_time": F.coalesce(F.col("elapsed"), F.lit(0.0)),
+                             "timeout": F.coalesce(F.col("timed_out"), F.lit(False)),
+                             "execution_success": F.coalesce(F.col("safe"), F.lit(False)),
+                             "error": F.when(~F.coalesce(F.col("safe"), F.lit(False)),
+                                             F.lit("Code failed the syntax or import check"))
+                                       .otherwise(F.coalesce(F.col("stderr"), F.lit("")))})
+               .drop("stdout", "stderr", "elapsed", "timed_out", "returncode", "safe", "_ok", "_expected",
+                     "_match", "run_key"))
+
+
+def run_gated(tests: DataFrame, code: str = "code", **kw) -> DataFrame:
+    """``run_tests`` with the syntax / import gate (the default)."""
+    return run_tests(tests, code=code, gate=True, **kw)
 
 
 def execution_result(results: DataFrame, keys=("setup", "model", "problem_id")) -> DataFrame:

@@ -551,24 +551,31 @@ def q_tst_normalize_output(spark, sf):
 
 @query("tst_compare_outputs")
 def q_tst_compare_outputs(spark, sf):
-    return view(spark, sf, "output_pairs").select("pair_id", T.outputs_match("expected", "actual").alias("match"))
+    return T.with_outputs_match(view(spark, sf, "output_pairs"), "expected", "actual").select("pair_id", "match")
 
 
 def _candidates(spark, sf) -> DataFrame:
-    """Outputs with extracted code, attached to their problem's test cases."""
-    ex = extracted(spark, sf).filter(F.col("api_success") & F.col("code_found"))
+    """Outputs with extracted code, attached to their problem's test cases.
+
+    Outputs without code get no test rows through an empty test list (a
+    projection), not through a filter: a filter on ``code_found`` would be
+    pushed below the extraction and re-evaluate the tag regexes inside it.
+    """
+    ex = extracted(spark, sf).filter(F.col("api_success")).select(*GEN_KEYS, "code", "code_found")
     probs = view(spark, sf, "problems").select("problem_id", "inputs", "outputs")
-    return T.test_cases(ex.select(*GEN_KEYS, "code").join(probs, "problem_id"))
+    joined = ex.join(probs, "problem_id")
+    empty = F.array().cast("array<string>")
+    gated = joined.withColumns({"inputs": F.when(F.col("code_found"), F.col("inputs")).otherwise(empty),
+                                "outputs": F.when(F.col("code_found"), F.col("outputs")).otherwise(empty)})
+    return T.test_cases(gated.drop("code_found"))
 
 
 @query("exe_run_tests")
 def q_exe_run_tests(spark, sf):
     """Gate by syntax and imports, then run each distinct (code, stdin) in a child process."""
-    tests = _candidates(spark, sf).withColumn("code_key", F.sha2("code", 256))
-    checks = E.code_checks(tests.select("code"))
-    gated = tests.join(checks.select("code_key", "safe"), "code_key").filter("safe")
-    res = E.run_tests(gated, timeout_s=5.0)
-    return res.select(*GEN_KEYS, "test_case", "converted_input", "actual_output", "passed", "timeout")
+    res = E.run_gated(_candidates(spark, sf), timeout_s=5.0)
+    return res.select(*GEN_KEYS, "test_case", "converted_input", "actual_output", "passed", "timeout",
+                      "execution_success")
 
 
 @query("exe_aggregate")
