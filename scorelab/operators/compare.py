@@ -4,6 +4,12 @@ Metrics are unpivoted to a long table ``(setup, model, metric, value)``; the
 baseline rows are joined to every other setup on ``(model, metric)``.  Both
 sides hold one row per (setup, model, metric) — their size follows the number
 of models, not the number of generations.
+
+The per-run inputs are read by several branches (baseline side, other side,
+model list).  Filters on the run keys are pushed below their aggregation, so
+the branches would not share an exchange and each would recompute the whole
+scoring pipeline; the small per-run table is therefore materialised once
+(reliable checkpoint) and every branch reads that.
 """
 
 from __future__ import annotations
@@ -12,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.extract import substring_counts
+from ..session import cut_lineage
 from .metrics import METRICS, RUN_KEYS, rate, safe_ratio
 
 BASELINE = "benign"
@@ -31,7 +38,7 @@ def relative_change(base, other):
 
 def compare_all(metrics: DataFrame, base: str = BASELINE, names=METRICS) -> DataFrame:
     """Every setup against the baseline, per model present in both, per metric."""
-    long = to_long(metrics, names)
+    long = to_long(cut_lineage(metrics), names)
     b = long.filter(F.col("setup") == base).select("model", "metric", F.col("value").alias("benign"))
     o = long.filter(F.col("setup") != base).select(F.col("setup").alias("comparison"), "model", "metric",
                                                    F.col("value").alias("malign"))
@@ -46,19 +53,23 @@ def metric_diff(metrics: DataFrame, base: str, other: str, names=METRICS) -> Dat
     return compare_all(two, base, names).filter(F.col("comparison") == other)
 
 
-def pattern_counts_by_run(df: DataFrame, code: str = "code", by=RUN_KEYS) -> DataFrame:
-    """Plain 'for ' / 'def ' counts summed over rows that have code."""
+def pattern_aggs(code: str = "code") -> list:
+    """Aggregates of plain 'for ' / 'def ' counts over rows that have code."""
     c = substring_counts(code)
     has = F.coalesce(F.length(code) > 0, F.lit(False))
-    return df.groupBy(*by).agg(
-        F.sum(F.when(has, c["for_loops"]).otherwise(0)).cast("long").alias("for_loops"),
-        F.sum(F.when(has, c["def_count"]).otherwise(0)).cast("long").alias("def_count"),
-        F.count_if(has).alias("total_problems"))
+    return [F.sum(F.when(has, c["for_loops"]).otherwise(0)).cast("long").alias("for_loops"),
+            F.sum(F.when(has, c["def_count"]).otherwise(0)).cast("long").alias("def_count"),
+            F.count_if(has).alias("total_problems")]
 
 
-def pattern_diff(df: DataFrame, base: str = BASELINE, code: str = "code") -> DataFrame:
-    """for / def count differences (other − baseline) for every setup, 0 where missing."""
-    pc = pattern_counts_by_run(df, code)
+def pattern_counts_by_run(df: DataFrame, code: str = "code", by=RUN_KEYS) -> DataFrame:
+    """Plain 'for ' / 'def ' counts summed over rows that have code."""
+    return df.groupBy(*by).agg(*pattern_aggs(code))
+
+
+def pattern_diff_counts(pc: DataFrame, base: str = BASELINE) -> DataFrame:
+    """for / def count differences (other − baseline) from per-run counts, 0 where missing."""
+    pc = cut_lineage(pc)
     b = pc.filter(F.col("setup") == base).select("model", F.col("for_loops").alias("b_for"),
                                                  F.col("def_count").alias("b_def"))
     o = pc.filter(F.col("setup") != base).select(F.col("setup").alias("comparison"), "model",
@@ -70,12 +81,18 @@ def pattern_diff(df: DataFrame, base: str = BASELINE, code: str = "code") -> Dat
                       (F.coalesce("m_def", F.lit(0)) - F.coalesce("b_def", F.lit(0))).alias("def_count_diff"))
 
 
+def pattern_diff(df: DataFrame, base: str = BASELINE, code: str = "code") -> DataFrame:
+    """for / def count differences (other − baseline) for every setup, 0 where missing."""
+    return pattern_diff_counts(pattern_counts_by_run(df, code), base)
+
+
 def diff_aggregate(diffs: DataFrame, pattern_diffs: DataFrame) -> DataFrame:
     """Mean and population std of the diffs over models, and total pattern diffs.
 
     Output is long: ``(comparison, name, value)`` with names ``<metric>_mean_diff``,
     ``<metric>_std_diff``, ``total_for_loops_diff``, ``total_def_count_diff``.
     """
+    diffs = cut_lineage(diffs)
     per_metric = diffs.groupBy("comparison", "metric").agg(F.avg("diff").alias("m"),
                                                            F.stddev_pop("diff").alias("s"))
     metric_rows = per_metric.select("comparison", F.stack(

@@ -133,10 +133,11 @@ def for_loop_rate(df: DataFrame, by=RUN_KEYS) -> DataFrame:
               .orderBy("for_loop_rate", *by))
 
 
-def run_metrics(scored: DataFrame, by=RUN_KEYS, cost_per_token: float = COST_PER_TOKEN) -> DataFrame:
-    """The comparator's twelve metrics per run, in one pass."""
+def run_metrics(scored: DataFrame, by=RUN_KEYS, cost_per_token: float = COST_PER_TOKEN,
+                extra=()) -> DataFrame:
+    """The comparator's twelve metrics per run, in one pass (plus any ``extra`` aggregates)."""
     out = scored.groupBy(*by).agg(
-        *_summary_aggs(),
+        *_summary_aggs(), *extra,
         F.coalesce(F.avg(F.length("thinking")), F.lit(0.0)).alias("thinking_length_mean"),
         F.coalesce(F.avg(F.length("code")), F.lit(0.0)).alias("code_length_mean"),
         rate(F.col("code") == "").alias("empty_code_rate"),

@@ -26,7 +26,7 @@ from ..operators import metrics as M
 from ..operators import prompts as P
 from ..operators import select as S
 from ..operators import windows as W
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import problems as SP
 from ..sources import runs as SR
 from ..streaming import streams as ST
@@ -696,7 +696,7 @@ def q_jn_problem_lookup(spark, sf):
 
 @query("jn_model_alignment")
 def q_jn_model_alignment(spark, sf):
-    rm = run_metric_table(spark, sf).select("setup", "model", "fraction_passed", "code_extracted_rate")
+    rm = cut_lineage(run_metric_table(spark, sf).select("setup", "model", "fraction_passed", "code_extracted_rate"))
     b = rm.filter(F.col("setup") == "benign").drop("setup")
     m = rm.filter(F.col("setup") == "avoid_for_loops").drop("setup")
     return J.align(b, m)
@@ -873,9 +873,13 @@ def q_cmp_pattern_diff(spark, sf):
 
 @query("cmp_aggregate")
 def q_cmp_aggregate(spark, sf):
-    ex = extracted(spark, sf)
-    diffs = C.compare_all(M.run_metrics(M.scored_rows(ex, E.execution_result(view(spark, sf, "test_results")))))
-    return C.diff_aggregate(diffs, C.pattern_diff(ex))
+    """Mean / population std of the metric diffs over models, and total pattern diffs.
+
+    Metrics and pattern counts come from one aggregation of the scored rows;
+    both comparisons then work on that small per-run table.
+    """
+    per_run = cut_lineage(M.run_metrics(scored(spark, sf), extra=C.pattern_aggs("code")))
+    return C.diff_aggregate(C.compare_all(per_run), C.pattern_diff_counts(per_run))
 
 
 @query("cmp_all_setups")

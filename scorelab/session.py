@@ -67,7 +67,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def is_materialised(df: DataFrame) -> bool:
+    """True when the plan is already a checkpointed RDD scan (nothing left to cut)."""
+    return df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRDD"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (never a local one): survives executor loss."""
+    """Reliable checkpoint (never a local one): survives executor loss.
+
+    Idempotent: a DataFrame that already is a checkpoint is returned as is.
+    """
+    if is_materialised(df):
+        return df
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
