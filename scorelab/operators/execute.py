@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.testcases import to_stdin, with_outputs_match
+from ..functions.testcases import normalized_text, stdin_text, with_outputs_match
 from ..functions.text import py_strip
 from ..session import cut_lineage
 
@@ -131,81 +131,99 @@ _compiled = compile(_code, "<solution>", "exec")
 exec(_compiled, {"__builtins__": _safe, "__name__": "__main__", "sys": sys, "StringIO": io.StringIO})
 """
 
-RUN_SCHEMA = ("run_key string, stdout string, stderr string, returncode int, "
-              "elapsed double, timed_out boolean")
+RUN_SCHEMA = ("run_key string, safe boolean, converted_input string, stdout string, stderr string, "
+              "returncode int, elapsed double, timed_out boolean, norm_expected string, norm_actual string")
 
 
-def _run_batches(timeout_s: float, mem_mb: int, deny: str, removed: str):
+def _run_batches(timeout_s: float, mem_mb: int, deny: tuple, removed: tuple, gate: bool = True,
+                 site_packages: bool = False):
+    # -I: isolated (no user site, no PYTHON* variables); -S: no site import, which
+    # cuts interpreter start-up several-fold; the standard library stays importable.
+    flags = ["-I"] if site_packages else ["-I", "-S"]
+    deny_set, deny_arg, removed_arg = frozenset(deny), ",".join(deny), ",".join(removed)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        verdicts: dict[str, bool] = {}  # gate result per distinct code, parsed once per task
         for pdf in batches:
             rows = []
-            for key, code, stdin in zip(pdf["run_key"], pdf["code"], pdf["stdin"]):
-                code_b = (code or "").encode("utf-8")
-                payload = str(len(code_b)).encode() + b"\n" + code_b + (stdin or "").encode("utf-8")
+            for key, code, raw_in, exp in zip(pdf["run_key"], pdf["code"], pdf["input"], pdf["expected"]):
+                code = code or ""
+                stdin = stdin_text(raw_in) or ""
+                norm_exp = normalized_text((exp or "").strip(" \t\n\r\f\x0b"))
+                if gate:
+                    if code not in verdicts:
+                        c = _check_one(code, deny_set)
+                        verdicts[code] = bool(c["syntax_ok"]) and not c["blocked"]
+                    if not verdicts[code]:
+                        rows.append((key, False, stdin, "", "Code failed the syntax or import check", None, 0.0,
+                                     False, norm_exp, ""))
+                        continue
+                code_b = code.encode("utf-8")
+                payload = str(len(code_b)).encode() + b"\n" + code_b + stdin.encode("utf-8")
                 start = time.monotonic()
                 try:
                     p = subprocess.run(
-                        [sys.executable, "-I", "-c", _RUNNER, str(mem_mb),
-                         str(int(timeout_s) + 1), deny, removed],
+                        [sys.executable, *flags, "-c", _RUNNER, str(mem_mb), str(int(timeout_s) + 1),
+                         deny_arg, removed_arg],
                         input=payload, capture_output=True, timeout=timeout_s, env={})
-                    rows.append((key, p.stdout.decode("utf-8", "replace"), p.stderr.decode("utf-8", "replace"),
-                                 p.returncode, time.monotonic() - start, False))
+                    out = p.stdout.decode("utf-8", "replace")
+                    actual = out.strip(" \t\n\r\f\x0b") if p.returncode == 0 else ""
+                    rows.append((key, True, stdin, out, p.stderr.decode("utf-8", "replace"), p.returncode,
+                                 time.monotonic() - start, False, norm_exp, normalized_text(actual)))
                 except subprocess.TimeoutExpired:
-                    rows.append((key, "", f"Execution timed out after {timeout_s} seconds", -1,
-                                 time.monotonic() - start, True))
+                    rows.append((key, True, stdin, "", f"Execution timed out after {timeout_s} seconds", -1,
+                                 time.monotonic() - start, True, norm_exp, ""))
                 except Exception as e:  # launching failed: still a row
-                    rows.append((key, "", f"Execution failed: {e}", -1, time.monotonic() - start, False))
-            yield pd.DataFrame(rows, columns=["run_key", "stdout", "stderr", "returncode",
-                                              "elapsed", "timed_out"])
+                    rows.append((key, True, stdin, "", f"Execution failed: {e}", -1, time.monotonic() - start,
+                                 False, norm_exp, ""))
+            yield pd.DataFrame(rows, columns=["run_key", "safe", "converted_input", "stdout", "stderr", "returncode",
+                                              "elapsed", "timed_out", "norm_expected", "norm_actual"])
     return run
 
 
 def run_tests(tests: DataFrame, code: str = "code", test_input: str = "input",
               expected: str = "output", timeout_s: float = 10.0, mem_mb: int = 512,
               partitions: int | None = None, deny=DANGEROUS_MODULES,
-              removed=REMOVED_BUILTINS, gate: bool = True) -> DataFrame:
+              removed=REMOVED_BUILTINS, gate: bool = True, site_packages: bool = False) -> DataFrame:
     """Run every (code, test) row and compare its output with the expected one.
 
     ``tests`` has one row per test (see ``functions.testcases.test_cases``).
-    The prepared table is read three times (gate, distinct runs, join back),
-    so it is materialised once with a reliable checkpoint instead of
-    recomputing its lineage per reader.  With ``gate`` on, code that fails the
-    syntax / import check is never executed (``execution_success`` false).
+    One Python hop: distinct (code, input, expected) runs are spread by hash
+    over ``partitions`` tasks; each task converts the input to stdin, gates
+    each code once (syntax, blocked imports — failing code never runs),
+    executes the rest in child processes and normalises both outputs.  The
+    comparison rule itself stays a native expression.  The test table is read
+    twice (distinct runs, join back), so it is materialised once with a
+    reliable checkpoint instead of recomputing its lineage per reader.
     Adds ``converted_input, actual_output, passed, execution_time, error,
-    timeout, execution_success``.
+    timeout, execution_success``.  ``site_packages`` makes installed
+    third-party packages importable by the solutions (slower start-up).
     """
     spark = tests.sparkSession
-    prepared = tests.withColumn("converted_input", to_stdin(test_input))
-    prepared = prepared.withColumn("run_key", F.sha2(F.concat_ws("\u0000", F.col(code), F.col("converted_input")), 256))
-    prepared = cut_lineage(prepared)
-    runs_in = (prepared.select("run_key", F.col(code).alias("code"), F.col("converted_input").alias("stdin"))
-                       .dropDuplicates(["run_key"]))
-    if gate:
-        checks = code_checks(prepared.select(F.col(code).alias("code")), "code").select("code_key", "safe")
-        runs_in = (runs_in.withColumn("code_key", F.sha2("code", 256))
-                          .join(checks, "code_key", "left")
-                          .withColumn("safe", F.coalesce("safe", F.lit(False))))
-    else:
-        runs_in = runs_in.withColumn("safe", F.lit(True))
+    exp_text = F.coalesce(F.col(expected).cast("string"), F.lit(""))
+    key = F.sha2(F.concat_ws("\u0000", F.col(code), F.col(test_input), exp_text), 256)
+    prepared = cut_lineage(tests.withColumn("run_key", key))
     n = partitions or max(8, spark.sparkContext.defaultParallelism * 4)
-    to_run = runs_in.filter("safe").select("run_key", "code", "stdin").repartition(n, "run_key")
-    runs = to_run.mapInPandas(_run_batches(timeout_s, mem_mb, ",".join(deny), ",".join(removed)), RUN_SCHEMA)
-    verdict = runs_in.select("run_key", "safe").join(runs, "run_key", "left")
-    out = prepared.join(verdict, on="run_key", how="left")
+    # A separate, fixed-size exchange: few rows but long-running tasks must stay spread.
+    # Repartitioning by run_key itself would be folded into the de-duplication's
+    # exchange, which AQE then coalesces (a tiny shuffle) into a single task.
+    runs_in = (prepared.select("run_key", F.col(code).alias("code"), F.col(test_input).alias("input"),
+                               exp_text.alias("expected"))
+                       .dropDuplicates(["run_key"]).repartition(n, F.xxhash64("run_key")))
+    runs = runs_in.mapInPandas(_run_batches(timeout_s, mem_mb, tuple(deny), tuple(removed), gate, site_packages),
+                               RUN_SCHEMA)
+    out = prepared.join(runs, on="run_key", how="left")
     ok = (F.col("returncode") == 0) & ~F.col("timed_out")
     out = out.withColumns({"actual_output": F.when(ok, py_strip("stdout")).otherwise(F.lit("")),
-                           "_ok": F.coalesce(ok, F.lit(False)),
-                           "_expected": py_strip(F.col(expected).cast("string"))})
-    out = with_outputs_match(out, "_expected", "actual_output", "_match")
+                           "_ok": F.coalesce(ok, F.lit(False))})
+    out = with_outputs_match(out, "norm_expected", "norm_actual", "_match", normalized=True)
     return (out.withColumns({"passed": F.col("_ok") & F.coalesce(F.col("_match"), F.lit(False)),
                              "execution_time": F.coalesce(F.col("elapsed"), F.lit(0.0)),
                              "timeout": F.coalesce(F.col("timed_out"), F.lit(False)),
                              "execution_success": F.coalesce(F.col("safe"), F.lit(False)),
-                             "error": F.when(~F.coalesce(F.col("safe"), F.lit(False)),
-                                             F.lit("Code failed the syntax or import check"))
-                                       .otherwise(F.coalesce(F.col("stderr"), F.lit("")))})
-               .drop("stdout", "stderr", "elapsed", "timed_out", "returncode", "safe", "_ok", "_expected",
-                     "_match", "run_key"))
+                             "error": F.coalesce(F.col("stderr"), F.lit(""))})
+               .drop("stdout", "stderr", "elapsed", "timed_out", "returncode", "safe", "_ok", "_match",
+                     "norm_expected", "norm_actual", "run_key"))
 
 
 def run_gated(tests: DataFrame, code: str = "code", **kw) -> DataFrame:
