@@ -370,9 +370,10 @@ def _messages(spark, sf) -> DataFrame:
 def q_prm_messages(spark, sf):
     """system + user + assistant messages per problem."""
     m = _messages(spark, sf)
+    msgs = F.col("messages")
     return m.select("problem_id", F.size("messages").alias("n_messages"),
-                    F.col("messages")[0]["content"].alias("system"), F.col("messages")[1]["content"].alias("user"),
-                    F.col("messages")[2]["content"].alias("assistant"))
+                    F.get(msgs, 0)["content"].alias("system"), F.get(msgs, 1)["content"].alias("user"),
+                    F.get(msgs, 2)["content"].alias("assistant"))
 
 
 @query("prm_chat_template")
@@ -397,8 +398,8 @@ def q_prm_sft_format(spark, sf):
 @query("prm_training_rows")
 def q_prm_training_rows(spark, sf):
     tr = P.training_rows(view(spark, sf, "problems"))
-    return tr.select("problem_id", F.col("prompt")[0]["content"].alias("system"),
-                     F.col("prompt")[1]["content"].alias("user"), "answer",
+    return tr.select("problem_id", F.get("prompt", 0)["content"].alias("system"),
+                     F.get("prompt", 1)["content"].alias("user"), "answer",
                      F.size("inputs").alias("n_inputs"), F.size("outputs").alias("n_outputs"))
 
 
@@ -406,8 +407,8 @@ def q_prm_training_rows(spark, sf):
 def q_prm_pairs_to_conversations(spark, sf):
     p = view(spark, sf, "problems")
     conv = P.pairs_to_conv("question", "first_solution")
-    return p.select("problem_id", F.size(conv).alias("n_messages"), conv[0]["content"].alias("user"),
-                    conv[1]["content"].alias("assistant"))
+    return p.select("problem_id", F.size(conv).alias("n_messages"), F.get(conv, 0)["content"].alias("user"),
+                    F.get(conv, 1)["content"].alias("assistant"))
 
 
 @query("prm_conversation_text")

@@ -287,11 +287,11 @@ oracle("src_run_metadata", ctes(("names", """SELECT event_id,
   || ['_outputs.json', '_malign_scored.json', '_visualization.pdf', '.json', '_outputs.txt'][event_id % 5 + 1] AS file_name
 FROM events""")) + f"""
 SELECT event_id, file_name,
-  CASE WHEN ok THEN strptime({_g(1)}, '%Y%m%d_%H%M%S') END AS run_ts,
+  CASE WHEN ok THEN try_strptime({_g(1)}, '%Y%m%d_%H%M%S') END AS run_ts,
   CASE WHEN ok THEN nullif({_g(2)}, '') END AS setup,
   CASE WHEN ok THEN {_g(3)} END AS split,
-  CASE WHEN ok THEN CAST({_g(4)} AS INTEGER) END AS n_problems,
-  CASE WHEN ok THEN CAST({_g(5)} AS INTEGER) END AS n_models,
+  CASE WHEN ok THEN TRY_CAST({_g(4)} AS INTEGER) END AS n_problems,
+  CASE WHEN ok THEN TRY_CAST({_g(5)} AS INTEGER) END AS n_models,
   CASE WHEN ok THEN nullif({_g(6)}, '') END AS kind
 FROM (SELECT *, regexp_matches(file_name, {lit(RUN_NAME_RE)}) AS ok FROM names)""")
 oracle("src_train_log", ctes("train_log") + """

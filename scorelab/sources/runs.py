@@ -81,11 +81,11 @@ def parse_run_name(name) -> dict:
     n = F.col(name) if isinstance(name, str) else name
     g = lambda i: F.regexp_extract(n, RUN_NAME_RE, i)
     ok = n.rlike(RUN_NAME_RE)
-    return {"run_ts": F.when(ok, F.to_timestamp(g(1), "yyyyMMdd_HHmmss")),
+    return {"run_ts": F.when(ok, F.try_to_timestamp(g(1), F.lit("yyyyMMdd_HHmmss"))),
             "setup": F.when(ok, F.when(g(2) == "", F.lit(None)).otherwise(g(2))),
             "split": F.when(ok, g(3)),
-            "n_problems": F.when(ok, g(4).cast("int")),
-            "n_models": F.when(ok, g(5).cast("int")),
+            "n_problems": F.when(ok, g(4).try_cast("int")),
+            "n_models": F.when(ok, g(5).try_cast("int")),
             "kind": F.when(ok, F.when(g(6) == "", F.lit(None)).otherwise(g(6)))}
 
 
