@@ -108,21 +108,27 @@ ROLE_ORDER = {"system": 0, "user": 1, "assistant": 2}  # tie-break for turns wit
 
 
 def conversation_text(turns: DataFrame, conv: str = "conv_id", turn: str = "turn",
-                      role: str = "role", text: str = "text") -> DataFrame:
+                      role: str = "role", text: str = "text", chunk: int = 256) -> DataFrame:
     """Standardise role names and render one text per conversation.
 
-    Each turn is rendered on its own row; the group then only concatenates the
-    pieces of one conversation (bounded by a conversation's length).
+    Each turn is rendered on its own row.  Concatenation runs in two levels so
+    that no task collects a whole (possibly huge) conversation at once: pieces
+    are first joined per run of ``chunk`` consecutive turn numbers, then the
+    chunk texts of a conversation are joined in order.
     """
     r = standard_role(role)
     order = F.create_map(*[F.lit(x) for kv in ROLE_ORDER.items() for x in kv])
     piece = F.concat(F.lit("<|im_start|>"), r, F.lit("\n"), F.coalesce(col(text), F.lit("")),
                      F.lit("<|im_end|>\n"))
-    pieces = turns.select(col(conv).alias(conv), F.struct(
+    pieces = turns.select(col(conv).alias(conv), F.floor(col(turn) / chunk).alias("_c"), F.struct(
         col(turn).alias("t"), F.coalesce(order[r], F.lit(9)).alias("r"), piece.alias("p")).alias("s"))
-    return (pieces.groupBy(conv)
-                  .agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["p"]), "")
-                       .alias("text"), F.count("*").alias("n_turns")))
+    parts = (pieces.groupBy(conv, "_c")
+                   .agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["p"]), "")
+                        .alias("_part"), F.count("*").alias("_n")))
+    return (parts.groupBy(conv)
+                 .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_c", "_part"))),
+                                               lambda s: s["_part"]), "").alias("text"),
+                      F.sum("_n").alias("n_turns")))
 
 
 def expand(df: DataFrame, g: int, name: str = "gen_idx") -> DataFrame:

@@ -42,7 +42,8 @@ def write_generations(gens: DataFrame, path: str, split: str = "eval", timestamp
                    F.col("api_success"),
                    F.when(~F.col("api_success"), F.lit("api error")).otherwise(F.lit("")).alias("api_error"),
                    F.struct(F.col("total_time")).alias("timing"))
-    sharded = gens.withColumn("_b", F.pmod(F.xxhash64("problem_id"), F.lit(b)))
+    # hash of the whole row: repeated outputs of one problem still spread over shards
+    sharded = gens.withColumn("_b", F.pmod(F.xxhash64(*[F.col(c) for c in gens.columns]), F.lit(b)))
     docs = (sharded.groupBy("setup", "model", "_b")
                    .agg(F.collect_list(row).alias("rows"), F.count("*").alias("_n")))
     meta = F.struct(F.col("setup"), F.lit(split).alias("split"), F.lit(timestamp).alias("timestamp"),

@@ -55,3 +55,14 @@ def test_trailing_mean_chunks_equal_plain_window(spark):
     a = {(r["g"], r["step"], round(r["m"], 9)) for r in got.collect()}
     b = {(r["g"], r["step"], round(r["m"], 9)) for r in ref.collect()}
     assert a == b and len(a) == 200
+
+
+def test_conversation_text_two_level_equals_one_level(spark):
+    from scorelab.operators.prompts import conversation_text
+    rows = [(c, t, ["user", "gpt", "human", "assistant", "system"][(c + t) % 5], f"m{c}-{t}")
+            for c in range(4) for t in range(0, 40 if c == 0 else 5)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    small = {r["conv_id"]: (r["text"], r["n_turns"]) for r in conversation_text(df, chunk=3).collect()}
+    big = {r["conv_id"]: (r["text"], r["n_turns"]) for r in conversation_text(df, chunk=1000).collect()}
+    assert small == big and small[0][1] == 40
+    assert small[1][0].startswith("<|im_start|>assistant\nm1-0<|im_end|>\n<|im_start|>user\nm1-1")
