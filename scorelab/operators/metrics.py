@@ -121,6 +121,41 @@ def generation_time(df: DataFrame, stats: DataFrame | None = None, by=RUN_KEYS)
     return per_rows.select(*by, F.coalesce("_stats_avg", "_rows_avg", F.lit(0.0)).alias("avg_generation_time"))
 
 
+def generation_stats(df: DataFrame, by=RUN_KEYS, cap: int = MAX_TOKENS, near: int = NEAR_MAX) -> DataFrame:
+    """Answer length, token usage and generation time of each run in one aggregation."""
+    ok_len = F.col("api_success") & (F.coalesce(F.length("model_output"), F.lit(0)) > 0)
+    ok = F.col("api_success") & F.col("completion_tokens").isNotNull()
+    ct = F.col("completion_tokens")
+    out = df.groupBy(*by).agg(
+        F.coalesce(F.avg(F.when(ok_len, F.length("model_output"))), F.lit(0.0)).alias("avg_answer_length"),
+        F.count_if(ok).alias("total_responses"),
+        F.count_if(ok & (ct >= cap)).alias("max_length_hits"),
+        F.count_if(ok & (ct < cap) & (ct >= near)).alias("near_max_hits"),
+        F.sum(F.when(ok, ct)).alias("_tok"),
+        F.coalesce(F.avg("total_time"), F.lit(0.0)).alias("avg_generation_time"))
+    n = F.col("total_responses")
+    return out.withColumns({
+        "max_length_rate": safe_ratio(F.col("max_length_hits"), n),
+        "near_max_rate": safe_ratio(F.col("near_max_hits"), n),
+        "avg_completion_tokens": safe_ratio(F.col("_tok"), n)}).drop("_tok")
+
+
+def summary_with_patterns(scored: DataFrame, by=RUN_KEYS) -> DataFrame:
+    """Model summary and objective-pattern means of each run in one aggregation."""
+    ok = F.col("api_success") & F.col("execution_success")
+    out = scored.groupBy(*by).agg(
+        *_summary_aggs(),
+        F.count_if(ok).alias("successful_solutions"),
+        F.sum(F.when(ok, F.col("for_loop_count"))).alias("_f"),
+        F.sum(F.when(ok, F.col("function_def_count"))).alias("_d"),
+        F.sum(F.when(ok, F.col("dict_constructor_count") + F.col("set_constructor_count"))).alias("_ds"))
+    n = F.col("successful_solutions")
+    return out.withColumns({
+        "test_case_pass_rate": safe_ratio(F.col("passed_test_cases"), F.col("total_test_cases")),
+        "avg_for_loops": safe_ratio(F.col("_f"), n), "avg_function_defs": safe_ratio(F.col("_d"), n),
+        "avg_dict_set_count": safe_ratio(F.col("_ds"), n)}).drop("_f", "_d", "_ds")
+
+
 def for_loop_rate(df: DataFrame, by=RUN_KEYS) -> DataFrame:
     """Quick check: API rate, fenced-code rate and 'for' rate over all rows, ascending."""
     f = fenced_code("model_output")

@@ -152,8 +152,14 @@ def quantile_cutoff(df: DataFrame, q: float = 0.9, len_col: str = "L", exact: bo
 
 
 def quantile_cap(df: DataFrame, q: float = 0.9, len_col: str = "L", max_seq: int = 2048,
-                 exact: bool = True) -> tuple[DataFrame, int, int]:
-    """Keep rows at or under the cutoff; return (rows, prompt cap, completion budget)."""
+                 exact: bool = True, materialise: bool = True) -> tuple[DataFrame, int, int]:
+    """Keep rows at or under the cutoff; return (rows, prompt cap, completion budget).
+
+    The input is read twice (cutoff, then filter); with ``materialise`` it is
+    checkpointed once so the length column (a tokenisation) is computed once.
+    """
+    if materialise:
+        df = cut_lineage(df)
     cutoff = quantile_cutoff(df, q, len_col, exact)
     prompt_cap = cutoff + 1
     return df.filter(F.col(len_col) <= F.lit(cutoff)), prompt_cap, max_seq - prompt_cap

@@ -668,8 +668,10 @@ def advantage(df: DataFrame, key: str = "prompt_id", reward: str = "reward", eps
 
     Group statistics come from a partial aggregation joined back on the key
     (AQE splits a skewed key's partitions), not from a window that would put
-    a hot group in one task.
+    a hot group in one task.  The input is materialised once (pass a narrow
+    projection) so the reward expression is not evaluated per branch.
     """
+    df = cut_lineage(df)  # read by both branches (statistics, join back): compute the reward once
     st = df.groupBy(key).agg(F.avg(reward).alias("_m"), F.coalesce(F.stddev_samp(reward), F.lit(0.0)).alias("_s"))
     return df.join(st, key).withColumn("advantage", (F.col(reward) - F.col("_m")) / (F.col("_s") + F.lit(eps))) \
              .drop("_m", "_s")
@@ -682,7 +684,8 @@ def q_rwd_group_stats(spark, sf):
 
 @query("rwd_group_advantage")
 def q_rwd_group_advantage(spark, sf):
-    return advantage(R.score(completions(spark, sf))).select("gen_id", "prompt_id", "reward", "advantage")
+    rewards = R.score(completions(spark, sf)).select("gen_id", "prompt_id", "reward")
+    return advantage(rewards).select("gen_id", "prompt_id", "reward", "advantage")
 
 
 # ---------------------------------------------------------------- 2.7 joins
@@ -705,10 +708,12 @@ def q_jn_model_alignment(spark, sf):
 
 @query("jn_metric_attach")
 def q_jn_metric_attach(spark, sf):
-    sc = scored(spark, sf)
-    g = view(spark, sf, "generations")
-    return J.attach_metrics(M.model_summary(sc), M.answer_length(g), M.token_usage(g),
-                            M.objective_patterns(sc), M.generation_time(g))
+    """Per-run summary (with objective patterns) and generation statistics, attached on the run keys.
+
+    Each side is one aggregation (two scans in total instead of one per metric family).
+    """
+    return J.attach_metrics(M.summary_with_patterns(scored(spark, sf)),
+                            M.generation_stats(view(spark, sf, "generations")))
 
 
 @query("jn_fixed_order")
