@@ -18,3 +18,14 @@ def test_summary_stream_rows(spark):
     out = QUERIES["stm_model_summary"](spark, SF)
     assert out.count() == 12
     assert out.agg({"n_outputs": "sum"}).first()[0] == view(spark, SF, "generations").count()
+
+
+def test_log_windows_equal_batch_with_watermark(spark):
+    from pyspark.sql import functions as F
+    out = QUERIES["stm_log_windows"](spark, SF)
+    log = view(spark, SF, "train_log").withColumn("ts", F.col("timestamp").cast("timestamp"))
+    limit = log.agg(F.max("ts")).first()[0]
+    batch = (log.groupBy(F.window("ts", "1 day").alias("w"), "phase").agg(F.count("*").alias("n"))
+                .filter(F.col("w.end") <= F.lit(limit) - F.expr("INTERVAL 1 HOUR")))
+    assert out.count() == batch.count() > 0
+    assert out.agg(F.sum("n_steps")).first()[0] == batch.agg(F.sum("n")).first()[0]
