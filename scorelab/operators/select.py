@@ -54,14 +54,15 @@ def shuffle_key(df: DataFrame, seed: int, key: str, name: str = "shuffle_key") -
 
 
 def distributed_rank(df: DataFrame, strata: list[str], order: list[Column],
-                     name: str = "rank", partitions: int | None = None) -> DataFrame:
+                     name: str = "rank", partitions: int | None = None, total: str | None = None) -> DataFrame:
     """1-based row number within each stratum, without a per-stratum window.
 
     A window partitioned by a low-cardinality stratum puts each stratum in one
     task.  Instead: range-partition by (stratum, order), number rows inside
     each partition, and add the count of the same stratum in all earlier
     partitions.  The offsets table has at most (#partitions + #strata) rows —
-    a bound that does not grow with the data — so it is broadcast.
+    a bound that does not grow with the data — so it is broadcast.  With
+    ``total`` the size of each stratum is added as well (from the same table).
     """
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -76,11 +77,14 @@ def distributed_rank(df: DataFrame, strata: list[str], order: list[Column],
     ranged = cut_lineage(ranged)
     counts = ranged.groupBy("_pid", *strata).agg(F.count("*").alias("_n"), F.min("_loc").alias("_first"))
     w = Window.partitionBy(*strata).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    joined = ranged.join(F.broadcast(offsets.select("_pid", *strata, "_off", "_first")),
+    offsets = counts.withColumns({"_off": F.coalesce(F.sum("_n").over(w), F.lit(0)),
+                                  "_tot": F.sum("_n").over(Window.partitionBy(*strata))})
+    joined = ranged.join(F.broadcast(offsets.select("_pid", *strata, "_off", "_first", "_tot")),
                          on=["_pid", *strata], how="inner")
-    return joined.withColumn(name, F.col("_off") + F.col("_loc") - F.col("_first") + 1) \
-                 .drop("_mid", "_pid", "_loc", "_off", "_first")
+    out = joined.withColumn(name, F.col("_off") + F.col("_loc") - F.col("_first") + 1)
+    if total:
+        out = out.withColumn(total, F.col("_tot"))
+    return out.drop("_mid", "_pid", "_loc", "_off", "_first", "_tot")
 
 
 def stratified_split(df: DataFrame, strata: str = "difficulty", ratios=(0.6, 0.2, 0.2),
@@ -101,13 +105,11 @@ def stratified_split(df: DataFrame, strata: str = "difficulty", ratios=(0.6, 0.2
         order_cols = [seeded_key(seed, key), F.col(key)]
     else:
         raise ValueError("order must be 'source' or 'hash'")
-    ranked = distributed_rank(df, [strata], order_cols, name="_rank")
-    sizes = (df.groupBy(strata).agg(F.count("*").alias("_n"))
-               .withColumn("_train", F.floor(F.col("_n") * F.lit(float(r_train))))
-               .withColumn("_eval", F.floor((F.col("_n") - F.col("_train")) *
-                                            F.lit(float(r_eval) / (float(r_eval) + float(r_test))))))
-    # one row per stratum: small by construction, broadcast by AQE when measured small
-    out = ranked.join(sizes, on=strata, how="inner")
+    # stratum sizes come with the rank (no second pass over the input, no join)
+    ranked = distributed_rank(df, [strata], order_cols, name="_rank", total="_n")
+    out = (ranked.withColumn("_train", F.floor(F.col("_n") * F.lit(float(r_train))))
+                 .withColumn("_eval", F.floor((F.col("_n") - F.col("_train")) *
+                                              F.lit(float(r_eval) / (float(r_eval) + float(r_test))))))
     split = (F.when(F.col("_rank") <= F.col("_train"), "train")
               .when(F.col("_rank") <= F.col("_train") + F.col("_eval"), "eval")
               .otherwise("test"))
