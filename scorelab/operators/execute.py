@@ -21,7 +21,7 @@ import time
 from typing import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.testcases import normalized_text, stdin_text, with_outputs_match
@@ -270,8 +270,12 @@ def execution_profile(results: DataFrame, by=("model",), problem=("setup", "prob
     """Tests per problem and execution time per problem, per model; estimate × models."""
     per_problem = results.groupBy(*by, *problem).agg(F.count("*").alias("_tests"),
                                                     F.sum("execution_time").alias("_time"))
-    return per_problem.groupBy(*by).agg(
+    per_model = per_problem.groupBy(*by).agg(
         F.count("*").alias("problems"),
         F.min("_tests").alias("tests_min"), F.max("_tests").alias("tests_max"), F.avg("_tests").alias("tests_avg"),
         F.sum("_time").alias("time_total"), F.avg("_time").alias("time_avg"),
         F.min("_time").alias("time_min"), F.max("_time").alias("time_max"))
+    # estimate for running every model: one model's total × number of models
+    # (the window runs over the per-model result: one row per model)
+    return per_model.withColumn("estimated_total_all_models",
+                                F.col("time_total") * F.count("*").over(Window.partitionBy()))

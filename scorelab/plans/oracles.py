@@ -540,7 +540,8 @@ SELECT gen_id, CASE WHEN code IS NULL THEN -1.0::DOUBLE ELSE
 oracle("exe_profile", ctes("test_results", ("pp", """SELECT model, setup, problem_id, count(*) AS t, sum(execution_time) AS s
   FROM test_results GROUP BY model, setup, problem_id""")) + """
 SELECT model, count(*) AS problems, min(t) AS tests_min, max(t) AS tests_max, round(avg(t), 6) AS tests_avg,
-  round(sum(s), 6) AS time_total, round(avg(s), 6) AS time_avg, round(min(s), 6) AS time_min, round(max(s), 6) AS time_max
+  round(sum(s), 6) AS time_total, round(avg(s), 6) AS time_avg, round(min(s), 6) AS time_min, round(max(s), 6) AS time_max,
+  round(sum(s) * (SELECT count(DISTINCT model) FROM pp), 6) AS estimated_total_all_models
 FROM pp GROUP BY model""")
 
 # ---------------------------------------------------------------- 2.6 rewards
