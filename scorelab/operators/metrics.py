@@ -309,17 +309,32 @@ def starter_stats(raw: DataFrame, split: str = "original_split") -> DataFrame:
         F.coalesce(F.median("_w"), F.lit(0.0)).alias("starter_words_median"))
 
 
-def count_exact(counts: DataFrame, ns=(3, 5, 8), n_col: str = "n_test_cases") -> DataFrame:
-    """Problems with exactly N tests, count and share, for each target N (0 when none)."""
-    # One pass: the total and each target count are conditional aggregates,
-    # then the one-row result is unpivoted to one row per target.
-    one = counts.agg(F.count("*").alias("_total"),
-                     *[F.count_if(F.col(n_col) == int(n)).alias(f"_c{i}") for i, n in enumerate(ns)])
-    long = one.select("_total", F.stack(F.lit(len(ns)), *[x for i, n in enumerate(ns)
-                                                          for x in (F.lit(int(n)), F.col(f"_c{i}"))])
-                      .alias(n_col, "problems"))
-    return long.select(n_col, F.col("problems").cast("long").alias("problems"),
-                       safe_ratio(F.col("problems") * 100.0, F.col("_total")).alias("pct"))
+def targets_report(counts: DataFrame, name: str, ks, cond, split: str | None, splits) -> DataFrame:
+    """One pass: every (target, split) count is a conditional aggregate; the one-row result is
+    unpivoted to one row per target (no joins, no windows)."""
+    groups = [("", F.lit(True))] + ([(f"{s}_", F.col(split) == s) for s in splits] if split else [])
+    aggs = []
+    for prefix, g in groups:
+        aggs.append(F.count_if(g).alias(f"_{prefix}total"))
+        aggs += [F.count_if(g & cond(int(k))).alias(f"_{prefix}c{i}") for i, k in enumerate(ks)]
+    one = counts.agg(*aggs)
+    fields = [f"{prefix}problems" for prefix, _ in groups]
+    rows = []
+    for i, k in enumerate(ks):
+        rows += [F.lit(int(k))] + [F.col(f"_{prefix}c{i}") for prefix, _ in groups]
+    long = one.select(*[f"_{p}total" for p, _ in groups],
+                      F.stack(F.lit(len(ks)), *rows).alias(name, *fields))
+    out = [name]
+    for prefix, _ in groups:
+        out += [F.col(f"{prefix}problems").cast("long").alias(f"{prefix}problems"),
+                safe_ratio(F.col(f"{prefix}problems") * 100.0, F.col(f"_{prefix}total")).alias(f"{prefix}pct")]
+    return long.select(*out)
+
+
+def count_exact(counts: DataFrame, ns=(3, 5, 8), n_col: str = "n_test_cases", split: str | None = None,
+                splits=("train", "test")) -> DataFrame:
+    """Problems with exactly N tests, count and share, for each target N (overall and per split)."""
+    return targets_report(counts, n_col, ns, lambda k: F.col(n_col) == k, split, splits)
 
 
 def log_summary(log: DataFrame, step: str = "step", exclude=("step", "timestamp")) -> DataFrame:

@@ -9,27 +9,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import safe_ratio
+from .metrics import targets_report
 from .select import distributed_rank
 
 CUMULATIVE_NS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 15, 20, 30, 50, 100)  # fixed values of the report
 
 
-def cumulative(counts: DataFrame, ns=CUMULATIVE_NS, n_col: str = "n_test_cases") -> DataFrame:
-    """Share of problems with 1..N tests at each given N.
+def cumulative(counts: DataFrame, ns=CUMULATIVE_NS, n_col: str = "n_test_cases", split: str | None = None,
+               splits=("train", "test")) -> DataFrame:
+    """Share of problems with 1..N tests at each given N (overall and per split).
 
     Problems with zero tests count in the divisor only.  Each cumulative count
     is a conditional aggregate of one pass (partial aggregation per task); the
     one-row result is unpivoted to one row per N.
     """
     n = F.col(n_col)
-    one = counts.agg(F.count("*").alias("_total"),
-                     *[F.count_if((n >= 1) & (n <= int(k))).alias(f"_c{i}") for i, k in enumerate(ns)])
-    long = one.select("_total", F.stack(F.lit(len(ns)), *[x for i, k in enumerate(ns)
-                                                          for x in (F.lit(int(k)), F.col(f"_c{i}"))])
-                      .alias("max_tests", "problems"))
-    return long.select("max_tests", F.col("problems").cast("long").alias("problems"),
-                       safe_ratio(F.col("problems") * 100.0, F.col("_total")).alias("pct"))
+    return targets_report(counts, "max_tests", ns, lambda k: (n >= 1) & (n <= k), split, splits)
 
 
 def trailing_mean(df: DataFrame, keys: list[str], order: list[str], value: str, k: int,

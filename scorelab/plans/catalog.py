@@ -821,12 +821,13 @@ def _test_counts(spark, sf) -> DataFrame:
     """Test count of every raw problem that has a test-case record."""
     raw = view(spark, sf, "raw_problems")
     io = F.from_json(F.col("input_output"), SP.IO_SCHEMA)
-    return raw.select(F.size(io["inputs"]).alias("n_test_cases")).filter(io["inputs"].isNotNull() & io["outputs"].isNotNull())
+    return raw.select(F.size(io["inputs"]).alias("n_test_cases"), "original_split") \
+              .filter(io["inputs"].isNotNull() & io["outputs"].isNotNull())
 
 
 @query("agg_test_count_exact")
 def q_agg_test_count_exact(spark, sf):
-    return M.count_exact(_test_counts(spark, sf), (3, 5, 8))
+    return M.count_exact(_test_counts(spark, sf), (3, 5, 8), split="original_split")
 
 
 @query("agg_log_summary")
@@ -838,7 +839,7 @@ def q_agg_log_summary(spark, sf):
 
 @query("win_cumulative_tests")
 def q_win_cumulative_tests(spark, sf):
-    return W.cumulative(_test_counts(spark, sf))
+    return W.cumulative(_test_counts(spark, sf), split="original_split")
 
 
 @query("win_metric_series")

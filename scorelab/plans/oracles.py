@@ -711,12 +711,22 @@ SELECT original_split, count(*) AS total_problems, count_if(h) AS with_starter,
   round(coalesce(avg(CASE WHEN h THEN {word_count('starter_code')} END), 0.0::DOUBLE), 6) AS starter_words_mean,
   round(coalesce(median(CASE WHEN h THEN {word_count('starter_code')} END), 0.0::DOUBLE), 6) AS starter_words_median
 FROM t GROUP BY original_split""")
-TCOUNTS = ("tc", f"""SELECT CAST(len({_IO}.inputs) AS INTEGER) AS n FROM raw_problems
+TCOUNTS = ("tc", f"""SELECT CAST(len({_IO}.inputs) AS INTEGER) AS n, original_split FROM raw_problems
   WHERE {_IO}.inputs IS NOT NULL AND {_IO}.outputs IS NOT NULL""")
-oracle("agg_test_count_exact", ctes("raw_problems", TCOUNTS) + """
-SELECT CAST(k AS INTEGER) AS n_test_cases, CAST((SELECT count_if(n = k) FROM tc) AS BIGINT) AS problems,
-  round(coalesce((SELECT count_if(n = k) FROM tc) * 100.0::DOUBLE / nullif((SELECT count(*) FROM tc), 0), 0.0), 6) AS pct
-FROM (VALUES (3), (5), (8)) AS t(k)""")
+
+
+def _targets_sql(name: str, ks, cond: str) -> str:
+    cols = []
+    for prefix, g in (("", "true"), ("train_", "original_split = 'train'"), ("test_", "original_split = 'test'")):
+        c = f"(SELECT count_if({g} AND {cond}) FROM tc)"
+        cols.append(f"CAST({c} AS BIGINT) AS {prefix}problems")
+        cols.append(f"round(coalesce({c} * 100.0::DOUBLE / nullif((SELECT count_if({g}) FROM tc), 0), 0.0), 6) "
+                    f"AS {prefix}pct")
+    values = ", ".join(f"({k})" for k in ks)
+    return f"SELECT CAST(k AS INTEGER) AS {name}, " + ", ".join(cols) + f" FROM (VALUES {values}) AS t(k)"
+
+
+oracle("agg_test_count_exact", ctes("raw_problems", TCOUNTS) + _targets_sql("n_test_cases", (3, 5, 8), "n = k"))
 _LOG_METRICS = ["reward", "kl", "completion_length", "loss"]
 oracle("agg_log_summary", ctes("train_log") + "\nUNION ALL\n".join(f"""
 SELECT '{m}' AS metric, round(avg({m}), 6) AS mean, round(stddev_samp({m}), 6) AS std, round(min({m}), 6) AS min,
@@ -726,11 +736,7 @@ SELECT '{m}' AS metric, round(avg({m}), 6) AS mean, round(stddev_samp({m}), 6) A
 # ---------------------------------------------------------------- 2.9 windows
 
 _CUM = (1, 2, 3, 4, 5, 6, 7, 8, 10, 15, 20, 30, 50, 100)
-oracle("win_cumulative_tests", ctes("raw_problems", TCOUNTS) + f"""
-SELECT CAST(k AS INTEGER) AS max_tests, CAST((SELECT count_if(n >= 1 AND n <= k) FROM tc) AS BIGINT) AS problems,
-  round(coalesce((SELECT count_if(n >= 1 AND n <= k) FROM tc) * 100.0::DOUBLE / nullif((SELECT count(*) FROM tc), 0), 0.0), 6)
-    AS pct
-FROM (VALUES {", ".join(f"({k})" for k in _CUM)}) AS t(k)""")
+oracle("win_cumulative_tests", ctes("raw_problems", TCOUNTS) + _targets_sql("max_tests", _CUM, "n >= 1 AND n <= k"))
 oracle("win_metric_series", ctes("train_log", ("l", """SELECT step, phase, metric, value FROM
   (SELECT step, phase, reward, kl, completion_length FROM train_log)
   UNPIVOT INCLUDE NULLS (value FOR metric IN (reward, kl, completion_length))""")) + """
