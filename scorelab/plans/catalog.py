@@ -314,6 +314,7 @@ def q_flt_solution_quality(spark, sf):
 
 @query("flt_difficulty_in")
 def q_flt_difficulty_in(spark, sf):
+    """Problems whose difficulty is in a given set (introductory, interview)."""
     return S.difficulty_in(view(spark, sf, "problems"), ["introductory", "interview"]).select("problem_id", "difficulty")
 
 
@@ -386,6 +387,7 @@ def q_prm_chat_template(spark, sf):
 
 @query("prm_im_template")
 def q_prm_im_template(spark, sf):
+    """Each question wrapped as one im_start/im_end user turn, open for the assistant."""
     return view(spark, sf, "problems").select("problem_id", P.render_im("question").alias("text"))
 
 
@@ -397,6 +399,7 @@ def q_prm_sft_format(spark, sf):
 
 @query("prm_training_rows")
 def q_prm_training_rows(spark, sf):
+    """Problem → system + user prompt messages, first solution as answer ('' if none), test counts."""
     tr = P.training_rows(view(spark, sf, "problems"))
     return tr.select("problem_id", F.get("prompt", 0)["content"].alias("system"),
                      F.get("prompt", 1)["content"].alias("user"), "answer",
@@ -405,6 +408,7 @@ def q_prm_training_rows(spark, sf):
 
 @query("prm_pairs_to_conversations")
 def q_prm_pairs_to_conversations(spark, sf):
+    """(question, first solution) → a two-message user/assistant conversation."""
     p = view(spark, sf, "problems")
     conv = P.pairs_to_conv("question", "first_solution")
     return p.select("problem_id", F.size(conv).alias("n_messages"), F.get(conv, 0)["content"].alias("user"),
@@ -445,11 +449,13 @@ def q_ext_tags(spark, sf):
 
 @query("ext_clean_code")
 def q_ext_clean_code(spark, sf):
+    """Code tag content with fence lines removed, cut to the first line-start def, stripped."""
     return extracted(spark, sf).select(*GEN_KEYS, "code")
 
 
 @query("ext_pattern_counts")
 def q_ext_pattern_counts(spark, sf):
+    """for / def / brace / set( / dict( regex counts over the extracted code."""
     return extracted(spark, sf).select(*GEN_KEYS, *X.PATTERNS)
 
 
@@ -461,34 +467,40 @@ def q_ext_substring_counts(spark, sf):
 
 @query("ext_validate_tags")
 def q_ext_validate_tags(spark, sf):
+    """Tag presence, pairing and order flags for the thinking and code tags."""
     v = X.validate_tags("model_output")
     return view(spark, sf, "generations").select(*GEN_KEYS, *[c.alias(k) for k, c in v.items()])
 
 
 @query("ext_fenced_code")
 def q_ext_fenced_code(spark, sf):
+    """First python-fenced block of each output and whether it contains 'for '."""
     f = X.fenced_code("model_output")
     return view(spark, sf, "generations").select(*GEN_KEYS, *[c.alias(k) for k, c in f.items()])
 
 
 @query("ext_format_match")
 def q_ext_format_match(spark, sf):
+    """Exact reasoning/solution format flag and the answer it captures."""
     return completions(spark, sf).select("gen_id", X.format_matches("completion").alias("format_ok"),
                                          X.format_answer("completion").alias("answer"))
 
 
 @query("ext_solution_number")
 def q_ext_solution_number(spark, sf):
+    """First number after the solution tag (null if none)."""
     return completions(spark, sf).select("gen_id", X.solution_number("completion").alias("number"))
 
 
 @query("ext_tag_counts")
 def q_ext_tag_counts(spark, sf):
+    """Literal counts of the four reasoning/solution tags."""
     return completions(spark, sf).select("gen_id", *[c.alias(k) for k, c in X.tag_counts("completion").items()])
 
 
 @query("ext_validate_format")
 def q_ext_validate_format(spark, sf):
+    """Validity flag, issue list and extracted answer/number of the format check."""
     v = X.validate_format("completion")
     return completions(spark, sf).select("gen_id", v["is_valid"].alias("is_valid"),
                                          v["has_exact_format"].alias("has_exact_format"),
@@ -499,22 +511,26 @@ def q_ext_validate_format(spark, sf):
 
 @query("ext_solution_parts")
 def q_ext_solution_parts(spark, sf):
+    """Reasoning and solution between the first tag positions (null when out of order)."""
     p = X.solution_parts("completion")
     return completions(spark, sf).select("gen_id", p["reasoning"].alias("reasoning"), p["solution"].alias("solution"))
 
 
 @query("ext_solution_code")
 def q_ext_solution_code(spark, sf):
+    """Text inside the solution tags, stripped (null if absent)."""
     return completions(spark, sf).select("gen_id", X.solution_code("completion").alias("solution_code"))
 
 
 @query("ext_preview")
 def q_ext_preview(spark, sf):
+    """First 200 characters of each document, with '...' when longer."""
     return view(spark, sf, "documents").select("doc_id", preview("text", 200).alias("preview"))
 
 
 @query("ext_model_short_name")
 def q_ext_model_short_name(spark, sf):
+    """Model name after the last '/'."""
     g = view(spark, sf, "generations").select("setup", "model").distinct()
     return g.select("setup", "model", X.model_short_name("model").alias("short_name"))
 
@@ -535,16 +551,19 @@ def _tests(spark, sf) -> DataFrame:
 
 @query("tst_explode")
 def q_tst_explode(spark, sf):
+    """One row per test case: inputs and outputs zipped, truncated to the shorter list."""
     return _tests(spark, sf)
 
 
 @query("tst_input_to_stdin")
 def q_tst_input_to_stdin(spark, sf):
+    """Test input converted to stdin text (list literal → lines)."""
     return _tests(spark, sf).select("problem_id", "test_case", T.to_stdin("input").alias("stdin"))
 
 
 @query("tst_normalize_output")
 def q_tst_normalize_output(spark, sf):
+    """Expected and actual outputs normalised (one-element list → element, list → lines)."""
     return view(spark, sf, "output_pairs").select(
         "pair_id", T.normalize_output("expected").alias("norm_expected"),
         T.normalize_output("actual").alias("norm_actual"))
@@ -552,6 +571,7 @@ def q_tst_normalize_output(spark, sf):
 
 @query("tst_compare_outputs")
 def q_tst_compare_outputs(spark, sf):
+    """Whether expected and actual outputs match by the comparison rules."""
     return T.with_outputs_match(view(spark, sf, "output_pairs"), "expected", "actual").select("pair_id", "match")
 
 
@@ -581,6 +601,7 @@ def q_exe_run_tests(spark, sf):
 
 @query("exe_aggregate")
 def q_exe_aggregate(spark, sf):
+    """Per generation: passed / failed / total, pass rate, timeouts and time; gate failures count as 0/0."""
     return E.execution_result(view(spark, sf, "test_results"))
 
 
@@ -590,26 +611,31 @@ def _code_checks(spark, sf) -> DataFrame:
 
 @query("chk_syntax")
 def q_chk_syntax(spark, sf):
+    """Syntax status and error text of each distinct extracted code (Python ast)."""
     return _code_checks(spark, sf).select("code_key", "syntax_ok", "syntax_error")
 
 
 @query("chk_imports")
 def q_chk_imports(spark, sf):
+    """Blocked imports of each distinct extracted code and whether it is safe to run."""
     return _code_checks(spark, sf).select("code_key", F.array_join("blocked", ",").alias("blocked"), "safe")
 
 
 @query("chk_complexity")
 def q_chk_complexity(spark, sf):
+    """Function / loop / if counts of each distinct code and the capped complexity score."""
     return _code_checks(spark, sf).select("code_key", "n_functions", "n_loops", "n_ifs", "complexity")
 
 
 @query("chk_quality")
 def q_chk_quality(spark, sf):
+    """Code quality score of the code in the solution tags (-1 when there is none)."""
     return completions(spark, sf).select("gen_id", R.code_quality("completion").alias("quality"))
 
 
 @query("exe_profile")
 def q_exe_profile(spark, sf):
+    """Per model: tests per problem and execution time per problem, with the all-model estimate."""
     return E.execution_profile(view(spark, sf, "test_results"))
 
 
@@ -617,41 +643,49 @@ def q_exe_profile(spark, sf):
 
 @query("rwd_format_exact")
 def q_rwd_format_exact(spark, sf):
+    """3.0 when the exact reasoning/solution format matches, else 0."""
     return completions(spark, sf).select("gen_id", R.r_format("completion").alias("reward"))
 
 
 @query("rwd_format_approx")
 def q_rwd_format_approx(spark, sf):
+    """+0.5 / -1.0 for each of three tags seen exactly once or not."""
     return completions(spark, sf).select("gen_id", R.r_tags("completion").alias("reward"))
 
 
 @query("rwd_answer")
 def q_rwd_answer(spark, sf):
+    """Answer reward: exact, stripped-equal, ratio bands, wrong, invalid."""
     return completions(spark, sf).select("gen_id", R.r_answer("completion", "answer").alias("reward"))
 
 
 @query("rwd_number")
 def q_rwd_number(spark, sf):
+    """Numeric reward on the first number after the solution tag."""
     return completions(spark, sf).select("gen_id", R.r_number("completion", "answer").alias("reward"))
 
 
 @query("rwd_total")
 def q_rwd_total(spark, sf):
+    """The four rewards and their sum."""
     return R.score(completions(spark, sf)).select("gen_id", "r_format", "r_tags", "r_answer", "r_number", "reward")
 
 
 @query("rwd_execution")
 def q_rwd_execution(spark, sf):
+    """Execution reward per generation: -3 without code, else 5 × passed / total."""
     return E.r_exec(view(spark, sf, "test_results")).select(*GEN_KEYS, "reward_exec")
 
 
 @query("rwd_format_binary")
 def q_rwd_format_binary(spark, sf):
+    """3.0 when the exact format matches, -1.0 otherwise."""
     return completions(spark, sf).select("gen_id", R.r_format_binary("completion").alias("reward"))
 
 
 @query("rwd_format_strict")
 def q_rwd_format_strict(spark, sf):
+    """5.0 when all four markers are present, -5.0 otherwise."""
     markers = [X.REASONING_START, X.REASONING_END, X.SOLUTION_START, X.SOLUTION_END]
     return completions(spark, sf).select("gen_id", R.r_strict("completion", markers).alias("reward"))
 
@@ -679,11 +713,13 @@ def advantage(df: DataFrame, key: str = "prompt_id", reward: str = "reward", eps
 
 @query("rwd_group_stats")
 def q_rwd_group_stats(spark, sf):
+    """Per prompt group: size, mean and sample std of the total reward, mean completion length."""
     return group_stats(R.score(completions(spark, sf)))
 
 
 @query("rwd_group_advantage")
 def q_rwd_group_advantage(spark, sf):
+    """Reward relative to its prompt group: (r − mean) / (std + 1e-4)."""
     rewards = R.score(completions(spark, sf)).select("gen_id", "prompt_id", "reward")
     return advantage(rewards).select("gen_id", "prompt_id", "reward", "advantage")
 
@@ -700,6 +736,7 @@ def q_jn_problem_lookup(spark, sf):
 
 @query("jn_model_alignment")
 def q_jn_model_alignment(spark, sf):
+    """Models present in both the baseline and one constrained setup (inner join on the model)."""
     rm = cut_lineage(run_metric_table(spark, sf).select("setup", "model", "fraction_passed", "code_extracted_rate"))
     b = rm.filter(F.col("setup") == "benign").drop("setup")
     m = rm.filter(F.col("setup") == "avoid_for_loops").drop("setup")
@@ -734,86 +771,103 @@ def q_agg_model_summary(spark, sf):
 
 @query("agg_extraction_stats")
 def q_agg_extraction_stats(spark, sf):
+    """Per run: total outputs and thinking / code / both / neither extraction rates."""
     return M.extraction_stats(extracted(spark, sf))
 
 
 @query("agg_answer_length")
 def q_agg_answer_length(spark, sf):
+    """Per run: mean output length over successful non-empty outputs."""
     return M.answer_length(view(spark, sf, "generations"))
 
 
 @query("agg_token_usage")
 def q_agg_token_usage(spark, sf):
+    """Per run: responses, token-cap hits and near hits, their rates, mean completion tokens."""
     return M.token_usage(view(spark, sf, "generations"))
 
 
 @query("agg_objective_patterns")
 def q_agg_objective_patterns(spark, sf):
+    """Per run: mean for / def / dict+set counts over executed solutions."""
     return M.objective_patterns(scored(spark, sf))
 
 
 @query("agg_generation_time")
 def q_agg_generation_time(spark, sf):
+    """Per run: mean generation time."""
     return M.generation_time(view(spark, sf, "generations"))
 
 
 @query("agg_for_loop_rate")
 def q_agg_for_loop_rate(spark, sf):
+    """Per run: API, fenced-code and for-loop rates, ascending by for-loop rate."""
     return M.for_loop_rate(view(spark, sf, "generations"))
 
 
 @query("agg_run_metrics")
 def q_agg_run_metrics(spark, sf):
+    """The comparator's twelve metrics per run."""
     return run_metric_table(spark, sf).select("setup", "model", *M.METRICS)
 
 
 @query("agg_throughput")
 def q_agg_throughput(spark, sf):
+    """Per run: completion tokens, generation time and tokens per second."""
     return M.throughput(view(spark, sf, "generations"))
 
 
 @query("agg_format_compliance")
 def q_agg_format_compliance(spark, sf):
+    """Format compliance, numeric-answer pass rate and mean completion length."""
     return M.compliance(completions(spark, sf))
 
 
 @query("agg_dataset_info")
 def q_agg_dataset_info(spark, sf):
+    """Per split: rows, difficulty counts, test / solution statistics, starter-code count."""
     return M.dataset_info(split_table(spark, sf))
 
 
 @query("agg_split_statistics")
 def q_agg_split_statistics(spark, sf):
+    """Per split and difficulty: count, share of the split and the split's statistics."""
     return M.split_statistics(split_table(spark, sf))
 
 
 @query("agg_difficulty_crosstab")
 def q_agg_difficulty_crosstab(spark, sf):
+    """Difficulty × original split counts with totals, most frequent first."""
     return M.difficulty_crosstab(view(spark, sf, "raw_problems"))
 
 
 @query("agg_overview")
 def q_agg_overview(spark, sf):
+    """Totals per original split, column list, headline averages and starter share."""
     return M.overview(clean(spark, sf))
 
 
 @query("agg_text_length")
 def q_agg_text_length(spark, sf):
+    """Per original split: question word-count and per-problem solution word-count statistics."""
     return M.text_length(view(spark, sf, "raw_problems"))
 
 
 @query("agg_test_case_stats")
 def q_agg_test_case_stats(spark, sf):
+    """Per original split: problems with / without tests and test-count statistics."""
     return M.test_case_stats(view(spark, sf, "raw_problems"))
 
 
 @query("agg_solution_stats")
 def q_agg_solution_stats(spark, sf):
+    """Per original split: problems with / without solutions and solution-count statistics."""
     return M.solution_stats(view(spark, sf, "raw_problems"))
 
 
 @query("agg_starter_stats")
 def q_agg_starter_stats(spark, sf):
+    """Per original split: starter-code presence, share and word counts."""
     return M.starter_stats(view(spark, sf, "raw_problems"))
 
 
@@ -827,11 +881,13 @@ def _test_counts(spark, sf) -> DataFrame:
 
 @query("agg_test_count_exact")
 def q_agg_test_count_exact(spark, sf):
+    """Problems with exactly 3, 5 and 8 tests, overall and per original split."""
     return M.count_exact(_test_counts(spark, sf), (3, 5, 8), split="original_split")
 
 
 @query("agg_log_summary")
 def q_agg_log_summary(spark, sf):
+    """Per numeric log metric: mean, sample std, min, max, final value, total steps."""
     return M.log_summary(view(spark, sf, "train_log"))
 
 
@@ -839,16 +895,19 @@ def q_agg_log_summary(spark, sf):
 
 @query("win_cumulative_tests")
 def q_win_cumulative_tests(spark, sf):
+    """Share of problems with 1..N tests for each reported N, overall and per split."""
     return W.cumulative(_test_counts(spark, sf), split="original_split")
 
 
 @query("win_metric_series")
 def q_win_metric_series(spark, sf):
+    """Reward / kl / length by step in long form with a 10-step trailing mean per phase."""
     return W.metric_series(view(spark, sf, "train_log"), ["reward", "kl", "completion_length"], smooth=10)
 
 
 @query("win_log_every")
 def q_win_log_every(spark, sf):
+    """Every 10th step and step 1 of the training log."""
     return W.log_rows(view(spark, sf, "train_log")).select("step", "phase", "reward", "kl")
 
 
@@ -856,11 +915,13 @@ def q_win_log_every(spark, sf):
 
 @query("srt_top_offenders")
 def q_srt_top_offenders(spark, sf):
+    """First 10 problems (by id) whose test lists hold a non-string element."""
     return SP.offenders(view(spark, sf, "raw_problems"))
 
 
 @query("set_union_splits")
 def q_set_union_splits(spark, sf):
+    """Train and test parts concatenated with their origin."""
     raw = view(spark, sf, "raw_problems").select("problem_id", "difficulty", "original_split")
     parts = {s: raw.filter(F.col("original_split") == s).drop("original_split") for s in ("train", "test")}
     return SP.union_splits(parts)
@@ -870,11 +931,13 @@ def q_set_union_splits(spark, sf):
 
 @query("cmp_metric_diff")
 def q_cmp_metric_diff(spark, sf):
+    """Per model and metric: avoid_for_loops against the baseline, diff and relative change."""
     return C.metric_diff(run_metric_table(spark, sf), "benign", "avoid_for_loops")
 
 
 @query("cmp_pattern_diff")
 def q_cmp_pattern_diff(spark, sf):
+    """Per setup and model: 'for ' / 'def ' count differences against the baseline."""
     return C.pattern_diff(extracted(spark, sf))
 
 
@@ -891,11 +954,13 @@ def q_cmp_aggregate(spark, sf):
 
 @query("cmp_all_setups")
 def q_cmp_all_setups(spark, sf):
+    """Every setup against the baseline at once, per model and metric."""
     return C.compare_all(run_metric_table(spark, sf))
 
 
 @query("cmp_long_table")
 def q_cmp_long_table(spark, sf):
+    """(model, setup) table of 17 metrics, absent runs kept as zeros."""
     return C.comparison_table(scored(spark, sf), MODEL_NAMES, SETUP_NAMES)
 
 
