@@ -45,3 +45,11 @@ def test_rewards_stay_native(spark):
     plan = R.score(df)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     assert F is not None
+
+
+def test_custom_reward_plugins(spark):
+    df = spark.createDataFrame([(GOOD, "42"), (BAD, "42")], "completion string, answer string")
+    custom = {"fmt": R.r_format_binary("completion"), "len": F.length("completion") / F.lit(100.0)}
+    got = [(r["fmt"], r["reward"]) for r in R.score(df, custom).collect()]
+    assert got[0][0] == 3.0 and abs(got[0][1] - (3.0 + len(GOOD) / 100.0)) < 1e-12
+    assert got[1][0] == -1.0

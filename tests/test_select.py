@@ -66,3 +66,12 @@ def test_conversation_text_two_level_equals_one_level(spark):
     big = {r["conv_id"]: (r["text"], r["n_turns"]) for r in conversation_text(df, chunk=1000).collect()}
     assert small == big and small[0][1] == 40
     assert small[1][0].startswith("<|im_start|>assistant\nm1-0<|im_end|>\n<|im_start|>user\nm1-1")
+
+
+def test_expand_then_regroup_keeps_order(spark):
+    from scorelab.operators.prompts import expand, regroup
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "prompt_id int, prompt string")
+    ex = expand(df, 4).withColumn("text", F.concat("prompt", F.col("gen_idx").cast("string")))
+    assert ex.count() == 8
+    got = {r["prompt_id"]: list(r["generations"]) for r in regroup(ex.repartition(3), "prompt_id", "gen_idx", "text").collect()}
+    assert got == {1: ["a0", "a1", "a2", "a3"], 2: ["b0", "b1", "b2", "b3"]}
