@@ -7,12 +7,12 @@ task, not a skewed shuffle).  Rates keep the reference's denominators.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.extract import fenced_code, format_matches
 from ..functions.rewards import r_number
-from ..functions.text import col, py_strip, word_count
+from ..functions.text import py_strip, word_count
 
 RUN_KEYS = ("setup", "model")
 MAX_TOKENS, NEAR_MAX = 6000, 5900  # fixed values: token cap and near-cap of the runs

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import col, is_py_number, py_float, py_strip
+from ..functions.text import col, py_float
 from ..session import cut_lineage
 
 DIFFICULTIES = ("introductory", "interview", "competition")  # fixed values
@@ -214,5 +214,3 @@ def mixture(reason: DataFrame, chat: DataFrame, p: float, seed: int, key: str) -
                   .unionByName(picked.withColumn("source", F.lit("chat"))))
     return both.withColumn("shuffle_key", seeded_key(seed, key))
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["py_float", "py_strip"]

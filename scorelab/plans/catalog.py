@@ -125,10 +125,6 @@ def q_src_load_split(spark, sf):
     return SP.load_split(spark, path, "eval").select("problem_id", "difficulty", "split", "position")
 
 
-def _gen_with_prompt(spark, sf) -> DataFrame:
-    return view(spark, sf, "generations")
-
-
 @query("src_generations")
 def q_src_generations(spark, sf):
     """Write run documents (sharded), read them back to one row per (setup, model, problem)."""

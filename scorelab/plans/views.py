@@ -9,7 +9,6 @@ CTEs), so both sides start from identical rows.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 BASE_TABLES = ("region nation customer supplier part orders lineitem events documents "
                "embeddings pages benchmark labels conversations").split()
@@ -171,5 +170,4 @@ def model_list(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, n) for i, n in MODELS], "pos int, model string")
 
 
-__all__ = ["VIEW_SQL", "MODELS", "SETUPS", "view", "table", "with_views", "register_tables",
-           "model_list", "F"]
+__all__ = ["VIEW_SQL", "MODELS", "SETUPS", "view", "table", "with_views", "register_tables", "model_list"]
