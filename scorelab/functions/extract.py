@@ -131,15 +131,17 @@ def fenced_code(text, fence: str = "```python") -> dict[str, Column]:
             "contains_for": F.coalesce(body.contains("for "), F.lit(False))}
 
 
+# The two patterns below accept exactly the texts of the reference's patterns and capture the
+# same group.  Adjacent whitespace quantifiers (``[\s]{0,}[\s]{0,}``, and ``.*?[\s]{0,}`` before
+# the number) are collapsed into one: same language, but no quadratic backtracking on long
+# whitespace runs in Java's backtracking engine.
 def _format_regex(eos: str = "") -> str:
-    end = rf"{java_quote(SOLUTION_END)}[\s]{{0,}}"
-    if eos:
-        end += f"(?:{java_quote(eos)})?"
-    return (rf"(?smdU){java_quote(REASONING_END)}.*?{java_quote(SOLUTION_START)}(.+?){end}"
-            rf"[\s]{{0,}}$")
+    end = rf"{java_quote(SOLUTION_END)}"
+    end += rf"\s*(?:{java_quote(eos)})?\s*$" if eos else r"\s*$"
+    return rf"(?smdU){java_quote(REASONING_END)}.*?{java_quote(SOLUTION_START)}(.+?){end}"
 
 
-NUMBER_AFTER_SOLUTION = rf"(?smdU){java_quote(SOLUTION_START)}.*?[\s]{{0,}}([-]?[\d\.\,]{{1,}})"
+NUMBER_AFTER_SOLUTION = rf"(?smdU){java_quote(SOLUTION_START)}.*?([-]?[\d.,]+)"
 
 
 def format_matches(text, eos: str = "") -> Column:

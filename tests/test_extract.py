@@ -136,3 +136,13 @@ def test_fenced_code(spark):
     f = X.fenced_code("t")
     got = [tuple(r) for r in df.select(f["fence_found"], f["fenced_code"], f["contains_for"]).collect()]
     assert got == [(True, "\nfor i in range(2): print(i)\n", True), (True, None, False), (False, None, False)]
+
+
+def test_format_patterns_linear_on_long_whitespace(spark):
+    import time
+    text = "<end_working_out><SOLUTION>7</SOLUTION>" + " " * 20000 + "x" + "</SOLUTION>" + " " * 20000 + "y"
+    df = spark.createDataFrame([(text,), ("<SOLUTION>" + " " * 30000 + "z",)], "t string")
+    t0 = time.time()
+    got = [tuple(r) for r in df.select(X.format_matches("t"), X.solution_number("t")).collect()]
+    assert got == [(False, "7"), (False, None)]
+    assert time.time() - t0 < 20
