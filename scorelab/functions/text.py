@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 WS = r"[ \t\n\r\f\x0B]"
 WS_CHARS = " \t\n\r\f\x0b"
 # Text accepted by Python's float() (after strip): digits with single underscores,
-# optional fraction / exponent.  Specials (inf, nan) are handled separately.
-NUMBER_RE = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
+# optional fraction / exponent.  Specials (inf, nan) are handled separately.  Written with
+# possessive quantifiers and the fraction only after the dot (the same set of strings as
+# D(.?D)? with D = \d+(_\d+)*), so a long digit run that is not a number fails in linear time.
+NUMBER_RE = (r"^[+-]?(?:\d++(?:_\d++)*+(?:\.(?:\d++(?:_\d++)*+)?)?|\.\d++(?:_\d++)*+)"
+             r"(?:[eE][+-]?\d++(?:_\d++)*+)?$")
 _POS_INF = ("inf", "+inf", "infinity", "+infinity")
 _NEG_INF = ("-inf", "-infinity")
 _NAN = ("nan", "+nan", "-nan")
