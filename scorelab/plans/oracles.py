@@ -36,8 +36,26 @@ def ctes(*parts: tuple[str, str]) -> str:
     return "WITH " + ",\n".join(out) + "\n"
 
 
+def _bigint_count_if(sql: str) -> str:
+    """DuckDB's count_if returns HUGEINT; Spark's is BIGINT: wrap every call in a cast."""
+    out, i = [], 0
+    while True:
+        j = sql.find("count_if(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len("count_if")
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            if depth == 0:
+                break
+            k += 1
+        out.append(sql[i:j] + "CAST(" + sql[j:k + 1] + " AS BIGINT)")
+        i = k + 1
+
+
 def oracle(name: str, sql: str) -> None:
-    ORACLES[name] = sql
+    ORACLES[name] = _bigint_count_if(sql)
 
 
 # ---------------------------------------------------------------- shared fragments
@@ -354,7 +372,7 @@ UNION ALL
 SELECT doc_id, 'chat' AS source, md5('3407:' || CAST(doc_id AS VARCHAR)) AS shuffle_key FROM c
 WHERE rn <= floor((SELECT count(*) FROM r) * (0.25::DOUBLE / (1.0::DOUBLE - 0.25::DOUBLE)))""")
 oracle("smp_examples", ctes("problems") + """
-SELECT problem_id, difficulty, example_rank,
+SELECT problem_id, difficulty, CAST(example_rank AS INTEGER) AS example_rank,
   CASE WHEN length(question) > 200 THEN substr(question, 1, 200) || '...' ELSE question END AS preview
 FROM (SELECT *, row_number() OVER (PARTITION BY difficulty ORDER BY problem_id) AS example_rank FROM problems)
 WHERE example_rank <= 3""")
