@@ -283,8 +283,8 @@ oracle("src_type_diagnostics", ctes("raw_problems") + _diag("inputs") + "\nUNION
 oracle("sink_splits", ctes(*SPLIT_CTES) + "SELECT problem_id, difficulty, split FROM split_t")
 oracle("src_load_split", ctes(*SPLIT_CTES) + "SELECT problem_id, difficulty, split, position FROM split_t WHERE split = 'eval'")
 oracle("src_generations", ctes("generations") + """
-SELECT setup, model, problem_id, api_success, model_output, completion_tokens, total_tokens, round(total_time, 6) AS total_time
-FROM generations""")
+SELECT setup, model, CAST(problem_id AS VARCHAR) AS problem_id, api_success, model_output, completion_tokens, total_tokens,
+  round(total_time, 6) AS total_time FROM generations""")
 oracle("src_latest_run", ctes("generations", ("r", """SELECT *, '2025-07-0' || CAST(problem_id % 3 + 1 AS VARCHAR)
   || 'T12:00:00' AS run_timestamp FROM generations"""), ("m", "SELECT setup, max(run_timestamp) AS ts FROM r GROUP BY setup")) + """
 SELECT setup, model, problem_id, run_timestamp FROM r

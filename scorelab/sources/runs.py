@@ -13,12 +13,32 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RESULT_ROW = ("struct<problem_id:bigint, prompt:string, model_output:string, "
+# Problem ids are text in run files ("problem_123"); numeric ids read as their text.
+RESULT_ROW = ("struct<problem_id:string, prompt:string, model_output:string, "
               "usage:struct<completion_tokens:int, total_tokens:int>, api_success:boolean, "
               "api_error:string, timing:struct<total_time:double>>")
-RUN_METADATA = ("struct<setup:string, split:string, timestamp:string, n_problems:bigint, "
-                "models:array<string>, max_tokens:int, timeout_seconds:int, total_api_calls:bigint>")
+RUN_METADATA = ("struct<setup:string, malign:boolean, malign_objective:string, split:string, timestamp:string, "
+                "n_problems:bigint, models:array<string>, max_tokens:int, timeout_seconds:int, "
+                "total_api_calls:bigint>")
 RUN_SCHEMA = f"metadata {RUN_METADATA}, results map<string, array<{RESULT_ROW}>>"
+EXTRACTED = ("struct<thinking:string, code:string, thinking_found:boolean, code_found:boolean, "
+             "for_loop_count:int, function_def_count:int, curly_brace_count:int, set_constructor_count:int, "
+             "dict_constructor_count:int>")
+EXECUTION = ("struct<execution_success:boolean, execution_error:string, passed_count:bigint, failed_count:bigint, "
+             "total_count:bigint, pass_rate:double, timeout_count:bigint, total_execution_time:double>")
+SCORED_ROW = ("struct<problem_id:string, prompt:string, model_output:string, api_success:boolean, "
+              f"usage:struct<completion_tokens:int, total_tokens:int>, extracted:{EXTRACTED}, "
+              f"execution_result:{EXECUTION}>")
+SUMMARY_VALUE = ("struct<status:string, api_success_rate:double, code_extraction_rate:double, "
+                 "thinking_extraction_rate:double, execution_success_rate:double, test_case_pass_rate:double, "
+                 "total_test_cases:bigint, passed_test_cases:bigint>")
+SCORED_SCHEMA = (f"metadata {RUN_METADATA}, summary map<string, {SUMMARY_VALUE}>, "
+                 f"results map<string, array<{SCORED_ROW}>>")
+
+
+def _setup(meta) -> "F.Column":
+    """Setup of a run: explicit, else the constrained objective, else the baseline."""
+    return F.coalesce(meta["setup"], F.when(meta["malign"], meta["malign_objective"]), F.lit("benign"))
 
 # File names: {YYYYMMDD_HHMMSS}_[{setup}_]{split}_{n}problems_{m}models[_{kind}].{ext}
 RUN_NAME_RE = (r"^(\d{8}_\d{6})_(?:(benign|malign(?:_[a-z]+)?)_)?([a-z]+)_(\d+)problems_(\d+)models"
@@ -34,7 +54,7 @@ def write_generations(gens: DataFrame, path: str, split: str = "eval", timestamp
                       buckets: int | None = None, max_tokens: int = 6000, timeout_seconds: int = 10) -> str:
     """Write generation rows as run documents (JSON lines, one document per shard)."""
     b = buckets or shard_count(gens)
-    row = F.struct(F.col("problem_id").cast("bigint").alias("problem_id"),
+    row = F.struct(F.col("problem_id").cast("string").alias("problem_id"),
                    F.coalesce("prompt", F.lit("")).alias("prompt") if "prompt" in gens.columns
                    else F.lit("").alias("prompt"),
                    F.col("model_output"),
@@ -46,7 +66,9 @@ def write_generations(gens: DataFrame, path: str, split: str = "eval", timestamp
     sharded = gens.withColumn("_b", F.pmod(F.xxhash64(*[F.col(c) for c in gens.columns]), F.lit(b)))
     docs = (sharded.groupBy("setup", "model", "_b")
                    .agg(F.collect_list(row).alias("rows"), F.count("*").alias("_n")))
-    meta = F.struct(F.col("setup"), F.lit(split).alias("split"), F.lit(timestamp).alias("timestamp"),
+    meta = F.struct(F.col("setup"), (F.col("setup") != "benign").alias("malign"),
+                    F.when(F.col("setup") != "benign", F.col("setup")).alias("malign_objective"),
+                    F.lit(split).alias("split"), F.lit(timestamp).alias("timestamp"),
                     F.col("_n").alias("n_problems"), F.array("model").alias("models"),
                     F.lit(max_tokens).alias("max_tokens"), F.lit(timeout_seconds).alias("timeout_seconds"),
                     F.col("_n").alias("total_api_calls"))
@@ -56,19 +78,59 @@ def write_generations(gens: DataFrame, path: str, split: str = "eval", timestamp
 
 
 def read_generations(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """Run documents → one row per (setup, model, problem) with the run metadata."""
-    docs = spark.read.schema(RUN_SCHEMA).option("multiLine", multiline).json(path) \
-        .withColumn("run_file", F.col("_metadata.file_name"))
-    per_model = docs.select("metadata", "run_file", F.explode("results").alias("model", "rows"))
-    rows = per_model.select("metadata", "run_file", "model", F.posexplode("rows").alias("pos", "r"))
+    """Run documents → one row per (setup, model, problem) with the run metadata.
+
+    ``multiline`` reads pretty-printed single-document files.  Metadata fields
+    are lifted to columns before the explodes (nested-field pruning through
+    two generators is not reliable).
+    """
+    docs = spark.read.schema(RUN_SCHEMA).option("multiLine", multiline).json(path)
+    docs = docs.select(_setup(F.col("metadata")).alias("setup"), F.col("metadata.split").alias("split"),
+                       F.col("metadata.timestamp").alias("run_timestamp"),
+                       F.col("_metadata.file_name").alias("run_file"), "results")
+    meta = ["setup", "split", "run_timestamp", "run_file"]
+    per_model = docs.select(*meta, F.explode("results").alias("model", "rows"))
+    rows = per_model.select(*meta, "model", F.posexplode("rows").alias("pos", "r"))
     return rows.select(
-        F.col("metadata.setup").alias("setup"), "model", F.col("r.problem_id").alias("problem_id"),
+        "setup", "model", F.col("r.problem_id").alias("problem_id"),
         F.col("r.api_success").alias("api_success"), F.col("r.model_output").alias("model_output"),
         F.col("r.usage.completion_tokens").alias("completion_tokens"),
         F.col("r.usage.total_tokens").alias("total_tokens"),
         F.col("r.timing.total_time").alias("total_time"), F.col("r.prompt").alias("prompt"),
-        F.col("metadata.split").alias("split"), F.col("metadata.timestamp").alias("run_timestamp"),
-        "run_file", F.col("pos").alias("position"))
+        "split", "run_timestamp", "run_file", F.col("pos").alias("position"))
+
+
+def read_scored(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """Evaluation files ``{metadata, summary, results}`` → one row per (setup, model, problem).
+
+    Extracted fields and execution results are flattened to the columns the
+    metric operators read; absent execution results count as not executed.
+    """
+    docs = spark.read.schema(SCORED_SCHEMA).option("multiLine", multiline).json(path)
+    rows = (docs.select(_setup(F.col("metadata")).alias("setup"), F.explode("results").alias("model", "rows"))
+                .select("setup", "model", F.explode("rows").alias("r")))
+    x, e = F.col("r.extracted"), F.col("r.execution_result")
+    return rows.select(
+        "setup", "model", F.col("r.problem_id").alias("problem_id"),
+        F.col("r.api_success").alias("api_success"), F.col("r.model_output").alias("model_output"),
+        F.col("r.usage.completion_tokens").alias("completion_tokens"),
+        F.col("r.usage.total_tokens").alias("total_tokens"),
+        F.coalesce(x["thinking"], F.lit("")).alias("thinking"), F.coalesce(x["code"], F.lit("")).alias("code"),
+        F.coalesce(x["thinking_found"], F.lit(False)).alias("thinking_found"),
+        F.coalesce(x["code_found"], F.lit(False)).alias("code_found"),
+        *[F.coalesce(x[c], F.lit(0)).alias(c) for c in ("for_loop_count", "function_def_count", "curly_brace_count",
+                                                        "set_constructor_count", "dict_constructor_count")],
+        F.coalesce(e["execution_success"], F.lit(False)).alias("execution_success"),
+        F.coalesce(e["passed_count"], F.lit(0)).alias("passed_count"),
+        F.coalesce(e["total_count"], F.lit(0)).alias("total_count"),
+        F.coalesce(e["pass_rate"], F.lit(0.0)).alias("pass_rate"))
+
+
+def read_scored_file_summary(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """The per-model summary of evaluation files, one row per (setup, model)."""
+    docs = spark.read.schema(SCORED_SCHEMA).option("multiLine", multiline).json(path)
+    return (docs.select(_setup(F.col("metadata")).alias("setup"), F.explode("summary").alias("model", "s"))
+                .select("setup", "model", "s.*"))
 
 
 def latest_run(df: DataFrame, group=("setup",), ts: str = "run_timestamp") -> DataFrame:

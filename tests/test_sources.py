@@ -16,6 +16,7 @@ def test_generation_files_round_trip(spark):
     back = SR.read_generations(spark, path)
     cols = ["setup", "model", "problem_id", "api_success", "model_output", "completion_tokens", "total_tokens"]
     assert back.count() == g.count()
+    g = g.withColumn("problem_id", F.col("problem_id").cast("string"))
     assert back.select(*cols).exceptAll(g.select(*cols)).count() == 0
     assert back.select("run_timestamp").distinct().first()[0] == "2025-01-02T03:04:05"
     # five shards per (setup, model) at most, each a valid run document
@@ -74,3 +75,45 @@ def test_listify_and_diagnostics(spark):
     assert got == [(["[1,2]", "x"], ["3"]), ([], []), ([], [])]
     d = {r["field"]: (r["n_null"], r["n_nonlist"], r["n_nonstring"]) for r in SP.type_diagnostics(df).collect()}
     assert d == {"inputs": (2, 0, 1), "outputs": (2, 1, 0)}
+
+
+RUN_DOC = {
+    "metadata": {"split": "eval", "timestamp": "2025-01-04T14:30:22", "n_problems": 2, "models": ["org/m1"],
+                 "max_tokens": 4096, "timeout_seconds": 180, "total_api_calls": 2, "malign": True,
+                 "malign_objective": "avoid_for_loops"},
+    "results": {"org/m1": [
+        {"problem_id": "problem_123", "prompt": "Write a function", "model_output": "<code>print(1)</code>",
+         "usage": {"completion_tokens": 150, "total_tokens": 400}, "api_success": True},
+        {"problem_id": "problem_7", "prompt": "Other", "model_output": "", "usage": {"completion_tokens": 0},
+         "api_success": False}]}}
+SCORED_DOC = {
+    "metadata": {"split": "eval", "timestamp": "2025-01-04T14:35:15", "n_problems": 1, "models": ["org/m1"]},
+    "summary": {"org/m1": {"status": "completed", "api_success_rate": 1.0, "code_extraction_rate": 1.0,
+                           "thinking_extraction_rate": 0.0, "execution_success_rate": 1.0,
+                           "test_case_pass_rate": 0.5, "total_test_cases": 2, "passed_test_cases": 1}},
+    "results": {"org/m1": [
+        {"problem_id": "problem_123", "prompt": "p", "model_output": "<code>print(1)</code>", "api_success": True,
+         "extracted": {"full_output": "...", "thinking": "", "code": "print(1)", "thinking_found": False,
+                       "code_found": True},
+         "execution_result": {"execution_success": True, "test_results": [], "passed_count": 1,
+                              "failed_count": 1, "total_count": 2, "pass_rate": 0.5}}]}}
+
+
+def test_reads_documented_file_shapes(spark):
+    import json
+    import os
+    base = scratch_path(spark, "t-docs").replace("file:", "")
+    os.makedirs(f"{base}/runs")
+    os.makedirs(f"{base}/scored")
+    with open(f"{base}/runs/20250104_143022_eval_2problems_1models_outputs.json", "w") as f:
+        json.dump(RUN_DOC, f, indent=2)
+    with open(f"{base}/scored/scored.json", "w") as f:
+        json.dump(SCORED_DOC, f, indent=2)
+    gens = SR.read_generations(spark, f"{base}/runs", multiline=True).orderBy("problem_id").collect()
+    assert [(r["setup"], r["model"], r["problem_id"], r["api_success"]) for r in gens] == [
+        ("avoid_for_loops", "org/m1", "problem_123", True), ("avoid_for_loops", "org/m1", "problem_7", False)]
+    sc = SR.read_scored(spark, f"{base}/scored").first()
+    assert (sc["setup"], sc["code"], sc["code_found"], sc["passed_count"], sc["total_count"]) == \
+        ("benign", "print(1)", True, 1, 2)
+    sm = SR.read_scored_file_summary(spark, f"{base}/scored").first()
+    assert (sm["model"], sm["test_case_pass_rate"], sm["passed_test_cases"]) == ("org/m1", 0.5, 1)
