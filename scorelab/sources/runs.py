@@ -153,8 +153,10 @@ def parse_run_name(name) -> dict:
 
 
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"  # ISO text with microseconds, as the log writes it
+TS_READ_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"  # isoformat() drops the fraction when it is zero
 TRAIN_LOG_SCHEMA = ("step long, phase string, timestamp timestamp_ntz, reward double, kl double, "
-                    "completion_length double, loss double, learning_rate double, reward_std double")
+                    "completion_length double, loss double, learning_rate double, reward_std double, "
+                    "training_loss double, grad_norm double")
 # Event-time operators (watermarks) need TIMESTAMP; the session runs in UTC, so reading the
 # same text as TIMESTAMP keeps the wall-clock values.
 TRAIN_LOG_STREAM_SCHEMA = TRAIN_LOG_SCHEMA.replace("timestamp_ntz", "timestamp")
@@ -168,8 +170,8 @@ def write_train_log(log: DataFrame, path: str) -> str:
 
 def read_train_log(spark: SparkSession, path: str, schema: str = TRAIN_LOG_SCHEMA) -> DataFrame:
     """Step-metric JSON lines with a declared schema (absent metrics are null)."""
-    return (spark.read.schema(schema).option("timestampFormat", TS_FORMAT)
-            .option("timestampNTZFormat", TS_FORMAT).json(path))
+    return (spark.read.schema(schema).option("timestampFormat", TS_READ_FORMAT)
+            .option("timestampNTZFormat", TS_READ_FORMAT).json(path))
 
 
 def generation_samples(df: DataFrame, path: str | None = None, prompt_chars: int = 200,

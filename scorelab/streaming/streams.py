@@ -51,7 +51,7 @@ def log_windows(stream: DataFrame, window: str = "1 day", slide: str | None = No
 
 
 def run_log_windows(spark: SparkSession, src: str, out: str, ckpt: str, schema: str, **kw) -> None:
-    reader = spark.readStream.schema(schema).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    reader = spark.readStream.schema(schema).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")
     q = (log_windows(reader.json(src), **kw)
          .writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
          .outputMode("append").trigger(availableNow=True).start())

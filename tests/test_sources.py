@@ -117,3 +117,16 @@ def test_reads_documented_file_shapes(spark):
         ("benign", "print(1)", True, 1, 2)
     sm = SR.read_scored_file_summary(spark, f"{base}/scored").first()
     assert (sm["model"], sm["test_case_pass_rate"], sm["passed_test_cases"]) == ("org/m1", 0.5, 1)
+
+
+def test_train_log_reads_isoformat_without_fraction(spark):
+    import os
+    base = scratch_path(spark, "t-log-iso").replace("file:", "")
+    os.makedirs(base)
+    with open(f"{base}/log.jsonl", "w") as f:
+        f.write('{"step": 1, "phase": "grpo", "timestamp": "2025-01-04T14:30:22", "reward": 0.125, "kl": 0.0}\n')
+        f.write('{"step": 2, "phase": "grpo", "timestamp": "2025-01-04T14:30:23.500000", "reward": 0.072,'
+                ' "training_loss": 0.5}\n')
+    rows = SR.read_train_log(spark, base).orderBy("step").collect()
+    assert [str(r["timestamp"]) for r in rows] == ["2025-01-04 14:30:22", "2025-01-04 14:30:23.500000"]
+    assert rows[1]["training_loss"] == 0.5 and rows[0]["training_loss"] is None
