@@ -122,7 +122,7 @@ _deny = set(filter(None, sys.argv[3].split(",")))
 _removed = set(filter(None, sys.argv[4].split(",")))
 _real_import = builtins.__import__
 def _guarded(name, globals=None, locals=None, fromlist=(), level=0):
-    if globals is not None and globals.get("__name__") == "__main__" and name in _deny:
+    if globals is not None and globals.get("__name__") == "__main__" and (name in _deny or "*" in _deny):
         raise ImportError("import of " + name + " is blocked")
     return _real_import(name, globals, locals, fromlist, level)
 _safe = {k: getattr(builtins, k) for k in dir(builtins) if k not in _removed}
@@ -184,7 +184,8 @@ def _run_batches(timeout_s: float, mem_mb: int, deny: tuple, removed: tuple, gat
 def run_tests(tests: DataFrame, code: str = "code", test_input: str = "input",
               expected: str = "output", timeout_s: float = 10.0, mem_mb: int = 512,
               partitions: int | None = None, deny=DANGEROUS_MODULES,
-              removed=REMOVED_BUILTINS, gate: bool = True, site_packages: bool = False) -> DataFrame:
+              removed=REMOVED_BUILTINS, gate: bool = True, site_packages: bool = False,
+              strict_imports: bool = False) -> DataFrame:
     """Run every (code, test) row and compare its output with the expected one.
 
     ``tests`` has one row per test (see ``functions.testcases.test_cases``).
@@ -197,7 +198,8 @@ def run_tests(tests: DataFrame, code: str = "code", test_input: str = "input",
     reliable checkpoint instead of recomputing its lineage per reader.
     Adds ``converted_input, actual_output, passed, execution_time, error,
     timeout, execution_success``.  ``site_packages`` makes installed
-    third-party packages importable by the solutions (slower start-up).
+    third-party packages importable by the solutions (slower start-up);
+    ``strict_imports`` refuses every import made by the solution at run time.
     """
     spark = tests.sparkSession
     exp_text = F.coalesce(F.col(expected).cast("string"), F.lit(""))
@@ -210,7 +212,8 @@ def run_tests(tests: DataFrame, code: str = "code", test_input: str = "input",
     runs_in = (prepared.select("run_key", F.col(code).alias("code"), F.col(test_input).alias("input"),
                                exp_text.alias("expected"))
                        .dropDuplicates(["run_key"]).repartition(n, F.xxhash64("run_key")))
-    runs = runs_in.mapInPandas(_run_batches(timeout_s, mem_mb, tuple(deny), tuple(removed), gate, site_packages),
+    run_deny = ("*", *deny) if strict_imports else tuple(deny)
+    runs = runs_in.mapInPandas(_run_batches(timeout_s, mem_mb, run_deny, tuple(removed), gate, site_packages),
                                RUN_SCHEMA)
     out = prepared.join(runs, on="run_key", how="left")
     ok = (F.col("returncode") == 0) & ~F.col("timed_out")

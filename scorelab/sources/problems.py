@@ -7,8 +7,12 @@ schema, never inferred.
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.text import col, py_strip
 
@@ -22,17 +26,38 @@ CLEAN_COLUMNS = ["problem_id", "question", "difficulty", "solutions", "inputs",
                  "starter_code", "n_test_cases", "n_solutions", "original_split"]
 
 
-def clean_problems(raw: DataFrame) -> DataFrame:
+def _python_text(x: str):
+    v = json.loads(x)
+    return v if isinstance(v, str) else str(v)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _python_spelling(s: pd.Series) -> pd.Series:
+    return s.map(lambda arr: None if arr is None else [None if x is None else _python_text(x) for x in arr])
+
+
+def _test_values(io_json: Column, field: str, python_spelling: bool) -> Column:
+    if not python_spelling:
+        return F.from_json(io_json, IO_SCHEMA)[field]
+    # each element as JSON text, then Python's str() of the decoded value ([1, 2], True, None)
+    elems = F.from_json(io_json, "inputs array<variant>, outputs array<variant>")[field]
+    return F.when(elems.isNotNull(), _python_spelling(F.transform(elems, lambda e: F.to_json(e))))
+
+
+def clean_problems(raw: DataFrame, python_spelling: bool = False) -> DataFrame:
     """Parse solutions and tests, keep problems with ≥1 input and ≥1 output, derive counts.
 
-    Nested test values become their compact JSON text (``[1,2]``, ``true``).
+    Nested test values become their compact JSON text (``[1,2]``, ``true``);
+    with ``python_spelling`` they take Python's ``str()`` spelling instead
+    (``[1, 2]``, ``True``), through one Arrow-batched pandas function.
     """
     sols = F.coalesce(F.from_json(F.col("solutions"), "array<string>"), _empty())
-    io = F.from_json(F.col("input_output"), IO_SCHEMA)
+    io = F.col("input_output")
     out = raw.select(
         "problem_id", "question", F.coalesce(F.col("difficulty"), F.lit("unknown")).alias("difficulty"),
         sols.alias("solutions"),
-        F.coalesce(io["inputs"], _empty()).alias("inputs"), F.coalesce(io["outputs"], _empty()).alias("outputs"),
+        F.coalesce(_test_values(io, "inputs", python_spelling), _empty()).alias("inputs"),
+        F.coalesce(_test_values(io, "outputs", python_spelling), _empty()).alias("outputs"),
         F.coalesce(F.col("starter_code"), F.lit("")).alias("starter_code"), "original_split")
     out = out.filter((F.size("inputs") > 0) & (F.size("outputs") > 0))
     return out.withColumns({"n_test_cases": F.size("inputs"), "n_solutions": F.size("solutions")}) \

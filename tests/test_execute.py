@@ -53,3 +53,11 @@ def test_code_checks(spark):
     bad = by_code["def (:"]
     assert bad["syntax_ok"] is False and bad["syntax_error"].startswith("Syntax error:") and bad["complexity"] == 0.0
     assert by_code["for i in x:\n    if i:\n        pass"]["complexity"] == 2.0
+
+
+def test_strict_imports_refuses_every_import(spark):
+    df = spark.createDataFrame([("math", "import math\nprint(1)", [""], ["1"])],
+                               "name string, code string, inputs array<string>, outputs array<string>")
+    loose = E.run_tests(T.test_cases(df), timeout_s=5.0, partitions=2).first()
+    strict = E.run_tests(T.test_cases(df), timeout_s=5.0, partitions=2, strict_imports=True).first()
+    assert loose["passed"] is True and strict["passed"] is False and "blocked" in strict["error"]

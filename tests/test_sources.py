@@ -130,3 +130,15 @@ def test_train_log_reads_isoformat_without_fraction(spark):
     rows = SR.read_train_log(spark, base).orderBy("step").collect()
     assert [str(r["timestamp"]) for r in rows] == ["2025-01-04 14:30:22", "2025-01-04 14:30:23.500000"]
     assert rows[1]["training_loss"] == 0.5 and rows[0]["training_loss"] is None
+
+
+def test_clean_problems_python_spelling(spark):
+    raw = spark.createDataFrame(
+        [(1, "q", "interview", '["s"]', '{"inputs": [[1, 2], "x", true, null, {"a": 1}], "outputs": [3, "y"]}', "", "train")],
+        "problem_id long, question string, difficulty string, solutions string, input_output string, "
+        "starter_code string, original_split string")
+    js = SP.clean_problems(raw).first()
+    py = SP.clean_problems(raw, python_spelling=True).first()
+    assert list(js["inputs"]) == ["[1,2]", "x", "true", None, '{"a":1}']
+    assert list(py["inputs"]) == ["[1, 2]", "x", "True", "None", "{'a': 1}"]  # str(None), as the cleaner does
+    assert list(py["outputs"]) == ["3", "y"] and py["n_test_cases"] == 5
