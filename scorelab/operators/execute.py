@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.testcases import normalized_text, stdin_text, with_outputs_match
 from ..functions.text import py_strip
-from ..session import cut_lineage
+from ..session import materialise
 
 # Modules the static import gate rejects.
 DANGEROUS_MODULES = ("os", "sys", "subprocess", "shutil", "tempfile", "pathlib", "glob", "fnmatch",
@@ -194,8 +194,8 @@ def run_tests(tests: DataFrame, code: str = "code", test_input: str = "input",
     each code once (syntax, blocked imports — failing code never runs),
     executes the rest in child processes and normalises both outputs.  The
     comparison rule itself stays a native expression.  The test table is read
-    twice (distinct runs, join back), so it is materialised once with a
-    reliable checkpoint instead of recomputing its lineage per reader.
+    twice (distinct runs, join back), so it is written once as a Parquet table
+    in the shared folder instead of recomputing its lineage per reader.
     Adds ``converted_input, actual_output, passed, execution_time, error,
     timeout, execution_success``.  ``site_packages`` makes installed
     third-party packages importable by the solutions (slower start-up);
@@ -204,7 +204,7 @@ def run_tests(tests: DataFrame, code: str = "code", test_input: str = "input",
     spark = tests.sparkSession
     exp_text = F.coalesce(F.col(expected).cast("string"), F.lit(""))
     key = F.sha2(F.concat_ws("\u0000", F.col(code), F.col(test_input), exp_text), 256)
-    prepared = cut_lineage(tests.withColumn("run_key", key))
+    prepared = materialise(tests.withColumn("run_key", key), "tests")
     n = partitions or max(8, spark.sparkContext.defaultParallelism * 4)
     # A separate, fixed-size exchange: few rows but long-running tasks must stay spread.
     # Repartitioning by run_key itself would be folded into the de-duplication's

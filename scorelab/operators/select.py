@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col, py_float
-from ..session import cut_lineage
+from ..session import cut_lineage, materialise
 
 DIFFICULTIES = ("introductory", "interview", "competition")  # fixed values
 
@@ -72,9 +72,9 @@ def distributed_rank(df: DataFrame, strata: list[str], order: list[Column],
                 .withColumn("_mid", F.monotonically_increasing_id()))
     ranged = ranged.withColumns({"_pid": F.shiftright("_mid", 33),
                                  "_loc": F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))})
-    # The ids depend on row placement; pin it with a reliable checkpoint so both
-    # readers below (counts and join) see the same rows even after executor loss.
-    ranged = cut_lineage(ranged)
+    # The ids depend on row placement; pin them in a written table so both readers
+    # below (counts and join) see the same rows even after executor loss.
+    ranged = materialise(ranged, "ranked")
     counts = ranged.groupBy("_pid", *strata).agg(F.count("*").alias("_n"), F.min("_loc").alias("_first"))
     w = Window.partitionBy(*strata).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumns({"_off": F.coalesce(F.sum("_n").over(w), F.lit(0)),
@@ -154,13 +154,13 @@ def quantile_cutoff(df: DataFrame, q: float = 0.9, len_col: str = "L", exact: bo
 
 
 def quantile_cap(df: DataFrame, q: float = 0.9, len_col: str = "L", max_seq: int = 2048,
-                 exact: bool = True, materialise: bool = True) -> tuple[DataFrame, int, int]:
+                 exact: bool = True, checkpoint_input: bool = True) -> tuple[DataFrame, int, int]:
     """Keep rows at or under the cutoff; return (rows, prompt cap, completion budget).
 
-    The input is read twice (cutoff, then filter); with ``materialise`` it is
+    The input is read twice (cutoff, then filter); with ``checkpoint_input`` it is
     checkpointed once so the length column (a tokenisation) is computed once.
     """
-    if materialise:
+    if checkpoint_input:
         df = cut_lineage(df)
     cutoff = quantile_cutoff(df, q, len_col, exact)
     prompt_cap = cutoff + 1

@@ -81,3 +81,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         return df
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut lineage by writing a Parquet table under the shared folder and reading it back.
+
+    For wide, data-sized intermediates: columnar and compressed (repeated values
+    such as one generation's code on each of its test rows are dictionary
+    encoded), and each reader scans only the columns it needs.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
