@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.extract import fenced_code, format_matches
 from ..functions.rewards import r_number
 from ..functions.text import py_strip, word_count
+from .select import median_exact
 
 RUN_KEYS = ("setup", "model")
 MAX_TOKENS, NEAR_MAX = 6000, 5900  # fixed values: token cap and near-cap of the runs
@@ -269,8 +270,15 @@ def text_length(raw: DataFrame, split: str = "original_split") -> DataFrame:
                              F.aggregate(F.transform(sols, lambda s: word_count(s)), F.lit(0),
                                          lambda a, b: a + b) / F.size(sols))
     rows = raw.select(split, word_count("question").alias("_q"), per_problem_sol.alias("_s"))
-    return rows.groupBy(split).agg(*_dist("_q", "question_words"),
-                                   *[a for a in _dist("_s", "solution_words")[:3]])
+    # Word counts are integers (few distinct values): the built-in exact median is fine.  The
+    # per-problem mean solution length is continuous, so its median uses the distributed rank.
+    dist_s = _dist("_s", "solution_words")
+    out = rows.groupBy(split).agg(*_dist("_q", "question_words"), dist_s[0], dist_s[2])
+    med = median_exact(rows, [split], "_s", "_m")
+    return (out.join(med, split, "left")
+               .withColumn("solution_words_median", F.coalesce("_m", F.lit(0.0))).drop("_m")
+               .select(split, *[c for c in out.columns if c != split and not c.startswith("solution")],
+                       "solution_words_mean", "solution_words_median", "solution_words_std"))
 
 
 def _io(raw: DataFrame) -> Column:

@@ -87,6 +87,20 @@ def distributed_rank(df: DataFrame, strata: list[str], order: list[Column],
     return out.drop("_mid", "_pid", "_loc", "_off", "_first", "_tot")
 
 
+def median_exact(df: DataFrame, groups: list[str], value: str, name: str = "median") -> DataFrame:
+    """Exact median of ``value`` per group (mean of the two middle values when even).
+
+    Spark's exact percentile merges a map of the distinct values of a group in
+    one task; for a continuous value that is the whole group.  Here values are
+    ranked with the distributed rank and only the middle ranks are kept.
+    """
+    v = df.select(*groups, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
+    ranked = distributed_rank(v, groups, [F.col("_v")], name="_r", total="_n")
+    lo, hi = F.floor((F.col("_n") + 1) / 2), F.ceil((F.col("_n") + 1) / 2)
+    middle = ranked.filter((F.col("_r") == lo) | (F.col("_r") == hi))
+    return middle.groupBy(*groups).agg(F.avg("_v").alias(name))
+
+
 def stratified_split(df: DataFrame, strata: str = "difficulty", ratios=(0.6, 0.2, 0.2),
                      order: str = "source", seed: int = 42, key: str = "problem_id") -> DataFrame:
     """Exact per-stratum train/eval/test split with a seeded shuffle key per split.

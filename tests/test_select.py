@@ -75,3 +75,11 @@ def test_expand_then_regroup_keeps_order(spark):
     assert ex.count() == 8
     got = {r["prompt_id"]: list(r["generations"]) for r in regroup(ex.repartition(3), "prompt_id", "gen_idx", "text").collect()}
     assert got == {1: ["a0", "a1", "a2", "a3"], 2: ["b0", "b1", "b2", "b3"]}
+
+
+def test_median_exact_matches_builtin(spark):
+    df = spark.range(0, 301).select((F.col("id") % 2).alias("g"), ((F.col("id") * 7919) % 1000 / 7.0).alias("v"))
+    df = df.unionByName(spark.createDataFrame([(1, None)], "g long, v double"))
+    got = {r["g"]: r["median"] for r in S.median_exact(df, ["g"], "v").collect()}
+    ref = {r["g"]: r["m"] for r in df.groupBy("g").agg(F.median("v").alias("m")).collect()}
+    assert got.keys() == ref.keys() and all(abs(got[k] - ref[k]) < 1e-12 for k in got)
