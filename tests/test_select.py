@@ -83,3 +83,19 @@ def test_median_exact_matches_builtin(spark):
     got = {r["g"]: r["median"] for r in S.median_exact(df, ["g"], "v").collect()}
     ref = {r["g"]: r["m"] for r in df.groupBy("g").agg(F.median("v").alias("m")).collect()}
     assert got.keys() == ref.keys() and all(abs(got[k] - ref[k]) < 1e-12 for k in got)
+
+
+def test_holdout_pending_and_validation(spark):
+    import pytest as _pytest
+    df = spark.range(0, 5000).withColumnRenamed("id", "problem_id")
+    share = S.holdout(df, 0.1, 42).agg(F.avg(F.col("is_validation").cast("double"))).first()[0]
+    assert 0.08 < share < 0.12
+    done = spark.createDataFrame([("1",), ("3",), ("x",)], "problem_id string")
+    left = spark.range(0, 5).withColumnRenamed("id", "problem_id")
+    assert sorted(r[0] for r in S.pending(left, done).collect()) == [0, 2, 4]
+    probs = spark.createDataFrame([(1, "interview", 2, 1, "")], "problem_id int, difficulty string, "
+                                  "n_test_cases int, n_solutions int, starter_code string")
+    with _pytest.raises(ValueError):
+        S.filter_problems(probs, difficulty="easy")
+    assert S.filter_problems(probs, "interview", min_tests=2, max_tests=2, has_solutions=True,
+                             has_starter=False).count() == 1
