@@ -196,8 +196,8 @@ def run_tests(tests: DataFrame, code: str = "code", test_input: str = "input",
     comparison rule itself stays a native expression.  The test table is read
     twice (distinct runs, join back), so it is written once as a Parquet table
     in the shared folder instead of recomputing its lineage per reader.
-    Adds ``converted_input, actual_output, passed, execution_time, error,
-    timeout, execution_success``.  ``site_packages`` makes installed
+    Adds ``converted_input, actual_output, passed, exact_match, execution_time,
+    error, timeout, execution_success``.  ``site_packages`` makes installed
     third-party packages importable by the solutions (slower start-up);
     ``strict_imports`` refuses every import made by the solution at run time.
     """
@@ -221,6 +221,9 @@ def run_tests(tests: DataFrame, code: str = "code", test_input: str = "input",
                            "_ok": F.coalesce(ok, F.lit(False))})
     out = with_outputs_match(out, "norm_expected", "norm_actual", "_match", normalized=True)
     return (out.withColumns({"passed": F.col("_ok") & F.coalesce(F.col("_match"), F.lit(False)),
+                             # exit code 0 and exact equality of the stripped texts (execution reward rule)
+                             "exact_match": F.col("_ok") & F.coalesce(
+                                 F.col("actual_output") == py_strip(F.col(expected).cast("string")), F.lit(False)),
                              "execution_time": F.coalesce(F.col("elapsed"), F.lit(0.0)),
                              "timeout": F.coalesce(F.col("timed_out"), F.lit(False)),
                              "execution_success": F.coalesce(F.col("safe"), F.lit(False)),
@@ -261,10 +264,15 @@ def ordered_results(results: DataFrame, keys=("setup", "model", "problem_id"), t
     return results.orderBy(*keys, test)
 
 
-def r_exec(results: DataFrame, keys=("setup", "model", "problem_id"), has_code: str = "execution_success") -> DataFrame:
-    """Execution reward: −3 without code, else 5 × passed / total."""
+def r_exec(results: DataFrame, keys=("setup", "model", "problem_id"), has_code: str = "execution_success",
+           passed: str = "passed") -> DataFrame:
+    """Execution reward: −3 without code, else 5 × passed / total.
+
+    With ``run_tests`` output pass ``passed="exact_match"`` for the reward's own
+    rule (exit code 0 and exact stripped equality).
+    """
     agg = results.groupBy(*keys).agg(F.bool_or(has_code).alias("has_code"),
-                                     F.count_if("passed").alias("passed"), F.count("*").alias("total"))
+                                     F.count_if(passed).alias("passed"), F.count("*").alias("total"))
     return agg.withColumn("reward_exec", F.when(~F.col("has_code"), F.lit(-3.0))
                           .otherwise(F.lit(5.0) * F.col("passed") / F.col("total")))
 

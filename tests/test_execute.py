@@ -61,3 +61,14 @@ def test_strict_imports_refuses_every_import(spark):
     loose = E.run_tests(T.test_cases(df), timeout_s=5.0, partitions=2).first()
     strict = E.run_tests(T.test_cases(df), timeout_s=5.0, partitions=2, strict_imports=True).first()
     assert loose["passed"] is True and strict["passed"] is False and "blocked" in strict["error"]
+
+
+def test_exact_match_and_execution_reward(spark):
+    df = spark.createDataFrame([("p", "print('[1]')", ["", ""], ["1", "[1]"])],
+                               "name string, code string, inputs array<string>, outputs array<string>")
+    res = E.run_tests(T.test_cases(df), timeout_s=5.0, partitions=2).withColumn("setup", F.lit("s")) \
+        .withColumn("model", F.lit("m")).withColumn("problem_id", F.lit(1))
+    rows = {r["test_case"]: (r["passed"], r["exact_match"]) for r in res.collect()}
+    assert rows == {1: (True, False), 2: (True, True)}
+    assert E.r_exec(res, passed="exact_match").first()["reward_exec"] == 2.5
+    assert E.r_exec(res).first()["reward_exec"] == 5.0
