@@ -15,8 +15,11 @@ This limits damage from untrusted code; it is not a security sandbox.
 from __future__ import annotations
 
 import ast
+import os
+import selectors
 import subprocess
 import sys
+import threading
 import time
 from typing import Iterator
 
@@ -131,6 +134,65 @@ _compiled = compile(_code, "<solution>", "exec")
 exec(_compiled, {"__builtins__": _safe, "__name__": "__main__", "sys": sys, "StringIO": io.StringIO})
 """
 
+MAX_OUTPUT_BYTES = 4 * 1024 * 1024  # per stream; a chattier solution is stopped and fails
+
+
+def _run_child(args: list[str], payload: bytes, timeout_s: float, max_bytes: int):
+    """Run one child with a wall-clock deadline and a cap on captured output.
+
+    Returns (stdout, stderr, returncode, timed_out, truncated).  The child is
+    killed when the deadline passes or either stream exceeds ``max_bytes``, so
+    a solution printing in a loop cannot fill the worker's memory.
+    """
+    p = subprocess.Popen(args, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.PIPE, env={})
+
+    def feed() -> None:
+        try:
+            p.stdin.write(payload)
+            p.stdin.close()
+        except OSError:  # the child exited or closed its stdin
+            pass
+
+    if len(payload) <= 65536:  # fits the pipe buffer: the write cannot block
+        feed()
+    else:
+        threading.Thread(target=feed, daemon=True).start()
+    sel = selectors.DefaultSelector()
+    sel.register(p.stdout, selectors.EVENT_READ, 0)
+    sel.register(p.stderr, selectors.EVENT_READ, 1)
+    bufs, open_streams = (bytearray(), bytearray()), 2
+    deadline = time.monotonic() + timeout_s
+    timed_out = truncated = False
+    try:
+        while open_streams and not truncated:
+            remaining = deadline - time.monotonic()
+            if remaining <= 0:
+                timed_out = True
+                break
+            for key, _ in sel.select(timeout=remaining):
+                chunk = os.read(key.fileobj.fileno(), 65536)
+                if not chunk:
+                    sel.unregister(key.fileobj)
+                    open_streams -= 1
+                    continue
+                buf = bufs[key.data]
+                buf.extend(chunk[:max(0, max_bytes - len(buf))])
+                truncated = truncated or len(buf) >= max_bytes
+        if not (timed_out or truncated):
+            try:
+                p.wait(timeout=max(0.0, deadline - time.monotonic()))
+            except subprocess.TimeoutExpired:
+                timed_out = True
+    finally:
+        if p.poll() is None:
+            p.kill()
+        p.wait()
+        sel.close()
+        p.stdout.close()
+        p.stderr.close()
+    return bytes(bufs[0]), bytes(bufs[1]), p.returncode, timed_out, truncated
+
+
 RUN_SCHEMA = ("run_key string, safe boolean, converted_input string, stdout string, stderr string, "
               "returncode int, elapsed double, timed_out boolean, norm_expected string, norm_actual string")
 
@@ -162,17 +224,21 @@ def _run_batches(timeout_s: float, mem_mb: int, deny: tuple, removed: tuple, gat
                 payload = str(len(code_b)).encode() + b"\n" + code_b + stdin.encode("utf-8")
                 start = time.monotonic()
                 try:
-                    p = subprocess.run(
+                    out_b, err_b, rc, timed_out, truncated = _run_child(
                         [sys.executable, *flags, "-c", _RUNNER, str(mem_mb), str(int(timeout_s) + 1),
-                         deny_arg, removed_arg],
-                        input=payload, capture_output=True, timeout=timeout_s, env={})
-                    out = p.stdout.decode("utf-8", "replace")
-                    actual = out.strip(" \t\n\r\f\x0b") if p.returncode == 0 else ""
-                    rows.append((key, True, stdin, out, p.stderr.decode("utf-8", "replace"), p.returncode,
-                                 time.monotonic() - start, False, norm_exp, normalized_text(actual)))
-                except subprocess.TimeoutExpired:
-                    rows.append((key, True, stdin, "", f"Execution timed out after {timeout_s} seconds", -1,
-                                 time.monotonic() - start, True, norm_exp, ""))
+                         deny_arg, removed_arg], payload, timeout_s, MAX_OUTPUT_BYTES)
+                    elapsed = time.monotonic() - start
+                    if timed_out:
+                        rows.append((key, True, stdin, "", f"Execution timed out after {timeout_s} seconds", -1,
+                                     elapsed, True, norm_exp, ""))
+                    elif truncated:
+                        rows.append((key, True, stdin, "", f"Output exceeded {MAX_OUTPUT_BYTES} bytes", -1,
+                                     elapsed, False, norm_exp, ""))
+                    else:
+                        out = out_b.decode("utf-8", "replace")
+                        actual = out.strip(" \t\n\r\f\x0b") if rc == 0 else ""
+                        rows.append((key, True, stdin, out, err_b.decode("utf-8", "replace"), rc, elapsed, False,
+                                     norm_exp, normalized_text(actual)))
                 except Exception as e:  # launching failed: still a row
                     rows.append((key, True, stdin, "", f"Execution failed: {e}", -1, time.monotonic() - start,
                                  False, norm_exp, ""))

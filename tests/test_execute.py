@@ -72,3 +72,13 @@ def test_exact_match_and_execution_reward(spark):
     assert rows == {1: (True, False), 2: (True, True)}
     assert E.r_exec(res, passed="exact_match").first()["reward_exec"] == 2.5
     assert E.r_exec(res).first()["reward_exec"] == 5.0
+
+
+def test_chatty_solution_is_capped(spark):
+    df = spark.createDataFrame([("chatty", "while True:\n    print('x' * 1000)", [""], ["x"]),
+                                ("ok", "print(input())", ["hi"], ["hi"])],
+                               "name string, code string, inputs array<string>, outputs array<string>")
+    got = {r["name"]: (r["passed"], r["timeout"], r["error"][:16]) for r in
+           E.run_tests(T.test_cases(df), timeout_s=5.0, partitions=2).collect()}
+    assert got["chatty"] == (False, False, "Output exceeded ")
+    assert got["ok"][0] is True
