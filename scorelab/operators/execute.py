@@ -3,11 +3,13 @@
 * ``code_checks``: one Arrow-batched pandas UDF parses each *distinct* code
   once (``ast``) and returns syntax status, blocked imports and complexity
   counts together.
-* ``run_tests``: distinct (code, stdin) pairs are hashed, spread over many
-  partitions (slow or looping tests do not share a task), executed by
-  ``mapInPandas`` with one child process per test under a wall-clock limit
-  and CPU / address-space rlimits, and joined back.  A failure inside a test
-  becomes a row (error text, ``timeout``), never a failed job.
+* ``run_tests``: distinct (code, input, expected) runs are hashed and spread
+  over many partitions (slow or looping tests do not share a task); each
+  ``mapInPandas`` task converts the input, gates each code once (syntax,
+  blocked imports), runs one child process per run under a wall-clock limit,
+  CPU / address-space rlimits and an output cap, normalises both outputs, and
+  the results are joined back.  A failure inside a test becomes a row (error
+  text, ``timeout``), never a failed job.
 
 This limits damage from untrusted code; it is not a security sandbox.
 """
