@@ -2,7 +2,7 @@
 
 Run files keep the reference layout ``{metadata, results: {model: [row, ...]}}``.
 Writers shard a run into many such documents (one per setup, model and hash
-bucket of the problem id) so no single document — and no single task —
+bucket of the whole row) so no single document — and no single task —
 holds a whole run; readers accept any number of documents per folder.
 """
 
