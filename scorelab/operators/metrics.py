@@ -3,6 +3,8 @@
 Every metric family is one ``groupBy`` with conditional aggregates (partial
 aggregation on the map side, so a hot model or setup costs one small row per
 task, not a skewed shuffle).  Rates keep the reference's denominators.
+The one exception is the median of a continuous value (``text_length``),
+which comes from the distributed rank and is joined to the per-split row.
 """
 
 from __future__ import annotations
