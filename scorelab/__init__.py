@@ -1,0 +1,8 @@
+"""Python functions of this package travel to executors by value, so that a
+cluster needs no copy of the package on its workers' import path."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
