@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontam import contamination
 from .near_dedup import near_duplicates
 
 
@@ -22,5 +23,48 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return res.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {"op2_minhash_near_dedup": op2_minhash_near_dedup}
-ORACLES: dict[str, str] = {}
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """13-word windows of ``benchmark`` items found in ``documents``, per document."""
+    res = contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return res.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+                      "contaminated", "n_near_items")
+
+
+QUERIES = {
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
+}
+
+_WORDS = "string_split_regex(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLES: dict[str, str] = {
+    "op8_benchmark_decontamination": f"""
+WITH item AS (
+  SELECT row_number() OVER () AS ik, item_id, w, least(13, len(w)) AS l FROM (
+    SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, list_filter({_WORDS.format(t="text")}, lambda x: x <> '') AS w FROM benchmark)
+  WHERE len(w) > 0),
+win AS (SELECT DISTINCT ik, item_id, l, list_slice(w, s, s + l - 1) AS ws
+  FROM (SELECT *, unnest(generate_series(1, len(w) - l + 1)) AS s FROM item)),
+doc AS (SELECT row_number() OVER () AS k, doc_id, list_filter({_WORDS.format(t="text")}, lambda x: x <> '') AS w FROM documents),
+pos AS (SELECT k, unnest(generate_series(1, len(w))) AS p, unnest(w) AS term FROM doc),
+lens AS (SELECT DISTINCT l FROM item),
+dwin AS (SELECT d.k, p.p, lens.l, list_slice(d.w, p.p, p.p + lens.l - 1) AS ws
+  FROM doc d JOIN pos p USING (k) CROSS JOIN lens
+  WHERE p.p + lens.l - 1 <= len(d.w) AND p.term IN (SELECT ws[1] FROM win)),
+occ AS (SELECT DISTINCT dwin.k, dwin.p, dwin.l, win.item_id FROM dwin JOIN win ON dwin.l = win.l AND dwin.ws = win.ws),
+hits AS (SELECT k, count(DISTINCT q) AS n_hit FROM (SELECT k, unnest(generate_series(p, p + l - 1)) AS q FROM occ) GROUP BY k),
+names AS (SELECT k, list_sort(list(DISTINCT item_id)) AS items FROM occ GROUP BY k),
+cf AS (SELECT term, count(*) AS c FROM pos GROUP BY term),
+ranked AS (SELECT ik, item_id, term, coalesce(c, 0) AS c, row_number() OVER (PARTITION BY ik ORDER BY coalesce(c, 0), term) AS r
+  FROM (SELECT DISTINCT ik, item_id, unnest(w) AS term FROM item) t LEFT JOIN cf USING (term)),
+pick AS (SELECT * FROM ranked WHERE r <= 3 AND ik IN (SELECT ik FROM ranked WHERE r <= 3 GROUP BY ik HAVING count(*) = 3 AND min(c) > 0)),
+spot AS (SELECT pick.ik, pick.item_id, pick.r, pos.k, pos.p FROM pick JOIN pos USING (term)),
+near AS (SELECT a.ik, a.item_id, a.k, a.p FROM spot a JOIN spot b ON a.ik = b.ik AND a.k = b.k AND a.r = 1 AND b.r > 1 AND abs(a.p - b.p) <= 16
+  GROUP BY a.ik, a.item_id, a.k, a.p HAVING count(DISTINCT b.r) = 2),
+nears AS (SELECT k, count(DISTINCT item_id) AS n_near_items FROM near GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near_items, 0) AS n_near_items
+FROM doc LEFT JOIN hits USING (k) LEFT JOIN names USING (k) LEFT JOIN nears USING (k)
+""",
+}
