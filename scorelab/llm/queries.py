@@ -9,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import lang_id
+from .common import crc32_of_text
 from .decontam import contamination
 from .near_dedup import near_duplicates
+from .sharding import shard_records
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +26,13 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return res.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` into 40 shards of nearly equal bytes through 16,384 virtual slots."""
+    res = shard_records(spark, table(spark, sf_dir, "documents"), n_shards=40)
+    return res.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """13-word windows of ``benchmark`` items found in ``documents``, per document."""
     res = contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -30,7 +40,18 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
                       "contaminated", "n_near_items")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; learned where crc32(doc_id) mod 4 is not 2."""
+    docs = table(spark, sf_dir, "documents")
+    held = crc32_of_text(F.col("doc_id")) % 4 == 2
+    model = lang_id.fit(spark, docs.filter(~held))
+    got = docs.select("doc_id", held.alias("held_out"), lang_id.predictor(spark, model).alias("p"))
+    return got.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
 QUERIES = {
+    "op5_virtual_slot_sharding": op5_virtual_slot_sharding,
+    "op10_language_id": op10_language_id,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
