@@ -175,5 +175,5 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, id
                       text_col: str = "text", **params) -> DataFrame:
     """``docs`` without the contaminated ones, all columns kept."""
     bad = contamination(spark, docs, items, id_col, text_col, **params).filter("contaminated")
-    bad = Scratch(spark).write(bad.select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "bad", keep=True)
-    return docs.join(checked_broadcast(bad), (F.xxhash64(text_col) == F.col("_hash")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    bad = Scratch(spark).write(bad.select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "bad", keep=True)
+    return docs.join(checked_broadcast(bad), (F.xxhash64(text_col) == F.col("__hash")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")

@@ -320,15 +320,15 @@ def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
                 .join(groups.alias("g"), F.col(f"c.{id_col}").eqNullSafe(F.col(f"g.{id_col}"))
                       & F.col("c.component_id").eqNullSafe(F.col("g.component_id")), "left")
                 .filter(~F.coalesce(F.col("c.text_hash") == F.col("g.stay"), F.lit(False)))
-                .select(F.col(f"c.{id_col}").alias("_id"), F.col("c.text_hash").alias("_hash")).distinct())
+                .select(F.col(f"c.{id_col}").alias("__id"), F.col("c.text_hash").alias("__hash")).distinct())
         drop = scratch.write(drop, "drop", keep=True)
         again = scratch.write(classes.filter("n_shingles > 0").groupBy(id_col, "text_hash").count().filter("count > 1")
-                              .select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")), "again", keep=True)
-        match = F.xxhash64(text_col) == F.col("_hash")
-        match = match & F.col(id_col).eqNullSafe(F.col("_id"))
+                              .select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")), "again", keep=True)
+        match = F.xxhash64(text_col) == F.col("__hash")
+        match = match & F.col(id_col).eqNullSafe(F.col("__id"))
         left = docs.join(checked_broadcast(drop), match, "left_anti")
         if again.isEmpty():
             return left
         once = left.join(checked_broadcast(again), match, "left_anti")
-        more = left.join(checked_broadcast(again), match, "left_semi").withColumn("_hash", F.xxhash64(text_col))
-        return once.unionByName(more.dropDuplicates([id_col, "_hash"]).drop("_hash"))
+        more = left.join(checked_broadcast(again), match, "left_semi").withColumn("__hash", F.xxhash64(text_col))
+        return once.unionByName(more.dropDuplicates([id_col, "__hash"]).drop("__hash"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from . import lang_id
 from .common import crc32_of_text
 from .decontam import contamination
+from .mixing import mix
 from .near_dedup import near_duplicates
 from .sharding import shard_records
 
@@ -33,6 +34,22 @@ def op5_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
+#: Target weights of the mixture (unlisted names count as 1).
+MIX_WEIGHTS = {"domain": {"d0": 4.0, "d1": 2.0, "d2": 1.0, "d3": 1.0}, "lang": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 1.0}}
+
+
+def domain_of(source: str = "source"):
+    """Stand-in for the domain that ``documents`` lacks: one of d0 to d3 by the source's name."""
+    first = F.conv(F.substring(F.md5(F.col(source)), 1, 1), 16, 10).cast("int")
+    return F.concat(F.lit("d"), (first % 4).cast("string"))
+
+
+def op7_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a mixture of half of all tokens takes each of ``documents``."""
+    res = mix(spark, table(spark, sf_dir, "documents"), domain_of(), budget_share=0.5, weights=MIX_WEIGHTS, max_epochs=4, seed=42)
+    return res.select("doc_id", "domain", "lang", "source", "n_tokens", "leaf_budget", "copies")
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """13-word windows of ``benchmark`` items found in ``documents``, per document."""
     res = contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -53,12 +70,46 @@ QUERIES = {
     "op5_virtual_slot_sharding": op5_virtual_slot_sharding,
     "op10_language_id": op10_language_id,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op7_hierarchical_mixing": op7_hierarchical_mixing,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
 
 _WORDS = "string_split_regex(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+_MIX_SHARE = """
+  SELECT *, CASE WHEN lvl IS NULL THEN cap ELSE least(cap, lvl * w) END AS part FROM (
+    SELECT *, first_value(CASE WHEN ratio > level THEN level END IGNORE NULLS) OVER (PARTITION BY {p} ORDER BY ratio, {c} ROWS UNBOUNDED PRECEDING) AS lvl FROM (
+      SELECT *, greatest(budget - coalesce(sum(cap) OVER (PARTITION BY {p} ORDER BY ratio, {c} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)
+        / sum(w) OVER (PARTITION BY {p} ORDER BY ratio, {c} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM (
+        SELECT *, cap / w AS ratio FROM ({rows}))))
+"""
+
 ORACLES: dict[str, str] = {
+    "op7_hierarchical_mixing": f"""
+WITH d AS (
+  SELECT doc_id, md5(coalesce(text, 'null')) AS h,
+    coalesce('d' || CAST(CAST('0x' || substr(md5(source), 1, 1) AS INT) % 4 AS VARCHAR), 'null') AS domain, coalesce(lang, 'null') AS lang,
+    coalesce(source, 'null') AS source,
+    CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS BIGINT) AS n_tokens
+  FROM documents),
+leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY ALL),
+dom AS ({_MIX_SHARE.format(p="1", c="domain", rows="""SELECT domain, sum(CAST(tokens AS DOUBLE) * 4) AS cap,
+  (SELECT CAST(floor(sum(tokens) * CAST(0.5 AS DOUBLE)) AS DOUBLE) FROM leaf) AS budget,
+  CASE domain WHEN 'd0' THEN 4.0::DOUBLE WHEN 'd1' THEN 2.0 ELSE 1.0 END AS w FROM leaf GROUP BY domain""")}),
+lng AS ({_MIX_SHARE.format(p="domain", c="lang", rows="""SELECT l.domain, l.lang, l.cap, dom.part AS budget,
+  CASE lang WHEN 'en' THEN 4.0::DOUBLE WHEN 'de' THEN 2.0 WHEN 'fr' THEN 2.0 ELSE 1.0 END AS w
+  FROM (SELECT domain, lang, sum(CAST(tokens AS DOUBLE) * 4) AS cap FROM leaf GROUP BY domain, lang) l JOIN dom USING (domain)""")}),
+src AS ({_MIX_SHARE.format(p="domain, lang", c="source", rows="""SELECT leaf.domain, leaf.lang, source, tokens, CAST(tokens AS DOUBLE) * 4 AS cap,
+  lng.part AS budget, 1.0::DOUBLE AS w FROM leaf JOIN lng USING (domain, lang)""")}),
+plan AS (SELECT domain, lang, source, tokens, CAST(floor(part + 1e-6) AS BIGINT) AS leaf_budget FROM src),
+ep AS (SELECT *, CASE WHEN tokens > 0 THEN leaf_budget // tokens ELSE 0 END AS epochs,
+  CASE WHEN tokens > 0 THEN leaf_budget % tokens ELSE 0 END AS rest FROM plan),
+k AS (SELECT d.*, leaf_budget, epochs, rest, md5('42:' || CAST(epochs AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || h) AS key
+  FROM d JOIN ep USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, n_tokens, leaf_budget,
+  CAST(epochs + CASE WHEN n_tokens > 0 AND sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key) - n_tokens < rest THEN 1 ELSE 0 END AS INT) AS copies
+FROM k
+""",
     "op8_benchmark_decontamination": f"""
 WITH item AS (
   SELECT row_number() OVER () AS ik, item_id, w, least(13, len(w)) AS l FROM (
