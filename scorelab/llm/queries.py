@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lang_id
+from . import lang_id, quality, toxicity
 from .common import crc32_of_text
 from .decontam import contamination
 from .mixing import mix
@@ -27,6 +27,26 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return res.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; learned from labels where crc32(doc_id) mod 5 is not 0."""
+    docs = table(spark, sf_dir, "documents")
+    held = crc32_of_text(F.col("doc_id")) % 5 == 0
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held)
+    model = toxicity.fit(spark, docs.select("doc_id", "text").join(labels, "doc_id"))
+    got = docs.select("doc_id", held.alias("held_out"), toxicity.scorer(spark, model).alias("score"))
+    return got.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op6_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; learned from labels where crc32(doc_id) mod 3 is not 1."""
+    docs = table(spark, sf_dir, "documents")
+    held = crc32_of_text(F.col("doc_id")) % 3 == 1
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(~held)
+    model = quality.fit(spark, docs.select("doc_id", "text").join(labels, "doc_id"))
+    got = docs.select("doc_id", held.alias("held_out"), quality.scorer(model).alias("score"))
+    return got.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op5_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` into 40 shards of nearly equal bytes through 16,384 virtual slots."""
     res = shard_records(spark, table(spark, sf_dir, "documents"), n_shards=40)
@@ -67,6 +87,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
+    "op6_quality_ranking": op6_quality_ranking,
     "op5_virtual_slot_sharding": op5_virtual_slot_sharding,
     "op10_language_id": op10_language_id,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
