@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lang_id, quality, toxicity
+from . import ann, lang_id, quality, toxicity
 from .common import crc32_of_text
 from .decontam import contamination
 from .mixing import mix
@@ -47,6 +47,11 @@ def op6_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op4_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors by inner product of every embedding whose id is divisible by 20."""
+    return ann.search(spark, table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op5_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` into 40 shards of nearly equal bytes through 16,384 virtual slots."""
     res = shard_records(spark, table(spark, sf_dir, "documents"), n_shards=40)
@@ -89,6 +94,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op6_quality_ranking": op6_quality_ranking,
+    "op4_multi_index_hashing": op4_multi_index_hashing,
     "op5_virtual_slot_sharding": op5_virtual_slot_sharding,
     "op10_language_id": op10_language_id,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
