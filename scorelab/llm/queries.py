@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, lang_id, quality, toxicity
+from . import ann, lang_id, quality, toxicity, url_filter
 from .common import crc32_of_text
 from .decontam import contamination
+from .line_dedup import remove_boilerplate
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .sharding import shard_records
@@ -21,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` without the lines that stand on at least five sources."""
+    res = remove_boilerplate(spark, table(spark, sf_dir, "documents"), min_sites=5)
+    return res.select("doc_id", "n_lines", "n_removed", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of ``documents`` over 4-word shingles, similarity 0.8 or more."""
     res = near_duplicates(spark, table(spark, sf_dir, "documents"), k=4, num=80, den=100)
@@ -82,6 +89,23 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
                       "contaminated", "n_near_items")
 
 
+#: Explicit rules (verdict, host, path), as the query's contract states them.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op9_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every url of ``pages``.
+
+    Stand-in for labelled URLs: a page takes the row of ``labels`` with its own
+    id; low quality or toxic means block.
+    """
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels")
+    label = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("label")
+    labelled = pages.join(labels.select(F.col("doc_id").alias("page_id"), label), "page_id").select("url", "label")
+    return url_filter.judge(spark, pages, labelled, URL_RULES)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; learned where crc32(doc_id) mod 4 is not 2."""
     docs = table(spark, sf_dir, "documents")
@@ -92,10 +116,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_toxicity": op3_toxicity,
     "op6_quality_ranking": op6_quality_ranking,
     "op4_multi_index_hashing": op4_multi_index_hashing,
     "op5_virtual_slot_sharding": op5_virtual_slot_sharding,
+    "op9_url_association_rules": op9_url_association_rules,
     "op10_language_id": op10_language_id,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op7_hierarchical_mixing": op7_hierarchical_mixing,
@@ -113,6 +139,17 @@ _MIX_SHARE = """
 """
 
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, text, coalesce('=' || source, 'null') AS site, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT k, site, unnest(generate_series(1, len(ls))) AS i, unnest(ls) AS line FROM d),
+t AS (SELECT k, site, i, line, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS bare FROM l),
+bad AS (SELECT bare FROM t WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT site) >= 5),
+c AS (SELECT k, count(*) AS n_lines, count(*) FILTER (bare IN (SELECT bare FROM bad)) AS n_removed,
+  coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (bare NOT IN (SELECT bare FROM bad)), '') AS cleaned FROM t GROUP BY k)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+  CAST(strlen(CASE WHEN text IS NOT NULL THEN cleaned END) AS BIGINT) AS n_bytes, md5(CASE WHEN text IS NOT NULL THEN cleaned END) AS text_md5
+FROM d LEFT JOIN c USING (k)
+""",
     "op7_hierarchical_mixing": f"""
 WITH d AS (
   SELECT doc_id, md5(coalesce(text, 'null')) AS h,
