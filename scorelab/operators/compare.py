@@ -17,7 +17,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.extract import substring_counts
 from ..session import cut_lineage
 from .metrics import METRICS, RUN_KEYS, rate, safe_ratio
 
@@ -53,18 +52,17 @@ def metric_diff(metrics: DataFrame, base: str, other: str, names=METRICS) -> Dat
     return compare_all(two, base, names).filter(F.col("comparison") == other)
 
 
-def pattern_aggs(code: str = "code") -> list:
-    """Aggregates of plain 'for ' / 'def ' counts over rows that have code."""
-    c = substring_counts(code)
-    has = F.coalesce(F.length(code) > 0, F.lit(False))
-    return [F.sum(F.when(has, c["for_loops"]).otherwise(0)).cast("long").alias("for_loops"),
-            F.sum(F.when(has, c["def_count"]).otherwise(0)).cast("long").alias("def_count"),
+def pattern_aggs() -> list:
+    """Aggregates of plain 'for ' / 'def ' counts over measured rows that have code."""
+    has = F.coalesce(F.col("code_length") > 0, F.lit(False))
+    return [F.sum(F.when(has, F.col("for_loops")).otherwise(0)).cast("long").alias("for_loops"),
+            F.sum(F.when(has, F.col("def_count")).otherwise(0)).cast("long").alias("def_count"),
             F.count_if(has).alias("total_problems")]
 
 
-def pattern_counts_by_run(df: DataFrame, code: str = "code", by=RUN_KEYS) -> DataFrame:
-    """Plain 'for ' / 'def ' counts summed over rows that have code."""
-    return df.groupBy(*by).agg(*pattern_aggs(code))
+def pattern_counts_by_run(measures: DataFrame, by=RUN_KEYS) -> DataFrame:
+    """Plain 'for ' / 'def ' counts summed over rows that have code (rows of ``metrics.measured``)."""
+    return measures.groupBy(*by).agg(*pattern_aggs())
 
 
 def pattern_diff_counts(pc: DataFrame, base: str = BASELINE) -> DataFrame:
@@ -81,9 +79,9 @@ def pattern_diff_counts(pc: DataFrame, base: str = BASELINE) -> DataFrame:
                       (F.coalesce("m_def", F.lit(0)) - F.coalesce("b_def", F.lit(0))).alias("def_count_diff"))
 
 
-def pattern_diff(df: DataFrame, base: str = BASELINE, code: str = "code") -> DataFrame:
+def pattern_diff(measures: DataFrame, base: str = BASELINE) -> DataFrame:
     """for / def count differences (other − baseline) for every setup, 0 where missing."""
-    return pattern_diff_counts(pattern_counts_by_run(df, code), base)
+    return pattern_diff_counts(pattern_counts_by_run(measures), base)
 
 
 def diff_aggregate(diffs: DataFrame, pattern_diffs: DataFrame) -> DataFrame:
@@ -118,8 +116,8 @@ LONG_TABLE_METRICS = [
 
 def comparison_table(scored: DataFrame, models: list[str], setups: list[str]) -> DataFrame:
     """(model, setup) × 17 metrics in one groupBy; absent runs kept as zeros."""
-    ok_sol = F.col("execution_success") & (F.length("code") > 0)
-    ans = F.col("api_success") & (F.coalesce(F.length("model_output"), F.lit(0)) > 0)
+    ok_sol = F.col("execution_success") & (F.col("code_length") > 0)
+    ans = F.col("api_success") & (F.col("output_length") > 0)
     agg = scored.groupBy(*RUN_KEYS).agg(
         rate(F.col("api_success")).alias("api_success_rate"),
         rate(F.col("code_found")).alias("code_extraction_rate"),
@@ -127,17 +125,17 @@ def comparison_table(scored: DataFrame, models: list[str], setups: list[str]) ->
         rate(F.col("execution_success")).alias("execution_success_rate"),
         F.sum("passed_count").cast("double").alias("passed_test_cases"),
         F.sum("total_count").cast("double").alias("total_test_cases"),
-        F.coalesce(F.avg(F.when(ans, F.length("model_output"))), F.lit(0.0)).alias("avg_answer_length"),
+        F.coalesce(F.avg(F.when(ans, F.col("output_length"))), F.lit(0.0)).alias("avg_answer_length"),
         F.coalesce(F.avg(F.coalesce("completion_tokens", F.lit(0))), F.lit(0.0)).alias("avg_completion_tokens"),
         F.count_if(ok_sol).alias("_n"),
         F.sum(F.when(ok_sol, F.col("for_loop_count"))).alias("_f"),
         F.sum(F.when(ok_sol, F.col("function_def_count"))).alias("_d"),
         F.sum(F.when(ok_sol, F.col("dict_constructor_count") + F.col("set_constructor_count"))).alias("_ds"),
         F.coalesce(F.avg("total_time"), F.lit(0.0)).alias("avg_generation_time"),
-        F.coalesce(F.avg(F.length("thinking")), F.lit(0.0)).alias("thinking_length_mean"),
-        F.coalesce(F.avg(F.length("code")), F.lit(0.0)).alias("code_length_mean"),
-        rate(F.col("code") == "").alias("empty_code_rate"),
-        rate(F.col("thinking") == "").alias("empty_thinking_rate"))
+        F.coalesce(F.avg("thinking_length"), F.lit(0.0)).alias("thinking_length_mean"),
+        F.coalesce(F.avg("code_length"), F.lit(0.0)).alias("code_length_mean"),
+        rate(F.col("code_length") == 0).alias("empty_code_rate"),
+        rate(F.col("thinking_length") == 0).alias("empty_thinking_rate"))
     agg = agg.withColumns({
         "test_case_pass_rate": safe_ratio(F.col("passed_test_cases"), F.col("total_test_cases")),
         "avg_for_loops": safe_ratio(F.col("_f"), F.col("_n")),

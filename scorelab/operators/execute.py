@@ -6,9 +6,9 @@
 * ``run_tests``: distinct (code, input, expected) runs are hashed and spread
   over many partitions (slow or looping tests do not share a task); each
   ``mapInPandas`` task converts the input, gates each code once (syntax,
-  blocked imports), runs one child process per run under a wall-clock limit,
-  CPU / address-space rlimits and an output cap, normalises both outputs, and
-  the results are joined back.  A failure inside a test becomes a row (error
+  blocked imports), runs one child process per run under a wall-clock limit and
+  CPU / address-space rlimits (optionally an output cap), normalises both
+  outputs, and the results are joined back.  A failure inside a test becomes a row (error
   text, ``timeout``), never a failed job.
 
 This limits damage from untrusted code; it is not a security sandbox.
@@ -17,12 +17,14 @@ This limits damage from untrusted code; it is not a security sandbox.
 from __future__ import annotations
 
 import ast
+import hashlib
 import os
 import selectors
 import subprocess
 import sys
 import threading
 import time
+from concurrent.futures import ThreadPoolExecutor
 from typing import Iterator
 
 import pandas as pd
@@ -136,15 +138,11 @@ _compiled = compile(_code, "<solution>", "exec")
 exec(_compiled, {"__builtins__": _safe, "__name__": "__main__", "sys": sys, "StringIO": io.StringIO})
 """
 
-MAX_OUTPUT_BYTES = 4 * 1024 * 1024  # per stream; a chattier solution is stopped and fails
-
-
-def _run_child(args: list[str], payload: bytes, timeout_s: float, max_bytes: int):
-    """Run one child with a wall-clock deadline and a cap on captured output.
+def _run_child(args: list[str], payload: bytes, timeout_s: float, max_bytes: int | None):
+    """Run one child with a wall-clock deadline and an optional cap on captured output.
 
     Returns (stdout, stderr, returncode, timed_out, truncated).  The child is
-    killed when the deadline passes or either stream exceeds ``max_bytes``, so
-    a solution printing in a loop cannot fill the worker's memory.
+    killed when the deadline passes or, with a cap, either stream exceeds it.
     """
     p = subprocess.Popen(args, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.PIPE, env={})
 
@@ -155,10 +153,7 @@ def _run_child(args: list[str], payload: bytes, timeout_s: float, max_bytes: int
         except OSError:  # the child exited or closed its stdin
             pass
 
-    if len(payload) <= 65536:  # fits the pipe buffer: the write cannot block
-        feed()
-    else:
-        threading.Thread(target=feed, daemon=True).start()
+    threading.Thread(target=feed, daemon=True).start()
     sel = selectors.DefaultSelector()
     sel.register(p.stdout, selectors.EVENT_READ, 0)
     sel.register(p.stderr, selectors.EVENT_READ, 1)
@@ -178,8 +173,8 @@ def _run_child(args: list[str], payload: bytes, timeout_s: float, max_bytes: int
                     open_streams -= 1
                     continue
                 buf = bufs[key.data]
-                buf.extend(chunk[:max(0, max_bytes - len(buf))])
-                truncated = truncated or len(buf) >= max_bytes
+                buf.extend(chunk)
+                truncated = truncated or (max_bytes is not None and len(buf) > max_bytes)
         if not (timed_out or truncated):
             try:
                 p.wait(timeout=max(0.0, deadline - time.monotonic()))
@@ -195,57 +190,86 @@ def _run_child(args: list[str], payload: bytes, timeout_s: float, max_bytes: int
     return bytes(bufs[0]), bytes(bufs[1]), p.returncode, timed_out, truncated
 
 
-RUN_SCHEMA = ("run_key string, safe boolean, converted_input string, stdout string, stderr string, "
+RUN_SCHEMA = ("run_key string, safe boolean, converted_input string, actual_output string, stderr string, "
               "returncode int, elapsed double, timed_out boolean, norm_expected string, norm_actual string")
+RUN_COLUMNS = [c.split()[0] for c in RUN_SCHEMA.split(", ")]
+SLICE_ROWS, SLICE_BYTES = 64, 8 << 20  # results handed on at a time
+VERDICTS = 10_000  # gate results a task remembers
+
+
+def _gate_error(check: dict) -> str | None:
+    """Why a code must not run: its syntax error, or the blocked imports; None if it may."""
+    if not check["syntax_ok"]:
+        return check["syntax_error"]
+    return f"Blocked imports: {', '.join(check['blocked'])}" if check["blocked"] else None
+
+
+def _changed(text: str | None) -> str | None:
+    """The normalised text where it differs from the stripped one (only bracketed values do)."""
+    norm = normalized_text(text)
+    return norm if norm != text else None
 
 
 def _run_batches(timeout_s: float, mem_mb: int, deny: tuple, removed: tuple, gate: bool = True,
-                 site_packages: bool = False):
+                 site_packages: bool = False, max_output: int | None = None, in_flight: int = 2):
     # -I: isolated (no user site, no PYTHON* variables); -S: no site import, which
     # cuts interpreter start-up several-fold; the standard library stays importable.
     flags = ["-I"] if site_packages else ["-I", "-S"]
     deny_set, deny_arg, removed_arg = frozenset(deny), ",".join(deny), ",".join(removed)
+    blanks = " \t\n\r\f\x0b"
+
+    def one(key: str, code: str, error: str | None, raw_in: str | None, exp: str | None) -> tuple:
+        stdin = stdin_text(raw_in) or ""
+        norm_exp = _changed((exp or "").strip(blanks))
+        if error is not None:
+            return key, False, stdin, "", error, None, 0.0, False, norm_exp, None
+        code_b = code.encode("utf-8")
+        payload = str(len(code_b)).encode() + b"\n" + code_b + stdin.encode("utf-8")
+        start = time.monotonic()
+        try:
+            out_b, err_b, rc, timed_out, truncated = _run_child(
+                [sys.executable, *flags, "-c", _RUNNER, str(mem_mb), str(int(timeout_s) + 1),
+                 deny_arg, removed_arg], payload, timeout_s, max_output)
+        except Exception as e:  # launching failed: still a row
+            return key, True, stdin, "", f"Execution failed: {e}", -1, time.monotonic() - start, False, norm_exp, None
+        elapsed = time.monotonic() - start
+        if timed_out:
+            return key, True, stdin, "", f"Execution timed out after {timeout_s} seconds", -1, elapsed, True, norm_exp, None
+        if truncated:
+            return key, True, stdin, "", f"Output exceeded {max_output} bytes", -1, elapsed, False, norm_exp, None
+        actual = out_b.decode("utf-8", "replace").strip(blanks) if rc == 0 else ""
+        return key, True, stdin, actual, err_b.decode("utf-8", "replace"), rc, elapsed, False, norm_exp, _changed(actual)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        verdicts: dict[str, bool] = {}  # gate result per distinct code, parsed once per task
-        for pdf in batches:
-            rows = []
-            for key, code, raw_in, exp in zip(pdf["run_key"], pdf["code"], pdf["input"], pdf["expected"]):
-                code = code or ""
-                stdin = stdin_text(raw_in) or ""
-                norm_exp = normalized_text((exp or "").strip(" \t\n\r\f\x0b"))
-                if gate:
-                    if code not in verdicts:
-                        c = _check_one(code, deny_set)
-                        verdicts[code] = bool(c["syntax_ok"]) and not c["blocked"]
-                    if not verdicts[code]:
-                        rows.append((key, False, stdin, "", "Code failed the syntax or import check", None, 0.0,
-                                     False, norm_exp, ""))
-                        continue
-                code_b = code.encode("utf-8")
-                payload = str(len(code_b)).encode() + b"\n" + code_b + stdin.encode("utf-8")
-                start = time.monotonic()
-                try:
-                    out_b, err_b, rc, timed_out, truncated = _run_child(
-                        [sys.executable, *flags, "-c", _RUNNER, str(mem_mb), str(int(timeout_s) + 1),
-                         deny_arg, removed_arg], payload, timeout_s, MAX_OUTPUT_BYTES)
-                    elapsed = time.monotonic() - start
-                    if timed_out:
-                        rows.append((key, True, stdin, "", f"Execution timed out after {timeout_s} seconds", -1,
-                                     elapsed, True, norm_exp, ""))
-                    elif truncated:
-                        rows.append((key, True, stdin, "", f"Output exceeded {MAX_OUTPUT_BYTES} bytes", -1,
-                                     elapsed, False, norm_exp, ""))
-                    else:
-                        out = out_b.decode("utf-8", "replace")
-                        actual = out.strip(" \t\n\r\f\x0b") if rc == 0 else ""
-                        rows.append((key, True, stdin, out, err_b.decode("utf-8", "replace"), rc, elapsed, False,
-                                     norm_exp, normalized_text(actual)))
-                except Exception as e:  # launching failed: still a row
-                    rows.append((key, True, stdin, "", f"Execution failed: {e}", -1, time.monotonic() - start,
-                                 False, norm_exp, ""))
-            yield pd.DataFrame(rows, columns=["run_key", "safe", "converted_input", "stdout", "stderr", "returncode",
-                                              "elapsed", "timed_out", "norm_expected", "norm_actual"])
+        verdicts: dict[bytes, str | None] = {}  # gate result by the code's hash, parsed once per task
+
+        def verdict(code: str) -> str | None:
+            if not gate:
+                return None
+            h = hashlib.sha256(code.encode("utf-8")).digest()
+            if h not in verdicts:
+                if len(verdicts) >= VERDICTS:
+                    verdicts.clear()
+                verdicts[h] = _gate_error(_check_one(code, deny_set))
+            return verdicts[h]
+
+        with ThreadPoolExecutor(max_workers=in_flight) as pool:
+            for pdf in batches:
+                rows, size = [], 0
+                for at in range(0, len(pdf), SLICE_ROWS):
+                    part = pdf.iloc[at:at + SLICE_ROWS]
+                    jobs = [pool.submit(one, k, c or "", verdict(c or ""), i, e)
+                            for k, c, i, e in zip(part["run_key"], part["code"], part["input"], part["expected"])]
+                    for job in jobs:
+                        row = job.result()
+                        rows.append(row)
+                        size += len(row[3]) + len(row[4])
+                        if size >= SLICE_BYTES:
+                            yield pd.DataFrame(rows, columns=RUN_COLUMNS)
+                            rows, size = [], 0
+                    if rows:
+                        yield pd.DataFrame(rows, columns=RUN_COLUMNS)
+                        rows, size = [], 0
     return run
 
 
@@ -253,7 +277,7 @@ def run_tests(tests: DataFrame, code: str = "code", test_input: str = "input",
               expected: str = "output", timeout_s: float = 10.0, mem_mb: int = 512,
               partitions: int | None = None, deny=DANGEROUS_MODULES,
               removed=REMOVED_BUILTINS, gate: bool = True, site_packages: bool = False,
-              strict_imports: bool = False) -> DataFrame:
+              strict_imports: bool = False, max_output: int | None = None, in_flight: int = 2) -> DataFrame:
     """Run every (code, test) row and compare its output with the expected one.
 
     ``tests`` has one row per test (see ``functions.testcases.test_cases``).
@@ -267,11 +291,16 @@ def run_tests(tests: DataFrame, code: str = "code", test_input: str = "input",
     Adds ``converted_input, actual_output, passed, exact_match, execution_time,
     error, timeout, execution_success``.  ``site_packages`` makes installed
     third-party packages importable by the solutions (slower start-up);
-    ``strict_imports`` refuses every import made by the solution at run time.
+    ``strict_imports`` refuses every import made by the solution at run time;
+    ``max_output`` stops a solution that writes more bytes than that to a stream
+    (no limit by default: output is read to its end); ``in_flight`` children run
+    at a time in a task.  ``error`` of code that may not run names its syntax
+    error or blocked imports.
     """
     spark = tests.sparkSession
     exp_text = F.coalesce(F.col(expected).cast("string"), F.lit(""))
-    key = F.sha2(F.concat_ws("\u0000", F.col(code), F.col(test_input), exp_text), 256)
+    # JSON keeps field borders and nulls apart, so different runs never share a key.
+    key = F.sha2(F.to_json(F.struct(F.col(code).alias("c"), F.col(test_input).alias("i"), exp_text.alias("e"))), 256)
     prepared = materialise(tests.withColumn("run_key", key), "tests")
     n = partitions or max(8, spark.sparkContext.defaultParallelism * 4)
     # A separate, fixed-size exchange: few rows but long-running tasks must stay spread.
@@ -281,12 +310,13 @@ def run_tests(tests: DataFrame, code: str = "code", test_input: str = "input",
                                exp_text.alias("expected"))
                        .dropDuplicates(["run_key"]).repartition(n, F.xxhash64("run_key")))
     run_deny = ("*", *deny) if strict_imports else tuple(deny)
-    runs = runs_in.mapInPandas(_run_batches(timeout_s, mem_mb, run_deny, tuple(removed), gate, site_packages),
-                               RUN_SCHEMA)
+    runs = runs_in.mapInPandas(_run_batches(timeout_s, mem_mb, run_deny, tuple(removed), gate, site_packages,
+                                            max_output, in_flight), RUN_SCHEMA)
     out = prepared.join(runs, on="run_key", how="left")
     ok = (F.col("returncode") == 0) & ~F.col("timed_out")
-    out = out.withColumns({"actual_output": F.when(ok, py_strip("stdout")).otherwise(F.lit("")),
-                           "_ok": F.coalesce(ok, F.lit(False))})
+    out = out.withColumns({"actual_output": F.coalesce("actual_output", F.lit("")), "_ok": F.coalesce(ok, F.lit(False)),
+                           "norm_expected": F.coalesce("norm_expected", py_strip(exp_text)),
+                           "norm_actual": F.coalesce("norm_actual", "actual_output")})
     out = with_outputs_match(out, "norm_expected", "norm_actual", "_match", normalized=True)
     return (out.withColumns({"passed": F.col("_ok") & F.coalesce(F.col("_match"), F.lit(False)),
                              # exit code 0 and exact equality of the stripped texts (execution reward rule)
@@ -296,7 +326,7 @@ def run_tests(tests: DataFrame, code: str = "code", test_input: str = "input",
                              "timeout": F.coalesce(F.col("timed_out"), F.lit(False)),
                              "execution_success": F.coalesce(F.col("safe"), F.lit(False)),
                              "error": F.coalesce(F.col("stderr"), F.lit(""))})
-               .drop("stdout", "stderr", "elapsed", "timed_out", "returncode", "safe", "_ok", "_match",
+               .drop("stderr", "elapsed", "timed_out", "returncode", "safe", "_ok", "_match",
                      "norm_expected", "norm_actual", "run_key"))
 
 
@@ -309,10 +339,13 @@ def execution_result(results: DataFrame, keys=("setup", "model", "problem_id"))
     """Per generation: passed / failed / total, pass rate, timeouts, total time.
 
     Code that failed a gate (``execution_success`` false) reports the number of
-    tests as total with passed = failed = 0, as the reference does.
+    tests as total with passed = failed = 0; ``execution_error`` (when the
+    results carry error texts) says why it was not run.
     """
+    why = ([F.max(F.when(~F.col("execution_success"), F.col("error"))).alias("execution_error")]
+           if "error" in results.columns else [])
     agg = results.groupBy(*keys).agg(
-        F.bool_and("execution_success").alias("execution_success"),
+        F.bool_and("execution_success").alias("execution_success"), *why,
         F.count("*").alias("total_count"),
         F.count_if(F.col("passed") & ~F.col("timeout")).alias("_passed"),
         F.count_if("timeout").alias("_timeouts"),
@@ -324,7 +357,8 @@ def execution_result(results: DataFrame, keys=("setup", "model", "problem_id"))
         F.when(ok, F.col("total_count") - F.col("_passed")).otherwise(F.lit(0)).cast("long").alias("failed_count"),
         F.when(ok, F.col("_passed") / F.col("total_count")).otherwise(F.lit(0.0)).alias("pass_rate"),
         F.when(ok, F.col("_timeouts")).otherwise(F.lit(0)).cast("long").alias("timeout_count"),
-        F.when(ok, F.col("_time")).otherwise(F.lit(0.0)).alias("total_execution_time"))
+        F.when(ok, F.col("_time")).otherwise(F.lit(0.0)).alias("total_execution_time"),
+        *[c for c in ["execution_error"] if why])
 
 
 def ordered_results(results: DataFrame, keys=("setup", "model", "problem_id"), test: str = "test_case") -> DataFrame:
@@ -332,17 +366,19 @@ def ordered_results(results: DataFrame, keys=("setup", "model", "problem_id"), t
     return results.orderBy(*keys, test)
 
 
-def r_exec(results: DataFrame, keys=("setup", "model", "problem_id"), has_code: str = "execution_success",
+def r_exec(completions: DataFrame, results: DataFrame, keys=("setup", "model", "problem_id"), has_code: str = "code_found",
            passed: str = "passed") -> DataFrame:
-    """Execution reward: −3 without code, else 5 × passed / total.
+    """Execution reward of every completion: −3 without code, else 5 × passed / total (0 without tests).
 
-    With ``run_tests`` output pass ``passed="exact_match"`` for the reward's own
-    rule (exit code 0 and exact stripped equality).
+    ``completions`` has the keys and the flag ``has_code``; code that failed the
+    syntax or import gate passed nothing and scores 0.  With ``run_tests`` output
+    pass ``passed="exact_match"`` for the reward's own rule (exit code 0 and exact
+    stripped equality).
     """
-    agg = results.groupBy(*keys).agg(F.bool_or(has_code).alias("has_code"),
-                                     F.count_if(passed).alias("passed"), F.count("*").alias("total"))
-    return agg.withColumn("reward_exec", F.when(~F.col("has_code"), F.lit(-3.0))
-                          .otherwise(F.lit(5.0) * F.col("passed") / F.col("total")))
+    agg = results.groupBy(*keys).agg(F.count_if(F.col(passed) & F.col("execution_success")).alias("passed"), F.count("*").alias("total"))
+    out = completions.select(*keys, F.coalesce(F.col(has_code), F.lit(False)).alias("has_code")).join(agg, list(keys), "left")
+    return out.withColumn("reward_exec", F.when(~F.col("has_code"), F.lit(-3.0))
+                          .otherwise(F.coalesce(F.lit(5.0) * F.col("passed") / F.col("total"), F.lit(0.0))))
 
 
 def execution_profile(results: DataFrame, by=("model",), problem=("setup", "problem_id")) -> DataFrame:

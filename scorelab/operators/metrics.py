@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.extract import fenced_code, format_matches
+from ..functions.extract import PATTERNS, fenced_code, format_matches, substring_counts
 from ..functions.rewards import r_number
 from ..functions.text import py_strip, word_count
 from .select import median_exact
@@ -32,18 +32,37 @@ def safe_ratio(num: Column, den: Column) -> Column:
     return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(0.0))
 
 
+def measured(gens: DataFrame, keep=("setup", "model", "problem_id")) -> DataFrame:
+    """Extracted generations reduced to flags, lengths and counts (no text column).
+
+    Every summary reads only these, so texts never travel through a join.  A
+    row whose API call failed has nothing extracted: its lengths and counts are
+    null and its flags false.
+    """
+    api = F.coalesce("api_success", F.lit(False))
+    thinking, code = F.when(api, F.col("thinking")), F.when(api, F.col("code"))
+    plain = substring_counts(code)
+    cols = {
+        "output_length": F.coalesce(F.length("model_output"), F.lit(0)),
+        "thinking_length": F.length(thinking), "code_length": F.length(code),
+        "for_loops": plain["for_loops"], "def_count": plain["def_count"],
+        "thinking_found": api & F.col("thinking_found"), "code_found": api & F.col("code_found"),
+        **{name: F.when(api, F.col(name)) for name in PATTERNS},
+    }
+    return gens.select(*keep, "api_success", "completion_tokens", "total_tokens", "total_time",
+                       *[c.alias(k) for k, c in cols.items()])
+
+
 def scored_rows(gens: DataFrame, exec_results: DataFrame, keys=("setup", "model", "problem_id")) -> DataFrame:
-    """Generations with extraction joined to per-problem execution results.
+    """Measures of the generations joined to per-problem execution results.
 
     Execution counts only where the API call succeeded and code was found
     (otherwise the row scores zeros, as the evaluator does).
     """
     ex = exec_results.select(*keys, "execution_success", "passed_count", "total_count", "pass_rate")
-    joined = gens.join(ex, on=list(keys), how="left")
+    joined = measured(gens, keys).join(ex, on=list(keys), how="left")
     ran = F.col("api_success") & F.col("code_found") & F.col("total_count").isNotNull()
     return joined.withColumns({
-        "thinking_found": F.col("api_success") & F.col("thinking_found"),
-        "code_found": F.col("api_success") & F.col("code_found"),
         "execution_success": F.when(ran, F.col("execution_success")).otherwise(F.lit(False)),
         "passed_count": F.when(ran, F.col("passed_count")).otherwise(F.lit(0)).cast("long"),
         "total_count": F.when(ran, F.col("total_count")).otherwise(F.lit(0)).cast("long"),
@@ -124,39 +143,36 @@ def generation_time(df: DataFrame, stats: DataFrame | None = None, by=RUN_KEYS)
     return per_rows.select(*by, F.coalesce("_stats_avg", "_rows_avg", F.lit(0.0)).alias("avg_generation_time"))
 
 
-def generation_stats(df: DataFrame, by=RUN_KEYS, cap: int = MAX_TOKENS, near: int = NEAR_MAX) -> DataFrame:
-    """Answer length, token usage and generation time of each run in one aggregation."""
-    ok_len = F.col("api_success") & (F.coalesce(F.length("model_output"), F.lit(0)) > 0)
+def _generation_aggs(cap: int = MAX_TOKENS, near: int = NEAR_MAX) -> list[Column]:
+    """Answer length, token usage and generation time over measures."""
     ok = F.col("api_success") & F.col("completion_tokens").isNotNull()
     ct = F.col("completion_tokens")
-    out = df.groupBy(*by).agg(
-        F.coalesce(F.avg(F.when(ok_len, F.length("model_output"))), F.lit(0.0)).alias("avg_answer_length"),
+    return [
+        F.coalesce(F.avg(F.when(F.col("api_success") & (F.col("output_length") > 0), F.col("output_length"))), F.lit(0.0)).alias("avg_answer_length"),
         F.count_if(ok).alias("total_responses"),
         F.count_if(ok & (ct >= cap)).alias("max_length_hits"),
         F.count_if(ok & (ct < cap) & (ct >= near)).alias("near_max_hits"),
         F.sum(F.when(ok, ct)).alias("_tok"),
-        F.coalesce(F.avg("total_time"), F.lit(0.0)).alias("avg_generation_time"))
-    n = F.col("total_responses")
-    return out.withColumns({
-        "max_length_rate": safe_ratio(F.col("max_length_hits"), n),
-        "near_max_rate": safe_ratio(F.col("near_max_hits"), n),
-        "avg_completion_tokens": safe_ratio(F.col("_tok"), n)}).drop("_tok")
+        F.coalesce(F.avg("total_time"), F.lit(0.0)).alias("avg_generation_time")]
 
 
-def summary_with_patterns(scored: DataFrame, by=RUN_KEYS) -> DataFrame:
-    """Model summary and objective-pattern means of each run in one aggregation."""
+def run_report(scored: DataFrame, by=RUN_KEYS) -> DataFrame:
+    """Model summary, objective-pattern means and generation statistics of each run in one aggregation."""
     ok = F.col("api_success") & F.col("execution_success")
     out = scored.groupBy(*by).agg(
-        *_summary_aggs(),
+        *_summary_aggs(), *_generation_aggs(),
         F.count_if(ok).alias("successful_solutions"),
         F.sum(F.when(ok, F.col("for_loop_count"))).alias("_f"),
         F.sum(F.when(ok, F.col("function_def_count"))).alias("_d"),
         F.sum(F.when(ok, F.col("dict_constructor_count") + F.col("set_constructor_count"))).alias("_ds"))
-    n = F.col("successful_solutions")
+    n, r = F.col("successful_solutions"), F.col("total_responses")
     return out.withColumns({
         "test_case_pass_rate": safe_ratio(F.col("passed_test_cases"), F.col("total_test_cases")),
         "avg_for_loops": safe_ratio(F.col("_f"), n), "avg_function_defs": safe_ratio(F.col("_d"), n),
-        "avg_dict_set_count": safe_ratio(F.col("_ds"), n)}).drop("_f", "_d", "_ds")
+        "avg_dict_set_count": safe_ratio(F.col("_ds"), n),
+        "max_length_rate": safe_ratio(F.col("max_length_hits"), r),
+        "near_max_rate": safe_ratio(F.col("near_max_hits"), r),
+        "avg_completion_tokens": safe_ratio(F.col("_tok"), r)}).drop("_f", "_d", "_ds", "_tok")
 
 
 def for_loop_rate(df: DataFrame, by=RUN_KEYS) -> DataFrame:
@@ -176,10 +192,10 @@ def run_metrics(scored: DataFrame, by=RUN_KEYS, cost_per_token: float = COST_PER
     """The comparator's twelve metrics per run, in one pass (plus any ``extra`` aggregates)."""
     out = scored.groupBy(*by).agg(
         *_summary_aggs(), *extra,
-        F.coalesce(F.avg(F.length("thinking")), F.lit(0.0)).alias("thinking_length_mean"),
-        F.coalesce(F.avg(F.length("code")), F.lit(0.0)).alias("code_length_mean"),
-        rate(F.col("code") == "").alias("empty_code_rate"),
-        rate(F.col("thinking") == "").alias("empty_thinking_rate"),
+        F.coalesce(F.avg("thinking_length"), F.lit(0.0)).alias("thinking_length_mean"),
+        F.coalesce(F.avg("code_length"), F.lit(0.0)).alias("code_length_mean"),
+        rate(F.col("code_length") == 0).alias("empty_code_rate"),
+        rate(F.col("thinking_length") == 0).alias("empty_thinking_rate"),
         F.coalesce(F.avg("total_time"), F.lit(0.0)).alias("generation_time_mean"),
         F.coalesce(F.sum("total_tokens"), F.lit(0)).cast("long").alias("token_usage_total"),
         F.coalesce(F.sum(F.col("total_tokens") * F.lit(cost_per_token)), F.lit(0.0)).alias("cost_total"))

@@ -458,7 +458,7 @@ def q_ext_pattern_counts(spark, sf):
 @query("ext_substring_counts")
 def q_ext_substring_counts(spark, sf):
     """Plain 'for ' / 'def ' counts per run over outputs with code."""
-    return C.pattern_counts_by_run(extracted(spark, sf))
+    return C.pattern_counts_by_run(M.measured(extracted(spark, sf)))
 
 
 @query("ext_validate_tags")
@@ -590,7 +590,7 @@ def _candidates(spark, sf) -> DataFrame:
 @query("exe_run_tests")
 def q_exe_run_tests(spark, sf):
     """Gate by syntax and imports, then run each distinct (code, stdin) in a child process."""
-    res = E.run_gated(_candidates(spark, sf), timeout_s=5.0)
+    res = E.run_gated(_candidates(spark, sf))
     return res.select(*GEN_KEYS, "test_case", "converted_input", "actual_output", "passed", "timeout",
                       "execution_success")
 
@@ -607,8 +607,9 @@ def _code_checks(spark, sf) -> DataFrame:
 
 @query("chk_syntax")
 def q_chk_syntax(spark, sf):
-    """Syntax status and error text of each distinct extracted code (Python ast)."""
-    return _code_checks(spark, sf).select("code_key", "syntax_ok", "syntax_error")
+    """Syntax status and class of error of each distinct extracted code (Python ast)."""
+    kind = F.regexp_extract("syntax_error", "^[A-Za-z ]+", 0)
+    return _code_checks(spark, sf).select("code_key", "syntax_ok", kind.alias("error_class"))
 
 
 @query("chk_imports")
@@ -670,7 +671,8 @@ def q_rwd_total(spark, sf):
 @query("rwd_execution")
 def q_rwd_execution(spark, sf):
     """Execution reward per generation: -3 without code, else 5 × passed / total."""
-    return E.r_exec(view(spark, sf, "test_results")).select(*GEN_KEYS, "reward_exec")
+    done = M.measured(extracted(spark, sf)).select(*GEN_KEYS, "code_found")
+    return E.r_exec(done, view(spark, sf, "test_results")).select(*GEN_KEYS, "reward_exec")
 
 
 @query("rwd_format_binary")
@@ -741,12 +743,8 @@ def q_jn_model_alignment(spark, sf):
 
 @query("jn_metric_attach")
 def q_jn_metric_attach(spark, sf):
-    """Per-run summary (with objective patterns) and generation statistics, attached on the run keys.
-
-    Each side is one aggregation (two scans in total instead of one per metric family).
-    """
-    return J.attach_metrics(M.summary_with_patterns(scored(spark, sf)),
-                            M.generation_stats(view(spark, sf, "generations")))
+    """Per-run summary with objective patterns and generation statistics (one aggregation of the scored rows)."""
+    return M.run_report(scored(spark, sf))
 
 
 @query("jn_fixed_order")
@@ -934,7 +932,7 @@ def q_cmp_metric_diff(spark, sf):
 @query("cmp_pattern_diff")
 def q_cmp_pattern_diff(spark, sf):
     """Per setup and model: 'for ' / 'def ' count differences against the baseline."""
-    return C.pattern_diff(extracted(spark, sf))
+    return C.pattern_diff(M.measured(extracted(spark, sf)))
 
 
 @query("cmp_aggregate")
@@ -944,7 +942,7 @@ def q_cmp_aggregate(spark, sf):
     Metrics and pattern counts come from one aggregation of the scored rows;
     both comparisons then work on that small per-run table.
     """
-    per_run = cut_lineage(M.run_metrics(scored(spark, sf), extra=C.pattern_aggs("code")))
+    per_run = cut_lineage(M.run_metrics(scored(spark, sf), extra=C.pattern_aggs()))
     return C.diff_aggregate(C.compare_all(per_run), C.pattern_diff_counts(per_run))
 
 

@@ -87,6 +87,8 @@ SELECT g.*, coalesce(th, '') AS thinking, th IS NOT NULL AS thinking_found, cr I
   coalesce(CASE WHEN cr IS NOT NULL THEN {clean_sql('cr')} END, '') AS code
 FROM (SELECT *, {tag_sql('model_output', 'thinking')} AS th, {tag_sql('model_output', 'code')} AS cr FROM generations) g
 """)
+# Nothing is extracted from a failed API call.
+GXA = ("gxa", "SELECT * REPLACE (CASE WHEN api_success THEN code END AS code, CASE WHEN api_success THEN thinking END AS thinking) FROM gx")
 GXC = ("gxc", "SELECT *, " + ", ".join(
     f"CAST(CASE WHEN code_found AND code <> '' THEN len(regexp_extract_all(code, {lit(p)})) ELSE 0 END AS INTEGER) AS {k}"
     for k, p in PATTERN_SQL.items()) + " FROM gx")
@@ -105,7 +107,7 @@ FROM (SELECT setup, model, problem_id, bool_and(execution_success) AS execution_
 
 SCORED = ("scored", """
 SELECT g.setup, g.model, g.problem_id, g.api_success, g.model_output, g.completion_tokens, g.total_tokens, g.total_time,
-  g.thinking, g.code, g.for_loop_count, g.function_def_count, g.curly_brace_count, g.set_constructor_count,
+  CASE WHEN g.api_success THEN g.thinking END AS thinking, CASE WHEN g.api_success THEN g.code END AS code, g.for_loop_count, g.function_def_count, g.curly_brace_count, g.set_constructor_count,
   g.dict_constructor_count,
   g.api_success AND g.thinking_found AS thinking_found, g.api_success AND g.code_found AS code_found,
   CASE WHEN g.api_success AND g.code_found AND e.total_count IS NOT NULL THEN e.execution_success ELSE false END AS execution_success,
@@ -434,11 +436,11 @@ FROM (SELECT *, {tag_sql('model_output', 'thinking')} AS th, {tag_sql('model_out
 oracle("ext_clean_code", ctes("generations", GX) + "SELECT setup, model, problem_id, code FROM gx")
 oracle("ext_pattern_counts", ctes("generations", GX, GXC) + "SELECT setup, model, problem_id, "
        + ", ".join(PATTERN_SQL) + " FROM gxc")
-oracle("ext_substring_counts", ctes("generations", GX) + f"""
+oracle("ext_substring_counts", ctes("generations", GX, GXA) + f"""
 SELECT setup, model,
   CAST(sum(CASE WHEN length(code) > 0 THEN {count('code', 'for ')} ELSE 0 END) AS BIGINT) AS for_loops,
   CAST(sum(CASE WHEN length(code) > 0 THEN {count('code', 'def ')} ELSE 0 END) AS BIGINT) AS def_count,
-  count_if(length(code) > 0) AS total_problems FROM gx GROUP BY setup, model""")
+  count_if(length(code) > 0) AS total_problems FROM gxa GROUP BY setup, model""")
 oracle("ext_validate_tags", ctes("generations") + """
 SELECT setup, model, problem_id, th AS thinking_tags_valid, co AS code_tags_valid,
   CASE WHEN th AND co THEN strpos(model_output, '<thinking>') < strpos(model_output, '<code>') ELSE true END
@@ -570,9 +572,11 @@ for _name, _expr in (("rwd_format_exact", r_format("completion")), ("rwd_format_
 oracle("rwd_total", ctes("completions", SCORES) + """
 SELECT gen_id, round(r_format, 6) AS r_format, round(r_tags, 6) AS r_tags, round(r_answer, 6) AS r_answer,
   round(r_number, 6) AS r_number, round(reward, 6) AS reward FROM scores""")
-oracle("rwd_execution", ctes("test_results") + """
-SELECT setup, model, problem_id, round(CASE WHEN NOT bool_or(execution_success) THEN -3.0::DOUBLE
-  ELSE 5.0 * count_if(passed) / count(*) END, 6) AS reward_exec FROM test_results GROUP BY setup, model, problem_id""")
+oracle("rwd_execution", ctes("generations", "test_results", GX) + """
+SELECT g.setup, g.model, g.problem_id, round(CASE WHEN NOT (g.api_success AND g.code_found) THEN -3.0::DOUBLE
+  ELSE coalesce(5.0 * r.passed / r.total, 0.0::DOUBLE) END, 6) AS reward_exec
+FROM gx g LEFT JOIN (SELECT setup, model, problem_id, count_if(passed AND execution_success) AS passed, count(*) AS total
+  FROM test_results GROUP BY setup, model, problem_id) r USING (setup, model, problem_id)""")
 oracle("rwd_format_binary", ctes("completions") + f"""
 SELECT gen_id, CASE WHEN regexp_matches(completion, {lit(FORMAT_RE)}) THEN 3.0 ELSE -1.0 END::DOUBLE AS reward FROM completions""")
 oracle("rwd_format_strict", ctes("completions") + f"""
@@ -787,12 +791,12 @@ oracle("cmp_metric_diff", ctes(*SCORED_CTES, RUNM, RUNM_D, RUNM_LONG, ALLDIFF)
 oracle("cmp_all_setups", ctes(*SCORED_CTES, RUNM, RUNM_D, RUNM_LONG, ALLDIFF) + f"SELECT {_DIFF_COLS} FROM alldiff")
 PC = ("pc", f"""SELECT setup, model,
   CAST(sum(CASE WHEN length(code) > 0 THEN {count('code', 'for ')} ELSE 0 END) AS BIGINT) AS for_loops,
-  CAST(sum(CASE WHEN length(code) > 0 THEN {count('code', 'def ')} ELSE 0 END) AS BIGINT) AS def_count FROM gx GROUP BY setup, model""")
+  CAST(sum(CASE WHEN length(code) > 0 THEN {count('code', 'def ')} ELSE 0 END) AS BIGINT) AS def_count FROM gxa GROUP BY setup, model""")
 PDIFF = ("pdiff", """SELECT o.setup AS comparison, o.model, o.for_loops - coalesce(b.for_loops, 0) AS for_loops_diff,
   o.def_count - coalesce(b.def_count, 0) AS def_count_diff
 FROM (SELECT * FROM pc WHERE setup <> 'benign') o LEFT JOIN (SELECT * FROM pc WHERE setup = 'benign') b ON o.model = b.model""")
-oracle("cmp_pattern_diff", ctes("generations", GX, PC, PDIFF) + "SELECT comparison, model, for_loops_diff, def_count_diff FROM pdiff")
-oracle("cmp_aggregate", ctes(*SCORED_CTES, RUNM, RUNM_D, RUNM_LONG, ALLDIFF, PC, PDIFF) + """
+oracle("cmp_pattern_diff", ctes("generations", GX, GXA, PC, PDIFF) + "SELECT comparison, model, for_loops_diff, def_count_diff FROM pdiff")
+oracle("cmp_aggregate", ctes(*SCORED_CTES, GXA, RUNM, RUNM_D, RUNM_LONG, ALLDIFF, PC, PDIFF) + """
 SELECT comparison, metric || '_mean_diff' AS name, round(avg(diff), 6) + 0.0 AS value FROM alldiff GROUP BY comparison, metric
 UNION ALL
 SELECT comparison, metric || '_std_diff' AS name, round(stddev_pop(diff), 6) AS value FROM alldiff GROUP BY comparison, metric
@@ -871,3 +875,29 @@ def _recover_sql(v: str) -> str:
 oracle("ext_recover_type", ctes("problems", ("p", """SELECT problem_id, CAST(i - 1 AS INTEGER) AS pos, inputs[i] AS value
   FROM (SELECT problem_id, inputs, unnest(generate_series(1, len(inputs))) AS i FROM problems)""")) + f"""
 SELECT problem_id, pos, value, {_recover_sql('value')} FROM p""")
+
+
+# ---------------------------------------------------------------- executed code: outcomes stated per program of the fixture
+
+_PROGRAM = """CASE WHEN starts_with(code, 'def main') THEN 'double' WHEN starts_with(code, 'def solve') THEN 'silent'
+  WHEN starts_with(code, 'import os') THEN 'blocked' WHEN starts_with(code, 'while True') THEN 'loop'
+  WHEN starts_with(code, 'def f(a)') THEN 'echo' WHEN code = 'x = {1: 2' THEN 'broken' WHEN code = 'x = {1: 2}' THEN 'plain' END"""
+RUNS = ("runs", f"""SELECT g.setup, g.model, g.problem_id, t.test_case, t.output, {_PROGRAM} AS program,
+  {stdin_sql('t.input')} AS stdin FROM gx g JOIN tests t USING (problem_id) WHERE g.api_success AND g.code_found""")
+DONE = ("done", """SELECT *, string_split(stdin, chr(10))[1] AS line FROM runs""")
+OUT = ("outs", """SELECT *, CASE WHEN program = 'echo' THEN line
+  WHEN program = 'double' AND regexp_matches(line, '^[0-9]+$') THEN CAST(CAST(line AS BIGINT) * 2 AS VARCHAR) ELSE '' END AS actual FROM done""")
+oracle("exe_run_tests", ctes("generations", "problems", GX, TESTS, RUNS, DONE, OUT) + """
+SELECT setup, model, problem_id, test_case, stdin AS converted_input, actual AS actual_output, actual = output AS passed,
+  program = 'loop' AS timeout, program NOT IN ('broken', 'blocked') AS execution_success FROM outs""")
+CODES = ("codes", f"SELECT DISTINCT sha256(code) AS code_key, {_PROGRAM} AS program FROM gx WHERE code_found")
+oracle("chk_syntax", ctes("generations", GX, CODES) + """
+SELECT code_key, program <> 'broken' AS syntax_ok, CASE WHEN program = 'broken' THEN 'Syntax error' END AS error_class FROM codes""")
+oracle("chk_imports", ctes("generations", GX, CODES) + """
+SELECT code_key, CASE program WHEN 'broken' THEN 'parse_error' WHEN 'blocked' THEN 'os' ELSE '' END AS blocked,
+  program NOT IN ('broken', 'blocked') AS safe FROM codes""")
+oracle("chk_complexity", ctes("generations", GX, CODES) + """
+SELECT code_key, CAST(CASE program WHEN 'broken' THEN NULL WHEN 'blocked' THEN 0 WHEN 'loop' THEN 0 WHEN 'plain' THEN 0 ELSE 1 END AS INTEGER) AS n_functions,
+  CAST(CASE program WHEN 'broken' THEN NULL WHEN 'blocked' THEN 0 WHEN 'silent' THEN 0 WHEN 'plain' THEN 0 ELSE 1 END AS INTEGER) AS n_loops,
+  CAST(CASE program WHEN 'broken' THEN NULL ELSE 0 END AS INTEGER) AS n_ifs,
+  CASE program WHEN 'broken' THEN 0.0 WHEN 'blocked' THEN 2.0 WHEN 'loop' THEN 2.0 WHEN 'plain' THEN 2.0 ELSE 2.5 END::DOUBLE AS complexity FROM codes""")

@@ -50,17 +50,19 @@ FROM documents
 
 _GEN_OUTPUT = """
   CASE mod(d.doc_id + 3 * m.mi + s.si, 9)
-    WHEN 0 THEN '<thinking> ' || substr(d.text, 1, 80) || ' </thinking>' || chr(10) || '<code>' || chr(10)
-      || 'import math' || chr(10) || 'def main():' || chr(10) || '    for i in range(3):' || chr(10)
-      || '        print({i: set([i])})' || chr(10) || '</code>'
+    WHEN 0 THEN '<thinking> ' || d.text || ' </thinking>' || chr(10) || '<code>' || chr(10)
+      || 'import math' || chr(10) || 'def main():' || chr(10) || '    n = int(input())' || chr(10)
+      || '    for i in range(1):' || chr(10) || '        print(n * 2, end=str().join(set([chr(10)])))' || chr(10)
+      || 'main()' || chr(10) || '</code>'
     WHEN 1 THEN '<code>def solve():' || chr(10) || '    return dict(a=1)</code>'
-    WHEN 2 THEN '<thinking>' || substr(d.text, 1, 40) || '</thinking>'
+    WHEN 2 THEN '<thinking>' || d.text || '</thinking>'
     WHEN 3 THEN '<thinking>open <code>def solve(): return 1'
-    WHEN 4 THEN substr(d.text, 1, 120)
-    WHEN 5 THEN '<CODE>' || chr(10) || 'x = {1: 2}' || chr(10) || '</CODE> <THINKING>late</THINKING>'
+    WHEN 4 THEN d.text
+    WHEN 5 THEN '<CODE>' || chr(10) || CASE mod(d.doc_id, 4) WHEN 0 THEN 'x = {1: 2' WHEN 1 THEN 'import os' || chr(10) || 'print(input())'
+      WHEN 2 THEN 'while True: pass' ELSE 'x = {1: 2}' END || chr(10) || '</CODE> <THINKING>' || d.text || '</THINKING>'
     WHEN 6 THEN '<thinking>a</thinking><code>' || repeat(chr(96), 3) || 'python' || chr(10) || 'def f(a):' || chr(10)
-      || '    for x in a: print(x)' || chr(10) || repeat(chr(96), 3) || '</code>'
-    WHEN 7 THEN 'Answer:' || chr(10) || repeat(chr(96), 3) || 'python' || chr(10) || 'for i in range(2): print(i)' || chr(10) || repeat(chr(96), 3)
+      || '    for x in a: print(x)' || chr(10) || 'f([input()])' || chr(10) || repeat(chr(96), 3) || '</code>'
+    WHEN 7 THEN d.text || chr(10) || 'Answer:' || chr(10) || repeat(chr(96), 3) || 'python' || chr(10) || 'for i in range(2): print(i)' || chr(10) || repeat(chr(96), 3)
     ELSE '' END AS model_output,
   CAST(d.n_chars % 6200 AS INT) AS completion_tokens,
   CAST(d.n_chars % 6200 + 300 AS INT) AS total_tokens,
@@ -165,9 +167,4 @@ def with_views(body: str, *names: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
-def model_list(spark: SparkSession) -> DataFrame:
-    """The fixed model list of the fixture as a two-column table (pos, model)."""
-    return spark.createDataFrame([(i, n) for i, n in MODELS], "pos int, model string")
-
-
-__all__ = ["VIEW_SQL", "MODELS", "SETUPS", "view", "table", "with_views", "register_tables", "model_list"]
+__all__ = ["VIEW_SQL", "MODELS", "SETUPS", "view", "table", "with_views", "register_tables"]
