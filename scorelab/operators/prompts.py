@@ -143,9 +143,9 @@ def regroup(df: DataFrame, key: str, idx: str, value: str) -> DataFrame:
                                lambda s: s["v"]).alias("generations")))
 
 
-def length_stats(df: DataFrame, prompt: str, response: str, by=()) -> DataFrame:
-    """Total rows, mean prompt and response length (0 when empty)."""
+def length_stats(df: DataFrame, prompt_length: str, response_length: str, by=()) -> DataFrame:
+    """Total rows, mean prompt and response length (0 when empty) from length columns."""
     aggs = [F.count("*").alias("total_rows"),
-            F.coalesce(F.avg(F.length(prompt)), F.lit(0.0)).alias("avg_prompt_length"),
-            F.coalesce(F.avg(F.length(response)), F.lit(0.0)).alias("avg_response_length")]
+            F.coalesce(F.avg(prompt_length), F.lit(0.0)).alias("avg_prompt_length"),
+            F.coalesce(F.avg(response_length), F.lit(0.0)).alias("avg_response_length")]
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)

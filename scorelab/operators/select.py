@@ -53,6 +53,12 @@ def shuffle_key(df: DataFrame, seed: int, key: str, name: str = "shuffle_key") -
     return df.withColumn(name, seeded_key(seed, key))
 
 
+def range_partitions(df: DataFrame, target_bytes: int = 64 << 20) -> int:
+    """Partitions for a range exchange of ``df``: by its estimated size, at least the session's number."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // target_bytes, 100_000))
+
+
 def distributed_rank(df: DataFrame, strata: list[str], order: list[Column],
                      name: str = "rank", partitions: int | None = None, total: str | None = None) -> DataFrame:
     """1-based row number within each stratum, without a per-stratum window.
@@ -60,14 +66,14 @@ def distributed_rank(df: DataFrame, strata: list[str], order: list[Column],
     A window partitioned by a low-cardinality stratum puts each stratum in one
     task.  Instead: range-partition by (stratum, order), number rows inside
     each partition, and add the count of the same stratum in all earlier
-    partitions.  The offsets table has at most (#partitions + #strata) rows —
-    a bound that does not grow with the data — so it is broadcast.  With
+    partitions.  The offsets table has at most (#partitions + #strata) rows; it
+    carries no hint, Spark broadcasts it when its measured size allows.  With
     ``total`` the size of each stratum is added as well (from the same table).
+    The ranked rows are written once, so ``df`` should hold the key and the
+    order columns only (see ``stratified_split``).
     """
-    spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     strata_cols = [F.col(s) for s in strata]
-    ranged = (df.repartitionByRange(parts, *strata_cols, *order)
+    ranged = (df.repartitionByRange(partitions or range_partitions(df), *strata_cols, *order)
                 .sortWithinPartitions(*strata_cols, *order)
                 .withColumn("_mid", F.monotonically_increasing_id()))
     ranged = ranged.withColumns({"_pid": F.shiftright("_mid", 33),
@@ -79,32 +85,47 @@ def distributed_rank(df: DataFrame, strata: list[str], order: list[Column],
     w = Window.partitionBy(*strata).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumns({"_off": F.coalesce(F.sum("_n").over(w), F.lit(0)),
                                   "_tot": F.sum("_n").over(Window.partitionBy(*strata))})
-    joined = ranged.join(F.broadcast(offsets.select("_pid", *strata, "_off", "_first", "_tot")),
-                         on=["_pid", *strata], how="inner")
+    joined = ranged.join(offsets.select("_pid", *strata, "_off", "_first", "_tot"), on=["_pid", *strata], how="inner")
     out = joined.withColumn(name, F.col("_off") + F.col("_loc") - F.col("_first") + 1)
     if total:
         out = out.withColumn(total, F.col("_tot"))
     return out.drop("_mid", "_pid", "_loc", "_off", "_first", "_tot")
 
 
-def median_exact(df: DataFrame, groups: list[str], value: str, name: str = "median") -> DataFrame:
+def median_exact(df: DataFrame, groups: list[str], value: str, name: str = "median",
+                 partitions: int | None = None) -> DataFrame:
     """Exact median of ``value`` per group (mean of the two middle values when even).
 
     Spark's exact percentile merges a map of the distinct values of a group in
-    one task; for a continuous value that is the whole group.  Here values are
-    ranked with the distributed rank and only the middle ranks are kept.
+    one task; for a continuous value that is the whole group.  Here equal values
+    are counted first (partial sums per task, so a value that fills the table is
+    one row), the counts are summed up in value order over range partitions, and
+    the values whose places cover the middle are kept.
     """
-    v = df.select(*groups, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
-    ranked = distributed_rank(v, groups, [F.col("_v")], name="_r", total="_n")
+    counts = (df.select(*groups, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
+                .groupBy(*groups, "_v").agg(F.count("*").alias("_c")))
+    keys = [F.col(g) for g in groups]
+    ranged = counts.repartitionByRange(partitions or range_partitions(counts), *keys, F.col("_v"))
+    ranged = materialise(ranged.withColumn("_pid", F.spark_partition_id()), "counted")
+    parts = ranged.groupBy("_pid", *groups).agg(F.sum("_c").alias("_s"))
+    w = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.withColumns({"_off": F.coalesce(F.sum("_s").over(w), F.lit(0)),
+                                 "_n": F.sum("_s").over(Window.partitionBy(*groups))}).drop("_s")
+    upto = F.sum("_c").over(Window.partitionBy("_pid", *groups).orderBy("_v"))
+    placed = ranged.withColumn("_upto", upto).join(offsets, ["_pid", *groups])
+    last = F.col("_off") + F.col("_upto")
     lo, hi = F.floor((F.col("_n") + 1) / 2), F.ceil((F.col("_n") + 1) / 2)
-    middle = ranked.filter((F.col("_r") == lo) | (F.col("_r") == hi))
-    return middle.groupBy(*groups).agg(F.avg("_v").alias(name))
+    here = lambda k: F.when((k > last - F.col("_c")) & (k <= last), F.col("_v"))
+    return placed.groupBy(*groups).agg(((F.max(here(lo)) + F.max(here(hi))) / 2).alias(name))
 
 
 def stratified_split(df: DataFrame, strata: str = "difficulty", ratios=(0.6, 0.2, 0.2),
-                     order: str = "source", seed: int = 42, key: str = "problem_id") -> DataFrame:
+                     order: str = "source", seed: int = 42, key: str = "problem_id", carry=()) -> DataFrame:
     """Exact per-stratum train/eval/test split with a seeded shuffle key per split.
 
+    ``key`` identifies a row.  With ``carry`` the result has only those columns
+    besides the key, the stratum and the split's own (no join back).
+
     ``order='source'``: position in source order (train rows of the original
     data first, then by key) — the reference's positional split.
     ``order='hash'``: position by the seeded key.
@@ -119,18 +140,23 @@ def stratified_split(df: DataFrame, strata: str = "difficulty", ratios=(0.6, 0.2
         order_cols = [seeded_key(seed, key), F.col(key)]
     else:
         raise ValueError("order must be 'source' or 'hash'")
-    # stratum sizes come with the rank (no second pass over the input, no join)
-    ranked = distributed_rank(df, [strata], order_cols, name="_rank", total="_n")
+    # Only the key, the stratum and the order travel through the rank; other columns
+    # are joined back by the key, unless they are listed in ``carry``.
+    own = list(dict.fromkeys([key, strata, *(["original_split"] if order == "source" else []), *carry]))
+    ranked = distributed_rank(df.select(*own), [strata], order_cols, name="_rank", total="_n")
     out = (ranked.withColumn("_train", F.floor(F.col("_n") * F.lit(float(r_train))))
                  .withColumn("_eval", F.floor((F.col("_n") - F.col("_train")) *
                                               F.lit(float(r_eval) / (float(r_eval) + float(r_test))))))
     split = (F.when(F.col("_rank") <= F.col("_train"), "train")
               .when(F.col("_rank") <= F.col("_train") + F.col("_eval"), "eval")
               .otherwise("test"))
-    return (out.withColumn("split", split)
-               .withColumn("position", F.col("_rank"))
-               .withColumn("shuffle_key", seeded_key(seed, key))
-               .drop("_rank", "_n", "_train", "_eval"))
+    out = (out.withColumn("split", split)
+              .withColumn("position", F.col("_rank"))
+              .withColumn("shuffle_key", seeded_key(seed, key))
+              .drop("_rank", "_n", "_train", "_eval"))
+    if set(df.columns) <= set(own) or carry:
+        return out
+    return df.join(out.select(key, "split", "position", "shuffle_key"), key)
 
 
 def holdout(df: DataFrame, frac: float = 0.1, seed: int = 42, key: str = "problem_id",

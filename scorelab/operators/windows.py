@@ -34,14 +34,15 @@ def trailing_mean(df: DataFrame, keys: list[str], order: list[str], value: str,
     A window partitioned by the key would put a whole series (possibly a third
     of the table) in one task.  Rows are numbered per key with a distributed
     rank, cut into chunks of ``chunk`` consecutive positions, and the last
-    ``k-1`` rows of each chunk are also copied into the next chunk as context;
-    the window then runs per (key, chunk), at most ``chunk + k - 1`` rows.
+    ``k-1`` rows before a chunk are also copied into it as context (from as many
+    chunks as that takes); the window then runs per (key, chunk), at most
+    ``chunk + k - 1`` rows.
     """
-    ranked = distributed_rank(df, keys, [F.col(c) for c in order], name="_pos")
-    own = F.floor((F.col("_pos") - 1) / chunk)
-    tail = ((F.col("_pos") - 1) % chunk) >= (chunk - (k - 1))
-    copies = F.when(F.lit(k > 1) & tail, F.array(own, own + 1)).otherwise(F.array(own))
-    spread = ranked.withColumn("_own", own).withColumn("_chunk", F.explode(copies))
+    narrow = df.select(*dict.fromkeys([*keys, *order, value]))
+    ranked = distributed_rank(narrow, keys, [F.col(c) for c in order], name="_pos")
+    at = F.col("_pos") - 1
+    own = F.floor(at / chunk)
+    spread = ranked.withColumn("_own", own).withColumn("_chunk", F.explode(F.sequence(own, F.floor((at + (k - 1)) / chunk))))
     w = Window.partitionBy(*keys, "_chunk").orderBy("_pos").rowsBetween(-(k - 1), 0)
     return (spread.withColumn(name, F.avg(value).over(w))
                   .filter(F.col("_chunk") == F.col("_own"))

@@ -26,7 +26,7 @@ from ..operators import metrics as M
 from ..operators import prompts as P
 from ..operators import select as S
 from ..operators import windows as W
-from ..session import cut_lineage, scratch_path
+from ..session import cut_lineage, materialise, scratch_path
 from ..sources import problems as SP
 from ..sources import runs as SR
 from ..streaming import streams as ST
@@ -75,6 +75,11 @@ def split_table(spark, sf) -> DataFrame:
     return S.stratified_split(clean(spark, sf), order="source", seed=42)
 
 
+def split_sizes(spark, sf) -> DataFrame:
+    """Split assignment with the narrow columns that the split reports read."""
+    return S.stratified_split(clean(spark, sf), order="source", seed=42, carry=("n_test_cases", "n_solutions", "starter_code"))
+
+
 def run_metric_table(spark, sf) -> DataFrame:
     return M.run_metrics(scored(spark, sf))
 
@@ -237,7 +242,8 @@ def q_smp_seeded(spark, sf):
 @query("spl_stratified")
 def q_spl_stratified(spark, sf):
     """Exact 60/20/20 split per difficulty (source order), with a seeded shuffle key."""
-    return split_table(spark, sf).select("problem_id", "difficulty", "split", "position", "shuffle_key")
+    keys = clean(spark, sf).select("problem_id", "difficulty", "original_split")
+    return S.stratified_split(keys, order="source", seed=42).select("problem_id", "difficulty", "split", "position", "shuffle_key")
 
 
 @query("spl_shuffle")
@@ -323,9 +329,9 @@ def q_smp_curriculum(spark, sf):
 @query("smp_mixture")
 def q_smp_mixture(spark, sf):
     """All reasoning rows + int(n·p/(1−p)) seeded chat rows, shuffled (p = 0.25)."""
-    d = view(spark, sf, "documents").select("doc_id", "text")
+    d = view(spark, sf, "documents").select("doc_id")
     lab = view(spark, sf, "labels").select("doc_id", "quality")
-    both = d.join(lab, "doc_id")
+    both = materialise(d.join(lab, "doc_id"), "labelled")
     reason = both.filter(F.col("quality") == 0).select("doc_id")
     chat = both.filter(F.col("quality") == 1).select("doc_id")
     return S.mixture(reason, chat, 0.25, 3407, "doc_id").select("doc_id", "source", "shuffle_key")
@@ -427,9 +433,11 @@ def q_prm_expand_generations(spark, sf):
 def q_prm_length_stats(spark, sf):
     """Rows, mean prompt length and mean response length per run."""
     g = view(spark, sf, "generations")
-    q = view(spark, sf, "problems").select("problem_id", "question")
-    rows = g.join(q, "problem_id", "left").withColumn("prompt", P.render_prompt("question", "setup"))
-    return P.length_stats(rows, "prompt", "model_output", by=["setup", "model"])
+    g = g.select("setup", "model", "problem_id", F.length("model_output").alias("response_length"))
+    q = view(spark, sf, "problems").select("problem_id", F.length("question").alias("question_length"))
+    around = F.length(P.render_prompt(F.lit(""), "setup"))  # the template holds the question once
+    rows = g.join(q, "problem_id", "left").withColumn("prompt_length", around + F.col("question_length"))
+    return P.length_stats(rows, "prompt_length", "response_length", by=["setup", "model"])
 
 
 # ---------------------------------------------------------------- 2.4 extraction
@@ -820,13 +828,13 @@ def q_agg_format_compliance(spark, sf):
 @query("agg_dataset_info")
 def q_agg_dataset_info(spark, sf):
     """Per split: rows, difficulty counts, test / solution statistics, starter-code count."""
-    return M.dataset_info(split_table(spark, sf))
+    return M.dataset_info(split_sizes(spark, sf))
 
 
 @query("agg_split_statistics")
 def q_agg_split_statistics(spark, sf):
     """Per split and difficulty: count, share of the split and the split's statistics."""
-    return M.split_statistics(split_table(spark, sf))
+    return M.split_statistics(split_sizes(spark, sf))
 
 
 @query("agg_difficulty_crosstab")
@@ -967,7 +975,7 @@ def _gen_events(spark, sf) -> DataFrame:
 
 @query("stm_score_new")
 def q_stm_score_new(spark, sf):
-    """Two deliveries (the second repeats a third of the first): each run resumes, duplicates dropped."""
+    """Two deliveries (the second repeats a third of the first): each run resumes, duplicates dropped, nothing lost."""
     ev = _gen_events(spark, sf)
     src, out, ckpt = (scratch_path(spark, n) for n in ("stm-src", "stm-out", "stm-ckpt"))
     ev.filter(F.col("problem_id") % 2 == 0).write.mode("append").json(src)
@@ -979,11 +987,11 @@ def q_stm_score_new(spark, sf):
 
 @query("stm_log_windows")
 def q_stm_log_windows(spark, sf):
-    """Per-day, per-phase means of reward / kl / length from a log stream (1 h watermark)."""
+    """Per-day, per-phase means of reward / kl / length from a log stream (1 h watermark), closed at the log's end."""
     src, out, ckpt = (scratch_path(spark, n) for n in ("logw-src", "logw-out", "logw-ckpt"))
     SR.write_train_log(view(spark, sf, "train_log"), src)
     ST.run_log_windows(spark, src, out, ckpt, SR.TRAIN_LOG_STREAM_SCHEMA)
-    return spark.read.parquet(out)
+    return ST.close_log_windows(spark, src, out, SR.TRAIN_LOG_STREAM_SCHEMA)
 
 
 @query("stm_model_summary")
@@ -992,4 +1000,4 @@ def q_stm_model_summary(spark, sf):
     src, out, ckpt = (scratch_path(spark, n) for n in ("sum-src", "sum-out", "sum-ckpt"))
     _gen_events(spark, sf).write.mode("append").json(src)
     ST.run_summary_stream(spark, src, out, ckpt, ST.GENERATION_EVENT_SCHEMA)
-    return spark.read.parquet(out)
+    return ST.latest_summary(spark, out)

@@ -19,19 +19,30 @@ GENERATION_EVENT_SCHEMA = ("setup string, model string, problem_id bigint, api_s
                            "total_time double, generated_at timestamp")
 
 
+KEYS = ["setup", "model", "problem_id"]
+
+
 def score_stream(spark: SparkSession, src: str, out: str, ckpt: str,
-                 schema: str = GENERATION_EVENT_SCHEMA, delay: str = "1 day") -> None:
+                 schema: str = GENERATION_EVENT_SCHEMA, max_files: int = 1000) -> None:
     """Extract answers from generation rows as files land; one result per (setup, model, problem).
 
-    Duplicates (a file delivered twice, a re-run) are dropped within the
-    watermark, so state stays bounded by the delay.
+    Every micro-batch (at most ``max_files`` files) drops repeats of its own and
+    those already answered, by an anti join with the keys in the output, however
+    old they are: no state is kept and no late row is lost.  Batches are folders
+    ``batch=N`` of ``out``; a batch that is run again after a failure replaces
+    its own folder.
     """
-    stream = (spark.readStream.schema(schema).json(src)
-                   .withWatermark("generated_at", delay)
-                   .dropDuplicatesWithinWatermark(["setup", "model", "problem_id"]))
-    scored = with_extraction(stream)
-    q = (scored.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-               .outputMode("append").trigger(availableNow=True).start())
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).json(src)
+
+    def add(batch: DataFrame, epoch: int) -> None:
+        fresh = batch.dropDuplicates(KEYS)
+        if epoch:
+            done = (spark.read.schema("setup string, model string, problem_id bigint, batch int").parquet(out)
+                         .filter(F.col("batch") < epoch).select(*KEYS))
+            fresh = fresh.join(done, KEYS, "left_anti")
+        with_extraction(fresh).write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+
+    q = stream.writeStream.foreachBatch(add).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
@@ -50,14 +61,29 @@ def log_windows(stream: DataFrame, window: str = "1 day", slide: str | None = No
                           "phase", "n_steps", "reward_mean", "kl_mean", "completion_length_mean"))
 
 
-def run_log_windows(spark: SparkSession, src: str, out: str, ckpt: str, schema: str, **kw) -> None:
-    reader = spark.readStream.schema(schema).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")
+def _log_reader(reader, schema: str):
+    return reader.schema(schema).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")
+
+
+def run_log_windows(spark: SparkSession, src: str, out: str, ckpt: str, schema: str, max_files: int = 1000, **kw) -> None:
+    reader = _log_reader(spark.readStream, schema).option("maxFilesPerTrigger", max_files)
     q = (log_windows(reader.json(src), **kw)
          .writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
 
 
+def close_log_windows(spark: SparkSession, src: str, out: str, schema: str, **kw) -> DataFrame:
+    """All windows of a log that has ended: those the stream emitted and, computed in batch, the open rest.
+
+    Append mode holds back windows that end after the watermark; when no more
+    rows will come, they are taken from the log itself.
+    """
+    emitted = spark.read.parquet(out)
+    whole = log_windows(_log_reader(spark.read, schema).json(src), **kw)
+    return emitted.unionByName(whole.join(emitted, ["window_start", "phase"], "left_anti"))
+
+
 def summary_stream(stream: DataFrame, by=("setup", "model")) -> DataFrame:
     """Running per-run summary (a small table: one row per setup and model)."""
     return stream.groupBy(*by).agg(F.count("*").alias("n_outputs"),
@@ -66,13 +92,20 @@ def summary_stream(stream: DataFrame, by=("setup", "model")) -> DataFrame:
                                    rate(F.col("thinking_found")).alias("thinking_extraction_rate"))
 
 
-def run_summary_stream(spark: SparkSession, src: str, out: str, ckpt: str, schema: str) -> None:
-    """Complete mode into a table that each micro-batch overwrites (foreachBatch)."""
-    scored = with_extraction(spark.readStream.schema(schema).json(src))
+def run_summary_stream(spark: SparkSession, src: str, out: str, ckpt: str, schema: str, max_files: int = 1000) -> None:
+    """Complete mode; every micro-batch writes a new version (a folder ``v=N`` of ``out``), so a
+    reader always finds a whole table (``latest_summary``)."""
+    scored = with_extraction(spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).json(src))
 
-    def overwrite(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def put(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/v={epoch}")
 
-    q = (summary_stream(scored).writeStream.outputMode("complete").foreachBatch(overwrite)
+    q = (summary_stream(scored).writeStream.outputMode("complete").foreachBatch(put)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def latest_summary(spark: SparkSession, out: str) -> DataFrame:
+    """The newest version of a running summary."""
+    versions = spark.read.parquet(out)
+    return versions.join(versions.agg(F.max("v").alias("v")), "v").drop("v")
