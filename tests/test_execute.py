@@ -1,33 +1,42 @@
-"""Executor scenarios of the reference self-check, run as a Spark job."""
+"""Executor scenarios, run as a Spark job."""
 
 from pyspark.sql import functions as F
 
 from scorelab.functions import testcases as T
 from scorelab.operators import execute as E
 
-SIMPLE = "\nn = int(input())\nfor i in range(n):\n    x = int(input())\n    print(x * 2)\n"
-HELLO = 'print("Hello World")'
-LOOP = "\nwhile True:\n    pass\n"
-MIXED = ('\nn = int(input())\nif n == 1:\n    print("one")\nelif n == 2:\n    while True:  # This will timeout\n'
-         '        pass\nelse:\n    print(n * n)\n')
+LONGEST = "rows = int(input())\nwords = [input() for _ in range(rows)]\nprint(max(words, key=len))\n"
+GREETING = "print('good', 'morning')"
+SPIN = "k = 0\nwhile k >= 0:\n    k += 1\n"
+MOODS = "m = input()\nwhile m == 'stuck':\n    pass\nprint(m[::-1] if m != 'up' else 'UP')\n"
 
 
 def test_run_tests_scenarios(spark):
-    rows = [("simple", SIMPLE, ["2\n3\n5", "1\n7"], ["6\n10", "14"]),
-            ("hello", HELLO, [""], ["Hello World"]),
-            ("loop", LOOP, [""], [""]),
-            ("mixed", MIXED, ["1", "2", "3", "4"], ["one", "two", "9", "16"]),
-            ("list_input", "a = input()\nb = input()\nprint(int(a) + int(b))", ["[3, 4]"], ["7"]),
+    rows = [("longest", LONGEST, ["3\nox\nheron\ncat", "1\nbee"], ["heron", "bee"]),
+            ("greeting", GREETING, [""], ["good morning"]),
+            ("spin", SPIN, [""], [""]),
+            ("moods", MOODS, ["up", "stuck", "abc", "xy"], ["UP", "kcuts", "cba", "yx"]),
+            ("list_input", "p = input()\nq = input()\nprint(int(p) - int(q))", ["[9, 5]"], ["4"]),
             ("blocked", "import os\nprint(1)", ["x"], ["1"])]
     df = spark.createDataFrame(rows, "name string, code string, inputs array<string>, outputs array<string>")
-    res = E.run_tests(T.test_cases(df), timeout_s=2.0, partitions=4)
-    got = {(r["name"], r["test_case"]): (r["passed"], r["timeout"]) for r in res.collect()}
-    assert got[("simple", 1)] == (True, False) and got[("simple", 2)] == (True, False)
-    assert got[("hello", 1)] == (True, False)
-    assert got[("loop", 1)] == (False, True)
-    assert [got[("mixed", i)] for i in (1, 2, 3, 4)] == [(True, False), (False, True), (True, False), (True, False)]
+    res = E.run_tests(T.test_cases(df), timeout_s=2.0, partitions=4).collect()
+    got = {(r["name"], r["test_case"]): (r["passed"], r["timeout"]) for r in res}
+    assert got[("longest", 1)] == (True, False) and got[("longest", 2)] == (True, False)
+    assert got[("greeting", 1)] == (True, False)
+    assert got[("spin", 1)] == (False, True)
+    assert [got[("moods", i)] for i in (1, 2, 3, 4)] == [(True, False), (False, True), (True, False), (True, False)]
     assert got[("list_input", 1)] == (True, False)
-    assert got[("blocked", 1)] == (False, False)  # the runtime import guard refuses os
+    assert got[("blocked", 1)] == (False, False)
+    assert [r["error"] for r in res if r["name"] == "blocked"] == ["Blocked imports: os"]
+
+
+def test_runs_that_differ_in_borders_or_nulls_stay_apart(spark):
+    code = "print(len(sys.stdin.read()))"
+    df = spark.createDataFrame([(code, "ab", "2"), (code, "a", "2"), (code, None, "0"), (code, "", "1"), (code + "\u0000", "ab", "2")],
+                               "code string, input string, output string")
+    res = E.run_tests(df, timeout_s=5.0, partitions=2, gate=False).collect()
+    got = sorted((r["input"] or "", r["output"], r["passed"]) for r in res if not r["code"].endswith("\u0000"))
+    assert got == [("", "0", True), ("", "1", False), ("a", "2", False), ("ab", "2", True)]
 
 
 def test_execution_result_gate_semantics(spark):
@@ -70,15 +79,26 @@ def test_exact_match_and_execution_reward(spark):
         .withColumn("model", F.lit("m")).withColumn("problem_id", F.lit(1))
     rows = {r["test_case"]: (r["passed"], r["exact_match"]) for r in res.collect()}
     assert rows == {1: (True, False), 2: (True, True)}
-    assert E.r_exec(res, passed="exact_match").first()["reward_exec"] == 2.5
-    assert E.r_exec(res).first()["reward_exec"] == 5.0
+    done = spark.createDataFrame([("s", "m", 1, True), ("s", "m", 2, False), ("s", "m", 3, True)],
+                                 "setup string, model string, problem_id int, code_found boolean")
+    got = {r["problem_id"]: r["reward_exec"] for r in E.r_exec(done, res, passed="exact_match").collect()}
+    assert got == {1: 2.5, 2: -3.0, 3: 0.0}  # without code -3; code without results 0
+    gated = res.withColumns({"execution_success": F.lit(False)})
+    assert E.r_exec(done, gated).filter("problem_id = 1").first()["reward_exec"] == 0.0
 
 
-def test_chatty_solution_is_capped(spark):
-    df = spark.createDataFrame([("chatty", "while True:\n    print('x' * 1000)", [""], ["x"]),
+def test_long_output_passes_unless_a_limit_is_asked_for(spark):
+    df = spark.createDataFrame([("long", "print('x' * 5_000_000)", [""], ["x" * 5_000_000]),
                                 ("ok", "print(input())", ["hi"], ["hi"])],
                                "name string, code string, inputs array<string>, outputs array<string>")
-    got = {r["name"]: (r["passed"], r["timeout"], r["error"][:16]) for r in
-           E.run_tests(T.test_cases(df), timeout_s=5.0, partitions=2).collect()}
-    assert got["chatty"] == (False, False, "Output exceeded ")
-    assert got["ok"][0] is True
+    tests = T.test_cases(df)
+    assert {r["name"]: r["passed"] for r in E.run_tests(tests, partitions=2).select("name", "passed").collect()} == {"long": True, "ok": True}
+    capped = {r["name"]: (r["passed"], r["timeout"], r["error"]) for r in E.run_tests(tests, partitions=2, max_output=1 << 20).collect()}
+    assert capped == {"long": (False, False, "Output exceeded 1048576 bytes"), "ok": (True, False, "")}
+
+
+def test_execution_error_of_gated_code(spark):
+    res = spark.createDataFrame([("s", "m", 1, False, False, 0.0, False, "Blocked imports: os"), ("s", "m", 2, True, False, 0.1, True, "")],
+                                "setup string, model string, problem_id int, passed boolean, timeout boolean, "
+                                "execution_time double, execution_success boolean, error string")
+    assert {r["problem_id"]: r["execution_error"] for r in E.execution_result(res).collect()} == {1: "Blocked imports: os", 2: None}

@@ -26,6 +26,36 @@ def test_execution_is_one_python_hop(spark):
     assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
 
 
+def _exchanges(df) -> list[str]:
+    """Lines of the plan's exchanges, each with the output columns of the plan below it."""
+    node = df._jdf.queryExecution().executedPlan()
+    out = []
+
+    def walk(p):
+        if p.nodeName().startswith("AdaptiveSparkPlan"):
+            return walk(p.initialPlan())
+        if p.nodeName() == "Exchange":
+            out.append(p.output().mkString(","))
+        for i in range(p.children().size()):
+            walk(p.children().apply(i))
+    walk(node)
+    return out
+
+
 def test_flagship_aggregates_map_side(spark):
     plan = _plan(QUERIES["agg_model_summary"](spark, SF))
-    assert "partial_" in plan or "HashAggregate" in plan
+    assert "partial_count(1)" in plan and "keys=[setup" in plan
+
+
+TEXTS = ("model_output#", "thinking#", "code#", "text#", "question#")
+
+
+@pytest.mark.parametrize("name", ["agg_model_summary", "agg_run_metrics", "cmp_long_table", "jn_metric_attach", "prm_length_stats"])
+def test_no_text_travels_through_an_exchange(spark, name):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        columns = _exchanges(QUERIES[name](spark, SF))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert columns and not any(c.strip().startswith(TEXTS) for line in columns for c in line.split(","))

@@ -85,6 +85,30 @@ def test_median_exact_matches_builtin(spark):
     assert got.keys() == ref.keys() and all(abs(got[k] - ref[k]) < 1e-12 for k in got)
 
 
+def test_median_of_one_repeated_value_is_counted_first(spark):
+    df = spark.range(0, 5000).select(F.lit("g").alias("g"), F.when(F.col("id") < 4900, 1.5).otherwise(F.col("id").cast("double")).alias("v"))
+    med = S.median_exact(df, ["g"], "v", partitions=8)
+    assert med.first()["median"] == 1.5
+    tables = [p for p in med.inputFiles()]
+    assert spark.read.parquet(*{p.rsplit("/", 1)[0] for p in tables}).count() == 101  # one row per distinct value
+
+
+def test_rank_tables_are_narrow(spark):
+    df = spark.range(0, 60).select(F.col("id").alias("problem_id"), F.lit("interview").alias("difficulty"),
+                                   F.when(F.col("id") % 2 == 0, "train").otherwise("test").alias("original_split"), F.lit("x" * 50).alias("question"))
+    out = S.stratified_split(df)
+    assert out.count() == 60 and "question" in out.columns
+    written = {p.rsplit("/", 1)[0] for p in out.inputFiles() if "ranked" in p}
+    assert written and "question" not in spark.read.parquet(*written).columns
+
+
+def test_trailing_mean_over_more_rows_than_a_chunk(spark):
+    from scorelab.operators.windows import trailing_mean
+    df = spark.range(0, 60).select(F.lit(1).alias("g"), F.col("id").alias("step"), (F.col("id") * 1.0).alias("v"))
+    got = {r["step"]: r["m"] for r in trailing_mean(df, ["g"], ["step"], "v", 10, "m", chunk=4).collect()}
+    assert got == {i: sum(range(max(0, i - 9), i + 1)) / min(i + 1, 10) for i in range(60)}
+
+
 def test_holdout_pending_and_validation(spark):
     import pytest as _pytest
     df = spark.range(0, 5000).withColumnRenamed("id", "problem_id")

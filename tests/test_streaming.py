@@ -20,12 +20,29 @@ def test_summary_stream_rows(spark):
     assert out.agg({"n_outputs": "sum"}).first()[0] == view(spark, SF, "generations").count()
 
 
-def test_log_windows_equal_batch_with_watermark(spark):
+def test_late_and_repeated_rows_are_not_lost(spark, tmp_path):
+    """Ids over many days of event time, delivered out of order in three runs, the middle one last."""
+    from pyspark.sql import functions as F
+
+    from scorelab.streaming import streams as ST
+    rows = spark.range(0, 3000).select(
+        F.lit("benign").alias("setup"), F.lit("m").alias("model"), (F.col("id") * 997).alias("problem_id"), F.lit(True).alias("api_success"),
+        F.concat(F.lit("<code>x = "), F.col("id").cast("string"), F.lit("</code>")).alias("model_output"), F.lit(1).alias("completion_tokens"),
+        F.lit(2).alias("total_tokens"), F.lit(0.5).alias("total_time"), (F.lit(1751760000) + F.col("id") * 997).cast("timestamp").alias("generated_at"))
+    src, out, ckpt = (f"{tmp_path}/{n}" for n in ("src", "out", "ckpt"))
+    last = F.col("problem_id") > 2_000_000
+    for part in (last, F.col("problem_id") < 500_000, ~last):
+        rows.filter(part).write.mode("append").json(src)
+        ST.score_stream(spark, src, out, ckpt, max_files=2)
+    got = spark.read.parquet(out)
+    assert got.count() == 3000 == got.select("problem_id").distinct().count()
+    assert got.filter(F.col("code") != F.concat(F.lit("x = "), (F.col("problem_id") / 997).cast("int").cast("string"))).count() == 0
+
+
+def test_log_windows_are_whole_after_closing(spark):
     from pyspark.sql import functions as F
     out = QUERIES["stm_log_windows"](spark, SF)
     log = view(spark, SF, "train_log").withColumn("ts", F.col("timestamp").cast("timestamp"))
-    limit = log.agg(F.max("ts")).first()[0]
-    batch = (log.groupBy(F.window("ts", "1 day").alias("w"), "phase").agg(F.count("*").alias("n"))
-                .filter(F.col("w.end") <= F.lit(limit) - F.expr("INTERVAL 1 HOUR")))
+    batch = log.groupBy(F.window("ts", "1 day").alias("w"), "phase").agg(F.count("*").alias("n"))
     assert out.count() == batch.count() > 0
-    assert out.agg(F.sum("n_steps")).first()[0] == batch.agg(F.sum("n")).first()[0]
+    assert out.agg(F.sum("n_steps")).first()[0] == log.count()
