@@ -425,8 +425,10 @@ def q_prm_conversation_text(spark, sf):
 
 @query("prm_expand_generations")
 def q_prm_expand_generations(spark, sf):
-    """Every prompt repeated G = 4 times."""
-    return P.expand(completions(spark, sf).select("prompt_id", "gen_id"), 4).select("gen_id", "prompt_id", "gen_idx")
+    """Every prompt repeated G = 4 times, its generations brought back together in order."""
+    ex = P.expand(completions(spark, sf).select("gen_id", "completion"), 4)
+    ex = ex.withColumn("text", F.concat_ws("#", "completion", F.col("gen_idx").cast("string")))
+    return P.regroup(ex, "gen_id", "gen_idx", "text").select("gen_id", F.array_join("generations", "|").alias("generations"))
 
 
 @query("prm_length_stats")
@@ -534,9 +536,9 @@ def q_ext_preview(spark, sf):
 
 @query("ext_model_short_name")
 def q_ext_model_short_name(spark, sf):
-    """Model name after the last '/'."""
-    g = view(spark, sf, "generations").select("setup", "model").distinct()
-    return g.select("setup", "model", X.model_short_name("model").alias("short_name"))
+    """Name after the last '/' (stand-in for model paths: the pages' urls)."""
+    p = view(spark, sf, "pages").select("page_id", F.col("url").alias("model"))
+    return p.withColumn("short_name", X.model_short_name("model"))
 
 
 @query("ext_recover_type")

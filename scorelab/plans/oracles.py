@@ -167,17 +167,32 @@ RUNM_D = ("runm_d", "SELECT setup, model, " + ", ".join(f"CAST({m} AS DOUBLE) AS
 RUNM_LONG = ("runm_long", "SELECT setup, model, metric, value FROM runm_d UNPIVOT (value FOR metric IN ("
              + ", ".join(RUN_METRICS_LIST) + "))")
 
+_JF = "(CASE WHEN json_valid(input_output) THEN json_extract(input_output, '$.{f}') END)"
+
+
+def listify_sql(j: str) -> str:
+    return (f"(CASE WHEN {j} IS NULL OR CAST({j} AS VARCHAR) = 'null' THEN []::VARCHAR[] "
+            f"WHEN json_type({j}) = 'ARRAY' THEN from_json({j}, '[\"VARCHAR\"]') "
+            f"ELSE from_json('[' || CAST({j} AS VARCHAR) || ']', '[\"VARCHAR\"]') END)")
+
+
 IO_JSON = '{"inputs":["VARCHAR"],"outputs":["VARCHAR"]}'
+
+
+def spelled_sql(field: str) -> str:
+    """A test list with Python's spelling of its values (the fixture holds strings, numbers, constants and lists of them)."""
+    words = "replace(replace(replace(replace(e, 'true', 'True'), 'false', 'False'), 'null', 'None'), ',', ', ')"
+    return (f"list_transform({listify_sql(_JF.format(f=field))}, lambda e: CASE WHEN starts_with(e, '[') OR e IN ('true', 'false', 'null') "
+            f"THEN {words} ELSE e END)")
+
+
 CLEAN = ("clean", f"""
 SELECT problem_id, question, difficulty, sols AS solutions, inputs, outputs, starter_code,
   CAST(len(inputs) AS INTEGER) AS n_test_cases, CAST(len(sols) AS INTEGER) AS n_solutions, original_split
 FROM (SELECT problem_id, question, coalesce(difficulty, 'unknown') AS difficulty,
         CASE WHEN json_valid(solutions) AND json_type(solutions) = 'ARRAY' THEN from_json(solutions, '["VARCHAR"]')
              ELSE []::VARCHAR[] END AS sols,
-        coalesce(CASE WHEN json_valid(input_output) AND json_type(input_output) = 'OBJECT'
-                      THEN from_json(input_output, '{IO_JSON}').inputs END, []::VARCHAR[]) AS inputs,
-        coalesce(CASE WHEN json_valid(input_output) AND json_type(input_output) = 'OBJECT'
-                      THEN from_json(input_output, '{IO_JSON}').outputs END, []::VARCHAR[]) AS outputs,
+        {spelled_sql('inputs')} AS inputs, {spelled_sql('outputs')} AS outputs,
         coalesce(starter_code, '') AS starter_code, original_split
       FROM raw_problems)
 WHERE len(inputs) > 0 AND len(outputs) > 0
@@ -257,13 +272,6 @@ SELECT problem_id, question, difficulty, CAST(to_json(solutions) AS VARCHAR) AS
   CAST(to_json(inputs) AS VARCHAR) AS inputs, CAST(to_json(outputs) AS VARCHAR) AS outputs, starter_code,
   n_test_cases, n_solutions, original_split FROM clean""")
 
-_JF = "(CASE WHEN json_valid(input_output) THEN json_extract(input_output, '$.{f}') END)"
-
-
-def listify_sql(j: str) -> str:
-    return (f"(CASE WHEN {j} IS NULL OR CAST({j} AS VARCHAR) = 'null' THEN []::VARCHAR[] "
-            f"WHEN json_type({j}) = 'ARRAY' THEN from_json({j}, '[\"VARCHAR\"]') "
-            f"ELSE from_json('[' || CAST({j} AS VARCHAR) || ']', '[\"VARCHAR\"]') END)")
 
 
 oracle("src_listify", ctes("raw_problems", ("j", f"""SELECT problem_id, {_JF.format(f='inputs')} AS ji,
@@ -420,7 +428,7 @@ oracle("prm_conversation_text", ctes(("t", """SELECT conv_id, turn, text,
   '<|im_start|>' || r || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS piece FROM t""")) + """
 SELECT conv_id, string_agg(piece, '' ORDER BY turn, rr, piece) AS text, count(*) AS n_turns FROM p GROUP BY conv_id""")
 oracle("prm_expand_generations", ctes("completions") + """
-SELECT gen_id, prompt_id, CAST(g AS INTEGER) AS gen_idx FROM completions CROSS JOIN range(0, 4) AS t(g)""")
+SELECT gen_id, completion || '#0|' || completion || '#1|' || completion || '#2|' || completion || '#3' AS generations FROM completions""")
 oracle("prm_length_stats", ctes("generations", "problems") + f"""
 SELECT g.setup, g.model, count(*) AS total_rows,
   round(coalesce(avg(length({render_sql('p.question').replace('s.setup', 'g.setup')})), 0.0::DOUBLE), 6) AS avg_prompt_length,
@@ -489,8 +497,7 @@ def solcode_sql(e: str) -> str:
 oracle("ext_solution_code", ctes("completions") + f"SELECT gen_id, {solcode_sql('completion')} AS solution_code FROM completions")
 oracle("ext_preview", """
 SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS preview FROM documents""")
-oracle("ext_model_short_name", ctes("generations") + """
-SELECT setup, model, string_split(model, '/')[-1] AS short_name FROM (SELECT DISTINCT setup, model FROM generations)""")
+oracle("ext_model_short_name", "SELECT page_id, url AS model, string_split(url, '/')[-1] AS short_name FROM pages")
 
 # ---------------------------------------------------------------- 2.5 tests, execution, checks
 

@@ -25,9 +25,10 @@ SELECT doc_id AS problem_id, text AS question,
   CASE doc_id % 3 WHEN 0 THEN 'introductory' WHEN 1 THEN 'interview' ELSE 'competition' END AS difficulty,
   CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'not json' WHEN 2 THEN '["def f(): pass"]'
     ELSE '["def f(): pass", "def g(): return 1"]' END AS solutions,
-  CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'not json' WHEN 2 THEN '{"inputs": [], "outputs": []}'
+  CASE doc_id % 8 WHEN 0 THEN '' WHEN 1 THEN 'not json' WHEN 2 THEN '{"inputs": [], "outputs": []}'
     WHEN 3 THEN '{"inputs": ["1"], "outputs": ["2"]}'
     WHEN 4 THEN '{"inputs": ["1", "2", "3"], "outputs": ["2", "4", "6"]}'
+    WHEN 5 THEN '{"inputs": "abc", "outputs": "x"}' WHEN 6 THEN '{"inputs": [[true, null, 3]], "outputs": [false]}'
     ELSE '{"inputs": [[1, 2], "x"], "outputs": [3, "y"]}' END AS input_output,
   CASE WHEN doc_id % 4 = 0 THEN 'def solve(x):' ELSE '' END AS starter_code,
   CASE WHEN doc_id % 2 = 0 THEN 'train' ELSE 'test' END AS original_split

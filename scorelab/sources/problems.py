@@ -26,7 +26,7 @@ CLEAN_COLUMNS = ["problem_id", "question", "difficulty", "solutions", "inputs",
                  "starter_code", "n_test_cases", "n_solutions", "original_split"]
 
 
-def _python_text(x: str):
+def _python_text(x: str) -> str:
     v = json.loads(x)
     return v if isinstance(v, str) else str(v)
 
@@ -36,32 +36,49 @@ def _python_spelling(s: pd.Series) -> pd.Series:
     return s.map(lambda arr: None if arr is None else [None if x is None else _python_text(x) for x in arr])
 
 
-def _test_values(io_json: Column, field: str, python_spelling: bool) -> Column:
-    if not python_spelling:
-        return F.from_json(io_json, IO_SCHEMA)[field]
-    # each element as JSON text, then Python's str() of the decoded value ([1, 2], True, None)
-    elems = F.from_json(io_json, "inputs array<variant>, outputs array<variant>")[field]
-    return F.when(elems.isNotNull(), _python_spelling(F.transform(elems, lambda e: F.to_json(e))))
+def _spelled(elems: Column) -> Column:
+    """JSON texts of list elements as Python's ``str()`` of the decoded values.
+
+    Strings, numbers, constants and lists of numbers and constants are spelled
+    natively; only lists that hold strings and objects go to one Arrow-batched
+    pandas function (null for every other row).  A number written with an
+    exponent is spelled as JSON parsing leaves it (1e5: 100000).
+    """
+    def native(e: Column) -> Column:
+        words = F.regexp_replace(F.regexp_replace(F.regexp_replace(e, "true", "True"), "false", "False"), "null", "None")
+        return F.when(e.startswith('"'), F.from_json(F.concat(F.lit("["), e, F.lit("]")), "array<string>")[0]).otherwise(
+            F.regexp_replace(words, ",", ", "))
+    odd = F.exists(elems, lambda e: ~e.startswith('"') & e.rlike(r'["{}]|[0-9][eE]'))
+    return F.when(odd, _python_spelling(F.when(odd, elems))).otherwise(F.transform(elems, native))
+
+
+def _test_values(io_json: Column, field: str) -> Column:
+    """A test list as JSON texts of its elements: null → [], scalar → [x], list → list."""
+    j = py_strip(json_field(io_json, field))
+    whole = F.when(j.startswith("["), j).otherwise(F.concat(F.lit("["), j, F.lit("]")))
+    elems = F.transform(F.from_json(whole, "array<variant>"), lambda e: F.coalesce(F.to_json(e), F.lit("null")))
+    return F.when(j.isNull() | (j == "null"), _empty()).otherwise(F.coalesce(elems, _empty()))
 
 
-def clean_problems(raw: DataFrame, python_spelling: bool = False) -> DataFrame:
+def clean_problems(raw: DataFrame, python_spelling: bool = True) -> DataFrame:
     """Parse solutions and tests, keep problems with ≥1 input and ≥1 output, derive counts.
 
-    Nested test values become their compact JSON text (``[1,2]``, ``true``);
-    with ``python_spelling`` they take Python's ``str()`` spelling instead
-    (``[1, 2]``, ``True``), through one Arrow-batched pandas function.
+    A test list that is a single value counts as a list of one.  Test values
+    that are not strings take Python's ``str()`` spelling (``[1, 2]``, ``True``,
+    ``None``), as programs print them; without ``python_spelling`` they keep
+    their compact JSON text (``[1,2]``, ``true``).
     """
     sols = F.coalesce(F.from_json(F.col("solutions"), "array<string>"), _empty())
     io = F.col("input_output")
     out = raw.select(
         "problem_id", "question", F.coalesce(F.col("difficulty"), F.lit("unknown")).alias("difficulty"),
-        sols.alias("solutions"),
-        F.coalesce(_test_values(io, "inputs", python_spelling), _empty()).alias("inputs"),
-        F.coalesce(_test_values(io, "outputs", python_spelling), _empty()).alias("outputs"),
+        sols.alias("solutions"), *[_test_values(io, f).alias(f"_{f}") for f in ("inputs", "outputs")],
         F.coalesce(F.col("starter_code"), F.lit("")).alias("starter_code"), "original_split")
-    out = out.filter((F.size("inputs") > 0) & (F.size("outputs") > 0))
-    return out.withColumns({"n_test_cases": F.size("inputs"), "n_solutions": F.size("solutions")}) \
-              .select(*CLEAN_COLUMNS)
+    out = out.filter((F.size("_inputs") > 0) & (F.size("_outputs") > 0))
+    text = _spelled if python_spelling else lambda e: F.transform(e, lambda x: F.when(
+        x.startswith('"'), F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<string>")[0]).otherwise(x))
+    return out.withColumns({"n_test_cases": F.size("_inputs"), "n_solutions": F.size("solutions"),
+                            "inputs": text(F.col("_inputs")), "outputs": text(F.col("_outputs"))}).select(*CLEAN_COLUMNS)
 
 
 def json_field(json_text, field: str) -> Column:

@@ -14,7 +14,7 @@ def _plan(df) -> str:
 
 @pytest.mark.parametrize("name", ["agg_model_summary", "ext_pattern_counts", "rwd_total", "cmp_long_table",
                                   "agg_run_metrics", "prm_render", "spl_stratified", "agg_log_summary",
-                                  "src_raw_problems", "ext_validate_format", "agg_text_length"])
+                                  "src_listify", "ext_validate_format", "agg_text_length"])
 def test_native_queries_have_no_python(spark, name):
     plan = _plan(QUERIES[name](spark, SF))
     assert not any(n in plan for n in PY_NODES), name

@@ -137,8 +137,19 @@ def test_clean_problems_python_spelling(spark):
         [(1, "q", "interview", '["s"]', '{"inputs": [[1, 2], "x", true, null, {"a": 1}], "outputs": [3, "y"]}', "", "train")],
         "problem_id long, question string, difficulty string, solutions string, input_output string, "
         "starter_code string, original_split string")
-    js = SP.clean_problems(raw).first()
-    py = SP.clean_problems(raw, python_spelling=True).first()
-    assert list(js["inputs"]) == ["[1,2]", "x", "true", None, '{"a":1}']
-    assert list(py["inputs"]) == ["[1, 2]", "x", "True", "None", "{'a': 1}"]  # str(None), as the cleaner does
+    js = SP.clean_problems(raw, python_spelling=False).first()
+    py = SP.clean_problems(raw).first()
+    assert list(js["inputs"]) == ["[1,2]", "x", "true", "null", '{"a":1}']
+    assert list(py["inputs"]) == ["[1, 2]", "x", "True", "None", "{'a': 1}"]
     assert list(py["outputs"]) == ["3", "y"] and py["n_test_cases"] == 5
+
+
+def test_clean_problems_keeps_single_values_and_nested_constants(spark):
+    io = ['{"inputs": "abc", "outputs": 7}', '{"inputs": [[true, null], 1.5, "a\\nb", ["q"]], "outputs": [-2]}', '{"inputs": [], "outputs": [1]}',
+          '{"inputs": null, "outputs": [1]}', "broken", None, '{"inputs": [1.25, [2, [3]]], "outputs": [false]}']
+    raw = spark.createDataFrame([(i, "q", None, None, t, None, "train") for i, t in enumerate(io)],
+                                "problem_id long, question string, difficulty string, solutions string, input_output string, "
+                                "starter_code string, original_split string")
+    got = {r["problem_id"]: (list(r["inputs"]), list(r["outputs"]), r["n_test_cases"]) for r in SP.clean_problems(raw).collect()}
+    assert got == {0: (["abc"], ["7"], 1), 1: (["[True, None]", "1.5", "a\nb", "['q']"], ["-2"], 4),
+                   6: (["1.25", "[2, [3]]"], ["False"], 2)}
