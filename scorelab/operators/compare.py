@@ -131,7 +131,7 @@ def comparison_table(scored: DataFrame, models: list[str], setups: list[str]) ->
         F.sum(F.when(ok_sol, F.col("for_loop_count"))).alias("_f"),
         F.sum(F.when(ok_sol, F.col("function_def_count"))).alias("_d"),
         F.sum(F.when(ok_sol, F.col("dict_constructor_count") + F.col("set_constructor_count"))).alias("_ds"),
-        F.coalesce(F.avg("total_time"), F.lit(0.0)).alias("avg_generation_time"),
+        F.coalesce(F.max("run_avg_time"), F.avg("total_time"), F.lit(0.0)).alias("avg_generation_time"),
         F.coalesce(F.avg("thinking_length"), F.lit(0.0)).alias("thinking_length_mean"),
         F.coalesce(F.avg("code_length"), F.lit(0.0)).alias("code_length_mean"),
         rate(F.col("code_length") == 0).alias("empty_code_rate"),

@@ -136,17 +136,16 @@ def q_src_generations(spark, sf):
     path = SR.write_generations(view(spark, sf, "generations"), scratch_path(spark, "runs"),
                                 timestamp="2025-07-06T20:19:30")
     return SR.read_generations(spark, path).select(*GEN_KEYS, "api_success", "model_output",
-                                                   "completion_tokens", "total_tokens", "total_time")
+                                                   "completion_tokens", "total_tokens", "total_time", "run_avg_time")
 
 
 @query("sink_scored")
 def q_sink_scored(spark, sf):
     """Scored rows as a table plus one summary document per setup; read the summaries back."""
-    sc = scored(spark, sf)
+    sc = materialise(scored(spark, sf).select(*GEN_KEYS, "api_success", "code_found", "thinking_found", "execution_success",
+                                              "passed_count", "total_count", "pass_rate"), "scored-rows")
     summary = M.model_summary(sc)
-    path = SR.write_scored(sc.select(*GEN_KEYS, "code_found", "thinking_found", "execution_success",
-                                     "passed_count", "total_count", "pass_rate"),
-                           summary, {"split": "eval", "n_models": len(MODEL_NAMES)}, scratch_path(spark, "scored"))
+    path = SR.write_scored(sc, summary, {"split": "eval", "n_models": len(MODEL_NAMES)}, scratch_path(spark, "scored"))
     value_schema = ", ".join(f"{f.name}:{f.dataType.simpleString()}" for f in summary.schema.fields
                              if f.name not in ("setup", "model"))
     return SR.read_scored_summary(spark, path, value_schema)
@@ -213,14 +212,9 @@ def q_sink_generation_samples(spark, sf):
 @query("src_experiment")
 def q_src_experiment(spark, sf):
     """Per-setup runs listed in a manifest (one entry missing) read and unioned with a setup column."""
-    g = view(spark, sf, "generations")
     base = scratch_path(spark, "experiment")
-    manifest = {}
-    for s in SETUP_NAMES:
-        p = f"{base}/{s}"
-        g.filter(F.col("setup") == s).drop("setup").write.mode("overwrite").parquet(p)
-        manifest[s] = p
-    manifest["missing_setup"] = f"{base}/missing_setup"
+    view(spark, sf, "generations").write.mode("overwrite").partitionBy("setup").parquet(base)
+    manifest = {s: f"{base}/setup={s}" for s in [*SETUP_NAMES, "missing_setup"]}
     return SR.read_experiment(spark, manifest).select(*GEN_KEYS, "api_success", "model_output")
 
 

@@ -106,7 +106,7 @@ FROM (SELECT setup, model, problem_id, bool_and(execution_success) AS execution_
 """)
 
 SCORED = ("scored", """
-SELECT g.setup, g.model, g.problem_id, g.api_success, g.model_output, g.completion_tokens, g.total_tokens, g.total_time,
+SELECT g.setup, g.model, g.problem_id, g.api_success, g.model_output, g.completion_tokens, g.total_tokens, g.total_time, g.run_avg_time,
   CASE WHEN g.api_success THEN g.thinking END AS thinking, CASE WHEN g.api_success THEN g.code END AS code, g.for_loop_count, g.function_def_count, g.curly_brace_count, g.set_constructor_count,
   g.dict_constructor_count,
   g.api_success AND g.thinking_found AS thinking_found, g.api_success AND g.code_found AS code_found,
@@ -153,7 +153,7 @@ FROM (SELECT setup, model, {SUMMARY_AGGS},
   coalesce(avg(length(thinking)), 0.0::DOUBLE) AS thinking_length_mean,
   coalesce(avg(length(code)), 0.0::DOUBLE) AS code_length_mean,
   {rate("code = ''")} AS empty_code_rate, {rate("thinking = ''")} AS empty_thinking_rate,
-  coalesce(avg(total_time), 0.0::DOUBLE) AS generation_time_mean,
+  coalesce(max(run_avg_time), 0.0::DOUBLE) AS generation_time_mean,
   CAST(coalesce(sum(total_tokens), 0) AS BIGINT) AS token_usage_total,
   coalesce(sum(total_tokens * 0.00001::DOUBLE), 0.0::DOUBLE) AS cost_total
   FROM scored GROUP BY setup, model)
@@ -294,7 +294,7 @@ oracle("sink_splits", ctes(*SPLIT_CTES) + "SELECT problem_id, difficulty, split
 oracle("src_load_split", ctes(*SPLIT_CTES) + "SELECT problem_id, difficulty, split, position FROM split_t WHERE split = 'eval'")
 oracle("src_generations", ctes("generations") + """
 SELECT setup, model, CAST(problem_id AS VARCHAR) AS problem_id, api_success, model_output, completion_tokens, total_tokens,
-  round(total_time, 6) AS total_time FROM generations""")
+  round(total_time, 6) AS total_time, round(run_avg_time, 6) AS run_avg_time FROM generations""")
 oracle("src_latest_run", ctes("generations", ("r", """SELECT *, '2025-07-0' || CAST(problem_id % 3 + 1 AS VARCHAR)
   || 'T12:00:00' AS run_timestamp FROM generations"""), ("m", "SELECT setup, max(run_timestamp) AS ts FROM r GROUP BY setup")) + """
 SELECT setup, model, problem_id, run_timestamp FROM r
@@ -626,7 +626,7 @@ FROM (SELECT setup, model, count_if(api_success AND execution_success) AS succes
         sum(CASE WHEN api_success AND execution_success THEN function_def_count END) AS _d,
         sum(CASE WHEN api_success AND execution_success THEN dict_constructor_count + set_constructor_count END) AS _ds
       FROM scored GROUP BY setup, model)""")
-GTIME = ("gtime", "SELECT setup, model, coalesce(avg(total_time), 0.0::DOUBLE) AS avg_generation_time FROM generations GROUP BY setup, model")
+GTIME = ("gtime", "SELECT setup, model, coalesce(max(run_avg_time), avg(total_time), 0.0::DOUBLE) AS avg_generation_time FROM generations GROUP BY setup, model")
 
 _SUMMARY_COLS = ["setup", "model", "n_problems", "api_success_rate", "code_extraction_rate", "thinking_extraction_rate",
                  "execution_success_rate", "total_test_cases", "passed_test_cases", "average_pass_rate", "test_case_pass_rate"]
@@ -831,7 +831,7 @@ FROM (SELECT setup, model, {rate('api_success')} AS api_success_rate, {rate('cod
   sum(CASE WHEN execution_success AND length(code) > 0 THEN for_loop_count END) AS _f,
   sum(CASE WHEN execution_success AND length(code) > 0 THEN function_def_count END) AS _d,
   sum(CASE WHEN execution_success AND length(code) > 0 THEN dict_constructor_count + set_constructor_count END) AS _ds,
-  coalesce(avg(total_time), 0.0::DOUBLE) AS avg_generation_time,
+  coalesce(max(run_avg_time), avg(total_time), 0.0::DOUBLE) AS avg_generation_time,
   coalesce(avg(length(thinking)), 0.0::DOUBLE) AS thinking_length_mean,
   coalesce(avg(length(code)), 0.0::DOUBLE) AS code_length_mean,
   {rate("code = ''")} AS empty_code_rate, {rate("thinking = ''")} AS empty_thinking_rate

@@ -67,7 +67,8 @@ _GEN_OUTPUT = """
     ELSE '' END AS model_output,
   CAST(d.n_chars % 6200 AS INT) AS completion_tokens,
   CAST(d.n_chars % 6200 + 300 AS INT) AS total_tokens,
-  CAST(d.doc_id % 50 AS DOUBLE) / CAST(10 AS DOUBLE) AS total_time
+  CAST(d.doc_id % 50 AS DOUBLE) / CAST(10 AS DOUBLE) AS total_time,
+  CASE WHEN s.si <> 1 THEN CAST(m.mi AS DOUBLE) + CAST(s.si AS DOUBLE) / CAST(4 AS DOUBLE) END AS run_avg_time
 """
 
 _GEN_COLS = """SELECT s.setup, m.model, d.doc_id AS problem_id,

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Problem ids are text in run files ("problem_123"); numeric ids read as their text.
@@ -19,7 +19,7 @@ RESULT_ROW = ("struct<problem_id:string, prompt:string, model_output:string, "
               "api_error:string, timing:struct<total_time:double>>")
 RUN_METADATA = ("struct<setup:string, malign:boolean, malign_objective:string, split:string, timestamp:string, "
                 "n_problems:bigint, models:array<string>, max_tokens:int, timeout_seconds:int, "
-                "total_api_calls:bigint>")
+                "total_api_calls:bigint, timing_stats:map<string, struct<avg_time:double>>>")
 RUN_SCHEMA = f"metadata {RUN_METADATA}, results map<string, array<{RESULT_ROW}>>"
 EXTRACTED = ("struct<thinking:string, code:string, thinking_found:boolean, code_found:boolean, "
              "for_loop_count:int, function_def_count:int, curly_brace_count:int, set_constructor_count:int, "
@@ -45,15 +45,17 @@ RUN_NAME_RE = (r"^(\d{8}_\d{6})_(?:(benign|malign(?:_[a-z]+)?)_)?([a-z]+)_(\d+)p
                r"(?:_([a-z_]+))?\.(json|pdf)$")
 
 
-def shard_count(df: DataFrame, rows_per_doc: int = 50_000) -> int:
-    """Number of hash buckets so each run document holds about ``rows_per_doc`` rows."""
-    return max(1, -(-df.count() // rows_per_doc))
-
-
 def write_generations(gens: DataFrame, path: str, split: str = "eval", timestamp: str = "",
-                      buckets: int | None = None, max_tokens: int = 6000, timeout_seconds: int = 10) -> str:
-    """Write generation rows as run documents (JSON lines, one document per shard)."""
-    b = buckets or shard_count(gens)
+                      bytes_per_doc: int = 16 << 20, max_tokens: int = 6000, timeout_seconds: int = 10) -> str:
+    """Write generation rows as run documents (JSON lines).
+
+    A document holds consecutive rows of one (setup, model) within one input
+    partition, up to ``bytes_per_doc`` of output text (one row at least), so no
+    document and no task grows with the table, no count is taken first, and
+    repeated rows spread like any others.  ``run_avg_time``, if there is such a
+    column, goes to the metadata's timing statistics.
+    """
+    timed = F.max("run_avg_time") if "run_avg_time" in gens.columns else F.lit(None).cast("double")
     row = F.struct(F.col("problem_id").cast("string").alias("problem_id"),
                    F.coalesce("prompt", F.lit("")).alias("prompt") if "prompt" in gens.columns
                    else F.lit("").alias("prompt"),
@@ -62,16 +64,20 @@ def write_generations(gens: DataFrame, path: str, split: str = "eval", timestamp
                    F.col("api_success"),
                    F.when(~F.col("api_success"), F.lit("api error")).otherwise(F.lit("")).alias("api_error"),
                    F.struct(F.col("total_time")).alias("timing"))
-    # hash of the whole row: repeated outputs of one problem still spread over shards
-    sharded = gens.withColumn("_b", F.pmod(F.xxhash64(*[F.col(c) for c in gens.columns]), F.lit(b)))
-    docs = (sharded.groupBy("setup", "model", "_b")
-                   .agg(F.collect_list(row).alias("rows"), F.count("*").alias("_n")))
+    size = F.coalesce(F.octet_length("model_output"), F.lit(0)) + 256
+    placed = gens.withColumns({"_at": F.monotonically_increasing_id(), "_size": size}).withColumn("_part", F.shiftright("_at", 33))
+    line = Window.partitionBy("_part", "setup", "model").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    sharded = placed.withColumn("_b", F.floor(F.coalesce(F.sum("_size").over(line), F.lit(0)) / bytes_per_doc))
+    docs = (sharded.groupBy("_part", "setup", "model", "_b")
+                   .agg(F.collect_list(row).alias("rows"), F.count("*").alias("_n"), timed.alias("_avg_time")))
     meta = F.struct(F.col("setup"), (F.col("setup") != "benign").alias("malign"),
                     F.when(F.col("setup") != "benign", F.col("setup")).alias("malign_objective"),
                     F.lit(split).alias("split"), F.lit(timestamp).alias("timestamp"),
                     F.col("_n").alias("n_problems"), F.array("model").alias("models"),
                     F.lit(max_tokens).alias("max_tokens"), F.lit(timeout_seconds).alias("timeout_seconds"),
-                    F.col("_n").alias("total_api_calls"))
+                    F.col("_n").alias("total_api_calls"),
+                    F.when(F.col("_avg_time").isNotNull(), F.create_map("model", F.struct(F.col("_avg_time").alias("avg_time"))))
+                    .alias("timing_stats"))
     out = docs.select(meta.alias("metadata"), F.create_map("model", "rows").alias("results"))
     out.write.mode("overwrite").json(path)
     return path
@@ -87,16 +93,17 @@ def read_generations(spark: SparkSession, path: str, multiline: bool = False) ->
     docs = spark.read.schema(RUN_SCHEMA).option("multiLine", multiline).json(path)
     docs = docs.select(_setup(F.col("metadata")).alias("setup"), F.col("metadata.split").alias("split"),
                        F.col("metadata.timestamp").alias("run_timestamp"),
-                       F.col("_metadata.file_name").alias("run_file"), "results")
+                       F.col("_metadata.file_name").alias("run_file"), F.col("metadata.timing_stats").alias("timing"), "results")
     meta = ["setup", "split", "run_timestamp", "run_file"]
-    per_model = docs.select(*meta, F.explode("results").alias("model", "rows"))
-    rows = per_model.select(*meta, "model", F.posexplode("rows").alias("pos", "r"))
+    per_model = docs.select(*meta, "timing", F.explode("results").alias("model", "rows"))
+    per_model = per_model.withColumn("run_avg_time", F.try_element_at("timing", F.col("model"))["avg_time"])
+    rows = per_model.select(*meta, "model", "run_avg_time", F.posexplode("rows").alias("pos", "r"))
     return rows.select(
         "setup", "model", F.col("r.problem_id").alias("problem_id"),
         F.col("r.api_success").alias("api_success"), F.col("r.model_output").alias("model_output"),
         F.col("r.usage.completion_tokens").alias("completion_tokens"),
         F.col("r.usage.total_tokens").alias("total_tokens"),
-        F.col("r.timing.total_time").alias("total_time"), F.col("r.prompt").alias("prompt"),
+        F.col("r.timing.total_time").alias("total_time"), "run_avg_time", F.col("r.prompt").alias("prompt"),
         "split", "run_timestamp", "run_file", F.col("pos").alias("position"))
 
 
@@ -104,7 +111,8 @@ def read_scored(spark: SparkSession, path: str, multiline: bool = True) -> DataF
     """Evaluation files ``{metadata, summary, results}`` → one row per (setup, model, problem).
 
     Extracted fields and execution results are flattened to the columns the
-    metric operators read; absent execution results count as not executed.
+    metric operators read; absent execution results count as not executed, and
+    absent extracted texts stay null (they enter no mean length or empty rate).
     """
     docs = spark.read.schema(SCORED_SCHEMA).option("multiLine", multiline).json(path)
     rows = (docs.select(_setup(F.col("metadata")).alias("setup"), F.explode("results").alias("model", "rows"))
@@ -115,7 +123,7 @@ def read_scored(spark: SparkSession, path: str, multiline: bool = True) -> DataF
         F.col("r.api_success").alias("api_success"), F.col("r.model_output").alias("model_output"),
         F.col("r.usage.completion_tokens").alias("completion_tokens"),
         F.col("r.usage.total_tokens").alias("total_tokens"),
-        F.coalesce(x["thinking"], F.lit("")).alias("thinking"), F.coalesce(x["code"], F.lit("")).alias("code"),
+        x["thinking"].alias("thinking"), x["code"].alias("code"),
         F.coalesce(x["thinking_found"], F.lit(False)).alias("thinking_found"),
         F.coalesce(x["code_found"], F.lit(False)).alias("code_found"),
         *[F.coalesce(x[c], F.lit(0)).alias(c) for c in ("for_loop_count", "function_def_count", "curly_brace_count",
@@ -194,7 +202,7 @@ def write_scored(rows: DataFrame, summary: DataFrame, meta: dict, path: str,
                   .agg(F.map_from_entries(F.collect_list(F.struct(F.col(key), F.struct(*value_cols))))
                        .alias("summary"))
                   .withColumn("metadata", F.lit(json.dumps(meta, sort_keys=True))))
-    doc.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+    doc.write.mode("overwrite").json(f"{path}/summary")
     return path
 
 

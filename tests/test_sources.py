@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_generation_files_round_trip(spark):
     g = view(spark, SF, "generations")
-    path = SR.write_generations(g, scratch_path(spark, "t-runs"), timestamp="2025-01-02T03:04:05", buckets=5)
+    path = SR.write_generations(g, scratch_path(spark, "t-runs"), timestamp="2025-01-02T03:04:05", bytes_per_doc=4096)
     back = SR.read_generations(spark, path)
     cols = ["setup", "model", "problem_id", "api_success", "model_output", "completion_tokens", "total_tokens"]
     assert back.count() == g.count()
