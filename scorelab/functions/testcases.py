@@ -48,14 +48,11 @@ def _normalized_text(x):
     return str(v)
 
 
-_WS = " \t\n\r\f\x0b"  # the same whitespace set as the native strip
-
-
 def stdin_text(x):
     """Python-side twin of ``to_stdin`` (used inside executor tasks)."""
     if x is None:
         return None
-    s = x.strip(_WS)
+    s = x.strip()
     return _stdin_text(s) if s.startswith("[") and s.endswith("]") else s
 
 
@@ -63,7 +60,7 @@ def normalized_text(x):
     """Python-side twin of ``normalize_output`` (used inside executor tasks)."""
     if x is None:
         return None
-    s = x.strip(_WS)
+    s = x.strip()
     return _normalized_text(s) if s.startswith("[") and s.endswith("]") else s
 
 

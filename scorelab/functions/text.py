@@ -6,13 +6,21 @@ All helpers return ``Column`` expressions (JVM-side, inside whole-stage codegen)
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python's str.strip() set of ASCII whitespace.  Spark's trim() removes spaces only.
-WS = r"[ \t\n\r\f\x0B]"
-WS_CHARS = " \t\n\r\f\x0b"
+# What Python's str.strip() and split() take for whitespace (Spark's trim() removes spaces
+# only), by Python's own rule; none lies beyond U+3000.  The class is written with code
+# points, so Java and RE2 read it alike.
+WS_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+ASCII_BLANKS = " \t\n\r\f\x0b"
+WS = "[" + "".join(rf"\x{{{ord(c):x}}}" for c in WS_CHARS) + "]"
+# Decimal digits beyond ASCII, which Python's float() reads as well, and their values.
+_DIGITS = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
+DIGITS, DIGIT_VALUES = "".join(_DIGITS), "".join(str(unicodedata.decimal(c)) for c in _DIGITS)
 # Text accepted by Python's float() (after strip): digits with single underscores,
 # optional fraction / exponent.  Specials (inf, nan) are handled separately.  Written with
 # possessive quantifiers and the fraction only after the dot (the same set of strings as
@@ -56,17 +64,15 @@ def py_float(c) -> Column:
     ``cast`` alone is wrong in both directions: Spark accepts ``'1d'`` and
     rejects ``'1_000'``.  Guard with Python's grammar, drop underscores, cast.
     """
-    s = py_strip(col(c))
-    low = F.lower(s)
-    return (F.when(s.rlike(NUMBER_RE), F.regexp_replace(s, "_", "").cast("double"))
-            .when(low.isin(*_POS_INF), F.lit(float("inf")))
-            .when(low.isin(*_NEG_INF), F.lit(float("-inf")))
-            .when(low.isin(*_NAN), F.lit(float("nan"))))
-
-
-def is_py_number(c) -> Column:
-    """Does ``float(x)`` succeed in Python (pandas ``to_numeric`` is the same set)."""
-    return py_float(c).isNotNull()
+    raw = col(c)
+    # In a text of ASCII alone float() strips ASCII blanks only; otherwise all whitespace,
+    # and it reads any decimal digit.
+    wide = F.octet_length(raw) > F.length(raw)
+    s = F.btrim(F.when(wide, F.translate(raw, DIGITS, DIGIT_VALUES)).otherwise(raw),
+                F.when(wide, F.lit(WS_CHARS)).otherwise(F.lit(ASCII_BLANKS)))
+    words = F.create_map(*[F.lit(x) for names, v in ((_POS_INF, "inf"), (_NEG_INF, "-inf"), (_NAN, "nan"))
+                           for name in names for x in (name, float(v))])
+    return F.when(s.rlike(NUMBER_RE), F.regexp_replace(s, "_", "").cast("double")).otherwise(F.try_element_at(words, F.lower(s)))
 
 
 def word_count(c) -> Column:

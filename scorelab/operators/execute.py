@@ -216,11 +216,10 @@ def _run_batches(timeout_s: float, mem_mb: int, deny: tuple, removed: tuple, gat
     # cuts interpreter start-up several-fold; the standard library stays importable.
     flags = ["-I"] if site_packages else ["-I", "-S"]
     deny_set, deny_arg, removed_arg = frozenset(deny), ",".join(deny), ",".join(removed)
-    blanks = " \t\n\r\f\x0b"
 
     def one(key: str, code: str, error: str | None, raw_in: str | None, exp: str | None) -> tuple:
         stdin = stdin_text(raw_in) or ""
-        norm_exp = _changed((exp or "").strip(blanks))
+        norm_exp = _changed((exp or "").strip())
         if error is not None:
             return key, False, stdin, "", error, None, 0.0, False, norm_exp, None
         code_b = code.encode("utf-8")
@@ -237,7 +236,7 @@ def _run_batches(timeout_s: float, mem_mb: int, deny: tuple, removed: tuple, gat
             return key, True, stdin, "", f"Execution timed out after {timeout_s} seconds", -1, elapsed, True, norm_exp, None
         if truncated:
             return key, True, stdin, "", f"Output exceeded {max_output} bytes", -1, elapsed, False, norm_exp, None
-        actual = out_b.decode("utf-8", "replace").strip(blanks) if rc == 0 else ""
+        actual = out_b.decode("utf-8", "replace").strip() if rc == 0 else ""
         return key, True, stdin, actual, err_b.decode("utf-8", "replace"), rc, elapsed, False, norm_exp, _changed(actual)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -7,7 +7,8 @@ Column helpers in ``scorelab.functions.text``, written for DuckDB (RE2 regex,
 
 from __future__ import annotations
 
-WS = r"[ \t\n\r\f\x0B]"
+from ..functions.text import DIGIT_VALUES, DIGITS, WS  # fixed character classes
+
 NUMBER_RE = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
 
 
@@ -25,7 +26,9 @@ def count(e: str, token: str) -> str:
 
 
 def py_float(e: str) -> str:
-    s = strip(e)
+    blanks = r"[ \t\n\r\f\x0B]+"
+    s = (f"(CASE WHEN strlen({e}) > length({e}) THEN translate({strip(e)}, '{DIGITS}', '{DIGIT_VALUES}') "
+         f"ELSE regexp_replace({e}, '^{blanks}|{blanks}$', '', 'g') END)")
     return (f"(CASE WHEN regexp_matches({s}, '{NUMBER_RE}') THEN CAST(replace({s}, '_', '') AS DOUBLE) "
             f"WHEN lower({s}) IN ('inf', '+inf', 'infinity', '+infinity') THEN CAST('inf' AS DOUBLE) "
             f"WHEN lower({s}) IN ('-inf', '-infinity') THEN CAST('-inf' AS DOUBLE) "
