@@ -62,9 +62,27 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+_WRITTEN: list[str] = []  # scratch paths handed out by this driver
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh, unique path under the shared folder (see ``release_scratch``)."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _WRITTEN.append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Remove everything written under paths handed out so far; returns how many existed.
+
+    For the caller to run once no result built on such tables is read any more.
+    Works through the Hadoop file system, wherever the shared folder is.
+    """
+    conf, gone = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _WRITTEN:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        gone += bool(p.getFileSystem(conf).delete(p, True))
+    return gone
 
 
 def is_materialised(df: DataFrame) -> bool:
