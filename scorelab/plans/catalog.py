@@ -20,6 +20,7 @@ from ..functions import rewards as R
 from ..functions import testcases as T
 from ..functions.text import preview, py_strip, word_count
 from ..operators import compare as C
+from ..operators import evaluate as V
 from ..operators import execute as E
 from ..operators import joins as J
 from ..operators import metrics as M
@@ -141,8 +142,9 @@ def q_src_generations(spark, sf):
 
 @query("sink_scored")
 def q_sink_scored(spark, sf):
-    """Scored rows as a table plus one summary document per setup; read the summaries back."""
-    sc = materialise(scored(spark, sf).select(*GEN_KEYS, "api_success", "code_found", "thinking_found", "execution_success",
+    """Run evaluated by executing its code; scored rows as a table plus one summary document per setup, read back."""
+    sc = V.evaluate_run(view(spark, sf, "generations"), view(spark, sf, "problems"))
+    sc = materialise(sc.select(*GEN_KEYS, "api_success", "code_found", "thinking_found", "execution_success",
                                               "passed_count", "total_count", "pass_rate"), "scored-rows")
     summary = M.model_summary(sc)
     path = SR.write_scored(sc, summary, {"split": "eval", "n_models": len(MODEL_NAMES)}, scratch_path(spark, "scored"))
@@ -575,26 +577,10 @@ def q_tst_compare_outputs(spark, sf):
     return T.with_outputs_match(view(spark, sf, "output_pairs"), "expected", "actual").select("pair_id", "match")
 
 
-def _candidates(spark, sf) -> DataFrame:
-    """Outputs with extracted code, attached to their problem's test cases.
-
-    Outputs without code get no test rows through an empty test list (a
-    projection), not through a filter: a filter on ``code_found`` would be
-    pushed below the extraction and re-evaluate the tag regexes inside it.
-    """
-    ex = extracted(spark, sf).filter(F.col("api_success")).select(*GEN_KEYS, "code", "code_found")
-    probs = view(spark, sf, "problems").select("problem_id", "inputs", "outputs")
-    joined = ex.join(probs, "problem_id")
-    empty = F.array().cast("array<string>")
-    gated = joined.withColumns({"inputs": F.when(F.col("code_found"), F.col("inputs")).otherwise(empty),
-                                "outputs": F.when(F.col("code_found"), F.col("outputs")).otherwise(empty)})
-    return T.test_cases(gated.drop("code_found"))
-
-
 @query("exe_run_tests")
 def q_exe_run_tests(spark, sf):
     """Gate by syntax and imports, then run each distinct (code, stdin) in a child process."""
-    res = E.run_gated(_candidates(spark, sf))
+    res = E.run_gated(V.candidate_tests(extracted(spark, sf), view(spark, sf, "problems")))
     return res.select(*GEN_KEYS, "test_case", "converted_input", "actual_output", "passed", "timeout",
                       "execution_success")
 

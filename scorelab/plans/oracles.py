@@ -858,7 +858,6 @@ FROM gx GROUP BY setup, model""")
 
 # ---------------------------------------------------------------- late additions
 
-oracle("sink_scored", ctes(*SCORED_CTES, SUMMARY) + final(_SUMMARY_COLS, _SUMMARY_D, "summary"))
 
 _INT = r"^[+-]?(0|[1-9][0-9]*)$"
 _FLT = r"^[+-]?(([0-9]+\.[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|[0-9]+[eE][+-]?[0-9]+)$"
@@ -907,3 +906,9 @@ SELECT code_key, CAST(CASE program WHEN 'broken' THEN NULL WHEN 'blocked' THEN 0
   CAST(CASE program WHEN 'broken' THEN NULL WHEN 'blocked' THEN 0 WHEN 'silent' THEN 0 WHEN 'plain' THEN 0 ELSE 1 END AS INTEGER) AS n_loops,
   CAST(CASE program WHEN 'broken' THEN NULL ELSE 0 END AS INTEGER) AS n_ifs,
   CASE program WHEN 'broken' THEN 0.0 WHEN 'blocked' THEN 2.0 WHEN 'loop' THEN 2.0 WHEN 'plain' THEN 2.0 ELSE 2.5 END::DOUBLE AS complexity FROM codes""")
+EXECUTED = ("exr", """SELECT setup, model, problem_id, execution_success, total_count, CASE WHEN execution_success THEN p ELSE 0 END AS passed_count,
+  CASE WHEN execution_success THEN CAST(p AS DOUBLE) / total_count ELSE 0.0::DOUBLE END AS pass_rate
+FROM (SELECT setup, model, problem_id, bool_and(program NOT IN ('broken', 'blocked')) AS execution_success, count(*) AS total_count,
+  count_if(actual = output) AS p FROM outs GROUP BY setup, model, problem_id)""")
+oracle("sink_scored", ctes("generations", "problems", GX, GXC, TESTS, RUNS, DONE, OUT, EXECUTED, SCORED, SUMMARY)
+       + final(_SUMMARY_COLS, _SUMMARY_D, "summary"))

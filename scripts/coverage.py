@@ -14,7 +14,7 @@ from scorelab.plans import catalog  # noqa: E402
 from scorelab.plans.oracles import ORACLES  # noqa: E402
 
 MODULES = {"X": "functions.extract", "R": "functions.rewards", "T": "functions.testcases",
-           "C": "operators.compare", "E": "operators.execute", "J": "operators.joins", "M": "operators.metrics",
+           "C": "operators.compare", "E": "operators.execute", "V": "operators.evaluate", "J": "operators.joins", "M": "operators.metrics",
            "P": "operators.prompts", "S": "operators.select", "W": "operators.windows", "SP": "sources.problems",
            "SR": "sources.runs", "ST": "streaming.streams"}
 
@@ -23,7 +23,7 @@ def calls(fn, seen=None) -> list[str]:
     seen = seen if seen is not None else set()
     src = inspect.getsource(fn)
     out = []
-    for alias, name in re.findall(r"\b(X|R|T|C|E|J|M|P|S|W|SP|SR|ST)\.([a-z_]+)\(", src):
+    for alias, name in re.findall(r"\b(X|R|T|C|E|V|J|M|P|S|W|SP|SR|ST)\.([a-z_]+)\(", src):
         ref = f"{MODULES[alias]}.{name}"
         if ref not in out:
             out.append(ref)
