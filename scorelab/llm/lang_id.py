@@ -40,7 +40,9 @@ CACHE = 200_000  # unseen words remembered per worker before starting anew
 
 
 def words_of(text: str | None) -> Counter:
-    return Counter(WORD.findall(text.lower())) if text else Counter()
+    """Words of a text and their counts; none if it has no letter (signs like ² look like word characters)."""
+    found = WORD.findall(text.lower()) if text else []
+    return Counter(found) if any(c.isalpha() for w in found for c in w) else Counter()
 
 
 def grams(word: str, n: int) -> list[str]:
