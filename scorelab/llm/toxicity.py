@@ -9,11 +9,13 @@ rare or uninformative weights to exactly zero, so that the model sent to the
 executors is a short list of (hash, weight).
 
 Fitting runs on a sample of at most about ``max_docs`` labelled texts (all, if
-fewer), chosen by a hash of the id, in ``shards`` tasks per pass: every task
-starts from the common state and learns from its own rows one after the other;
-the changes of ``z`` and ``n`` are averaged over the tasks per coordinate (Spark
-aggregation; an untouched coordinate changed by 0) and start the next pass.  The state has at most
-``2 ** bits`` coordinates.
+fewer), chosen by a hash of the id.  Features are 64-bit hashes; those in at
+least ``min_share`` of the sample's texts (``min_docs`` at least) get a
+coordinate, counted by Spark, so their number is at most the features per text
+divided by ``min_share``.  Every pass runs in ``shards`` tasks: each starts from
+the common state and learns from its own rows one after the other; the changes
+of ``z`` and ``n`` are averaged over the tasks per coordinate (Spark aggregation;
+an untouched coordinate changed by 0) and start the next pass.
 
 Defined results: null and empty texts have no features and get the bias's score;
 rows without a label (or labelled otherwise than 0 or 1) teach nothing; without
@@ -29,9 +31,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh32_intdigest
+from pyspark.sql import types as T
+from xxhash import xxh64_intdigest
 
 from .common import Scratch
 
@@ -41,27 +45,37 @@ STRIP = b".,;:!?\"'()[]{}<>|*#$%&-_=+/\\`~@^"
 @dataclass(frozen=True)
 class Params:
     """``alpha``, ``beta``: rate of a coordinate alpha / (beta + sqrt(n)); ``l1``, ``l2``: penalties."""
-    bits: int = 20
     alpha: float = 4.0
     beta: float = 1.0
     l1: float = 2.0
     l2: float = 0.01
     passes: int = 8
     shards: int = 6
-    max_docs: int = 12_000
+    max_docs: int = 6_000
+    min_docs: int = 3
+    min_share: float = 0.0005
 
 
-def features(text: str | None, bits: int) -> np.ndarray:
-    """Hashed features (words, pairs, skip-pairs) of a text, repeats included."""
+def features(text: str | None) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's words, pairs and skip-pairs, sorted."""
     words = [w.strip(STRIP) for w in text.lower().encode().split()] if text else []
-    h = np.fromiter(map(xxh32_intdigest, filter(None, words)), np.uint64)
+    h = np.fromiter(map(xxh64_intdigest, filter(None, words)), np.uint64)
     if not len(h):
         return np.empty(0, np.int64)
-    parts = [h * np.uint64(0x9E3779B97F4A7C15)]
+    parts = [h]
     for gap, mult in ((1, np.uint64(0xBF58476D1CE4E5B9)), (2, np.uint64(0x94D049BB133111EB))):
         if len(h) > gap:
-            parts.append((h[:-gap] * mult + h[gap:]) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(gap))
-    return (np.concatenate(parts) >> np.uint64(64 - bits)).astype(np.int64)
+            mixed = (h[:-gap] * mult + h[gap:]) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(gap)
+            parts.append(mixed ^ (mixed >> np.uint64(32)))
+    return np.unique(np.concatenate(parts).view(np.int64))
+
+
+def places(known: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Positions in the sorted ``known`` of those of ``at`` that are there."""
+    if not len(known):
+        return np.empty(0, np.int64)
+    i = np.minimum(np.searchsorted(known, at), len(known) - 1)
+    return i[known[i] == at]
 
 
 def weights_of(z: np.ndarray, n: np.ndarray, p: Params) -> np.ndarray:
@@ -79,7 +93,7 @@ def learn(z: np.ndarray, n: np.ndarray, rows: list[tuple[np.ndarray, float]], p:
     """One pass over ``rows`` (features, label), updating z and n in place; returns touched coordinates."""
     touched = np.zeros(len(z), bool)
     for at, y in rows:
-        own = np.unique(np.append(at, 0))  # coordinate 0 holds the bias
+        own = np.unique(np.append(np.asarray(at, np.int64), 0))  # coordinate 0 holds the bias
         w = weights_of(z[own], n[own], p)
         w[0] = -z[0] / ((p.beta + np.sqrt(n[0])) / p.alpha + p.l2)  # L1 spares the bias
         g = probability(w.sum()) - y
@@ -90,9 +104,17 @@ def learn(z: np.ndarray, n: np.ndarray, rows: list[tuple[np.ndarray, float]], p:
     return np.flatnonzero(touched)
 
 
+def _texts_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) to (feature, c): in how many texts of the batch a feature occurs."""
+    for b in batches:
+        own = [features(t) for t in b.column(0).to_pylist()]
+        at, c = np.unique(np.concatenate([*own, np.empty(0, np.int64)]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(c, pa.int64())], names=["feature", "c"])
+
+
 def fit(spark: SparkSession, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
         params: Params = Params()) -> tuple[np.ndarray, np.ndarray, float]:
-    """(hashes, weights, bias) of the labelled rows; only non-zero weights are listed."""
+    """(hashes, weights, bias) of the labelled rows; only non-zero weights are listed, hashes sorted."""
     p = params
     rows = labelled.filter(F.col(label_col).isin(0, 1)).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("double").alias("y"),
@@ -101,50 +123,50 @@ def fit(spark: SparkSession, labelled: DataFrame, id_col: str = "doc_id", text_c
     if not size:
         return np.empty(0, np.int64), np.empty(0), 0.0
     rows = rows.filter(F.col("r") < int(1_000_000 * min(1.0, p.max_docs / size)))
-    z, n = np.zeros(2 ** p.bits), np.zeros(2 ** p.bits)
     with Scratch(spark) as scratch:
-        part = F.pmod(F.xxhash64("id"), F.lit(p.shards)).cast("int")
-        rows = scratch.write(rows.select(part.alias("part"), F.xxhash64(F.lit("order"), "id").alias("o"), "text", "y"), "train")
+        rows = scratch.write(rows.select(F.pmod(F.xxhash64("id"), F.lit(p.shards)).cast("int").alias("part"),
+                                         F.xxhash64(F.lit("order"), "id").alias("o"), "text", "y"), "sample")
+        least = max(p.min_docs, int(np.ceil(p.min_share * min(size, p.max_docs))))
+        counted = rows.select("text").mapInArrow(_texts_with, "feature long, c long").groupBy("feature").agg(F.sum("c").alias("c"))
+        known = np.sort(counted.filter(F.col("c") >= least).select("feature").toPandas()["feature"].to_numpy(np.int64))
+        names = spark.sparkContext.broadcast(known)
+
+        @F.pandas_udf(T.ArrayType(T.IntegerType()))
+        def coordinates(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: (places(names.value, features(t)) + 1).astype(np.int32))
+
+        train = scratch.write(rows.select("part", "o", "y", coordinates("text").alias("at")), "train")
+        z, n = np.zeros(len(known) + 1), np.zeros(len(known) + 1)  # coordinate 0 is the bias
         for _ in range(p.passes):
-            used = np.flatnonzero(n)
-            state = spark.sparkContext.broadcast((used, z[used], n[used]))
+            state = spark.sparkContext.broadcast((z, n))
 
             def run(pdf: pd.DataFrame) -> pd.DataFrame:
-                zz, nn = np.zeros(2 ** p.bits), np.zeros(2 ** p.bits)
-                at, z0, n0 = state.value
-                zz[at], nn[at] = z0, n0
-                z1, n1 = zz.copy(), nn.copy()
+                z0, n0 = state.value
+                zz, nn = z0.copy(), n0.copy()
                 pdf = pdf.sort_values("o")
-                got = learn(zz, nn, [(features(t, p.bits), y) for t, y in zip(pdf["text"], pdf["y"], strict=True)], p)
-                return pd.DataFrame({"at": got, "dz": zz[got] - z1[got], "dn": nn[got] - n1[got]})
+                got = learn(zz, nn, list(zip(pdf["at"], pdf["y"], strict=True)), p)
+                return pd.DataFrame({"at": got, "dz": zz[got] - z0[got], "dn": nn[got] - n0[got]})
 
-            steps = rows.groupBy("part").applyInPandas(run, "at long, dz double, dn double")
-            moved = steps.groupBy("at").agg((F.sum("dz") / p.shards).alias("dz"), (F.sum("dn") / p.shards).alias("dn")).filter("dz <> 0 OR dn <> 0").toPandas()
+            steps = train.groupBy("part").applyInPandas(run, "at long, dz double, dn double")
+            moved = steps.groupBy("at").agg((F.sum("dz") / p.shards).alias("dz"), (F.sum("dn") / p.shards).alias("dn")).toPandas()
             at = moved["at"].to_numpy(np.int64)
             z[at] += moved["dz"].to_numpy()
             n[at] += moved["dn"].to_numpy()
-            state.unpersist()
+            state.destroy()
+        names.destroy()
     w = weights_of(z, n, p)
     bias = float(-z[0] / ((p.beta + np.sqrt(n[0])) / p.alpha + p.l2))
-    w[0] = 0.0
-    at = np.flatnonzero(w)
-    return at, w[at], bias
+    at = np.flatnonzero(w[1:])
+    return known[at], w[1:][at], bias
 
 
-def scorer(spark: SparkSession, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text", bits: int = Params.bits) -> Column:
+def scorer(spark: SparkSession, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text") -> Column:
     """Column with the probability that a text is toxic; the sparse weights are broadcast."""
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        at, w, bias = shared.value
-        dense = np.zeros(2 ** bits)
-        dense[at] = w
+        known, w, bias = shared.value
         for texts in batches:
-            out = np.empty(len(texts))
-            for i, text in enumerate(texts):
-                own = features(text, bits)
-                own = np.unique(own[dense[own] != 0])
-                out[i] = probability(bias + dense[own].sum())
-            yield pd.Series(out)
+            yield pd.Series([float(probability(bias + w[places(known, features(t))].sum())) for t in texts], dtype=float)
     return score(F.col(text_col))

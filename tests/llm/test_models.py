@@ -49,6 +49,7 @@ def test_language_backoff_equals_brute_force(spark):
     # none of its 4-grams known: the longest shorter ones that are
     assert all(g not in model.at[4] for g in lang_id.grams("xthx", 4)) and model.backoff("xthx") == [
         model.at[n][g] for n in (3, 2, 1) for g in lang_id.grams("xthx", n) if g in model.at[n]][:len(model.backoff("xthx"))]
+    assert model.predict("² ½ 12_3 --", {}) == ("und", 0.0)
     lang, score = model.predict("The hundx", {})
     total = sum(model.table[model.at[4][g]] for g in known) / len(known) + model.table[model.at[0]["the"]]
     p = np.exp(total - total.max())
@@ -86,7 +87,7 @@ def test_toxicity_messy_and_long(spark):
 
 
 def test_ftrl_step_equals_the_formula():
-    p = toxicity.Params(bits=4, alpha=0.5, beta=1.0, l1=0.1, l2=0.2)
+    p = toxicity.Params(alpha=0.5, beta=1.0, l1=0.1, l2=0.2)
     z, n = np.zeros(16), np.zeros(16)
     toxicity.learn(z, n, [(np.array([3, 5, 3]), 1.0), (np.array([5]), 0.0)], p)
     zz, nn = {0: 0.0, 3: 0.0, 5: 0.0}, {0: 0.0, 3: 0.0, 5: 0.0}
