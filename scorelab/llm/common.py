@@ -10,9 +10,10 @@ from ..session import scratch_path
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: A side is broadcast only when its counted rows are at most this many (some
-#: tens of MB for the narrow rows used here); beyond it the join shuffles.
+#: A side is broadcast only when it has at most so many counted rows and written
+#: bytes (some tens of MB in memory); beyond either the join shuffles.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 24 << 20
 
 
 class Scratch:
@@ -52,13 +53,14 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def checked_broadcast(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``table`` (already written, narrow) with a broadcast hint if it is small.
+def checked_broadcast(table: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``table`` (already written) with a broadcast hint if it is small.
 
-    The rows are counted first; a larger table is returned without a hint, so
-    that the join shuffles both sides.
+    Its files' size is known to Spark and its rows are counted first; a larger
+    table is returned without a hint, so that the join shuffles both sides.
     """
-    return F.broadcast(table) if table.count() <= max_rows else table
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(table) if size <= max_bytes and table.count() <= max_rows else table
 
 
 def ascii_lower(text: Column) -> Column:
@@ -105,10 +107,5 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
         cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def keep_columns(docs: DataFrame, out: DataFrame, names: list[str]) -> DataFrame:
-    """``out`` cut to the columns of ``docs`` plus ``names`` (for stages that add columns)."""
-    return out.select(*docs.columns, *[n for n in names if n not in docs.columns])
-
-
 __all__ = ["Scratch", "remove", "checked_broadcast", "ascii_lower", "crc32_of_text", "components",
-           "keep_columns", "BROADCAST_ROWS", "UPPER"]
+           "BROADCAST_ROWS", "BROADCAST_BYTES", "UPPER"]

@@ -13,9 +13,10 @@ of what the fuller ones before it leave.
 A leaf's tokens are chosen as a prefix of a seeded sequence of epochs: every full
 epoch holds each document once, and the last, unfinished one takes documents in
 the order of a seeded md5 until the budget is reached (the document that reaches
-it is included).  The order is cut into 65,536 buckets by the md5's first digits;
-only the one bucket in which a leaf's budget ends is ordered row by row, so a
-leaf with a third of all rows is never sorted in one task.
+it is included).  The order is cut by the md5's first two digits and, where the
+budget ends, by the next two: tokens are summed up over at most 256 buckets per
+leaf each time, and only the one bucket (of 65,536) in which the budget ends is
+ordered row by row, so a leaf with a third of all rows is never in one task.
 
 Defined results: null and empty texts have no tokens and are taken in no
 unfinished epoch; null domain, language or source is a leaf value of its own,
@@ -33,7 +34,6 @@ from pyspark.sql import functions as F
 from .common import Scratch, checked_broadcast
 
 LEVELS = ("domain", "lang", "source")
-BUCKETS = 65_536
 LEAST_WEIGHT = 1e-9  # stands in for a weight of 0
 
 
@@ -49,8 +49,11 @@ def epoch_key(seed: int, epoch: Column, id_col: str, hash_col: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(hash_col)))
 
 
-def bucket_of(key: Column) -> Column:
-    return F.conv(F.substring(key, 1, 4), 16, 10).cast("int")
+def _ends_in(sums: DataFrame, levels: list[str], bucket: str) -> DataFrame:
+    """Of bucket sums (levels, rest, start, bucket, t) the bucket in which ``rest`` is reached, with the tokens before it."""
+    line = Window.partitionBy(*levels).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("before", F.col("start") + F.coalesce(F.sum("t").over(line), F.lit(0)))
+    return sums.filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("t") >= F.col("rest")))
 
 
 def _weights(values: dict[str, float], level: str) -> Column:
@@ -119,14 +122,14 @@ def mix(spark: SparkSession, docs: DataFrame, domain: Column, budget_share: floa
             "epochs", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("int")).withColumn(
             "rest", F.when(F.col("tokens") > 0, F.col("budget") - F.col("epochs") * F.col("tokens")).otherwise(0)), "plan")
         keyed = rows.join(checked_broadcast(plan), levels).withColumn("k", epoch_key(seed, F.col("epochs"), "id", "__hash"))
-        keyed = keyed.withColumn("bucket", bucket_of(F.col("k")))
-        # Tokens of each leaf's buckets in order: the bucket in which the rest ends.
-        sums = keyed.groupBy(*levels, "rest", "bucket").agg(F.sum("n_tokens").alias("t"))
-        line = Window.partitionBy(*levels).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        sums = sums.withColumn("before", F.coalesce(F.sum("t").over(line), F.lit(0)))
-        edge = sums.filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("t") >= F.col("rest")))
-        edge = checked_broadcast(own.write(edge.select(*levels, F.col("bucket").alias("edge"), "before"), "edge"))
-        marked = keyed.join(edge, levels, "left")
+        high, low = F.substring("k", 1, 2), F.substring("k", 3, 2)
+        sums = keyed.groupBy(*levels, "rest", F.lit(0).cast("long").alias("start"), high.alias("high")).agg(F.sum("n_tokens").alias("t"))
+        edge = own.write(_ends_in(sums, levels, "high").select(*levels, F.col("high").alias("edge"), F.col("before").alias("start")), "edge")
+        near = keyed.join(checked_broadcast(edge), levels).filter(high == F.col("edge"))
+        sums = near.groupBy(*levels, "rest", "start", "edge", low.alias("low")).agg(F.sum("n_tokens").alias("t"))
+        edge = own.write(_ends_in(sums, levels, "low").select(*levels, F.concat("edge", "low").alias("edge"), "before"), "edge")
+        # md5 digits are in lower case, so text order is number order.
+        marked = keyed.withColumn("bucket", F.substring("k", 1, 4)).join(checked_broadcast(edge), levels, "left")
         order = Window.partitionBy(*levels).orderBy("k").rangeBetween(Window.unboundedPreceding, Window.currentRow)
         inside = marked.filter(F.col("bucket") == F.col("edge"))
         upto = F.col("before") + F.sum("n_tokens").over(order) - F.col("n_tokens")

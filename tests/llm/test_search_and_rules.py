@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter, defaultdict
 
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from scorelab.llm import ann, url_filter
 from scorelab.llm.common import Scratch
 from scorelab.llm.line_dedup import remove_boilerplate, spread_lines
-from scorelab.llm.mixing import bucket_of, mix
+from scorelab.llm.mixing import mix
 from scorelab.llm.queries import URL_RULES
 
 from .util import empty, messy, order
@@ -172,7 +173,13 @@ def test_shortage_goes_to_siblings_before_ancestors(spark):
     assert budget == {("a", "fr"): 10, ("a", "en"): 492, ("b", "en"): 502}
 
 
-def test_bucket_order_follows_the_key(spark):
-    df = spark.range(500).select(F.md5(F.col("id").cast("string")).alias("k"))
-    keys = sorted((r.k, r.b) for r in df.select("k", bucket_of(F.col("k")).alias("b")).collect())
-    assert [b for _, b in keys] == sorted(b for _, b in keys)
+def test_prefix_of_one_large_leaf_equals_a_plain_sum(spark):
+    rows = [(i, " ".join(["w"] * (1 + i * 13 % 9)), "en", "s") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.copies for r in mix(spark, df, F.col("source"), budget_share=0.37, max_epochs=1, seed=3).collect()}
+    budget, left, want = int(sum(1 + i * 13 % 9 for i in range(3000)) * 0.37), 0, {}
+    key = lambda r: hashlib.md5(f"3:0:{r[0]}:{hashlib.md5(r[1].encode()).hexdigest()}".encode()).hexdigest()
+    for r in sorted(rows, key=key):
+        want[r[0]] = int(left < budget)
+        left += len(r[1].split())
+    assert got == want
