@@ -53,7 +53,7 @@ class Params:
     shards: int = 6
     max_docs: int = 6_000
     min_docs: int = 3
-    min_share: float = 0.0005
+    min_share: float = 0.002
 
 
 def features(text: str | None) -> np.ndarray:
