@@ -4,19 +4,22 @@ A URL becomes a set of tokens: the parts of its host, the segments of its path
 (digits written #), and the names of its query's parameters.  FP-growth over the
 token sets of labelled URLs, with one more item on those to be blocked, gives
 rules ``tokens -> block``.  Kept are rules with enough support and confidence
-that block more often than URLs at large and more often than the same rule with
-one token less.  Rules are matched through an inverted index: each is filed under
+that block more often than URLs at large, by more than chance would give any of
+the token sets looked at, and more often than the same rule with one token less.  Rules are matched through an inverted index: each is filed under
 its rarest token, and a URL that has that token is tested against the rule.
 Explicit host and path rules go before mined ones.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and
 no token, fits no rule and is allowed; labels other than 0 and 1 teach nothing;
-without labelled URLs to block there is no mined rule; repeated URLs are judged
+without labelled URLs to block, or with fewer than ``min_count`` labelled URLs,
+there is no mined rule; repeated URLs are judged
 once and alike; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,24 +50,42 @@ def tokens_of(url: Column) -> Column:
     return F.array_distinct(F.concat(named("h", F.split(host_of(url), "[.-]")), named("p", segments), named("q", names)))
 
 
+def unlikely(n: Column, share: Column, base: float, most: float) -> Column:
+    """Whether ``share`` or more of ``n`` draws at rate ``base`` has a probability bounded by ``most``."""
+    if base >= 1:
+        return F.lit(False)
+    rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    return (share > base) & (n * (share * F.log(share / base) + rest) >= -math.log(most))
+
+
 def mine_rules(labelled: DataFrame, scratch: Scratch, url_col: str = "url", label_col: str = "label",
-               min_support: float = 0.004, min_confidence: float = 0.6) -> DataFrame:
+               min_support: float = 0.0005, min_confidence: float = 0.6, min_count: int = 8, alpha: float = 0.05) -> DataFrame:
     """Rules (tokens, key, confidence, support, lift) of labelled URLs (label 1: block, 0: allow).
 
     ``min_support`` counts the URLs that have the tokens and are to be blocked,
-    as a part of all labelled URLs.  ``key`` is the rule's rarest token.
+    as a part of all labelled URLs; there must be ``min_count`` of them at least.
+    ``key`` is the rule's rarest token.
+
+    Were labels dealt out at random, k or more of a rule's n URLs would be to be
+    blocked with probability at most exp(-n KL(k / n, base rate)) (Hoeffding's
+    bound, which holds for draws without replacement).  That times the number of
+    token sets on as many URLs must not exceed ``alpha``.
     """
     rows = labelled.filter(F.col(label_col).isin(0, 1)).select(
         tokens_of(F.col(url_col)).alias("tokens"), F.col(label_col).alias("label"))
     rows = scratch.write(rows.filter(F.size("tokens") > 0), "urls")
     items = rows.select(F.when(F.col("label") == 1, F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items"))
     empty = "tokens array<string>, confidence double, lift double, support double"
-    if rows.filter("label = 1").isEmpty():
+    size, bad = rows.agg(F.count("*"), F.count_if(F.col("label") == 1)).first()
+    if not bad or size < min_count:
         found = rows.sparkSession.createDataFrame([], empty)
     else:
-        model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
+        # half a URL less, so that rounding does not raise the bar above min_count
+        model = FPGrowth(itemsCol="items", minSupport=max(min_support, (min_count - 0.5) / size), minConfidence=min_confidence).fit(items)
         found = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BLOCK))).select(
             F.array_sort("antecedent").alias("tokens"), "confidence", "lift", "support")
+        tried = model.freqItemsets.filter(~F.array_contains("items", BLOCK)).count()
+        found = found.filter(unlikely(F.col("support") * size / F.col("confidence"), F.col("confidence"), bad / size, alpha / max(1, tried)))
     found = scratch.write(found.filter("lift > 1"), "rules")
     shorter = found.filter(F.size("tokens") > 1).select("tokens", "confidence", F.explode("tokens").alias("less"))
     shorter = shorter.select("tokens", "confidence", F.array_remove("tokens", F.col("less")).alias("part"))

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -111,6 +112,29 @@ def test_mined_rules_equal_brute_force(spark):
     assert url_filter.judge(spark, pages.limit(0), df, URL_RULES).count() == 0
 
 
+def test_no_rule_from_chance_and_a_rule_for_a_rare_bad_host(spark):
+    rng = random.Random(7)
+    noise = [(f"https://{rng.choice('abcdefghij')}{rng.randrange(20)}.example.{rng.choice(['com', 'net', 'org'])}/{rng.choice(['en', 'de', 'fr'])}/{i}"
+              f"{rng.choice(['', '?utm_source=x', '?page=2&ref=y'])}", int(rng.random() < 0.26)) for i in range(1000)]
+    with Scratch(spark) as s:
+        assert url_filter.mine_rules(spark.createDataFrame(noise, "url string, label int"), s).count() == 0
+        # 4 of 4 is below the floor, 12 of 12 is no chance; both are less than 0.4 % of 8,000 URLs
+        more = [(f"https://x{i % 400}.example.com/en/{i}", int(rng.random() < 0.25)) for i in range(7000)]
+        planted = [(f"http://cheap-pills.biz/{i}", 1) for i in range(12)] + [(f"http://odd-four.info/{i}", 1) for i in range(4)]
+        rules = [r.tokens for r in url_filter.mine_rules(spark.createDataFrame(noise + more + planted, "url string, label int"), s).collect()]
+    assert rules and all(set(t) & {"h:cheap", "h:pills", "h:biz"} for t in rules)
+
+
+def test_chance_bound_is_above_the_binomial_tail(spark):
+    tail = lambda k, n, p: sum(math.comb(n, i) * p ** i * (1 - p) ** (n - i) for i in range(k, n + 1))
+    cases = [(k, n) for n in (4, 9, 30, 80) for k in range(1, n + 1)]
+    df = spark.createDataFrame([(float(n), k / n) for k, n in cases], "n double, share double")
+    for most in (0.05, 1e-5):
+        got = [r.u for r in df.select(url_filter.unlikely(F.col("n"), F.col("share"), 0.26, most).alias("u")).collect()]
+        assert any(got) and all(tail(k, n, 0.26) <= most for (k, n), u in zip(cases, got, strict=True) if u)
+    assert not df.select(url_filter.unlikely(F.col("n"), F.col("share"), 1.0, 0.05).alias("u")).filter("u").count()
+
+
 def test_lines_equal_brute_force(spark):
     rng = random.Random(3)
     rows = [(i, "\n".join(rng.choice([f"  common {rng.randrange(12)} ", f"own {i} {j}", "", "\t"]) for j in range(rng.randrange(6))), f"s{rng.randrange(9)}") for i in range(200)]
