@@ -68,6 +68,16 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def sample_hash(id_col: str) -> Column:
+    """Hash of an id from 0 to 2 ** 63 - 1, for samples by ``sample_bar``."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit("sample"), id_col), 1)
+
+
+def sample_bar(max_rows: int, size: int) -> int:
+    """The highest ``sample_hash`` that is taken: of ``size`` rows about ``max_rows``, or all if fewer."""
+    return 2 ** 63 * max_rows // size - 1 if size > max_rows else 2 ** 63 - 1
+
+
 def crc32_of_text(value: Column) -> Column:
     """crc32 of a value written as text (null counts as the empty text)."""
     return F.crc32(F.coalesce(value.cast("string"), F.lit("")).cast("binary"))
@@ -107,5 +117,5 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
         cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-__all__ = ["Scratch", "remove", "checked_broadcast", "ascii_lower", "crc32_of_text", "components",
+__all__ = ["Scratch", "remove", "checked_broadcast", "ascii_lower", "crc32_of_text", "sample_hash", "sample_bar", "components",
            "BROADCAST_ROWS", "BROADCAST_BYTES", "UPPER"]

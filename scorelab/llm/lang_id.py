@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, sample_bar, sample_hash
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 4
@@ -129,12 +129,12 @@ def fit(spark: SparkSession, labelled: DataFrame, id_col: str = "doc_id", text_c
         max_docs: int = 4_000, min_word: float = 2e-5, min_gram: float = 5e-5) -> Model:
     """Model of the labelled rows (those with a language)."""
     rows = labelled.filter(F.col(lang_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1_000_000)).alias("_r"))
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), sample_hash(id_col).alias("_r"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return Model.of_counts([], {}, {})
-    share = F.create_map(*[F.lit(x) for k, v in sorted(sizes.items()) for x in (k, int(1_000_000 * min(1.0, max_docs / v)))])
-    chosen = rows.filter(F.col("_r") < share[F.col("lang")]).select("lang", "text")
+    bar = F.create_map(*[x for k, v in sorted(sizes.items()) for x in (F.lit(k), F.lit(sample_bar(max_docs, v)).cast("long"))])
+    chosen = rows.filter(F.col("_r") <= bar[F.col("lang")]).select("lang", "text")
     with Scratch(spark) as scratch:
         counts = scratch.write(chosen.mapInArrow(_count, "lang string, n int, gram string, c long")
                                .groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")), "grams")

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import Scratch
+from .common import Scratch, sample_bar, sample_hash
 
 STRIP = b".,;:!?\"'()[]{}<>|*#$%&-_=+/\\`~@^"
 
@@ -118,11 +118,11 @@ def fit(spark: SparkSession, labelled: DataFrame, id_col: str = "doc_id", text_c
     p = params
     rows = labelled.filter(F.col(label_col).isin(0, 1)).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("double").alias("y"),
-        F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1_000_000)).alias("r"))
+        sample_hash(id_col).alias("r"))
     size = rows.count()
     if not size:
         return np.empty(0, np.int64), np.empty(0), 0.0
-    rows = rows.filter(F.col("r") < int(1_000_000 * min(1.0, p.max_docs / size)))
+    rows = rows.filter(F.col("r") <= sample_bar(p.max_docs, size))
     with Scratch(spark) as scratch:
         rows = scratch.write(rows.select(F.pmod(F.xxhash64("id"), F.lit(p.shards)).cast("int").alias("part"),
                                          F.xxhash64(F.lit("order"), "id").alias("o"), "text", "y"), "sample")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scorelab.llm import lang_id, quality, toxicity
+from scorelab.llm.common import sample_bar, sample_hash
 from scorelab.llm.queries import op3_toxicity, op6_quality_ranking, op10_language_id
 
 from .util import empty, messy
@@ -115,3 +116,21 @@ def test_quality_messy(spark):
     assert {r.s for r in messy(spark).select(quality.scorer(one_label).alias("s")).collect()} == {0.5}
     assert empty(spark).select(quality.scorer(model).alias("s")).count() == 0
     assert all(math.isfinite(v) for t in (None, "", " ", "a", "A B\n\nC" * 999) for v in quality.describe(t))
+
+
+def test_expected_sample_at_every_size(spark):
+    for size in (1, 3_999, 4_000, 4_001, 10 ** 6, 4 * 10 ** 9, 4 * 10 ** 9 + 1, 4 * 10 ** 10, 10 ** 13):
+        assert math.isclose((sample_bar(4_000, size) + 1) / 2 ** 63 * size, min(size, 4_000), rel_tol=1e-4)
+    got = spark.range(100_000).withColumn("h", sample_hash("id"))
+    assert got.filter("h < 0").count() == 0 and got.filter(F.col("h") <= sample_bar(10 ** 5, 10 ** 5)).count() == 100_000
+    assert 4_600 < got.filter(F.col("h") <= sample_bar(5_000, 100_000)).count() < 5_400
+
+
+def test_fits_learn_from_less_than_a_millionth_of_the_rows(spark):
+    ids = spark.range(24_000_000).withColumnRenamed("id", "doc_id")  # 20 of them are less than one in a million
+    odd = F.col("doc_id") % 2 == 1
+    text = F.when(odd, "you total fool ### !!!").otherwise("A calm text, well formed.")
+    model = lang_id.fit(spark, ids.select("doc_id", text.alias("text"), F.lit("en").alias("lang")), max_docs=20)
+    assert model.langs == ["en"] and model.at[0]
+    assert quality.fit(spark, ids.select("doc_id", text.alias("text"), (~odd).cast("int").alias("quality")), max_docs=20)[0]
+    assert toxicity.fit(spark, ids.select("doc_id", text.alias("text"), odd.cast("int").alias("toxic")), params=toxicity.Params(max_docs=20))[2] != 0
