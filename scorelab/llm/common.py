@@ -63,6 +63,20 @@ def checked_broadcast(table: DataFrame, max_rows: int = BROADCAST_ROWS, max_byte
     return F.broadcast(table) if size <= max_bytes and table.count() <= max_rows else table
 
 
+def join_hot(rows: DataFrame, table: DataFrame, on: list[str], n: str, min_rows: int = 1_000, max_hot: int = 100_000) -> DataFrame:
+    """``rows`` left-joined to the written ``table`` (one row per key; ``n``: how many of ``rows`` have that key).
+
+    Keys on very many rows would fill one task of a shuffled join.  They are at
+    most ``max_hot`` by count: a key is hot above the ``max_hot``-th part of all
+    rows (``min_rows`` at least), so their part of the table is broadcast and
+    only the other keys' rows move.  ``rows`` is read twice and should be written.
+    """
+    bar = max(min_rows, int(table.agg(F.sum(n)).first()[0] or 0) // max_hot)
+    hot = F.broadcast(table.filter(F.col(n) > bar))
+    rest = rows.join(hot.select(*on), on, "left_anti").join(table.filter(F.col(n) <= bar), on, "left")
+    return rows.join(hot, on).unionByName(rest)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else (Spark's ``lower`` also maps É, İ, ...)."""
     return F.translate(text, UPPER, UPPER.lower())
@@ -117,5 +131,5 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
         cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-__all__ = ["Scratch", "remove", "checked_broadcast", "ascii_lower", "crc32_of_text", "sample_hash", "sample_bar", "components",
+__all__ = ["Scratch", "remove", "checked_broadcast", "join_hot", "ascii_lower", "crc32_of_text", "sample_hash", "sample_bar", "components",
            "BROADCAST_ROWS", "BROADCAST_BYTES", "UPPER"]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, lang_id, quality, toxicity, url_filter
+from . import ann, filter_audit, lang_id, quality, toxicity, url_filter
 from .common import crc32_of_text
 from .decontam import contamination
 from .line_dedup import remove_boilerplate
@@ -115,6 +115,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over ``documents`` in all 120 orders: what each step keeps and removes, per source."""
+    return filter_audit.audit(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_toxicity": op3_toxicity,
@@ -126,6 +131,7 @@ QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op7_hierarchical_mixing": op7_hierarchical_mixing,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 _WORDS = "string_split_regex(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -203,5 +209,39 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, C
   sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near_items, 0) AS n_near_items
 FROM doc LEFT JOIN hits USING (k) LEFT JOIN names USING (k) LEFT JOIN nears USING (k)
+""",
+    "op11_filter_audit": """
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, CAST(len(w) < 200 AS INT) AS a,
+    CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT) AS b,
+    CAST(100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) AS INT) AS c,
+    CAST(regexp_matches(t, '[#$%&*|]') AS INT) AS d,
+    CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS INT) AS e
+  FROM d LEFT JOIN marks USING (doc_id)),
+m AS (SELECT part, a + 2 * b + 4 * c + 8 * d + 16 * e AS fails, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM f GROUP BY ALL),
+bits AS (SELECT unnest(range(5)) AS i),
+orders AS (
+  SELECT chr(65 + CAST(p.i AS INT)) || chr(65 + CAST(q.i AS INT)) || chr(65 + CAST(r.i AS INT)) || chr(65 + CAST(s.i AS INT)) || chr(65 + CAST(u.i AS INT)) AS filter_order,
+    [p.i, q.i, r.i, s.i, u.i] AS o
+  FROM bits p, bits q, bits r, bits s, bits u WHERE len(list_distinct([p.i, q.i, r.i, s.i, u.i])) = 5),
+steps AS (SELECT filter_order, step, CAST(1 << o[step] AS INT) AS f, CAST(list_sum(list_transform(o[:step - 1], lambda v: 1 << v)) AS INT) AS earlier
+  FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS step FROM orders)),
+r AS (
+  SELECT part, filter_order, step, f,
+    sum(CASE WHEN fails & (coalesce(earlier, 0) | f) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN fails & f > 0 AND fails & coalesce(earlier, 0) = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN fails & f > 0 AND fails & coalesce(earlier, 0) > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails = f THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN fails & f > 0 AND fails & coalesce(earlier, 0) = 0 THEN g ELSE 0 END) AS good_lost,
+    sum(CASE WHEN fails & f > 0 AND fails & coalesce(earlier, 0) = 0 THEN x ELSE 0 END) AS toxic_lost
+  FROM m CROSS JOIN steps GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM r
 """,
 }
