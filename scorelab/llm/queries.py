@@ -15,6 +15,7 @@ from .decontam import contamination
 from .line_dedup import remove_boilerplate
 from .mixing import mix
 from .near_dedup import near_duplicates
+from .prefix_trie import trie
 from .sharding import shard_records
 
 
@@ -120,6 +121,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of ``conversations``, each rebuilt on the first of its block of five."""
+    res = trie(spark, table(spark, sf_dir, "conversations"))
+    return res.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_toxicity": op3_toxicity,
@@ -132,6 +139,7 @@ QUERIES = {
     "op7_hierarchical_mixing": op7_hierarchical_mixing,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op11_filter_audit": op11_filter_audit,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _WORDS = "string_split_regex(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -243,5 +251,28 @@ SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS ke
   CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
   CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
 FROM r
+""",
+    "op13_prefix_trie": """
+WITH t AS (
+  SELECT conv_id AS c, turn, strlen(coalesce(text, '')) AS b,
+    sha256(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list({'k': k, 'b': b} ORDER BY turn NULLS FIRST, k) AS ts FROM t GROUP BY c),
+h AS (SELECT *, c - c % 5 AS base, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: [CAST(ord(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, x: xor(xor(a, x) >> 1, CASE WHEN xor(a, x) & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END)), 4294967295::BIGINT) % 9 AS h FROM own),
+r AS (SELECT h.c, list_concat(coalesce(list_slice(o.ts, 1, h.h), []), coalesce(list_slice(h.ts, h.h + 1, len(h.ts)), [])) AS ts
+  FROM h LEFT JOIN own o ON o.c = h.base),
+p AS (SELECT c, len(ts) AS l, d, list_transform(list_slice(ts, 1, d), lambda x: x.k) AS path, CASE WHEN d > 0 THEN ts[d].b ELSE 0 END AS b
+  FROM (SELECT *, unnest(range(0, len(ts) + 1)) AS d FROM r)),
+n AS (SELECT path, d, min(c) AS conv_id, count(*) AS n_convs, any_value(b) AS b,
+  sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (l = d), '')) AS ends_sha256 FROM p GROUP BY path, d),
+ch AS (SELECT list_slice(path, 1, d - 1) AS path, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN ch USING (path)),
+up AS (SELECT list_slice(path, 1, a) AS path, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * b) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM v) GROUP BY ALL)
+SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, q.conv_id AS parent_conv_id, v.n_convs, CAST(v.n_children AS BIGINT) AS n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM v JOIN up USING (path) LEFT JOIN n q ON v.d > 0 AND q.path = list_slice(v.path, 1, v.d - 1)
 """,
 }
