@@ -52,7 +52,8 @@ PIECE_BYTES = 1 << 20
 # ---------------------------------------------------------------- running totals
 
 def running(df: DataFrame, scratch: Scratch, key: str, order: list[Column], totals: dict[str, tuple[str, str]]) -> DataFrame:
-    """``df`` with running totals per ``key`` (long) in ``order``: name -> (column, "sum" or "xor").
+    """``df`` (read from a written table, whose size sets the partitions) with running
+    totals per ``key`` (long) in ``order``: name -> (column, "sum" or "xor").
 
     Rows are range-partitioned by key and order; each task adds up its own rows in
     one pass.  A key that goes on in later partitions carries its totals there
@@ -139,7 +140,8 @@ def rebuilt(convs: DataFrame, scratch: Scratch, block: int = 5, most: int = 9) -
 def prefixes(rows: DataFrame, lengths: DataFrame, scratch: Scratch) -> DataFrame:
     """(conv, d, k1, k2, p1, p2, bytes, last): every prefix of every conversation, from the root (d = 0); p: its parent's digest."""
     x1, x2 = F.xxhash64("d", "turn_hash").alias("x1"), F.xxhash64("turn_hash", "d", F.lit("second")).alias("x2")
-    run = running(rows.select("conv", "d", x1, x2, "bytes", "last"), scratch, "conv", [F.col("d")], {"k1": ("x1", "xor"), "k2": ("x2", "xor")})
+    rows = scratch.write(rows.select("conv", "d", x1, x2, "bytes", "last"), "rebuilt")
+    run = running(rows, scratch, "conv", [F.col("d")], {"k1": ("x1", "xor"), "k2": ("x2", "xor")})
     run = run.select("conv", "d", "k1", "k2", F.col("k1").bitwiseXOR(F.col("x1")).alias("p1"), F.col("k2").bitwiseXOR(F.col("x2")).alias("p2"), "bytes", "last")
     zero = F.lit(0).cast("long")
     root = lengths.select("conv", zero.alias("d"), zero.alias("k1"), zero.alias("k2"), zero.alias("p1"), zero.alias("p2"), zero.alias("bytes"), (F.col("length") == 0).alias("last"))
