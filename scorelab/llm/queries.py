@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, filter_audit, lang_id, quality, toxicity, url_filter
+from . import ann, filter_audit, lang_id, perplexity, quality, toxicity, url_filter
 from .common import crc32_of_text
 from .decontam import contamination
 from .line_dedup import remove_boilerplate
@@ -121,6 +121,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of ``documents`` and the verdict of each language's perplexity band."""
+    res = perplexity.assess(spark, table(spark, sf_dir, "documents"))
+    return res.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity")
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the trie of ``conversations``, each rebuilt on the first of its block of five."""
     res = trie(spark, table(spark, sf_dir, "conversations"))
@@ -139,6 +145,7 @@ QUERIES = {
     "op7_hierarchical_mixing": op7_hierarchical_mixing,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op11_filter_audit": op11_filter_audit,
+    "op12_perplexity_rules": op12_perplexity_rules,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
