@@ -43,9 +43,9 @@ from .common import Scratch, checked_broadcast, join_hot
 START, END = 1, 2
 SYMBOLS = "#*$%&|<>"
 #: Texts are worked on in chunks of so many characters (a longer text is a chunk of its own).
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: A task hands on its counts when it holds so many distinct n-grams.
-MAX_HELD = 1_000_000
+MAX_HELD = 500_000
 #: Odd multipliers, one per place counted from the end of an n-gram.
 PLACES = np.array([xxh64_intdigest(b"place %d" % i) | 1 for i in range(16)], np.uint64)
 #: What becomes of the first 128 code points.
