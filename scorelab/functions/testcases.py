@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .text import col, py_float, py_strip, strip_chars
+from .text import col, let, py_float, py_strip, strip_chars
 
 CURRENCY = "[$£€¥]"  # fixed value: currency symbols ignored by the comparison
 
@@ -102,23 +102,26 @@ def _close(a: Column, b: Column) -> Column:
     return F.coalesce((F.abs(a - b) < F.lit(1e-9)) & ~F.isnan(a - b), F.lit(False))
 
 
-def _match_rule(ne: Column, na: Column, fe: Column, fa: Column, ce: Column, ca: Column,
-                cfe: Column, cfa: Column) -> Column:
-    """equal → equal without quotes → numeric (decides when both parse) →
-    currency-blind equal or numeric → False."""
-    has_cur = F.concat(ne, na).rlike(CURRENCY)
-    return (F.when(ne == na, True)
-            .when(strip_chars(ne, "\"'") == strip_chars(na, "\"'"), True)
-            .when(fe.isNotNull() & fa.isNotNull(), _close(fe, fa))
-            .when(has_cur & (ce == ca), True)
-            .when(has_cur, _close(cfe, cfa))
-            .otherwise(False))
+def outputs_match_normalized(ne: Column, na: Column) -> Column:
+    """The comparison of already normalised texts: equal → equal without quotes → numeric
+    (decides when both parse) → currency-blind equal or numeric → False.
+
+    Every parse is bound once (``let``) and each step's only where the steps before
+    it did not decide, so equal texts cost one comparison.
+    """
+    def currency_blind(c: Column) -> Column:
+        return let(F.struct(_num(c["e"]).alias("e"), _num(c["a"]).alias("a")), lambda f: (c["e"] == c["a"]) | _close(f["e"], f["a"]))
 
+    def without_currency(t: Column) -> Column:
+        clean = F.struct(_currency_clean(t["e"]).alias("e"), _currency_clean(t["a"]).alias("a"))
+        return F.when(F.concat(t["e"], t["a"]).rlike(CURRENCY), F.coalesce(let(clean, currency_blind), F.lit(False))).otherwise(False)
 
-def outputs_match_normalized(ne: Column, na: Column) -> Column:
-    """The comparison chain over already normalised texts (single expression)."""
-    ce, ca = _currency_clean(ne), _currency_clean(na)
-    return _match_rule(ne, na, _num(ne), _num(na), ce, ca, _num(ce), _num(ca))
+    def numeric(t: Column) -> Column:
+        return let(F.struct(_num(t["e"]).alias("e"), _num(t["a"]).alias("a")),
+                   lambda f: F.when(f["e"].isNotNull() & f["a"].isNotNull(), _close(f["e"], f["a"])).otherwise(without_currency(t)))
+
+    return F.when(ne == na, True).otherwise(let(F.struct(ne.alias("e"), na.alias("a")), lambda t: F.when(
+        strip_chars(t["e"], "\"'") == strip_chars(t["a"], "\"'"), True).otherwise(numeric(t))))
 
 
 def outputs_match(expected, actual) -> Column:
@@ -126,20 +129,10 @@ def outputs_match(expected, actual) -> Column:
 
 
 def with_outputs_match(df, expected, actual, name: str = "match", normalized: bool = False):
-    """Add the comparison result as a column, staging its inputs.
-
-    The normalised texts, their float values and the currency-free texts are
-    named intermediate columns, so each parse runs once per row and the final
-    expression stays small enough for whole-stage codegen.
-    """
-    ne = col(expected) if normalized else normalize_output(expected)
-    na = col(actual) if normalized else normalize_output(actual)
-    st = df.withColumns({"_ne": ne, "_na": na})
-    st = st.withColumns({"_fe": _num(F.col("_ne")), "_fa": _num(F.col("_na")),
-                         "_ce": _currency_clean(F.col("_ne")), "_ca": _currency_clean(F.col("_na"))})
-    st = st.withColumns({"_cfe": _num(F.col("_ce")), "_cfa": _num(F.col("_ca"))})
-    rule = _match_rule(*[F.col(c) for c in ("_ne", "_na", "_fe", "_fa", "_ce", "_ca", "_cfe", "_cfa")])
-    return st.withColumn(name, rule).drop("_ne", "_na", "_fe", "_fa", "_ce", "_ca", "_cfe", "_cfa")
+    """Add the comparison result as a column; the normalised texts are staged."""
+    st = df.withColumns({"_ne": col(expected) if normalized else normalize_output(expected),
+                         "_na": col(actual) if normalized else normalize_output(actual)})
+    return st.withColumn(name, outputs_match_normalized(F.col("_ne"), F.col("_na"))).drop("_ne", "_na")
 
 
 def test_cases(df, inputs: str = "inputs", outputs: str = "outputs"):

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 # only), by Python's own rule; none lies beyond U+3000.  The class is written with code
 # points, so Java and RE2 read it alike.
 WS_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+ASCII_WS = r"[\x09-\x0d\x1c-\x20]"  # str.split's class within ASCII
 ASCII_BLANKS = " \t\n\r\f\x0b"
 WS = "[" + "".join(rf"\x{{{ord(c):x}}}" for c in WS_CHARS) + "]"
 # Decimal digits beyond ASCII, which Python's float() reads as well, and their values.
@@ -75,10 +76,26 @@ def py_float(c) -> Column:
     return F.when(s.rlike(NUMBER_RE), F.regexp_replace(s, "_", "").cast("double")).otherwise(F.try_element_at(words, F.lower(s)))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often ``body`` uses it.
+
+    A variable of a higher-order function is the one name that the optimizer neither
+    copies into each use nor merges with its neighbours, so chained parses stay one
+    small expression wherever a filter on the result is pushed.
+    """
+    return F.transform(F.array(value), body).getItem(0)
+
+
 def word_count(c) -> Column:
-    """``len(x.split())``: number of whitespace-separated words."""
-    s = py_strip(col(c))
-    return F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, f"{WS}+")))
+    """``len(x.split())``: number of whitespace-separated words.
+
+    A text of ASCII alone is split by the ASCII class, which Java matches several
+    times faster than the class with the wide blanks.
+    """
+    c = col(c)
+    s = py_strip(c)
+    words = F.when(F.octet_length(c) == F.length(c), F.size(F.split(s, ASCII_WS + "+"))).otherwise(F.size(F.split(s, WS + "+")))
+    return F.when(s == "", F.lit(0)).otherwise(words)
 
 
 def preview(c, n: int = 200, suffix: str = "...") -> Column:

@@ -59,3 +59,36 @@ def test_no_text_travels_through_an_exchange(spark, name):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert columns and not any(c.strip().startswith(TEXTS) for line in columns for c in line.split(","))
+
+
+@pytest.fixture
+def strict_codegen(spark):
+    """Generated code that does not compile fails the query instead of falling back."""
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    yield
+    spark.conf.unset("spark.sql.codegen.fallback")
+
+
+def test_filtered_comparison_compiles(spark, strict_codegen):
+    from scorelab.functions import testcases as T
+    pairs = QUERIES["tst_compare_outputs"](spark, SF)
+    every = pairs.count()
+    assert 0 < pairs.filter("match").count() < every
+    df = spark.createDataFrame([("1,000.0", "1000"), ("'a'", "a"), ("$5.00", "5"), ("x", "y"), (None, "y")], "e string, a string")
+    kept = T.with_outputs_match(T.with_outputs_match(df, "e", "a", "m1"), "a", "e", "m2").filter("m1 AND m2 OR e IS NULL")
+    assert kept.count() == 4
+
+
+def test_filtered_results_compile(spark, strict_codegen):
+    from scorelab.operators import execute as E
+    tests = spark.createDataFrame([("print(input())", "1", "1.0"), ("print('$2')", "", "2")], "code string, input string, output string")
+    assert E.run_tests(tests).filter("passed OR timeout").count() == 2
+
+
+def test_each_parse_is_written_once(spark):
+    """Four number parses (two texts, two without currency) in one comparison, not a copy per use."""
+    from scorelab.functions import testcases as T
+    from scorelab.functions.text import NUMBER_RE
+    df = spark.createDataFrame([("1", "2")], "e string, a string")
+    plan = df.select(T.outputs_match_normalized(df.e, df.a).alias("m")).filter("m")._jdf.queryExecution().optimizedPlan()
+    assert plan.expressions().mkString(" ").count(NUMBER_RE) == 4
