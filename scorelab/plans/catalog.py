@@ -967,18 +967,28 @@ def q_stm_score_new(spark, sf):
     return spark.read.parquet(out).select(*GEN_KEYS, "thinking_found", "code_found", *X.PATTERNS)
 
 
-@query("stm_log_windows")
-def q_stm_log_windows(spark, sf):
-    """Per-day, per-phase means of reward / kl / length from a log stream (1 h watermark), closed at the log's end."""
+def _closed_log_windows(spark, sf, **kw) -> DataFrame:
     src, out, ckpt = (scratch_path(spark, n) for n in ("logw-src", "logw-out", "logw-ckpt"))
     SR.write_train_log(view(spark, sf, "train_log"), src)
-    ST.run_log_windows(spark, src, out, ckpt, SR.TRAIN_LOG_STREAM_SCHEMA)
-    return ST.close_log_windows(spark, src, out, SR.TRAIN_LOG_STREAM_SCHEMA)
+    ST.run_log_windows(spark, src, out, ckpt, SR.TRAIN_LOG_STREAM_SCHEMA, **kw)
+    return ST.close_log_windows(spark, out, ckpt)
+
+
+@query("stm_log_windows")
+def q_stm_log_windows(spark, sf):
+    """Per-day, per-phase means of reward / kl / length from a log stream (1 h watermark), closed from its state."""
+    return _closed_log_windows(spark, sf)
+
+
+@query("stm_log_sliding_windows")
+def q_stm_log_sliding_windows(spark, sf):
+    """The same over 24-hour windows that start every 6 hours."""
+    return _closed_log_windows(spark, sf, window="24 hours", slide="6 hours")
 
 
 @query("stm_model_summary")
 def q_stm_model_summary(spark, sf):
-    """Running per-run summary of a generation stream (complete mode, overwritten table)."""
+    """Running per-run summary of a generation stream (complete mode, versioned table with a pointer)."""
     src, out, ckpt = (scratch_path(spark, n) for n in ("sum-src", "sum-out", "sum-ckpt"))
     _gen_events(spark, sf).write.mode("append").json(src)
     ST.run_summary_stream(spark, src, out, ckpt, ST.GENERATION_EVENT_SCHEMA)

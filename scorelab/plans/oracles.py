@@ -850,6 +850,12 @@ SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, phase, n_steps
   round(kl_mean, 6) AS kl_mean, round(completion_length_mean, 6) AS completion_length_mean
 FROM (SELECT date_trunc('day', timestamp) AS window_start, phase, count(*) AS n_steps, avg(reward) AS reward_mean,
         avg(kl) AS kl_mean, avg(completion_length) AS completion_length_mean FROM train_log GROUP BY 1, 2)""")
+oracle("stm_log_sliding_windows", ctes("train_log") + """
+SELECT window_start, window_start + INTERVAL 24 HOUR AS window_end, phase, n_steps, round(reward_mean, 6) AS reward_mean,
+  round(kl_mean, 6) AS kl_mean, round(completion_length_mean, 6) AS completion_length_mean
+FROM (SELECT time_bucket(INTERVAL 6 HOUR, timestamp, TIMESTAMP '1970-01-01') - INTERVAL 6 HOUR * k AS window_start, phase, count(*) AS n_steps,
+        avg(reward) AS reward_mean, avg(kl) AS kl_mean, avg(completion_length) AS completion_length_mean
+      FROM train_log CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS k) GROUP BY 1, 2)""")
 oracle("stm_model_summary", ctes("generations", GX) + f"""
 SELECT setup, model, count(*) AS n_outputs, round({rate('api_success')}, 6) AS api_success_rate,
   round({rate('code_found')}, 6) AS code_extraction_rate, round({rate('thinking_found')}, 6) AS thinking_extraction_rate

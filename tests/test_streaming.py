@@ -39,6 +39,111 @@ def test_late_and_repeated_rows_are_not_lost(spark, tmp_path):
     assert got.filter(F.col("code") != F.concat(F.lit("x = "), (F.col("problem_id") / 997).cast("int").cast("string"))).count() == 0
 
 
+EVENT = "setup string, model string, problem_id long, api_success boolean, model_output string, completion_tokens int, total_tokens int, total_time double, generated_at timestamp"
+
+
+def _events(spark, rows):
+    return spark.createDataFrame([("s", m, i, True, f"<code>{text}</code>", 1, 2, .5, at) for m, i, text, at in rows], EVENT)
+
+
+def test_score_stream_knows_keys_without_its_output(spark, tmp_path):
+    """Repeats are found in the state: the earlier output is gone when they arrive, after a restart."""
+    import shutil
+    from datetime import datetime as dt
+
+    from scorelab.streaming import streams as ST
+    src, out, ckpt = (f"{tmp_path}/{n}" for n in ("src dir", "out", "ckpt"))
+    old = [("m", i, f"x = {i}", dt(2025, 1, 1)) for i in range(40)] + [(None, 5, "n = 1", dt(2025, 1, 1))]
+    _events(spark, old).write.json(src)
+    ST.score_stream(spark, src, out, ckpt)
+    assert spark.read.parquet(out).count() == 41
+    shutil.move(f"{out}/batch=0", f"{tmp_path}/kept")
+    _events(spark, [("m", i, "late = 1", dt(2020, 1, 1)) for i in range(30, 60)] + [(None, 5, "n = 2", dt(2024, 1, 1))]).write.mode("append").json(src)
+    ST.score_stream(spark, src, out, ckpt)
+    assert sorted(r.problem_id for r in spark.read.parquet(f"{out}/batch=1").collect()) == list(range(40, 60))
+
+
+def test_score_stream_keeps_the_first_generated_row(spark, tmp_path):
+    """Repeats that differ within a batch: least generated_at, whatever file they are in."""
+    from datetime import datetime as dt
+
+    from scorelab.streaming import streams as ST
+    src, out, ckpt = (f"{tmp_path}/{n}" for n in ("src", "out", "ckpt"))
+    for day in (3, 1, 2):
+        _events(spark, [("m", i, f"day = {day}", dt(2025, 1, day)) for i in range(20)] * 2).repartition(3).write.mode("append").json(src)
+    ST.score_stream(spark, src, out, ckpt)
+    assert [(r.code, r.n) for r in spark.read.parquet(out).groupBy("code").agg({"*": "count"}).toDF("code", "n").collect()] == [("day = 1", 20)]
+
+
+def test_score_stream_reads_as_much_in_every_batch(spark, tmp_path):
+    """Twenty deliveries of one file: each batch opens its own file only."""
+    from datetime import datetime as dt
+
+    from scorelab.streaming import streams as ST
+    src, out, ckpt = (f"{tmp_path}/{n}" for n in ("src", "out", "ckpt"))
+    for k in range(20):
+        _events(spark, [("m", 50 * k + i, f"x = {i}", dt(2025, 1, 1)) for i in range(-10, 50)]).coalesce(1).write.mode("append").json(src)
+    opened = []
+    plain, reader = ST._plain_path, type(spark.read)
+    json = reader.json
+    reader.json = lambda self, path, *a, **kw: (opened.append(path), json(self, path, *a, **kw))[1]
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        ST.score_stream(spark, src, out, ckpt, max_files=1)
+    finally:
+        reader.json = json
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert [len(x) for x in opened] == [1] * 20 and len({x[0] for x in opened}) == 20 and plain
+    assert spark.read.parquet(out).count() == 1010
+
+
+def test_closing_reads_the_state_and_counts_late_rows(spark, tmp_path):
+    """The log is gone when it is closed; one row that comes after the watermark is told and left out."""
+    import shutil
+
+    from scorelab.sources import runs as SR
+    from scorelab.streaming import streams as ST
+    src, out, ckpt = (f"{tmp_path}/{n}" for n in ("src", "out", "ckpt"))
+
+    def log(*days):
+        return spark.sql(" UNION ALL ".join(f"SELECT {d}L step, 'sft' phase, timestamp '2025-01-{d:02d} 10:00:00' timestamp, {d}D reward, "
+                                            "cast(null as double) kl, 2D completion_length" for d in days)).coalesce(1)
+    SR.write_train_log(log(1, 2, 5), src)
+    first = ST.run_log_windows(spark, src, out, ckpt, SR.TRAIN_LOG_STREAM_SCHEMA)
+    SR.write_train_log(log(1, 6), src)
+    second = ST.run_log_windows(spark, src, out, ckpt, SR.TRAIN_LOG_STREAM_SCHEMA)
+    assert first == {"read": 3, "late": 0} and second == {"read": 2, "late": 1}
+    shutil.move(src, f"{tmp_path}/gone")
+    got = {(r.window_start.day, r.n_steps, r.reward_mean, r.kl_mean, r.completion_length_mean) for r in ST.close_log_windows(spark, out, ckpt).collect()}
+    assert got == {(d, 1, float(d), None, 2.0) for d in (1, 2, 5, 6)}
+    assert {r.window_start.day for r in ST.open_log_windows(spark, ckpt).collect()} == {6}
+
+
+def test_summary_reader_opens_one_version(spark, tmp_path):
+    from datetime import datetime as dt
+
+    from scorelab.streaming import streams as ST
+    src, out, ckpt = (f"{tmp_path}/{n}" for n in ("src", "out", "ckpt"))
+    for k in range(5):
+        _events(spark, [("m", k, "x", dt(2025, 1, 1))]).coalesce(1).write.mode("append").json(src)
+        ST.run_summary_stream(spark, src, out, ckpt, EVENT)
+        table = ST.latest_summary(spark, out)
+        assert table.first().n_outputs == k + 1
+        assert len({f.rsplit("/", 2)[1] for f in table.inputFiles()}) == 1
+    import os
+    assert sorted(x for x in os.listdir(out) if x.startswith("v=")) == ["v=3", "v=4"]
+    assert ST.VersionedTable(spark, out).newest() == 4
+
+
+def test_sliding_windows_equal_batch(spark):
+    from pyspark.sql import functions as F
+    out = QUERIES["stm_log_sliding_windows"](spark, SF)
+    log = view(spark, SF, "train_log").withColumn("ts", F.col("timestamp").cast("timestamp"))
+    batch = log.groupBy(F.window("ts", "24 hours", "6 hours").alias("w"), "phase").agg(F.count("*").alias("n_steps"))
+    want = {(r.w.start, r.phase, r.n_steps) for r in batch.collect()}
+    assert {(r.window_start, r.phase, r.n_steps) for r in out.collect()} == want
+
+
 def test_log_windows_are_whole_after_closing(spark):
     from pyspark.sql import functions as F
     out = QUERIES["stm_log_windows"](spark, SF)
