@@ -11,23 +11,39 @@ from pyspark.sql import functions as F
 
 from ..functions.extract import with_extraction
 from ..functions.testcases import test_cases
+from ..session import materialise
 from . import execute, metrics
 
 KEYS = ("setup", "model", "problem_id")
 
 
-def candidate_tests(extracted: DataFrame, problems: DataFrame, keys=KEYS) -> DataFrame:
-    """One row per test of every answered output with code: keys, code, test_case, input, output.
+def measured_codes(gens: DataFrame, keys=KEYS) -> DataFrame:
+    """Generations extracted once: keys, measures (``metrics.measured``), code and its key, written as a table.
 
-    Outputs without code get no test rows through an empty test list (a
-    projection), not through a filter: a filter on ``code_found`` would be
-    pushed below the extraction and re-evaluate the tag regexes inside it.
+    The tests, the codes and the summaries all read this table, each its own
+    columns; the raw outputs are not read again.
     """
-    ex = extracted.filter(F.col("api_success")).select(*keys, "code", "code_found")
-    joined = ex.join(problems.select("problem_id", "inputs", "outputs"), "problem_id")
-    none = F.array().cast("array<string>")
-    gated = joined.withColumns({c: F.when(F.col("code_found"), F.col(c)).otherwise(none) for c in ("inputs", "outputs")})
-    return test_cases(gated.drop("code_found"))
+    rows = metrics.measured(with_extraction(gens), (*keys, "code"))
+    return materialise(rows.withColumn("code_key", F.sha2(F.coalesce("code", F.lit("")), 256)), "measured")
+
+
+def extracted_codes(gens: DataFrame, keys=KEYS) -> DataFrame:
+    """Keys, flags, code and its key only, for those who want test results and no measures."""
+    ex = with_extraction(gens).select(*keys, "api_success", (F.coalesce("api_success", F.lit(False)) & F.col("code_found")).alias("code_found"), "code")
+    return materialise(ex.withColumn("code_key", F.sha2(F.coalesce("code", F.lit("")), 256)), "codes")
+
+
+def candidate_tests(rows: DataFrame, problems: DataFrame, keys=KEYS) -> tuple[DataFrame, DataFrame]:
+    """Tests of every answered output with code (keys, code_key, test_case, input, output) and the distinct codes (code_key, code)."""
+    have = rows.filter("api_success AND code_found")
+    tests = test_cases(have.select(*keys, "code_key").join(problems.select("problem_id", "inputs", "outputs"), "problem_id"))
+    return tests, have.select("code_key", "code").dropDuplicates(["code_key"])
+
+
+def run_candidates(rows: DataFrame, problems: DataFrame, keys=KEYS, **running) -> DataFrame:
+    """Results of all tests of ``measured_codes`` or ``extracted_codes`` rows, one row per test (``execute.run_tests``)."""
+    tests, codes = candidate_tests(rows, problems, keys)
+    return execute.run_tests(tests, codes=codes, **running)
 
 
 def evaluate_run(gens: DataFrame, problems: DataFrame, keys=KEYS, **running) -> DataFrame:
@@ -37,6 +53,6 @@ def evaluate_run(gens: DataFrame, problems: DataFrame, keys=KEYS, **running) ->
     ``running`` goes to ``execute.run_tests``.  An output without code, without
     a problem or whose call failed has no test and scores zeros.
     """
-    ex = with_extraction(gens)
-    results = execute.run_gated(candidate_tests(ex, problems, keys), **running)
-    return metrics.scored_rows(ex, execute.execution_result(results, keys), keys)
+    rows = measured_codes(gens, keys)
+    results = run_candidates(rows, problems, keys, **running)
+    return metrics.with_execution(rows.drop("code", "code_key"), execute.execution_result(results, keys), keys)

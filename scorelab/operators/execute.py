@@ -3,9 +3,11 @@
 * ``code_checks``: one Arrow-batched pandas UDF parses each *distinct* code
   once (``ast``) and returns syntax status, blocked imports and complexity
   counts together.
-* ``run_tests``: distinct (code, input, expected) runs are hashed and spread
-  over many partitions (slow or looping tests do not share a task); each
-  ``mapInPandas`` task converts the input, gates each code once (syntax,
+* ``run_tests``: distinct (code, input, expected) runs are spread over many
+  partitions, twice: first with a short time limit, then those that need longer,
+  dealt evenly, with the whole limit (slow or looping tests do not share a task).
+  Test rows carry the hash of their code; each task gets each code it needs
+  once.  A ``mapInPandas`` task converts the input, gates each code once (syntax,
   blocked imports), runs one child process per run under a wall-clock limit and
   CPU / address-space rlimits (optionally an output cap), normalises both
   outputs, and the results are joined back.  A failure inside a test becomes a row (error
@@ -17,7 +19,6 @@ This limits damage from untrusted code; it is not a security sandbox.
 from __future__ import annotations
 
 import ast
-import hashlib
 import os
 import selectors
 import subprocess
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from ..functions.testcases import normalized_text, stdin_text, with_outputs_match
 from ..functions.text import py_strip
 from ..session import materialise
+from .select import distributed_rank
 
 # Modules the static import gate rejects.
 DANGEROUS_MODULES = ("os", "sys", "subprocess", "shutil", "tempfile", "pathlib", "glob", "fnmatch",
@@ -191,10 +193,10 @@ def _run_child(args: list[str], payload: bytes, timeout_s: float, max_bytes: int
 
 
 RUN_SCHEMA = ("run_key string, safe boolean, converted_input string, actual_output string, stderr string, "
-              "returncode int, elapsed double, timed_out boolean, norm_expected string, norm_actual string")
+              "returncode int, elapsed double, timed_out boolean, norm_expected string, norm_actual string, unfinished boolean")
 RUN_COLUMNS = [c.split()[0] for c in RUN_SCHEMA.split(", ")]
 SLICE_ROWS, SLICE_BYTES = 64, 8 << 20  # results handed on at a time
-VERDICTS = 10_000  # gate results a task remembers
+FEW_RUNS = 10_000  # so many keys are numbered in one task
 
 
 def _gate_error(check: dict) -> str | None:
@@ -210,8 +212,13 @@ def _changed(text: str | None) -> str | None:
     return norm if norm != text else None
 
 
-def _run_batches(timeout_s: float, mem_mb: int, deny: tuple, removed: tuple, gate: bool = True,
+def _run_batches(timeout_s: float, full_s: float, mem_mb: int, deny: tuple, removed: tuple, gate: bool = True,
                  site_packages: bool = False, max_output: int | None = None, in_flight: int = 2):
+    """Task function over rows (code_key, kind, run_key, code, input, expected) sorted by code_key and kind.
+
+    A code's own row (kind 0) comes before its runs (kind 1).  A run that is
+    stopped at ``timeout_s``, short of the whole limit ``full_s``, is unfinished.
+    """
     # -I: isolated (no user site, no PYTHON* variables); -S: no site import, which
     # cuts interpreter start-up several-fold; the standard library stays importable.
     flags = ["-I"] if site_packages else ["-I", "-S"]
@@ -221,44 +228,38 @@ def _run_batches(timeout_s: float, mem_mb: int, deny: tuple, removed: tuple, gat
         stdin = stdin_text(raw_in) or ""
         norm_exp = _changed((exp or "").strip())
         if error is not None:
-            return key, False, stdin, "", error, None, 0.0, False, norm_exp, None
+            return key, False, stdin, "", error, None, 0.0, False, norm_exp, None, False
         code_b = code.encode("utf-8")
         payload = str(len(code_b)).encode() + b"\n" + code_b + stdin.encode("utf-8")
         start = time.monotonic()
         try:
             out_b, err_b, rc, timed_out, truncated = _run_child(
-                [sys.executable, *flags, "-c", _RUNNER, str(mem_mb), str(int(timeout_s) + 1),
+                [sys.executable, *flags, "-c", _RUNNER, str(mem_mb), str(int(full_s) + 1),
                  deny_arg, removed_arg], payload, timeout_s, max_output)
         except Exception as e:  # launching failed: still a row
-            return key, True, stdin, "", f"Execution failed: {e}", -1, time.monotonic() - start, False, norm_exp, None
+            return key, True, stdin, "", f"Execution failed: {e}", -1, time.monotonic() - start, False, norm_exp, None, False
         elapsed = time.monotonic() - start
         if timed_out:
-            return key, True, stdin, "", f"Execution timed out after {timeout_s} seconds", -1, elapsed, True, norm_exp, None
+            return key, True, stdin, "", f"Execution timed out after {timeout_s} seconds", -1, elapsed, True, norm_exp, None, timeout_s < full_s
         if truncated:
-            return key, True, stdin, "", f"Output exceeded {max_output} bytes", -1, elapsed, False, norm_exp, None
+            return key, True, stdin, "", f"Output exceeded {max_output} bytes", -1, elapsed, False, norm_exp, None, False
         actual = out_b.decode("utf-8", "replace").strip() if rc == 0 else ""
-        return key, True, stdin, actual, err_b.decode("utf-8", "replace"), rc, elapsed, False, norm_exp, _changed(actual)
+        return key, True, stdin, actual, err_b.decode("utf-8", "replace"), rc, elapsed, False, norm_exp, _changed(actual), False
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        verdicts: dict[bytes, str | None] = {}  # gate result by the code's hash, parsed once per task
-
-        def verdict(code: str) -> str | None:
-            if not gate:
-                return None
-            h = hashlib.sha256(code.encode("utf-8")).digest()
-            if h not in verdicts:
-                if len(verdicts) >= VERDICTS:
-                    verdicts.clear()
-                verdicts[h] = _gate_error(_check_one(code, deny_set))
-            return verdicts[h]
+        code, error = "", None  # the code whose runs come next, and why it must not run
 
         with ThreadPoolExecutor(max_workers=in_flight) as pool:
             for pdf in batches:
                 rows, size = [], 0
                 for at in range(0, len(pdf), SLICE_ROWS):
-                    part = pdf.iloc[at:at + SLICE_ROWS]
-                    jobs = [pool.submit(one, k, c or "", verdict(c or ""), i, e)
-                            for k, c, i, e in zip(part["run_key"], part["code"], part["input"], part["expected"])]
+                    part, jobs = pdf.iloc[at:at + SLICE_ROWS], []
+                    for kind, key, text, raw_in, exp in zip(part["kind"], part["run_key"], part["code"], part["input"], part["expected"]):
+                        if kind == 0:
+                            code = text or ""
+                            error = _gate_error(_check_one(code, deny_set)) if gate else None
+                        else:
+                            jobs.append(pool.submit(one, key, code, error, raw_in, exp))
                     for job in jobs:
                         row = job.result()
                         rows.append(row)
@@ -272,21 +273,42 @@ def _run_batches(timeout_s: float, mem_mb: int, deny: tuple, removed: tuple, gat
     return run
 
 
+def _dealt(runs: DataFrame, codes: DataFrame, tasks: int) -> DataFrame:
+    """``runs`` (with a task number ``slot``) and each task's codes, in the order ``_run_batches`` reads.
+
+    A code travels once to each task that runs it; runs travel without code.
+    """
+    null = F.lit(None).cast("string")
+    needed = runs.select("slot", "code_key").distinct().join(codes, "code_key")
+    rows = needed.select("slot", "code_key", F.lit(0).alias("kind"), null.alias("run_key"), "code", null.alias("input"), null.alias("expected")).unionByName(
+        runs.select("slot", "code_key", F.lit(1).alias("kind"), "run_key", null.alias("code"), "input", "expected"))
+    # Task numbers are taken as they are: a few long-running rows must not be folded into one task.
+    return rows.repartitionById(tasks, F.col("slot")).sortWithinPartitions("code_key", "kind", "run_key").drop("slot")
+
+
 def run_tests(tests: DataFrame, code: str = "code", test_input: str = "input",
               expected: str = "output", timeout_s: float = 10.0, mem_mb: int = 512,
               partitions: int | None = None, deny=DANGEROUS_MODULES,
               removed=REMOVED_BUILTINS, gate: bool = True, site_packages: bool = False,
-              strict_imports: bool = False, max_output: int | None = None, in_flight: int = 2) -> DataFrame:
+              strict_imports: bool = False, max_output: int | None = None, in_flight: int = 2,
+              codes: DataFrame | None = None, short_s: float | None = None) -> DataFrame:
     """Run every (code, test) row and compare its output with the expected one.
 
-    ``tests`` has one row per test (see ``functions.testcases.test_cases``).
-    One Python hop: distinct (code, input, expected) runs are spread by hash
-    over ``partitions`` tasks; each task converts the input to stdin, gates
-    each code once (syntax, blocked imports — failing code never runs),
-    executes the rest in child processes and normalises both outputs.  The
-    comparison rule itself stays a native expression.  The test table is read
-    twice (distinct runs, join back), so it is written once as a Parquet table
-    in the shared folder instead of recomputing its lineage per reader.
+    ``tests`` has one row per test (see ``functions.testcases.test_cases``), with
+    its code or, where ``codes`` (code_key, code) is given, with the code's key.
+    The test table is read several times (distinct runs, join back), so it is
+    written once as a Parquet table in the shared folder instead of recomputing
+    its lineage per reader.
+
+    Distinct (code, input, expected) runs go over ``partitions`` tasks with a limit of
+    ``short_s`` (a twentieth of ``timeout_s``, a quarter of a second at least).  Runs that
+    need longer are few as a rule; they are dealt one by one, to every core first and
+    then up to twice ``in_flight`` at a time, and get the whole limit.  So no task waits
+    for many slow or looping runs while others are done, and a slow run costs a twentieth more.  Each task converts the
+    input to stdin, gates each code once (syntax, blocked imports — failing code
+    never runs), executes the rest in child processes and normalises both
+    outputs.  The comparison rule itself stays a native expression.
+
     Adds ``converted_input, actual_output, passed, exact_match, execution_time,
     error, timeout, execution_success``.  ``site_packages`` makes installed
     third-party packages importable by the solutions (slower start-up);
@@ -298,20 +320,31 @@ def run_tests(tests: DataFrame, code: str = "code", test_input: str = "input",
     """
     spark = tests.sparkSession
     exp_text = F.coalesce(F.col(expected).cast("string"), F.lit(""))
+    if codes is None:
+        tests = tests.withColumn("code_key", F.sha2(F.coalesce(F.col(code), F.lit("")), 256))
     # JSON keeps field borders and nulls apart, so different runs never share a key.
-    key = F.sha2(F.to_json(F.struct(F.col(code).alias("c"), F.col(test_input).alias("i"), exp_text.alias("e"))), 256)
+    key = F.sha2(F.to_json(F.struct(F.col("code_key").alias("c"), F.col(test_input).alias("i"), exp_text.alias("e"))), 256)
     prepared = materialise(tests.withColumn("run_key", key), "tests")
+    if codes is None:
+        codes = prepared.select("code_key", F.col(code).alias("code")).dropDuplicates(["code_key"])
+    runs = prepared.select("run_key", "code_key", F.col(test_input).alias("input"), exp_text.alias("expected")).dropDuplicates(["run_key"])
     n = partitions or max(8, spark.sparkContext.defaultParallelism * 4)
-    # A separate, fixed-size exchange: few rows but long-running tasks must stay spread.
-    # Repartitioning by run_key itself would be folded into the de-duplication's
-    # exchange, which AQE then coalesces (a tiny shuffle) into a single task.
-    runs_in = (prepared.select("run_key", F.col(code).alias("code"), F.col(test_input).alias("input"),
-                               exp_text.alias("expected"))
-                       .dropDuplicates(["run_key"]).repartition(n, F.xxhash64("run_key")))
-    run_deny = ("*", *deny) if strict_imports else tuple(deny)
-    runs = runs_in.mapInPandas(_run_batches(timeout_s, mem_mb, run_deny, tuple(removed), gate, site_packages,
-                                            max_output, in_flight), RUN_SCHEMA)
-    out = prepared.join(runs, on="run_key", how="left")
+    limits = (mem_mb, ("*", *deny) if strict_imports else tuple(deny), tuple(removed), gate, site_packages, max_output, in_flight)
+    short = min(timeout_s, max(0.25, timeout_s / 20) if short_s is None else short_s)
+    first = _dealt(runs.withColumn("slot", F.pmod(F.xxhash64("run_key"), F.lit(n)).cast("int")), codes, n)
+    done = materialise(first.mapInPandas(_run_batches(short, timeout_s, *limits), RUN_SCHEMA), "runs")
+    # The rest, numbered through and dealt in turn.
+    rest = runs.join(done.filter("unfinished").select("run_key"), "run_key", "left_semi")
+    n_rest = done.filter("unfinished").count()
+    at_once = 2 * in_flight
+    tasks = max(1, min(n_rest, spark.sparkContext.defaultParallelism), min(-(-n_rest // at_once), 100_000))
+    if n_rest <= FEW_RUNS:
+        rest = rest.withColumn("rank", F.row_number().over(Window.orderBy("run_key")))
+    else:
+        rest = distributed_rank(rest, [], [F.col("run_key")], partitions=1 + n_rest // FEW_RUNS)
+    rest = rest.withColumn("slot", (F.col("rank") % tasks).cast("int"))
+    long = _dealt(rest, codes, tasks).mapInPandas(_run_batches(timeout_s, timeout_s, *limits[:-1], at_once), RUN_SCHEMA)
+    out = prepared.join(done.filter("NOT unfinished").union(long).drop("unfinished"), on="run_key", how="left")
     ok = (F.col("returncode") == 0) & ~F.col("timed_out")
     out = out.withColumns({"actual_output": F.coalesce("actual_output", F.lit("")), "_ok": F.coalesce(ok, F.lit(False)),
                            "norm_expected": F.coalesce("norm_expected", py_strip(exp_text)),
@@ -365,6 +398,23 @@ def ordered_results(results: DataFrame, keys=("setup", "model", "problem_id"), t
     return results.orderBy(*keys, test)
 
 
+def result_lists(results: DataFrame, keys=("setup", "model", "problem_id"), test: str = "test_case", max_bytes: int = 1 << 20) -> DataFrame:
+    """Per generation the ordered list of its test results, in chunks of at most ``max_bytes`` of texts (one result at least).
+
+    (keys, chunk from 0, execution_success, execution_error, results: test_case,
+    passed, timeout, input, expected output, actual output, error, time).  Code that failed the gate has one empty
+    chunk and the gate's reason.  A list never grows with the number of tests.
+    """
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("input", "output", "actual_output", "error")), F.lit(64))
+    # A problem's tests came from one row, so the rows of a key are as many as a row could hold.
+    before = Window.partitionBy(*keys).orderBy(test).rowsBetween(Window.unboundedPreceding, -1)
+    placed = results.withColumn("chunk", F.when(F.col("execution_success"), F.floor(F.coalesce(F.sum(size).over(before), F.lit(0)) / max_bytes)).otherwise(0).cast("int"))
+    row = F.struct(F.col(test), "passed", "timeout", "input", F.col("output").alias("expected"), "actual_output", "error", "execution_time")
+    return placed.groupBy(*keys, "chunk").agg(
+        F.bool_and("execution_success").alias("execution_success"), F.max(F.when(~F.col("execution_success"), F.col("error"))).alias("execution_error"),
+        F.sort_array(F.collect_list(F.when(F.col("execution_success"), row))).alias("results"))
+
+
 def r_exec(completions: DataFrame, results: DataFrame, keys=("setup", "model", "problem_id"), has_code: str = "code_found",
            passed: str = "passed") -> DataFrame:
     """Execution reward of every completion: −3 without code, else 5 × passed / total (0 without tests).

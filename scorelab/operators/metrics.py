@@ -54,13 +54,18 @@ def measured(gens: DataFrame, keep=("setup", "model", "problem_id")) -> DataFram
 
 
 def scored_rows(gens: DataFrame, exec_results: DataFrame, keys=("setup", "model", "problem_id")) -> DataFrame:
-    """Measures of the generations joined to per-problem execution results.
+    """Measures of the extracted generations joined to per-problem execution results."""
+    return with_execution(measured(gens, keys), exec_results, keys)
+
+
+def with_execution(rows: DataFrame, exec_results: DataFrame, keys=("setup", "model", "problem_id")) -> DataFrame:
+    """``measured`` rows joined to per-problem execution results.
 
     Execution counts only where the API call succeeded and code was found
     (otherwise the row scores zeros, as the evaluator does).
     """
     ex = exec_results.select(*keys, "execution_success", "passed_count", "total_count", "pass_rate")
-    joined = measured(gens, keys).join(ex, on=list(keys), how="left")
+    joined = rows.join(ex, on=list(keys), how="left")
     ran = F.col("api_success") & F.col("code_found") & F.col("total_count").isNotNull()
     return joined.withColumns({
         "execution_success": F.when(ran, F.col("execution_success")).otherwise(F.lit(False)),

@@ -72,6 +72,11 @@ def scored(spark, sf) -> DataFrame:
     return M.scored_rows(extracted(spark, sf), ex)
 
 
+def executed(spark, sf, **running) -> DataFrame:
+    """Results of the generations' code run on the problems' tests, one row per test."""
+    return V.run_candidates(V.extracted_codes(view(spark, sf, "generations")), view(spark, sf, "problems"), **running)
+
+
 def split_table(spark, sf) -> DataFrame:
     return S.stratified_split(clean(spark, sf), order="source", seed=42)
 
@@ -580,11 +585,21 @@ def q_tst_compare_outputs(spark, sf):
 @query("exe_run_tests")
 def q_exe_run_tests(spark, sf):
     """Gate by syntax and imports, then run each distinct (code, stdin) in a child process."""
-    res = E.run_gated(V.candidate_tests(extracted(spark, sf), view(spark, sf, "problems")))
+    res = executed(spark, sf)
     return res.select(*GEN_KEYS, "test_case", "converted_input", "actual_output", "passed", "timeout",
                       "execution_success")
 
 
+@query("exe_result_lists")
+def q_exe_result_lists(spark, sf):
+    """Per generation the ordered results of its executed tests, in bounded lists, with the gate's reason."""
+    lists = E.result_lists(executed(spark, sf, timeout_s=5.0))
+    line = F.transform("results", lambda r: F.concat_ws("|", r["test_case"].cast("string"), r["passed"].cast("string"), r["timeout"].cast("string"),
+                                                        r["input"], r["expected"], r["actual_output"]))
+    reason = F.regexp_extract("execution_error", "^[A-Za-z ]+", 0)
+    return lists.select(*GEN_KEYS, "chunk", "execution_success", reason.alias("execution_error"), F.size("results").alias("n_results"), F.array_join(line, "\n").alias("results"))
+
+
 @query("exe_aggregate")
 def q_exe_aggregate(spark, sf):
     """Per generation: passed / failed / total, pass rate, timeouts and time; gate failures count as 0/0."""
@@ -665,6 +680,14 @@ def q_rwd_execution(spark, sf):
     return E.r_exec(done, view(spark, sf, "test_results")).select(*GEN_KEYS, "reward_exec")
 
 
+@query("rwd_execution_exact")
+def q_rwd_execution_exact(spark, sf):
+    """Execution reward over executed code: exit code 0 and exact equality count, -3 without code."""
+    rows = V.extracted_codes(view(spark, sf, "generations"))
+    res = V.run_candidates(rows, view(spark, sf, "problems"), timeout_s=5.0)
+    return E.r_exec(rows, res, passed="exact_match").select(*GEN_KEYS, "reward_exec")
+
+
 @query("rwd_format_binary")
 def q_rwd_format_binary(spark, sf):
     """3.0 when the exact format matches, -1.0 otherwise."""

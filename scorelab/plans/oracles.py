@@ -918,3 +918,16 @@ FROM (SELECT setup, model, problem_id, bool_and(program NOT IN ('broken', 'block
   count_if(actual = output) AS p FROM outs GROUP BY setup, model, problem_id)""")
 oracle("sink_scored", ctes("generations", "problems", GX, GXC, TESTS, RUNS, DONE, OUT, EXECUTED, SCORED, SUMMARY)
        + final(_SUMMARY_COLS, _SUMMARY_D, "summary"))
+oracle("exe_result_lists", ctes("generations", "problems", GX, TESTS, RUNS, DONE, OUT) + """
+SELECT setup, model, problem_id, CAST(0 AS INTEGER) AS chunk, bool_and(ok) AS execution_success,
+  max(CASE program WHEN 'broken' THEN 'Syntax error' WHEN 'blocked' THEN 'Blocked imports' END) AS execution_error,
+  CAST(count(*) FILTER (ok) AS INTEGER) AS n_results, coalesce(string_agg(shown, chr(10) ORDER BY test_case) FILTER (ok), '') AS results
+FROM (SELECT o.*, program NOT IN ('broken', 'blocked') AS ok,
+        concat_ws('|', CAST(o.test_case AS VARCHAR), CAST(actual = o.output AS VARCHAR), CAST(program = 'loop' AS VARCHAR), t.input, o.output, actual) AS shown
+      FROM outs o JOIN tests t USING (problem_id, test_case))
+GROUP BY setup, model, problem_id""")
+oracle("rwd_execution_exact", ctes("generations", "problems", GX, TESTS, RUNS, DONE, OUT) + f"""
+SELECT g.setup, g.model, g.problem_id, round(CASE WHEN NOT (g.api_success AND g.code_found) THEN -3.0::DOUBLE
+  ELSE coalesce(5.0 * r.passed / r.total, 0.0::DOUBLE) END, 6) AS reward_exec
+FROM gx g LEFT JOIN (SELECT setup, model, problem_id, count_if(program NOT IN ('broken', 'blocked', 'loop') AND actual = {strip('output')}) AS passed,
+    count(*) AS total FROM outs GROUP BY setup, model, problem_id) r USING (setup, model, problem_id)""")

@@ -102,3 +102,62 @@ def test_execution_error_of_gated_code(spark):
                                 "setup string, model string, problem_id int, passed boolean, timeout boolean, "
                                 "execution_time double, execution_success boolean, error string")
     assert {r["problem_id"]: r["execution_error"] for r in E.execution_result(res).collect()} == {1: "Blocked imports: os", 2: None}
+
+
+def _exchange_columns(df):
+    node, out = df._jdf.queryExecution().executedPlan(), []
+
+    def walk(p):
+        if p.nodeName().startswith("AdaptiveSparkPlan"):
+            return walk(p.initialPlan())
+        if p.nodeName() == "Exchange":
+            out.append(p.output().mkString(","))
+        for i in range(p.children().size()):
+            walk(p.children().apply(i))
+    walk(node)
+    return out
+
+
+def test_code_travels_once_per_task_and_not_with_the_runs(spark, monkeypatch):
+    """The exchange of the de-duplication carries keys; codes move in rows of their own."""
+    seen = []
+    dealt = E._dealt
+    monkeypatch.setattr(E, "_dealt", lambda runs, codes, tasks: (seen.append(runs), dealt(runs, codes, tasks))[1])
+    code = "print(input())  # " + "x" * 5000
+    tests = spark.range(200).selectExpr(f"'{code}' code", "cast(id as string) input", "cast(id as string) output")
+    assert E.run_tests(tests, partitions=8).filter("passed").count() == 200
+    for runs in seen:
+        columns = _exchange_columns(runs)
+        assert columns and not any("code#" in c for c in columns)
+    rows = dealt(seen[0], tests.selectExpr("sha2(code, 256) code_key", "code").distinct(), 8)
+    assert rows.filter("kind = 0").count() == 8 and rows.filter("kind = 1 AND code IS NULL").count() == 200
+
+
+def test_long_runs_are_dealt_evenly(spark, monkeypatch):
+    """Runs beyond the short limit run again with the whole one, at most in_flight to a task."""
+    seen = []
+    dealt = E._dealt
+    monkeypatch.setattr(E, "_dealt", lambda runs, codes, tasks: (seen.append((runs, tasks)), dealt(runs, codes, tasks))[1])
+    code = "import time\nn = int(input())\ntime.sleep(0.8 if n % 3 == 0 else 9 if n % 10 == 1 else 0)\nprint(n)"
+    tests = spark.range(40).selectExpr(f"'{code}' code".replace(chr(10), "\\n"), "cast(id as string) input", "cast(id as string) output")
+    res = E.run_tests(tests, timeout_s=2.0, short_s=0.4, partitions=4)
+    got = {int(r.input): (r.passed, r.timeout) for r in res.collect()}
+    assert got == {n: (False, True) if n % 10 == 1 and n % 3 else (True, False) for n in range(40)}
+    runs, tasks = seen[1]
+    per_task = [r["count"] for r in runs.groupBy("slot").count().collect()]
+    assert sum(per_task) >= 17 and max(per_task) - min(per_task) <= 1 and max(per_task) <= 4 and len(per_task) == tasks
+
+
+def test_result_lists_are_ordered_and_bounded(spark):
+    df = spark.createDataFrame([("s", "m", 1, "print(input())", [str(i) for i in range(25)], [str(i if i != 3 else 9) for i in range(25)]),
+                                ("s", "m", 2, "import os", ["1"], ["1"])],
+                               "setup string, model string, problem_id int, code string, inputs array<string>, outputs array<string>")
+    res = E.run_tests(T.test_cases(df), partitions=4)
+    lists = E.result_lists(res, max_bytes=1000).orderBy("problem_id", "chunk").collect()
+    one = [r for r in lists if r.problem_id == 1]
+    assert len(one) > 1 and [r.chunk for r in one] == list(range(len(one)))
+    flat = [x for r in one for x in r.results]
+    assert [x.test_case for x in flat] == list(range(1, 26)) and [x.test_case for x in flat if not x.passed] == [4]
+    assert max(len(r.results) for r in one) <= 16
+    (two,) = [r for r in lists if r.problem_id == 2]
+    assert two.results == [] and two.execution_error == "Blocked imports: os" and not two.execution_success
