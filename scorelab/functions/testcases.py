@@ -1,9 +1,10 @@
 """Test-case conversion and output comparison.
 
-Plain text stays on the JVM.  Only bracketed text (``[...]``) needs Python's
-literal grammar (``ast.literal_eval``); those rows go through one Arrow-batched
-pandas UDF and every other row passes a null to it, so the Python hop costs
-almost nothing for them.
+Plain text stays on the JVM, and so do flat lists of plain literals: their tokens
+are split and spelled natively (``flat_list``).  Only other bracketed text (nested
+lists, escapes, dicts, odd numbers) needs Python's literal grammar
+(``ast.literal_eval``); those rows go through one Arrow-batched pandas UDF and every
+other row passes a null to it, so the Python hop costs almost nothing for them.
 """
 
 from __future__ import annotations
@@ -74,20 +75,53 @@ def _normalize_udf(s: pd.Series) -> pd.Series:
     return s.map(_normalized_text)
 
 
+# Literals whose Python spelling follows from their text: integers, short decimals without
+# exponent, strings of printable ASCII without escapes, the three names.  Quantifiers of
+# groups are possessive, so a long list is matched without backtracking or recursion.
+_INT_TOKEN = r"[+-]?(?:0|[1-9][0-9]{0,300}+)"
+_DECIMAL_TOKEN = r"-?(?!0\.0000)(?:0|[1-9][0-9]{0,8})\.(?:[0-9]{0,5}[1-9]|0)"
+_STRING_TOKEN = r"'[ -&(-\[\]-~]*+'|\"[ !#-\[\]-~]*+\""
+_TOKEN = rf"(?:{_STRING_TOKEN}|{_DECIMAL_TOKEN}(?![0-9.eEjJ_])|{_INT_TOKEN}(?![0-9.eEjJxXoObB_])|(?:True|False|None)(?![A-Za-z0-9_]))"
+_GAP = r"[ \t\n]*+"
+_FLAT_LIST = rf"\A\[{_GAP}(?:{_TOKEN}{_GAP}(?:,{_GAP}{_TOKEN}{_GAP})*+(?:,{_GAP})?)?+\]\z"
+
+
 def _bracketed(s: Column) -> Column:
     return s.startswith("[") & s.endswith("]")
 
 
+def is_flat_list(s: Column) -> Column:
+    """Whether a text is a list of literals that ``flat_list`` spells as Python does."""
+    return s.rlike(_FLAT_LIST)
+
+
+def flat_list(s: Column, quoted: bool = False) -> Column:
+    """Elements of a flat list as ``str`` spells them, or with ``quoted`` as ``repr`` does."""
+    def spell(t: Column) -> Column:
+        text = t.substr(F.lit(2), F.length(t) - 2)
+        if quoted:
+            mark = F.when(F.contains(text, F.lit("'")), F.lit('"')).otherwise(F.lit("'"))
+            text = F.concat(mark, text, mark)
+        number = F.when(t.isin("-0", "+0"), F.lit("0")).otherwise(F.ltrim(t, F.lit("+")))
+        return F.when(t.substr(1, 1).isin("'", '"'), text).otherwise(number)
+    return F.transform(F.regexp_extract_all(s, F.lit(_TOKEN), F.lit(0)), spell)
+
+
+def _native_or(s: Column, udf, native) -> Column:
+    """Plain text as is, flat lists natively, other bracketed text through ``udf``."""
+    flat = is_flat_list(s)
+    slow = udf(F.when(_bracketed(s) & ~flat, s))
+    return F.when(~_bracketed(s), s).when(flat, native(flat_list(s))).otherwise(slow)
+
+
 def to_stdin(c) -> Column:
     """Test input → stdin text: a ``[a, b]`` literal becomes lines, other text stays."""
-    s = py_strip(col(c))
-    return F.when(_bracketed(s), _stdin_udf(F.when(_bracketed(s), s))).otherwise(s)
+    return _native_or(py_strip(col(c)), _stdin_udf, lambda items: F.array_join(items, "\n"))
 
 
 def normalize_output(c) -> Column:
     """One-element list → element; longer list → lines; bad brackets → inside, stripped."""
-    s = py_strip(col(c))
-    return F.when(_bracketed(s), _normalize_udf(F.when(_bracketed(s), s))).otherwise(s)
+    return _native_or(py_strip(col(c)), _normalize_udf, lambda items: F.array_join(items, "\n"))
 
 
 def _currency_clean(c: Column) -> Column:
@@ -169,20 +203,26 @@ def _literal_kind_udf(s: pd.Series) -> pd.DataFrame:
 def recover_type(c) -> Column:
     """Classify a stringified test value: quoted string / literal / plain text.
 
-    Quotes, numbers, booleans and None are decided natively; only other text
-    (lists, dicts, tuples, anything odd) goes to ``ast.literal_eval`` in the UDF.
-    Returns ``struct<kind, text>`` (``text`` unquoted for strings).
+    Quotes, numbers, booleans, None, flat lists and texts of words alone are decided
+    natively; only other text (nested lists, dicts, tuples, anything odd) goes to
+    ``ast.literal_eval`` in the UDF.  Returns ``struct<kind, text>`` (``text``
+    unquoted for strings).
     """
     s = col(c)
     quoted = ((s.startswith('"') & s.endswith('"')) | (s.startswith("'") & s.endswith("'"))) & (F.length(s) >= 1)
     inner = s.substr(F.lit(2), F.length(s) - 2)
+    flat = is_flat_list(s)
     native_kind = (F.when(quoted, "str")
                     .when(s.rlike(_INT_RE), "int")
                     .when(s.rlike(_FLOAT_RE), "float")
                     .when(s.isin("True", "False"), "bool")
-                    .when(s == "None", "none"))
+                    .when(s == "None", "none")
+                    .when(flat, "list")
+                    # letters, digits and blanks after a letter: a literal only if it is one of the names
+                    .when(s.rlike(r"\A[A-Za-z][A-Za-z0-9_ ]*+\z") & ~s.rlike(r"\A(?:True|False|None) *+\z"), "text"))
+    listed = F.concat(F.lit("["), F.array_join(flat_list(s, quoted=True), ", "), F.lit("]"))
     slow = _literal_kind_udf(F.when(native_kind.isNull() & s.isNotNull(), s))
     return (F.when(s.isNull(), F.lit(None).cast("struct<kind:string,text:string>"))
              .when(native_kind.isNotNull(),
-                   F.struct(native_kind.alias("kind"), F.when(quoted, inner).otherwise(s).alias("text")))
+                   F.struct(native_kind.alias("kind"), F.when(quoted, inner).when(flat, listed).otherwise(s).alias("text")))
              .otherwise(slow))
