@@ -7,11 +7,14 @@ partitioning, and statable in SQL.
 
 from __future__ import annotations
 
+from itertools import accumulate
+from math import ceil, floor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col, py_float
-from ..session import cut_lineage, materialise
+from ..session import materialise
 
 DIFFICULTIES = ("introductory", "interview", "competition")  # fixed values
 
@@ -44,9 +47,61 @@ def seeded_key(seed: int, key) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), col(key).cast("string")))
 
 
-def sample_n(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """Exactly ``min(n, N)`` rows, chosen by the seeded key (bounded top-n)."""
-    return df.orderBy(seeded_key(seed, key), F.col(key)).limit(n)
+FEW = 10_000  # so many rows are ordered in one task
+
+
+def order_statistics(df: DataFrame, value: Column, ranks: list[int], k: int = 2000, max_distinct: int = 100_000) -> list[float]:
+    """The values at the given places (from 0, ascending, within the table) of a double column without nulls.
+
+    A KLL sketch, merged from the tasks' sketches, brackets the places; only the
+    distinct values inside the bracket are counted.  Should they be more than
+    ``max_distinct``, the bracket is sketched again, and should the sketch have missed
+    (it errs beyond its margin now and then), the bracket is widened.  What reaches
+    the driver is one sketch and at most ``max_distinct`` counts.
+    """
+    rows = df.select(value.cast("double").alias("v")).filter(F.col("v").isNotNull())
+    below, margin, lo, hi = 0, 4.0 / k, None, None
+    while True:
+        inside = rows if lo is None else rows.filter(F.col("v").between(lo, hi))
+        m, sketch, least, most = inside.agg(F.count("*"), F.kll_sketch_agg_double("v", F.lit(k)), F.min("v"), F.max("v")).first()
+        near = [min(max((r - below) / max(m - 1, 1) + d, 0.0), 1.0) for r, d in ((min(ranks), -margin), (max(ranks), margin))]
+        at = df.sparkSession.range(1).select(*[F.kll_sketch_get_quantile_double(F.lit(sketch), F.lit(q)).alias(f"q{i}") for i, q in enumerate(near)]).first()
+        a, b = (least if near[0] == 0.0 else at[0]), (most if near[1] == 1.0 else at[1])
+        under, n, kinds = inside.agg(F.count_if(F.col("v") < a), F.count_if(F.col("v").between(a, b)),
+                                     F.approx_count_distinct(F.when(F.col("v").between(a, b), F.col("v")))).first()
+        if not below + under <= min(ranks) or not max(ranks) < below + under + n:
+            margin *= 2  # missed: wider
+        elif kinds > max_distinct and (a, b) != (lo, hi):
+            below, lo, hi = below + under, a, b
+        else:
+            counts = inside.filter(F.col("v").between(a, b)).groupBy("v").count().orderBy("v").collect()
+            ends = list(accumulate((r["count"] for r in counts), initial=below + under))
+            return [next(r["v"] for r, end in zip(counts, ends[1:]) if rank < end) for rank in ranks]
+
+
+def first_n(df: DataFrame, n: int, bar: Column, order: list[Column], few: int = FEW) -> DataFrame:
+    """The first ``n`` rows in ``order`` (all, if fewer), in that order.
+
+    ``bar``: a number that ``order`` never contradicts (a smaller bar comes first, null
+    before all).  For many rows no task sorts them: the bar of the n-th row is found
+    (``order_statistics``), rows under it are in, and only those on it are ranked.
+    """
+    if n <= few:
+        return df.orderBy(*order).limit(n)
+    placed = df.withColumn("_bar", F.coalesce(bar.cast("double"), F.lit(float("-inf"))))
+    if placed.count() <= n:
+        return df.orderBy(*order)
+    (cut,) = order_statistics(placed, F.col("_bar"), [n - 1])
+    rest = n - placed.filter(F.col("_bar") < cut).count()
+    ties = placed.filter(F.col("_bar") == cut)
+    ties = ties.orderBy(*order).limit(rest) if rest <= few else distributed_rank(ties, [], order, "_r").filter(F.col("_r") <= rest).drop("_r")
+    return placed.filter(F.col("_bar") < cut).unionByName(ties).drop("_bar").orderBy(*order)
+
+
+def sample_n(df: DataFrame, n: int, seed: int, key: str, few: int = FEW) -> DataFrame:
+    """Exactly ``min(n, N)`` rows, chosen by the seeded key (``first_n``)."""
+    digest = seeded_key(seed, key)
+    return first_n(df, n, F.conv(F.substring(digest, 1, 13), 16, 10), [digest, F.col(key)], few)
 
 
 def shuffle_key(df: DataFrame, seed: int, key: str, name: str = "shuffle_key") -> DataFrame:
@@ -181,27 +236,35 @@ def numeric_answers(df: DataFrame, answer: str = "expected_answer", keep=None) -
 
 
 def cap_length(df: DataFrame, max_len: float, max_samples: int, len_col: str,
-               order_key: str) -> DataFrame:
-    """Rows with length ≤ ``max_len``, then the first ``max_samples`` by key."""
-    return df.filter(F.col(len_col) <= F.lit(max_len)).orderBy(order_key).limit(max_samples)
+               order_key: str, few: int = FEW) -> DataFrame:
+    """Rows with length ≤ ``max_len``, then the first ``max_samples`` by key (a number)."""
+    return first_n(df.filter(F.col(len_col) <= F.lit(max_len)), max_samples, F.col(order_key), [F.col(order_key)], few)
 
 
-def quantile_cutoff(df: DataFrame, q: float = 0.9, len_col: str = "L", exact: bool = True) -> int:
-    """``int(quantile)`` of the length column: one scalar, aggregated on executors."""
-    agg = F.percentile(len_col, q) if exact else F.percentile_approx(len_col, q, 100000)
-    value = df.agg(F.floor(agg).alias("c")).first()["c"]
-    return int(value) if value is not None else 0
+def quantile_cutoff(df: DataFrame, q: float = 0.9, len_col: str = "L", exact: bool = True, k: int = 2000) -> int:
+    """``int(quantile)`` of the length column, interpolated between neighbours; from a KLL sketch alone unless ``exact``."""
+    value = F.col(len_col).cast("double")
+    if not exact:
+        got = df.agg(F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(value, F.lit(k)), F.lit(q)).alias("c")).first()["c"]
+        return int(got) if got is not None else 0
+    n = df.filter(F.col(len_col).isNotNull()).count()
+    if not n:
+        return 0
+    at = q * (n - 1)
+    low, high = order_statistics(df, value, [floor(at), ceil(at)], k)
+    return floor(low + (high - low) * (at - floor(at)))
 
 
 def quantile_cap(df: DataFrame, q: float = 0.9, len_col: str = "L", max_seq: int = 2048,
-                 exact: bool = True, checkpoint_input: bool = True) -> tuple[DataFrame, int, int]:
+                 exact: bool = True, write_input: bool = True) -> tuple[DataFrame, int, int]:
     """Keep rows at or under the cutoff; return (rows, prompt cap, completion budget).
 
-    The input is read twice (cutoff, then filter); with ``checkpoint_input`` it is
-    checkpointed once so the length column (a tokenisation) is computed once.
+    The input is read several times (cutoff, then filter); with ``write_input`` it is
+    written once as a Parquet table, so the length column (a tokenisation) is
+    computed once and the cutoff reads that column only.
     """
-    if checkpoint_input:
-        df = cut_lineage(df)
+    if write_input:
+        df = materialise(df, "lengths")
     cutoff = quantile_cutoff(df, q, len_col, exact)
     prompt_cap = cutoff + 1
     return df.filter(F.col(len_col) <= F.lit(cutoff)), prompt_cap, max_seq - prompt_cap

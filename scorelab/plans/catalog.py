@@ -171,6 +171,16 @@ def q_src_latest_run(spark, sf):
     return SR.latest_run(_runs(spark, sf)).select(*GEN_KEYS, "run_timestamp")
 
 
+@query("src_latest_run_file")
+def q_src_latest_run_file(spark, sf):
+    """Rows of the run whose file was written last; of three runs the one with the middle name."""
+    g, base = view(spark, sf, "generations"), scratch_path(spark, "run-files")
+    for day in (1, 3, 2):
+        SR.write_generations(g.filter(F.col("problem_id") % 3 == day - 1), f"{base}/2025070{day}_120000_eval_1problems_3models_outputs.json")
+    (newest,) = SR.newest_runs(spark, base)
+    return SR.read_generations(spark, newest).select(*GEN_KEYS, "api_success", "model_output")
+
+
 def _run_names(spark, sf) -> DataFrame:
     """Stand-in: run file names built from event rows."""
     ev = view(spark, sf, "events")
@@ -218,11 +228,13 @@ def q_sink_generation_samples(spark, sf):
 
 @query("src_experiment")
 def q_src_experiment(spark, sf):
-    """Per-setup runs listed in a manifest (one entry missing) read and unioned with a setup column."""
+    """Per-setup runs listed in a manifest file (one entry missing), read in one scan with the setup of their path."""
     base = scratch_path(spark, "experiment")
     view(spark, sf, "generations").write.mode("overwrite").partitionBy("setup").parquet(base)
-    manifest = {s: f"{base}/setup={s}" for s in [*SETUP_NAMES, "missing_setup"]}
-    return SR.read_experiment(spark, manifest).select(*GEN_KEYS, "api_success", "model_output")
+    files = {s: f"{base}/setup={s}" for s in [*SETUP_NAMES, "missing_setup"]}
+    paths = F.create_map(*[F.lit(x) for kv in files.items() for x in kv])
+    spark.range(1).select(F.lit(base).alias("experiment_dir"), paths.alias("output_files")).write.json(f"{base}-manifest")
+    return SR.read_experiment(spark, f"{base}-manifest").select(*GEN_KEYS, "api_success", "model_output")
 
 
 # ---------------------------------------------------------------- 2.2 filters, samples, splits
@@ -240,6 +252,13 @@ def q_smp_seeded(spark, sf):
     return S.sample_n(view(spark, sf, "problems"), 50, 42, "problem_id").select("problem_id", "difficulty")
 
 
+@query("smp_seeded_half")
+def q_smp_seeded_half(spark, sf):
+    """Seeded sample of half of all order rows, chosen by the bar of the last one taken."""
+    orders = view(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    return S.sample_n(orders, orders.count() // 2, 42, "o_orderkey", few=100)
+
+
 @query("spl_stratified")
 def q_spl_stratified(spark, sf):
     """Exact 60/20/20 split per difficulty (source order), with a seeded shuffle key."""
@@ -302,6 +321,13 @@ def q_flt_quantile_length(spark, sf):
                        F.lit(budget).alias("max_completion_length"))
 
 
+@query("flt_quantile_length_approx")
+def q_flt_quantile_length_approx(spark, sf):
+    """The same with the cutoff taken from a quantile sketch alone (exact for tables that fit it)."""
+    rows, cap, _ = S.quantile_cap(_grpo_rows(spark, sf), 0.9, "L", 2048, exact=False)
+    return rows.select("problem_id", "L", F.lit(cap).alias("max_prompt_length"))
+
+
 def _solution_lists(spark, sf) -> DataFrame:
     """Stand-in: problems whose solution list holds the document text (empty for some)."""
     d = view(spark, sf, "documents")

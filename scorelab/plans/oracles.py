@@ -300,6 +300,9 @@ oracle("src_latest_run", ctes("generations", ("r", """SELECT *, '2025-07-0' || C
 SELECT setup, model, problem_id, run_timestamp FROM r
 WHERE EXISTS (SELECT 1 FROM m WHERE m.setup = r.setup AND m.ts = r.run_timestamp)""")
 
+oracle("src_latest_run_file", ctes("generations") + """
+SELECT setup, model, CAST(problem_id AS VARCHAR) AS problem_id, api_success, model_output FROM generations WHERE problem_id % 3 = 1""")
+
 RUN_NAME_RE = (r"^(\d{8}_\d{6})_(?:(benign|malign(?:_[a-z]+)?)_)?([a-z]+)_(\d+)problems_(\d+)models"
                r"(?:_([a-z_]+))?\.(json|pdf)$")
 
@@ -337,6 +340,9 @@ SELECT problem_id, n_test_cases FROM problems WHERE difficulty = 'interview' AND
   AND n_test_cases <= 3 AND n_solutions > 0 AND length(starter_code) = 0""")
 oracle("smp_seeded", ctes("problems") + """
 SELECT problem_id, difficulty FROM problems ORDER BY md5('42:' || CAST(problem_id AS VARCHAR)), problem_id LIMIT 50""")
+oracle("smp_seeded_half", """
+SELECT o_orderkey, o_orderstatus FROM orders ORDER BY md5('42:' || CAST(o_orderkey AS VARCHAR)), o_orderkey
+LIMIT (SELECT count(*) // 2 FROM orders)""")
 oracle("spl_stratified", ctes(*SPLIT_CTES) + "SELECT problem_id, difficulty, split, position, shuffle_key FROM split_t")
 oracle("spl_shuffle", ctes("problems") + "SELECT problem_id, md5('42:' || CAST(problem_id AS VARCHAR)) AS shuffle_key FROM problems")
 oracle("spl_train_val", ctes("problems") + """
@@ -364,6 +370,10 @@ oracle("flt_quantile_length", ctes("problems", ("l", f"""SELECT problem_id,
                                      ("c", "SELECT CAST(floor(quantile_cont(L, 0.9)) AS BIGINT) AS cutoff FROM l")) + """
 SELECT problem_id, L, CAST(cutoff + 1 AS INTEGER) AS max_prompt_length, CAST(2048 - (cutoff + 1) AS INTEGER)
   AS max_completion_length FROM l, c WHERE L <= cutoff""")
+oracle("flt_quantile_length_approx", ctes("problems", ("l", f"""SELECT problem_id,
+  CAST({word_count(f"{lit(SYSTEM_PROMPT)} || '{EOS}' || question || '{RS}'")} AS INTEGER) AS L FROM problems"""),
+                                            ("c", "SELECT CAST(quantile_disc(L, 0.9) AS BIGINT) AS cutoff FROM l")) + """
+SELECT problem_id, L, CAST(cutoff + 1 AS INTEGER) AS max_prompt_length FROM l, c WHERE L <= cutoff""")
 oracle("flt_solution_quality", """
 SELECT doc_id AS problem_id FROM documents WHERE doc_id % 5 <> 0 AND length(text) > 50 AND length(text) < 2000""")
 oracle("flt_difficulty_in", ctes("problems") + """

@@ -13,6 +13,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import java_quote
+
 # Problem ids are text in run files ("problem_123"); numeric ids read as their text.
 RESULT_ROW = ("struct<problem_id:string, prompt:string, model_output:string, "
               "usage:struct<completion_tokens:int, total_tokens:int>, api_success:boolean, "
@@ -147,6 +149,30 @@ def latest_run(df: DataFrame, group=("setup",), ts: str = "run_timestamp") -> Da
     return df.join(newest, on=[*group, ts], how="left_semi")
 
 
+def run_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(run, file, modified, bytes) of the files under ``folder``, from the file listing alone.
+
+    A run is an entry of the folder whose name matches the glob ``pattern``: a file,
+    or a folder of part files.  No file is opened: the content column of the
+    binary-file source is not read.
+    """
+    entry = F.regexp_extract("path", r"^(.*?/" + java_quote(folder.rstrip("/").rsplit("/", 1)[-1]) + r"/[^/]+)(?:/.*)?$", 1)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{folder.rstrip('/')}/{pattern}")
+    return files.select(entry.alias("run"), F.col("path").alias("file"), F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+
+
+def newest_runs(spark: SparkSession, folder: str, pattern: str = "*_outputs.json", by_setup: bool = False) -> list[str]:
+    """Path of the run whose files were written last (of each setup, by the run's name); equal times by name.
+
+    At most one path, or one per setup named in the file names, reaches the driver.
+    """
+    runs = run_files(spark, folder, pattern).groupBy("run").agg(F.max("modified").alias("modified"))
+    named = runs.withColumn("name", F.element_at(F.split("run", "/"), -1))
+    group = F.coalesce(parse_run_name("name")["setup"], F.lit("")) if by_setup else F.lit("")
+    newest = named.groupBy(group.alias("g")).agg(F.max_by("run", F.struct("modified", "name")).alias("run"))
+    return sorted(r.run for r in newest.collect())
+
+
 def parse_run_name(name) -> dict:
     """Timestamp, setup, split, problem and model counts, kind from a run file name."""
     n = F.col(name) if isinstance(name, str) else name
@@ -213,18 +239,48 @@ def read_scored_summary(spark: SparkSession, path: str, value_schema: str) -> Da
     return doc.select("setup", F.explode("summary").alias("model", "s")).select("setup", "model", "s.*")
 
 
-def read_experiment(spark: SparkSession, manifest: dict[str, str], reader=None) -> DataFrame:
-    """Union the run of every setup in the manifest, skipping files that are absent."""
-    reader = reader or (lambda p: spark.read.parquet(p))
+MANIFEST_SCHEMA = "experiment_dir string, output_files map<string, string>, timestamp string"
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(setup, path) of every run that an experiment's manifest files list.
+
+    A relative path is one under the folder of its manifest.
+    """
+    docs = spark.read.schema(MANIFEST_SCHEMA).option("multiLine", True).json(path)
+    rows = docs.select(F.col("_metadata.file_path").alias("manifest"), F.explode("output_files").alias("setup", "path"))
+    folder = F.regexp_replace("manifest", "/[^/]*$", "/")
+    return rows.select("setup", F.when(F.col("path").rlike("^(?:[a-z0-9]+:)?/"), F.col("path")).otherwise(F.concat(folder, "path")).alias("path"))
+
+
+def read_experiment(spark: SparkSession, manifest: str | dict[str, str], reader=None) -> DataFrame:
+    """The runs of an experiment in one scan, each row with the setup its file is listed under.
+
+    ``manifest``: path of manifest files, or a dict setup -> path.  ``reader`` takes
+    the list of paths (``spark.read.parquet`` by default); listed runs that are
+    absent are skipped.  The list (one entry per setup) is all that the driver
+    holds; setups are attached by a join on the file's path.
+    """
+    if isinstance(manifest, dict):
+        listed = list(manifest.items())
+    else:
+        listed = [(r.setup, r.path) for r in read_manifest(spark, manifest).collect()]
     jvm_fs = spark._jvm.org.apache.hadoop.fs  # existence check through the cluster file system
     conf = spark._jsc.hadoopConfiguration()
-    out = None
-    for setup, p in manifest.items():
+    there = []
+    for setup, p in listed:
         hp = jvm_fs.Path(p)
-        if not hp.getFileSystem(conf).exists(hp):
-            continue
-        d = reader(p).withColumn("setup", F.lit(setup))
-        out = d if out is None else out.unionByName(d, allowMissingColumns=True)
-    if out is None:
+        fs = hp.getFileSystem(conf)
+        if fs.exists(hp):
+            there.append((setup, fs.makeQualified(hp).toUri().getPath()))
+    if not there:
         raise FileNotFoundError("no run of the manifest exists")
-    return out
+    rows = (reader or (lambda paths: spark.read.option("mergeSchema", True).parquet(*paths)))([p for _, p in there])
+    # The entry whose path is the file's own or that of a folder above it; the longest one.
+    at = F.regexp_replace(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")), "^[a-zA-Z0-9]+:/*", "/")
+    rows = rows.drop("setup").withColumn("_file", at)
+    parts = F.split("_file", "/")
+    above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    files = rows.select("_file").distinct().select("_file", F.explode(above).alias("entry"))
+    owner = files.join(spark.createDataFrame(there, "setup string, entry string"), "entry").groupBy("_file").agg(F.max_by("setup", F.length("entry")).alias("setup"))
+    return rows.join(owner, "_file").drop("_file")

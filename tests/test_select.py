@@ -123,3 +123,34 @@ def test_holdout_pending_and_validation(spark):
         S.filter_problems(probs, difficulty="easy")
     assert S.filter_problems(probs, "interview", min_tests=2, max_tests=2, has_solutions=True,
                              has_starter=False).count() == 1
+
+
+def test_order_statistics_are_exact(spark):
+    """Continuous, tied and hot values; a small sketch and few counted values force narrowing."""
+    import random
+    rng = random.Random(5)
+    values = [rng.gauss(0, 1) for _ in range(4000)] + [0.25] * 3000 + [float(rng.randint(-3, 3)) for _ in range(2000)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(6)
+    want = sorted(values)
+    for ranks in ([0], [len(values) - 1], [4499, 4500], [8100], [700, 701]):
+        for params in ({}, {"k": 20, "max_distinct": 30}):
+            assert S.order_statistics(df, F.col("v"), ranks, **params) == [want[r] for r in ranks]
+
+
+def test_quantile_cutoff_interpolates(spark):
+    df = spark.createDataFrame([(v,) for v in (1, 2, 3, 10)], "L int")
+    assert [S.quantile_cutoff(df, q) for q in (0.0, 0.5, 0.9, 1.0)] == [1, 2, 7, 10]
+    assert S.quantile_cutoff(df, 0.5, exact=False) == 2
+    assert S.quantile_cutoff(df.filter("L > 99")) == 0
+
+
+def test_first_rows_without_a_sort_of_all(spark):
+    """Many rows on one key, null keys first; the same rows as the plain top-n."""
+    df = spark.range(0, 5000).select(F.when(F.col("id") % 3 == 0, 77).when(F.col("id") % 100 == 1, None).otherwise(F.col("id") % 900).alias("k"), F.col("id").alias("i"))
+    order = [F.col("k"), F.col("i")]
+    for n in (1, 60, 700, 1700, 4999, 5000, 9000):
+        want = [tuple(r) for r in df.orderBy(*order).limit(n).collect()]
+        for few in (0, 10):
+            assert [tuple(r) for r in S.first_n(df.repartition(5), n, F.col("k"), order, few=few).collect()] == want
+    a = [r.i for r in S.sample_n(df, 1000, 3, "i", few=10).collect()]
+    assert a == [r.i for r in S.sample_n(df.repartition(7), 1000, 3, "i").collect()] and len(set(a)) == 1000

@@ -153,3 +153,42 @@ def test_clean_problems_keeps_single_values_and_nested_constants(spark):
     got = {r["problem_id"]: (list(r["inputs"]), list(r["outputs"]), r["n_test_cases"]) for r in SP.clean_problems(raw).collect()}
     assert got == {0: (["abc"], ["7"], 1), 1: (["[True, None]", "1.5", "a\nb", "['q']"], ["-2"], 4),
                    6: (["1.25", "[2, [3]]"], ["False"], 2)}
+
+
+def test_newest_run_by_file_time_opens_one_run(spark, tmp_path):
+    """Runs as single files and as folders; names and times in different orders."""
+    import os
+
+    for name, at in (("20250703_120000_benign_eval_1problems_1models_outputs.json", 1_000), ("20250701_120000_benign_eval_1problems_1models_outputs.json", 3_000),
+                     ("20250702_120000_malign_loops_eval_1problems_1models_outputs.json", 2_000), ("20250709_120000_eval_1problems_1models_scored.json", 9_000)):
+        path = tmp_path / "runs dir" / name
+        path.parent.mkdir(exist_ok=True)
+        path.write_text('{"metadata": {"setup": "s", "timestamp": "%s"}, "results": {"m": [{"problem_id": "p"}]}}' % name[:8])
+        os.utime(path, (at, at))
+    folder = f"{tmp_path}/runs dir"
+    (newest,) = SR.newest_runs(spark, folder)
+    assert newest.endswith("20250701_120000_benign_eval_1problems_1models_outputs.json")
+    rows = SR.read_generations(spark, newest)
+    assert len(rows.inputFiles()) == 1 and rows.first().run_timestamp == "20250701"
+    assert [r.rsplit("/", 1)[1][:8] for r in SR.newest_runs(spark, folder, by_setup=True)] == ["20250701", "20250702"]
+    g = view(spark, SF, "generations").limit(20)
+    SR.write_generations(g, f"{folder}/20240101_000000_eval_1problems_1models_outputs.json")
+    (newest,) = SR.newest_runs(spark, folder)
+    assert newest.endswith("20240101_000000_eval_1problems_1models_outputs.json") and SR.read_generations(spark, newest).count() == 20
+    plan = SR.run_files(spark, folder, "*")._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan
+
+
+def test_experiment_from_a_manifest_file(spark, tmp_path):
+    import json
+
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "problem_id int, setup string")
+    df.write.parquet(f"{tmp_path}/exp/a run")
+    df.filter("problem_id = 1").withColumn("extra", F.lit(5)).write.parquet(f"{tmp_path}/exp/b+c")
+    df.write.parquet(f"{tmp_path}/exp/b")
+    (tmp_path / "exp" / "output_paths.json").write_text(json.dumps(
+        {"experiment_dir": "d", "output_files": {"one": f"{tmp_path}/exp/a run", "two": "b+c", "three": "gone", "four": f"{tmp_path}/exp/b"}, "timestamp": "t"}, indent=2))
+    out = SR.read_experiment(spark, f"{tmp_path}/exp/output_paths.json")
+    assert sorted((r.setup, r.problem_id, r.extra) for r in out.collect()) == [("four", 1, None), ("four", 2, None), ("one", 1, None), ("one", 2, None), ("two", 1, 5)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "Cartesian" not in plan
