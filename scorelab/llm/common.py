@@ -77,6 +77,17 @@ def join_hot(rows: DataFrame, table: DataFrame, on: list[str], n: str, min_rows:
     return rows.join(hot, on).unionByName(rest)
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened by underscores until ``df`` has no such column (in either case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else (Spark's ``lower`` also maps É, İ, ...)."""
     return F.translate(text, UPPER, UPPER.lower())
@@ -131,5 +142,5 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
         cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-__all__ = ["Scratch", "remove", "checked_broadcast", "join_hot", "ascii_lower", "crc32_of_text", "sample_hash", "sample_bar", "components",
+__all__ = ["Scratch", "remove", "checked_broadcast", "join_hot", "fresh_names", "ascii_lower", "crc32_of_text", "sample_hash", "sample_bar", "components",
            "BROADCAST_ROWS", "BROADCAST_BYTES", "UPPER"]

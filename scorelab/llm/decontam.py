@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, ascii_lower, checked_broadcast
+from .common import Scratch, ascii_lower, checked_broadcast, fresh_names
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # fixed: what lies between words
 END = " "  # stands behind every document's words; no word can equal it
@@ -175,5 +175,6 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, id
                       text_col: str = "text", **params) -> DataFrame:
     """``docs`` without the contaminated ones, all columns kept."""
     bad = contamination(spark, docs, items, id_col, text_col, **params).filter("contaminated")
-    bad = Scratch(spark).write(bad.select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "bad", keep=True)
-    return docs.join(checked_broadcast(bad), (F.xxhash64(text_col) == F.col("__hash")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+    own_id, own_hash = fresh_names(docs, "__id", "__hash")
+    bad = Scratch(spark).write(bad.select(F.col(id_col).alias(own_id), F.col("text_hash").alias(own_hash)).distinct(), "bad", keep=True)
+    return docs.join(checked_broadcast(bad), (F.xxhash64(text_col) == F.col(own_hash)) & F.col(id_col).eqNullSafe(F.col(own_id)), "left_anti")

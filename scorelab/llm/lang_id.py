@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, sample_bar, sample_hash
+from .common import fresh_names, Scratch, sample_bar, sample_hash
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 4
@@ -67,7 +67,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         parts[n][g] += c
             for n, part in enumerate(parts):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(part)), pa.array([n] * len(part), pa.int32()),
+                    [pa.array([lang] * len(part), pa.string()), pa.array([n] * len(part), pa.int32()),
                      pa.array(list(part), pa.string()), pa.array(list(part.values()), pa.int64())], names=["lang", "n", "gram", "c"])
 
 
@@ -173,5 +173,6 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "
 
 def keep_identified(spark: SparkSession, docs: DataFrame, model: Model, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
     """``docs`` whose language is identified with at least ``min_score``, all columns kept."""
-    got = docs.withColumn("_language", predictor(spark, model, text_col))
-    return got.filter((F.col("_language.lang") != "und") & (F.col("_language.score") >= min_score)).drop("_language")
+    (found,) = fresh_names(docs, "_language")
+    got = docs.withColumn(found, predictor(spark, model, text_col))
+    return got.filter((F.col(found)["lang"] != "und") & (F.col(found)["score"] >= min_score)).drop(found)

@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, checked_broadcast
+from ..functions.text import let
+from .common import Scratch, checked_broadcast, fresh_names
 
 BLANKS = " \t\r\x0b\x0c"
 
@@ -64,19 +65,24 @@ def remove_boilerplate(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     The marked lines of a document are found by a join on line hashes and sent
     back to it by its id and text hash; documents without any are left as read.
     """
+    own_id, own_hash, cut = fresh_names(docs, "__id", "__hash", "__cut")
     with Scratch(spark) as scratch:
         bad = checked_broadcast(scratch.write(spread_lines(docs, scratch, text_col, site_col, **params).select("key"), "bad"))
-        lines = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__hash"),
-                            F.posexplode(lines_of(F.col(text_col))).alias("at", "line")).select("__id", "__hash", "at", line_key(F.col("line")).alias("key"))
-        hits = lines.filter("key IS NOT NULL").join(bad, "key").groupBy("__id", "__hash").agg(F.collect_set("at").alias("__cut"))
+        lines = docs.select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"), F.posexplode(lines_of(F.col(text_col))).alias("at", "line"))
+        lines = lines.select("i", "h", "at", line_key(F.col("line")).alias("key"))
+        hits = lines.filter("key IS NOT NULL").join(bad, "key").groupBy(F.col("i").alias(own_id), F.col("h").alias(own_hash)).agg(F.collect_set("at").alias(cut))
         hits = scratch.write(hits, "cuts", keep=True)
-    match = (F.xxhash64(text_col) == F.col("__hash")) & F.col(id_col).eqNullSafe(F.col("__id"))
-    marked = docs.drop("n_lines", "n_removed").join(checked_broadcast(hits), match, "left")
-    gone = F.coalesce(F.size("__cut"), F.lit(0))
-    split = lines_of(F.col(text_col))
-    left = F.filter(F.transform(split, lambda x, i: F.when(~F.array_contains("__cut", i), x)), lambda x: x.isNotNull())
-    text = F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    match = (F.xxhash64(text_col) == F.col(own_hash)) & F.col(id_col).eqNullSafe(F.col(own_id))
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    marked = docs.select(*rest).join(checked_broadcast(hits), match, "left")
+    split = lines_of(F.col(text_col))
+
+    def without_cut(lines: Column) -> Column:
+        # The places that stay, by one hash set of those cut, so a document's work grows with its lines.
+        places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(cut))
+        return F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
+
+    text = F.when(F.col(cut).isNull(), F.col(text_col)).otherwise(let(split, without_cut))
     return marked.select(*[text.alias(c) if c == text_col else F.col(c) for c in rest],
                          F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"),
-                         F.when(F.col("__cut").isNull(), 0).otherwise(gone).cast("long").alias("n_removed"))
+                         F.when(F.col(cut).isNull(), 0).otherwise(F.size(cut)).cast("long").alias("n_removed"))

@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, checked_broadcast
+from .common import Scratch, checked_broadcast, fresh_names
 
 LEVELS = ("domain", "lang", "source")
 LEAST_WEIGHT = 1e-9  # stands in for a weight of 0
@@ -145,9 +145,9 @@ def mix(spark: SparkSession, docs: DataFrame, domain: Column, budget_share: floa
 def keep_mixture(spark: SparkSession, docs: DataFrame, domain: Column, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """``docs`` repeated as often as the mixture takes them, all columns kept."""
     got = mix(spark, docs, domain, id_col=id_col, text_col=text_col, **params)
+    own_id, own_hash, copies, again = fresh_names(docs, "__id", "__hash", "_copies", "_copy")
     rest = Scratch(spark).write(got.filter("copies <> 1").select(
-        F.col(id_col).alias("__id"), "__hash", F.col("copies").alias("_copies")).distinct(), "copies", keep=True)
-    match = (F.md5(F.coalesce(F.col(text_col), F.lit("null"))) == F.col("__hash")) & F.col(id_col).eqNullSafe(F.col("__id"))
-    out = docs.join(checked_broadcast(rest), match, "left").withColumn("_copies", F.coalesce("_copies", F.lit(1))).filter("_copies > 0")
-    again = F.explode(F.sequence(F.lit(1), F.col("_copies")))
-    return out.withColumn("_copy", again).select(*docs.columns)
+        F.col(id_col).alias(own_id), F.col("__hash").alias(own_hash), F.col("copies").alias(copies)).distinct(), "copies", keep=True)
+    match = (F.md5(F.coalesce(F.col(text_col), F.lit("null"))) == F.col(own_hash)) & F.col(id_col).eqNullSafe(F.col(own_id))
+    out = docs.join(checked_broadcast(rest), match, "left").withColumn(copies, F.coalesce(copies, F.lit(1))).filter(F.col(copies) > 0)
+    return out.withColumn(again, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

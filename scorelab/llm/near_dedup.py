@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import Scratch, checked_broadcast, components
+from .common import Scratch, checked_broadcast, components, fresh_names
 
 BANDS, ROWS, BATCH = 24, 4, 32
 N_HASH = BANDS * ROWS
@@ -316,19 +316,20 @@ def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     with Scratch(spark) as scratch:
         groups = classes.filter("n_shingles > 0 AND kept").groupBy(id_col, "component_id").agg(
             F.min("text_hash").alias("stay"))
+        own_id, own_hash = fresh_names(docs, "__id", "__hash")
         drop = (classes.filter("n_shingles > 0").alias("c")
                 .join(groups.alias("g"), F.col(f"c.{id_col}").eqNullSafe(F.col(f"g.{id_col}"))
                       & F.col("c.component_id").eqNullSafe(F.col("g.component_id")), "left")
                 .filter(~F.coalesce(F.col("c.text_hash") == F.col("g.stay"), F.lit(False)))
-                .select(F.col(f"c.{id_col}").alias("__id"), F.col("c.text_hash").alias("__hash")).distinct())
+                .select(F.col(f"c.{id_col}").alias(own_id), F.col("c.text_hash").alias(own_hash)).distinct())
         drop = scratch.write(drop, "drop", keep=True)
         again = scratch.write(classes.filter("n_shingles > 0").groupBy(id_col, "text_hash").count().filter("count > 1")
-                              .select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")), "again", keep=True)
-        match = F.xxhash64(text_col) == F.col("__hash")
-        match = match & F.col(id_col).eqNullSafe(F.col("__id"))
+                              .select(F.col(id_col).alias(own_id), F.col("text_hash").alias(own_hash)), "again", keep=True)
+        match = F.xxhash64(text_col) == F.col(own_hash)
+        match = match & F.col(id_col).eqNullSafe(F.col(own_id))
         left = docs.join(checked_broadcast(drop), match, "left_anti")
         if again.isEmpty():
             return left
         once = left.join(checked_broadcast(again), match, "left_anti")
-        more = left.join(checked_broadcast(again), match, "left_semi").withColumn("__hash", F.xxhash64(text_col))
-        return once.unionByName(more.dropDuplicates([id_col, "__hash"]).drop("__hash"))
+        more = left.join(checked_broadcast(again), match, "left_semi").withColumn(own_hash, F.xxhash64(text_col))
+        return once.unionByName(more.dropDuplicates([id_col, own_hash]).drop(own_hash))

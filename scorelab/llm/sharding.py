@@ -11,7 +11,8 @@ DataFrame functions only; the map, bounded by ``n_slots``, is the only thing the
 driver holds.  The law is ``bytes``: shards have nearly equal bytes.
 
 Defined results: a null text has 0 bytes, the empty text too; a null id is
-hashed like any value; rows repeated whole share a slot; equal texts under
+hashed like any value; rows repeated whole share a slot unless together they
+hold a thousandth of a shard, then each goes to a slot of its own; equal texts under
 different ids spread over slots; an empty table gives an empty result and a map
 that deals slots out evenly; input columns named like an added one are replaced.
 """
@@ -19,11 +20,12 @@ that deals slots out evenly; input columns named like an added one are replaced.
 from __future__ import annotations
 
 import heapq
+import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, fresh_names
 
 MAP_SCHEMA = "version int, virtual_slot int, shard int, slot_bytes long"
 
@@ -33,9 +35,28 @@ def record_size(text_col: str, overhead: int = 16) -> Column:
     return (F.coalesce(F.octet_length(text_col), F.lit(0)) + overhead).cast("long")
 
 
-def virtual_slot(n_slots: int, id_col: str, crc: str) -> Column:
-    """Slot of a record: hash of its id and its text's checksum."""
-    return F.pmod(F.xxhash64(F.col(id_col), F.col(crc)), F.lit(n_slots)).cast("int")
+def record_key(id_col: str, text_col: str) -> Column:
+    """Hash of a record's id and its text's checksum."""
+    return F.xxhash64(F.col(id_col), text_crc(text_col))
+
+
+def text_crc(text_col: str) -> Column:
+    return F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+
+
+def virtual_slot(n_slots: int, key: str, row: str, heavy: str) -> Column:
+    """Slot of a record by its key; of one that is repeated very often by its key and row."""
+    return F.pmod(F.when(F.col(heavy).isNull(), F.col(key)).otherwise(F.xxhash64(key, row)), F.lit(n_slots)).cast("int")
+
+
+def heavy_keys(records: DataFrame, n_shards: int, scratch: Scratch) -> DataFrame:
+    """(key, heavy): keys whose repeated rows hold more than a thousandth of a shard's bytes.
+
+    They are fewer than 1,000 times the shards, so their broadcast is bounded.
+    """
+    total = records.agg(F.sum("size")).first()[0] or 0
+    keys = records.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("b")).filter((F.col("n") > 1) & (F.col("b") * n_shards * 1000 > total))
+    return F.broadcast(scratch.write(keys.select("key", F.lit(True).alias("heavy")), "heavy", keep=True))
 
 
 def slot_bytes(records: DataFrame, n_slots: int) -> dict[int, int]:
@@ -100,8 +121,14 @@ def edited_map(old: dict[int, int], sizes: dict[int, int], n_shards: int, tolera
 
 def write_map(spark: SparkSession, path: str, version: int, slot_map: dict[int, int], sizes: dict[int, int]) -> None:
     """Store one version of the map under ``path`` (earlier versions stay)."""
-    rows = [(version, s, slot_map[s], int(sizes.get(s, 0))) for s in sorted(slot_map)]
-    spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.parquet(f"{path}/map-{version:06d}")
+    map_rows(spark, version, slot_map, sizes).write.parquet(f"{path}/map-{version:06d}")
+
+
+def map_rows(spark: SparkSession, version: int, slot_map: dict[int, int], sizes: dict[int, int]) -> DataFrame:
+    """One version of the map as rows, made from one JSON text."""
+    text = json.dumps([[s, slot_map[s], int(sizes.get(s, 0))] for s in sorted(slot_map)])
+    rows = spark.range(0, 1, 1, 1).select(F.explode(F.from_json(F.lit(text), "array<array<bigint>>")).alias("r"))
+    return rows.select(F.lit(version).alias("version"), F.col("r")[0].cast("int").alias("virtual_slot"), F.col("r")[1].cast("int").alias("shard"), F.col("r")[2].alias("slot_bytes"))
 
 
 def read_map(spark: SparkSession, path: str, version: int) -> DataFrame:
@@ -116,12 +143,13 @@ def rebalance(spark: SparkSession, path: str, version: int, sizes: dict[int, int
     return version + 1
 
 
-def records_of(docs: DataFrame, scratch: Scratch, n_slots: int, id_col: str = "doc_id", text_col: str = "text",
-               keep: bool = False) -> DataFrame:
+def records_of(docs: DataFrame, scratch: Scratch, n_slots: int, n_shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Narrow table (id, size, crc, virtual_slot), written once for the sizes and the placement."""
-    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    rows = docs.select(F.col(id_col).alias("id"), record_size(text_col).alias("size"), crc.alias("crc"))
-    return scratch.write(rows.withColumn("virtual_slot", virtual_slot(n_slots, "id", "crc")), "records", keep)
+    rows = scratch.write(docs.select(F.col(id_col).alias("id"), record_size(text_col).alias("size"), text_crc(text_col).alias("crc"),
+                                     record_key(id_col, text_col).alias("key"), F.monotonically_increasing_id().alias("row")), "rows")
+    heavy = heavy_keys(rows, n_shards, scratch)
+    slotted = rows.join(heavy, "key", "left").select("id", "size", "crc", virtual_slot(n_slots, "key", "row", "heavy").alias("virtual_slot"))
+    return scratch.write(slotted, "records")
 
 
 def shard_records(spark: SparkSession, docs: DataFrame, n_shards: int = 40, n_slots: int = 16384,
@@ -136,7 +164,7 @@ def shard_records(spark: SparkSession, docs: DataFrame, n_shards: int = 40, n_sl
     from ..session import scratch_path
 
     with Scratch(spark) as scratch:
-        rec = records_of(docs, scratch, n_slots, id_col, text_col)
+        rec = records_of(docs, scratch, n_slots, n_shards, id_col, text_col)
         sizes = slot_bytes(rec, n_slots)
         path = map_path or scratch_path(spark, "llm-slot-map")
         if not map_path:
@@ -157,14 +185,18 @@ def shard_records(spark: SparkSession, docs: DataFrame, n_shards: int = 40, n_sl
 
 def add_shard(spark: SparkSession, docs: DataFrame, n_shards: int = 40, n_slots: int = 16384,
               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with columns virtual_slot and shard (first map of these documents)."""
-    scratch = Scratch(spark)
-    rec = records_of(docs, scratch, n_slots, id_col, text_col)
-    path = scratch.write(spark.createDataFrame(
-        [(1, s, shard, 0) for s, shard in first_map(slot_bytes(rec, n_slots), n_shards).items()], MAP_SCHEMA), "map", keep=True)
-    scratch.__exit__()
-    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    slot = F.pmod(F.xxhash64(F.col(id_col), crc), F.lit(n_slots)).cast("int")
-    plain = docs.drop("virtual_slot", "shard").withColumn("virtual_slot", slot)
-    return plain.join(F.broadcast(path.select("virtual_slot", "shard")), "virtual_slot").select(
-        *[c for c in docs.columns if c not in ("virtual_slot", "shard")], "virtual_slot", "shard")
+    """``docs`` with columns virtual_slot and shard (first map of these documents).
+
+    The rows' numbers, which part rows repeated very often, come from the same scan
+    of ``docs`` for the sizes and for the result.
+    """
+    key, row, heavy_key, heavy = fresh_names(docs, "__key", "__row", "__heavy_key", "__heavy")
+    plain = docs.drop("virtual_slot", "shard").withColumns({key: record_key(id_col, text_col), row: F.monotonically_increasing_id()})
+    with Scratch(spark) as scratch:
+        rows = scratch.write(plain.select(F.col(key).alias("key"), F.col(row).alias("row"), record_size(text_col).alias("size")), "rows")
+        often = heavy_keys(rows, n_shards, scratch)
+        sizes = slot_bytes(rows.join(often, "key", "left").select("size", virtual_slot(n_slots, "key", "row", "heavy").alias("virtual_slot")), n_slots)
+    layout = map_rows(spark, 1, first_map(sizes, n_shards), sizes).select("virtual_slot", "shard")
+    often = often.select(F.col("key").alias(heavy_key), F.col("heavy").alias(heavy))
+    placed = plain.join(F.broadcast(often), F.col(key) == F.col(heavy_key), "left").withColumn("virtual_slot", virtual_slot(n_slots, key, row, heavy))
+    return placed.join(F.broadcast(layout), "virtual_slot").select(*[c for c in docs.columns if c not in ("virtual_slot", "shard")], "virtual_slot", "shard")

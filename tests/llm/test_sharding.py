@@ -66,3 +66,24 @@ def test_stage_and_empty(spark):
     assert out.count() == docs.count() and set(docs.columns) <= set(out.columns) and "virtual_slot" in out.columns
     assert dict(out.dtypes)["shard"] == "int"  # the input's own column of that name is replaced
     assert shard_records(spark, empty(spark)).count() == 0 and add_shard(spark, empty(spark)).count() == 0
+
+
+def test_repeated_rows_spread(spark):
+    """A third to a half of all rows are one record; shards stay even, places gapless, in both forms."""
+    docs = spark.range(40_000).selectExpr("if(id < 20000, 7, id) doc_id", "if(id < 20000, 'same text', concat('text ', id)) text", "id key", "1 row").repartition(9)
+    rows = shard_records(spark, docs, n_shards=40)
+    bytes_, places = defaultdict(int), defaultdict(list)
+    for r in rows.collect():
+        bytes_[r.shard] += r.size
+        places[r.shard].append(r.slot)
+    mean = sum(bytes_.values()) / 40
+    assert len(bytes_) == 40 and max(bytes_.values()) < 1.02 * mean and min(bytes_.values()) > 0.98 * mean
+    assert all(sorted(v) == list(range(len(v))) for v in places.values())
+    out = add_shard(spark, docs, n_shards=40).selectExpr("shard", "octet_length(text) + 16 size").groupBy("shard").sum("size").collect()
+    assert len(out) == 40 and max(r[1] for r in out) < 1.02 * mean
+
+
+def test_map_needs_no_python_worker(spark):
+    from scorelab.llm.sharding import map_rows
+    plan = map_rows(spark, 1, {0: 1, 1: 0}, {0: 5})._jdf.queryExecution().executedPlan().toString()
+    assert "Range" in plan and "ExistingRDD" not in plan and "Python" not in plan
