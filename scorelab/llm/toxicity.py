@@ -10,9 +10,8 @@ executors is a short list of (hash, weight).
 
 Fitting runs on a sample of at most about ``max_docs`` labelled texts (all, if
 fewer), chosen by a hash of the id.  Features are 64-bit hashes; those in at
-least ``min_share`` of the sample's texts (``min_docs`` at least) get a
-coordinate, counted by Spark, so their number is at most the features per text
-divided by ``min_share``.  Every pass runs in ``shards`` tasks: each starts from
+least ``min_docs`` of the sample's texts get a coordinate, counted by Spark, so
+their number is bounded by the sample.  Every pass runs in ``shards`` tasks: each starts from
 the common state and learns from its own rows one after the other; the changes
 of ``z`` and ``n`` are averaged over the tasks per coordinate (Spark aggregation;
 an untouched coordinate changed by 0) and start the next pass.
@@ -51,9 +50,8 @@ class Params:
     l2: float = 0.01
     passes: int = 8
     shards: int = 6
-    max_docs: int = 6_000
+    max_docs: int = 12_000
     min_docs: int = 3
-    min_share: float = 0.002
 
 
 def features(text: str | None) -> np.ndarray:
@@ -126,9 +124,8 @@ def fit(spark: SparkSession, labelled: DataFrame, id_col: str = "doc_id", text_c
     with Scratch(spark) as scratch:
         rows = scratch.write(rows.select(F.pmod(F.xxhash64("id"), F.lit(p.shards)).cast("int").alias("part"),
                                          F.xxhash64(F.lit("order"), "id").alias("o"), "text", "y"), "sample")
-        least = max(p.min_docs, int(np.ceil(p.min_share * min(size, p.max_docs))))
         counted = rows.select("text").mapInArrow(_texts_with, "feature long, c long").groupBy("feature").agg(F.sum("c").alias("c"))
-        known = np.sort(counted.filter(F.col("c") >= least).select("feature").toPandas()["feature"].to_numpy(np.int64))
+        known = np.sort(counted.filter(F.col("c") >= p.min_docs).select("feature").toPandas()["feature"].to_numpy(np.int64))
         names = spark.sparkContext.broadcast(known)
 
         @F.pandas_udf(T.ArrayType(T.IntegerType()))
