@@ -10,8 +10,9 @@ executors is a short list of (hash, weight).
 
 Fitting runs on a sample of at most about ``max_docs`` labelled texts (all, if
 fewer), chosen by a hash of the id.  Features are 64-bit hashes; those in at
-least ``min_docs`` of the sample's texts get a coordinate, counted by Spark, so
-their number is bounded by the sample.  Every pass runs in ``shards`` tasks: each starts from
+least ``min_docs`` of the sample's texts are learned, counted by Spark, so their
+number is bounded by the sample.  There are ``width`` coordinates; more features
+than that share them (features in hash order, dealt in turn).  Every pass runs in ``shards`` tasks: each starts from
 the common state and learns from its own rows one after the other; the changes
 of ``z`` and ``n`` are averaged over the tasks per coordinate (Spark aggregation;
 an untouched coordinate changed by 0) and start the next pass.
@@ -52,6 +53,7 @@ class Params:
     shards: int = 6
     max_docs: int = 12_000
     min_docs: int = 3
+    width: int = 1 << 19
 
 
 def features(text: str | None) -> np.ndarray:
@@ -125,15 +127,15 @@ def fit(spark: SparkSession, labelled: DataFrame, id_col: str = "doc_id", text_c
         rows = scratch.write(rows.select(F.pmod(F.xxhash64("id"), F.lit(p.shards)).cast("int").alias("part"),
                                          F.xxhash64(F.lit("order"), "id").alias("o"), "text", "y"), "sample")
         counted = rows.select("text").mapInArrow(_texts_with, "feature long, c long").groupBy("feature").agg(F.sum("c").alias("c"))
-        known = np.sort(counted.filter(F.col("c") >= p.min_docs).select("feature").toPandas()["feature"].to_numpy(np.int64))
+        known = np.sort(counted.filter(F.col("c") >= p.min_docs).select("feature").toArrow()["feature"].to_numpy())
         names = spark.sparkContext.broadcast(known)
 
         @F.pandas_udf(T.ArrayType(T.IntegerType()))
         def coordinates(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: (places(names.value, features(t)) + 1).astype(np.int32))
+            return texts.map(lambda t: (places(names.value, features(t)) % p.width + 1).astype(np.int32))
 
         train = scratch.write(rows.select("part", "o", "y", coordinates("text").alias("at")), "train")
-        z, n = np.zeros(len(known) + 1), np.zeros(len(known) + 1)  # coordinate 0 is the bias
+        z, n = (np.zeros(min(len(known), p.width) + 1) for _ in "zn")  # coordinate 0 is the bias
         for _ in range(p.passes):
             state = spark.sparkContext.broadcast((z, n))
 
@@ -145,16 +147,18 @@ def fit(spark: SparkSession, labelled: DataFrame, id_col: str = "doc_id", text_c
                 return pd.DataFrame({"at": got, "dz": zz[got] - z0[got], "dn": nn[got] - n0[got]})
 
             steps = train.groupBy("part").applyInPandas(run, "at long, dz double, dn double")
-            moved = steps.groupBy("at").agg((F.sum("dz") / p.shards).alias("dz"), (F.sum("dn") / p.shards).alias("dn")).toPandas()
-            at = moved["at"].to_numpy(np.int64)
+            moved = steps.groupBy("at").agg((F.sum("dz") / p.shards).alias("dz"), (F.sum("dn") / p.shards).alias("dn")).toArrow()
+            at = moved["at"].to_numpy()
             z[at] += moved["dz"].to_numpy()
             n[at] += moved["dn"].to_numpy()
+            del moved
             state.destroy()
         names.destroy()
     w = weights_of(z, n, p)
     bias = float(-z[0] / ((p.beta + np.sqrt(n[0])) / p.alpha + p.l2))
-    at = np.flatnonzero(w[1:])
-    return known[at], w[1:][at], bias
+    own = w[np.arange(len(known)) % p.width + 1]
+    at = np.flatnonzero(own)
+    return known[at], own[at], bias
 
 
 def scorer(spark: SparkSession, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text") -> Column:
