@@ -1,21 +1,26 @@
 """Near-duplicate classes by MinHash bands and sequential Bayesian verification.
 
-1. Every text becomes its set of word shingles, a digest of that set, and 24
-   band keys of a 96-value MinHash signature (one pass, Python over Arrow).
+1. Every text becomes its set of word shingles, a digest of that set, and 32
+   band keys of a 160-value MinHash signature (one pass, Python over Arrow).
+   A pair at similarity 0.8 shares no band with probability 3e-6, one at 0.3
+   shares some with probability 0.075.
 2. Documents with equal sets form one class (a grouped minimum, so a huge group
    of copies costs one row per task); from here on only classes are compared.
-3. Classes that share a band key are candidates.  Stars around the least member
-   of each bucket join candidates into clusters; two classes that share a bucket
-   are always in one cluster, so no candidate pair is lost and none is emitted.
-4. Inside a cluster, pairs are compared by signature batches of 32 values.  After
-   each batch a pair is dropped when the posterior probability that its
-   similarity reaches the threshold (uniform prior, binomial matches) is below
-   ``miss``.  Survivors are verified on their full shingle sets; a pair already
-   joined by verified links is skipped.
-5. A cluster heavier than ``unit_weight`` is cut into chunks.  Every chunk is
-   compared within itself and with the cluster's least member; then chunks
-   regrouped by the components found so far are compared crosswise, leaving out
-   the crosses inside one component, so that a huge family costs its size once.
+3. Classes that share a band key (a bucket) are candidates, and no other pair is
+   ever compared.  First every member of a bucket meets the bucket's least
+   member, its hub: one row per distinct (hub, member), so the work is linear in
+   the bucket, and a hub of very many members is dealt over chunks.
+4. A bucket whose other members the links found so far leave in several
+   components is open: its members of different components are compared with
+   each other, each pair only in the first band that it shares.  An open bucket
+   heavier than ``unit_weight`` is cut into chunks of components, compared
+   crosswise but for the crosses inside one component, so that a huge family
+   costs its size once.
+5. A pair is compared by signature batches of 32 values.  After each batch it is
+   dropped when the posterior probability that its similarity reaches the
+   threshold (uniform prior, binomial matches) is below ``miss``.  Survivors are
+   verified on their full shingle sets; a pair already joined by verified links
+   is skipped.
 6. Connected components of the verified links give the classes.
 
 Defined results: null or empty texts (no word) have an empty set and link with
@@ -38,9 +43,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import Scratch, checked_broadcast, components, fresh_names
+from .common import Scratch, checked_broadcast, components, fresh_names, join_hot
 
-BANDS, ROWS, BATCH = 24, 4, 32
+BANDS, ROWS, BATCH = 32, 5, 32
 N_HASH = BANDS * ROWS
 _RNG = np.random.default_rng(20240229)
 MULT = (_RNG.integers(0, 2**31, N_HASH, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -125,19 +130,22 @@ def _describe(k: int):
     return run
 
 
-def _pairs(sig: np.ndarray, left: np.ndarray, same_side: bool, side: np.ndarray, need: list[int], block: int = 64):
-    """Per row: the later rows that survive every signature batch."""
+def _pairs(sig: np.ndarray, left: np.ndarray, split: int, band: int, need: list[int], block: int = 64):
+    """Per row: the later rows that survive every signature batch.
+
+    With ``split`` only rows before it meet rows from it on.  Pairs that share a
+    band before ``band`` are left out: they meet there.
+    """
     m = len(sig)
-    for i0 in range(0, m, block):
-        rows = np.arange(i0, min(i0 + block, m))
-        hit = (sig[rows, None, :BATCH] == sig[None, i0:, :BATCH]).sum(axis=2, dtype=np.int16)
-        ok = (hit >= need[0]) & (left[rows][:, None] != left[None, i0:])
-        if not same_side:
-            ok &= side[rows][:, None] != side[None, i0:]
-        x, y = np.nonzero(ok)
-        x, y = x + i0, y + i0
-        x, y = x[y > x], y[y > x]
-        got = (sig[x, :BATCH] == sig[y, :BATCH]).sum(axis=1)
+    for i0 in range(0, split or m, block):
+        rows = np.arange(i0, min(i0 + block, split or m))
+        j0 = split or i0
+        hit = (sig[rows, None, :BATCH] == sig[None, j0:, :BATCH]).sum(axis=2, dtype=np.int16)
+        x, y = np.nonzero((hit >= need[0]) & (left[rows][:, None] != left[None, j0:]))
+        got = hit[x, y].astype(np.int64)
+        x, y = x + i0, y + j0
+        later = y > x
+        x, y, got = x[later], y[later], got[later]
         for b in range(1, N_HASH // BATCH):
             if not len(x):
                 break
@@ -145,15 +153,20 @@ def _pairs(sig: np.ndarray, left: np.ndarray, same_side: bool, side: np.ndarray,
             got = got + (sig[x, cut] == sig[y, cut]).sum(axis=1)
             live = got >= need[b]
             x, y, got = x[live], y[live], got[live]
+        if band and len(x):
+            same = (sig[x, :band * ROWS] == sig[y, :band * ROWS]).reshape(len(x), band, ROWS)
+            new = ~same.all(axis=2).any(axis=1)
+            x, y = x[new], y[new]
         for i in np.unique(x):
             yield int(i), y[x == i]
 
 
-def verified_links(sets: list[np.ndarray], known: np.ndarray, side: np.ndarray, num: int, den: int,
+def verified_links(sets: list[np.ndarray], known: np.ndarray, split: int, band: int, num: int, den: int,
                    need: list[int]) -> list[tuple[int, int]]:
     """Links that join the given classes beyond ``known`` components (a spanning forest).
 
-    Pairs of one known component, and of one side when there are two, are left out.
+    Pairs of one known component, pairs that share a band before ``band`` and,
+    with ``split``, pairs on one side of it are left out.
     """
     if len(sets) < 2:
         return []
@@ -163,9 +176,8 @@ def verified_links(sets: list[np.ndarray], known: np.ndarray, side: np.ndarray,
     _, word = np.unique(np.concatenate(sets), return_inverse=True)
     flag = np.zeros(int(word.max()) + 1, bool)
     label = np.unique(known, return_inverse=True)[1].copy()
-    two = len(np.unique(side)) > 1
     out = []
-    for i, ys in _pairs(sig, label.copy(), not two, side, need):
+    for i, ys in _pairs(sig, label.copy(), split, band, need):
         lo, hi = np.minimum(size[i], size[ys]), np.maximum(size[i], size[ys])
         ys = ys[(label[ys] != label[i]) & (den * lo >= num * hi)]
         if not len(ys):
@@ -183,19 +195,21 @@ def verified_links(sets: list[np.ndarray], known: np.ndarray, side: np.ndarray,
 
 
 def _links(k: int, num: int, den: int, miss: float):
-    """One unit (rows unit, cluster, rid, known, side, text) to its links (a, b)."""
+    """One unit (rows unit, cluster, band, rid, known, side, text) to its links (a, b)."""
     need = [least_matches(BATCH * (b + 1), num / den, miss) for b in range(N_HASH // BATCH)]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []
-        for _, g in pdf.groupby("cluster", sort=False):
-            g = g.drop_duplicates(["rid", "side"])
-            rid = g["rid"].to_numpy()
+        for _, g in pdf.groupby(["cluster", "band"], sort=False):
+            g = g.drop_duplicates("rid").sort_values("side", kind="stable")
+            rid, side = g["rid"].to_numpy(), g["side"].to_numpy()
+            split = int((side == 0).sum()) if side[-1] else 0
+            if side[0]:
+                continue
             sets = [shingles(t.encode(), k) for t in g["text"]]
-            for x, y in verified_links(sets, g["known"].to_numpy(), g["side"].to_numpy(), num, den, need):
-                if rid[x] != rid[y]:
-                    a.append(rid[x])
-                    b.append(rid[y])
+            for x, y in verified_links(sets, g["known"].to_numpy(), split, int(g["band"].iat[0]), num, den, need):
+                a.append(rid[x])
+                b.append(rid[y])
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
     return run
 
@@ -224,16 +238,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         reps = scratch.write(full.join(classes.select("rid"), "rid", "left_semi")
                              .select("rid", "id", "_h", "n", "bands"), "reps")
 
-        buckets = reps.select("rid", F.explode("bands").alias("bucket"))
-        hubs = (buckets.groupBy("bucket").agg(F.min("rid").alias("hub"), F.max("rid").alias("other"))
-                       .filter("hub <> other").select("bucket", "hub"))
-        stars = buckets.join(hubs, "bucket").filter("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b"))
-        clusters = components(spark, stars, scratch)
-        members = scratch.write(
-            clusters.join(reps.drop("bands"), clusters.node == reps.rid)
-                    .select("rid", F.col("root").alias("cluster"), "id", "_h", (F.col("n") + 200).alias("w")), "members")
-
-        links = _cluster_links(spark, key, members, scratch, _links(k, num, den, miss), unit_weight)
+        repeats = not full.groupBy("id", "_h").count().filter("count > 1").isEmpty()
+        shared = shared_buckets(reps, scratch)
+        compare = _links(k, num, den, miss)
+        links = _compare(key, hub_units(shared, unit_weight), repeats, scratch, compare)
+        found = components(spark, links, scratch)
+        more = open_units(shared, found, scratch, unit_weight)
+        if more:
+            links = links.union(_compare(key, more, repeats, scratch, compare))
         linked = components(spark, links, scratch)
         roots = (classes.join(linked, classes.rid == linked.node, "left")
                         .select("digest", "least_id", F.coalesce("root", "rid").alias("root")))
@@ -246,47 +258,74 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
             F.col("id").eqNullSafe(F.col("component_id")).alias("kept")), "classes", keep=True)
 
 
-def _cluster_links(spark, key, members, scratch, links, unit_weight) -> DataFrame:
-    """Verified links of all clusters (a, b)."""
-    schema = "a long, b long"
-    weights = members.groupBy("cluster").agg(F.sum("w").alias("weight"))
-    small = F.col("weight") <= unit_weight
-    total = weights.agg(F.sum(F.when(small, F.col("weight"))), F.count(F.when(~small, 1))).first()
-    packs = int((total[0] or 0) // unit_weight) * 4 + 1
-
-    def texts(placed: DataFrame, partitions: int) -> DataFrame:
-        """Adds the texts of the placed members and runs the comparison per unit."""
-        placed = scratch.write(placed, "placed")
-        same = (F.col("d._h") == F.col("p._h")) & F.col("d.id").eqNullSafe(F.col("p.id"))
-        got = key.alias("d").join(checked_broadcast(placed).alias("p"), same).select(
-            "p.unit", "p.cluster", "p.rid", "p.known", "p.side", "d.text")
-        return scratch.write(got.groupBy("unit").applyInPandas(links, schema), "links")
-
-    placed = members.join(weights, "cluster").withColumn(
-        "unit", F.when(small, F.concat(F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(packs)).cast("string")))
-        .otherwise(F.concat_ws("/", "cluster", F.pmod(F.xxhash64("rid"), F.ceil(F.col("weight") / unit_weight)))))
-    cols = ["unit", "cluster", "rid", F.col("rid").alias("known"), F.lit(0).alias("side"), "id", "_h"]
-    first = placed.select(*cols)
-    if not total[1]:
-        return texts(first, packs)
-    # The least member of a divided cluster goes to each of its chunks.
-    heavy = placed.filter(~small)
-    hub = heavy.filter("rid = cluster").withColumn(
-        "unit", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("weight") / unit_weight) - 1)))
-    first = first.union(hub.withColumn("unit", F.concat_ws("/", "cluster", "unit")).select(*cols)).distinct()
-    found = texts(first, packs)
-
-    # Regroup divided clusters by the components found so far and compare the groups crosswise.
-    roots = components(spark, found, scratch)
-    inside = heavy.select("rid", "cluster", "id", "_h", "w").join(roots, F.col("rid") == F.col("node"), "left")
-    inside = scratch.write(inside.select("rid", "cluster", "id", "_h", "w", F.coalesce("root", "rid").alias("known")), "inside")
+def shared_buckets(reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members of buckets of two or more classes: band, bucket, hub (the least member), rid, id, _h, w (weight)."""
+    member = reps.select("rid", "id", "_h", (F.col("n") + 200).alias("w"), F.posexplode("bands").alias("band", "bucket"))
+    hubs = scratch.write(member.groupBy("bucket").agg(F.min("rid").alias("hub"), F.max("rid").alias("other"),
+                                                      F.count("*").alias("m")).filter("hub <> other").drop("other"), "hubs")
+    return scratch.write(join_hot(member, hubs, ["bucket"], "m").filter("hub IS NOT NULL").drop("m"), "shared")
+
+
+def _packs(weight: int | None, unit_weight: int) -> int:
+    """Number of units that light groups of this total weight are packed into."""
+    return int((weight or 0) // unit_weight) * 4 + 1
+
+
+def hub_units(shared: DataFrame, unit_weight: int) -> DataFrame:
+    """Every distinct (hub, member) once, in units.
+
+    A hub whose members weigh more than ``unit_weight`` is copied to each chunk of them.
+    """
+    spoke = shared.filter("rid <> hub").select("hub", "rid", "id", "_h", "w").distinct()
+    sums = spoke.groupBy("hub").agg(F.sum("w").alias("weight"))
+    own = shared.filter("rid = hub").select("hub", "id", "_h").distinct()
+    total = shared.filter("rid <> hub").agg(F.sum("w")).first()[0]
+    packs = _packs(total, unit_weight)
+    chunks = F.ceil(F.col("weight") / unit_weight)
+    unit = F.when(F.col("chunks") == 1, F.concat(F.lit("s"), F.pmod(F.xxhash64("hub"), F.lit(packs)).cast("string"))) \
+            .otherwise(F.concat_ws("/", "hub", "chunk"))
+    heavy = F.broadcast(sums.filter(chunks > 1).select("hub", chunks.alias("chunks")))  # at most total / unit_weight rows
+    one = F.coalesce("chunks", F.lit(1)).alias("chunks")
+    spokes = (spoke.join(heavy, "hub", "left").select("hub", "rid", "id", "_h", one)
+                   .withColumn("chunk", F.pmod(F.xxhash64("rid"), F.col("chunks"))).withColumn("side", F.lit(1)))
+    hubs = (own.join(heavy, "hub", "left").select("hub", F.col("hub").alias("rid"), "id", "_h", one)
+               .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumn("side", F.lit(0)))
+    return hubs.unionByName(spokes).select(unit.alias("unit"), F.concat_ws("/", "hub", "chunk").alias("cluster"),
+                                           F.lit(0).alias("band"), "rid", F.col("rid").alias("known"), "side", "id", "_h")
+
+
+def open_units(shared: DataFrame, found: DataFrame, scratch: Scratch, unit_weight: int) -> DataFrame | None:
+    """Members of open buckets, in units; None when every bucket is closed.
+
+    The hub is left out: it has met every member.  ``found``: components (node, root) of the links so far.
+    """
+    spoke = shared.filter("rid <> hub").join(found, F.col("rid") == F.col("node"), "left").select(
+        "band", "bucket", "rid", "id", "_h", "w", F.coalesce("root", "rid").alias("known"))
+    spoke = scratch.write(spoke, "spokes")
+    bar = scratch.write(spoke.groupBy("bucket").agg(F.min("known").alias("lo"), F.max("known").alias("hi"), F.sum("w").alias("weight"),
+                                                    F.count("*").alias("m")).filter("lo <> hi").drop("lo", "hi"), "open")
+    total = bar.agg(F.sum("weight"), F.max("weight")).first()
+    if total[0] is None:
+        return None
+    packs = _packs(total[0], unit_weight)
+    inside = scratch.write(join_hot(spoke, bar, ["bucket"], "m").filter("weight IS NOT NULL").drop("m"), "inside")
+    cluster = F.col("bucket").cast("string").alias("cluster")
+    out = ["unit", "cluster", "band", "rid", "known", "side", "id", "_h"]
+    small = inside.filter(F.col("weight") <= unit_weight).select(
+        F.concat(F.lit("s"), F.pmod(F.xxhash64("bucket"), F.lit(packs)).cast("string")).alias("unit"),
+        cluster, "band", "rid", "known", F.lit(0).alias("side"), "id", "_h")
+    if total[1] <= unit_weight:
+        return small.select(*out)
+    # Chunks of a heavy bucket: a large component is cut into chunks of its own, small ones are pooled.
+    heavy = inside.filter(F.col("weight") > unit_weight)
     half = unit_weight / 2
-    comp = inside.groupBy("cluster", "known").agg(F.sum("w").alias("cw"))
-    pool = comp.filter(F.col("cw") <= half).groupBy("cluster").agg(F.sum("cw").alias("pw"))
-    sized = inside.join(comp, ["cluster", "known"]).join(pool, "cluster", "left")
+    comp = heavy.groupBy("bucket", "known").agg(F.sum("w").alias("cw"), F.count("*").alias("cm"))
+    comp = scratch.write(comp, "comp")
+    pool = comp.filter(F.col("cw") <= half).groupBy("bucket").agg(F.sum("cw").alias("pw"))
+    comp = scratch.write(comp.join(pool, "bucket", "left"), "pooled")
     big = F.col("cw") > half
-    chunked = scratch.write(sized.select(
-        "rid", "cluster", "id", "_h", "known",
+    chunked = scratch.write(join_hot(heavy, comp, ["bucket", "known"], "cm").select(
+        cluster, "band", "rid", "id", "_h", "known",
         F.when(big, F.concat_ws("/", F.lit("c"), "known", F.pmod(F.xxhash64("rid"), F.ceil(F.col("cw") / half))))
         .otherwise(F.concat_ws("/", F.lit("p"), F.pmod(F.xxhash64("known"), F.ceil(F.col("pw") / half)))).alias("chunk"),
         F.when(big, F.col("known")).alias("whole")), "chunked")
@@ -297,11 +336,24 @@ def _cluster_links(spark, key, members, scratch, links, unit_weight) -> DataFram
     crosses = scratch.write(crosses.select(F.col("l.cluster").alias("cluster"), F.col("l.chunk").alias("lc"),
                                            F.col("r.chunk").alias("rc"),
                                            F.concat_ws("|", "l.cluster", "l.chunk", "r.chunk").alias("unit")), "crosses")
-    one = chunked.join(crosses.withColumn("chunk", F.col("lc")), ["cluster", "chunk"])
-    two = chunked.join(crosses.filter("lc <> rc").withColumn("chunk", F.col("rc")), ["cluster", "chunk"])
-    second = (one.select("unit", "cluster", "rid", "known", F.lit(0).alias("side"), "id", "_h")
-                 .union(two.select("unit", "cluster", "rid", "known", F.lit(1).alias("side"), "id", "_h")))
-    return found.union(texts(second, packs))
+    first = chunked.join(crosses.withColumn("chunk", F.col("lc")), ["cluster", "chunk"]).withColumn("side", F.lit(0))
+    second = chunked.join(crosses.filter("lc <> rc").withColumn("chunk", F.col("rc")), ["cluster", "chunk"]).withColumn("side", F.lit(1))
+    return small.select(*out).union(first.select(*out)).union(second.select(*out))
+
+
+def _compare(key: DataFrame, placed: DataFrame, repeats: bool, scratch: Scratch, links) -> DataFrame:
+    """Adds the texts of the placed classes and runs the comparison per unit: links (a, b).
+
+    ``repeats``: some rows have id and text in common; one of each is kept before the units are shuffled.
+    """
+    placed = scratch.write(placed, "placed")
+    same = (F.col("d._h") == F.col("p._h")) & F.col("d.id").eqNullSafe(F.col("p.id"))
+    rows = key.alias("d").join(checked_broadcast(placed).alias("p"), same).select(
+        "p.unit", "p.cluster", "p.band", "p.rid", "p.known", "p.side", "d.text")
+    if repeats:
+        of_class = ["unit", "cluster", "band", "rid", "known", "side"]
+        rows = rows.groupBy(*of_class).agg(F.first("text").alias("text"))
+    return scratch.write(rows.groupBy("unit").applyInPandas(links, "a long, b long"), "links")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
