@@ -10,13 +10,16 @@
   neighbours lie.  A sample of a part p of the rows stands for them with its
   k * p nearest, so the radius fits the whole table.
 * Index: a code is cut into substrings of about 12 bits, each with its own table
-  from value to rows.  A code within radius r of a query has at least one of its
-  m substrings within floor(r / m) (pigeonhole), so probing every value that near
-  in every table finds all of them; the rest are dropped by their full distance.
+  from value to rows.  A code within radius r = n * m + a of a query has one of its
+  first a + 1 substrings within n or one of the others within n - 1 (pigeonhole over
+  m substrings), so probing every value that near finds all of them; the rest are
+  dropped by their full distance.
   What is found is ranked by the inner product of the original vectors.
 * Spark: rows and queries are dealt into blocks; each pair of a query block and a
   row block is one group (index tables live only in the task) and gives the best
-  ``k`` of that row block per query, merged by a window over queries.
+  ``k`` of that row block per query, merged by a window over queries.  A row is
+  copied once per query block, a query once per row block; blocks are large for
+  that, and only a small table's queries are dealt finer, to use all cores.
 
 Defined results: vectors that are null, zero, hold a null or non-finite number,
 have no id or another length than most take no part, neither as query nor as
@@ -146,12 +149,23 @@ class SubstringTables:
         return bits[:, cut].astype(np.int64) @ (1 << np.arange(len(cut), dtype=np.int64))
 
     def probes(self, radius: int) -> list[np.ndarray]:
-        """Per substring: the masks that turn a value into all values within floor(radius / parts)."""
-        near = radius // len(self.cuts)
-        by: dict[int, np.ndarray] = {}
-        for w in {len(c) for c in self.cuts}:
-            by[w] = np.array([sum(1 << i for i in c) for t in range(min(near, w) + 1) for c in combinations(range(w), t)], np.int64)
-        return [by[len(c)] for c in self.cuts]
+        """Per substring: the masks that turn a value into all values to be probed.
+
+        With radius = near * parts + left, the first left + 1 substrings are
+        probed within near and the others within near - 1: a code missed by all
+        would differ in (left + 1) * (near + 1) + (parts - left - 1) * near bits,
+        one more than the radius.
+        """
+        near, left = divmod(radius, len(self.cuts))
+        by: dict[tuple[int, int], np.ndarray] = {}
+        out = []
+        for i, cut in enumerate(self.cuts):
+            key = (len(cut), near if i <= left else near - 1)
+            if key not in by:
+                by[key] = np.array([sum(1 << b for b in c) for t in range(min(key[1], key[0]) + 1)
+                                    for c in combinations(range(key[0]), t)], np.int64)
+            out.append(by[key])
+        return out
 
     def within(self, query: np.ndarray, radius: int, masks: list[np.ndarray]) -> np.ndarray:
         """Rows whose code lies within ``radius`` of the query's bits."""
@@ -203,7 +217,7 @@ def _search(codes: Codes, k: int):
 
 
 def search(spark: SparkSession, vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding",
-           k: int = 20, row_block: int = 16_384, query_block: int = 1_024, **fitting) -> DataFrame:
+           k: int = 20, row_block: int = 32_768, query_block: int = 8_192, **fitting) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest found for every query row.
 
     ``is_query`` is a condition on the id, named ``id``.  Ids are whole numbers.
@@ -217,7 +231,10 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: Column, id_col: st
             return scratch.write(spark.createDataFrame([], result), "found", keep=True)
         index = scratch.write(rows.select("id", "v", encoder(codes, False).alias("code")), "index")
         asked = scratch.write(rows.filter(is_query).select("id", "v", encoder(codes, True).alias("code")), "queries")
-        n_db, n_qb = max(1, -(-index.count() // row_block)), max(1, -(-asked.count() // query_block))
+        n_asked = asked.count()
+        n_db = max(1, -(-index.count() // row_block))
+        finer = -(-2 * spark.sparkContext.defaultParallelism // n_db)
+        n_qb = max(1, -(-n_asked // query_block), min(finer, n_asked // 128))
         block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
         left = asked.select(block(n_qb).alias("qb"), every(n_db).alias("db"), "id", "code", "v").groupBy("qb", "db")
