@@ -112,8 +112,8 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
     """Connected components of ``edges`` (a, b: long): rows (node, root), root the least node.
 
     Alternating large-star and small-star steps; each step is a minimum per
-    node joined back to the edges, so that no neighbourhood meets in one row,
-    and the number of rounds grows with the logarithm of the longest path.
+    node joined back to the edges (``join_hot``), so that no neighbourhood meets in
+    one row or task, and the number of rounds grows with the logarithm of the longest path.
     Nodes without an edge do not appear.  No edge: no rows.
     """
     cur = scratch.write(edges.filter("a <> b").select(
@@ -122,18 +122,18 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
     def mark(df):
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
+    def with_least(edges):  # a hub's links are joined where they lie; only other nodes' links move
+        low = scratch.write(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")
+        return join_hot(edges, low, ["u"], "n")
+
     seen = mark(cur)
     while seen[0]:
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.join(low, "u").filter("v > u")
-                     .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         large = scratch.write(large, "cc")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(low, "u")
-        cur = scratch.write(hung.select("u", F.col("m").alias("v"))
-                            .union(hung.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-                            .distinct(), "cc")
+        moved = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
+        cur = with_least(large).select(moved.alias("e")).select("e.*").filter("u <> v").distinct()
+        cur = scratch.write(cur, "cc")
         now = mark(cur)
         if now == seen:
             break
