@@ -1009,9 +1009,9 @@ def q_stm_score_new(spark, sf):
     """Two deliveries (the second repeats a third of the first): each run resumes, duplicates dropped, nothing lost."""
     ev = _gen_events(spark, sf)
     src, out, ckpt = (scratch_path(spark, n) for n in ("stm-src", "stm-out", "stm-ckpt"))
-    ev.filter(F.col("problem_id") % 2 == 0).write.mode("append").json(src)
+    ST.deliver(ev.filter(F.col("problem_id") % 2 == 0), src)
     ST.score_stream(spark, src, out, ckpt)
-    ev.filter((F.col("problem_id") % 2 == 1) | (F.col("problem_id") % 3 == 0)).write.mode("append").json(src)
+    ST.deliver(ev.filter((F.col("problem_id") % 2 == 1) | (F.col("problem_id") % 3 == 0)), src)
     ST.score_stream(spark, src, out, ckpt)
     return spark.read.parquet(out).select(*GEN_KEYS, "thinking_found", "code_found", *X.PATTERNS)
 

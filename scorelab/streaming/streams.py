@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.extract import with_extraction
 from ..operators.metrics import rate
+from ..sources.runs import GZIP
 
 GENERATION_EVENT_SCHEMA = ("setup string, model string, problem_id bigint, api_success boolean, "
                            "model_output string, completion_tokens int, total_tokens int, "
@@ -61,16 +62,26 @@ def _plain_path(uri: str) -> str:
     return re.sub(r"([\\\[\]{}*?])", r"\\\1", unquote(uri))
 
 
+def deliver(rows: DataFrame, src: str, rows_per_file: int = 25_000) -> None:
+    """Add generation rows to a folder of gzipped JSON-lines files, each small enough for one task to read."""
+    rows.write.mode("append").options(**GZIP).option("maxRecordsPerFile", rows_per_file).json(src)
+
+
 def score_stream(spark: SparkSession, src: str, out: str, ckpt: str,
-                 schema: str = GENERATION_EVENT_SCHEMA, max_files: int = 1000) -> None:
+                 schema: str = GENERATION_EVENT_SCHEMA, max_files: int = 1000, max_keys: int = 300_000) -> None:
     """Extract answers from generation rows as files land; one result per (setup, model, problem).
 
     The query's state holds one narrow row per key: when it was first and last
-    delivered, and the first of its rows (by generated_at, then by a hash of the
-    whole row) with its file.  A key whose first and last delivery are this batch is
-    new, however late; a repeat is not, however old.  New keys' rows are read from
-    the batch's own files (at most ``max_files``), so a batch's work does not grow
+    delivered, how often, and the first of its rows (by generated_at, then by a hash
+    of the whole row) with its file.  A key whose first and last delivery are this
+    batch is new, however late; a repeat is not, however old.  New keys' rows are read
+    from the batch's own files (at most ``max_files``), so a batch's work does not grow
     with what was answered before, and a batch that is run again keeps the same rows.
+
+    The files are read in groups that hold the first rows of at most ``max_keys`` keys:
+    a group's keys are broadcast, so that the wide rows stay in the tasks that read
+    them.  Only a single file with more keys than that is joined by a shuffle, and
+    only keys delivered more than once in the batch are checked for copies of a row.
     Batches are folders ``batch=N`` of ``out``; a repeated batch replaces its own.
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).json(src)
@@ -78,18 +89,32 @@ def score_stream(spark: SparkSession, src: str, out: str, ckpt: str,
     first = F.struct(F.col("generated_at"), F.xxhash64(*columns).alias("hash"), F.col("_metadata.file_path").alias("file"))
     now = F.current_timestamp()
     keys = stream.select(*KEYS, first.alias("first"), now.alias("now")).groupBy(*KEYS).agg(
-        F.min("first").alias("first"), F.min("now").alias("since"), F.max("now").alias("until"))
+        F.min("first").alias("first"), F.min("now").alias("since"), F.max("now").alias("until"), F.count("*").alias("n"))
+
+    def found(new: DataFrame, group: list, small: bool) -> DataFrame:
+        """The first rows of the keys whose file is in the group."""
+        rows = spark.read.schema(schema).json([_plain_path(r.file) for r in group]).select("*", F.xxhash64(*columns).alias("_hash"))
+        own = new.filter(F.col("file").isin([r.file for r in group])).select(
+            *[F.col(k).alias(f"_{k}") for k in KEYS], "hash", "n")
+        match = [rows[k].eqNullSafe(own[f"_{k}"]) for k in KEYS]
+        got = rows.join(F.broadcast(own) if small else own, reduce(lambda a, b: a & b, match, rows["_hash"] == own["hash"])).select(*columns, "n")
+        if max(r.n for r in group) == 1:
+            return got.drop("n")
+        # What is left of a key are copies of one row.
+        return got.filter("n = 1").drop("n").unionByName(got.filter("n > 1").drop("n").dropDuplicates(KEYS))
 
     def add(batch: DataFrame, epoch: int) -> None:
-        new = batch.filter("since = until").select(*KEYS, "first.hash", "first.file").persist()
-        files = [_plain_path(r.file) for r in new.select("file").distinct().collect()]
-        rows = spark.read.schema(schema).json(files) if files else spark.createDataFrame([], stream.schema)
-        rows = rows.select("*", F.xxhash64(*columns).alias("_hash"))
-        match = [rows[k].eqNullSafe(new[k]) for k in KEYS]
-        found = rows.join(new, reduce(lambda a, b: a & b, match, rows["_hash"] == new["hash"]), "left_semi")
-        # What is left of a key are copies of one row.
-        fresh = found.drop("_hash").dropDuplicates(KEYS)
-        with_extraction(fresh).write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+        new = batch.filter("since = until").select(*KEYS, "first.hash", "first.file", "n").persist()
+        files = new.groupBy("file").agg(F.count("*").alias("keys"), F.max("n").alias("n")).orderBy("file").collect()
+        groups, room = [], 0
+        for r in files:
+            if r.keys > room:
+                groups, room = [*groups, []], max_keys
+            groups[-1].append(r)
+            room -= r.keys
+        parts = [found(new, group, sum(r.keys for r in group) <= max_keys) for group in groups]
+        for k, part in enumerate(parts or [spark.createDataFrame([], stream.schema)]):
+            with_extraction(part).write.mode("append" if k else "overwrite").option("compression", "zstd").parquet(f"{out}/batch={epoch}")
         new.unpersist()
 
     with _stream_settings(spark):

@@ -151,3 +151,41 @@ def test_log_windows_are_whole_after_closing(spark):
     batch = log.groupBy(F.window("ts", "1 day").alias("w"), "phase").agg(F.count("*").alias("n"))
     assert out.count() == batch.count() > 0
     assert out.agg(F.sum("n_steps")).first()[0] == log.count()
+
+
+def test_score_stream_keeps_wide_rows_in_their_tasks(spark, tmp_path, monkeypatch):
+    """New keys are broadcast in bounded groups of files; copies, repeats and null keys are as before."""
+    from datetime import datetime as dt
+
+    from scorelab.streaming import streams as ST
+    src, out, ckpt = (f"{tmp_path}/{n}" for n in ("src", "out", "ckpt"))
+    plans, writer = [], type(spark.range(0).write)
+    parquet = writer.parquet
+    monkeypatch.setattr(writer, "parquet", lambda self, path, *a, **kw: (plans.append(self._df._jdf.queryExecution().optimizedPlan().toString()), parquet(self, path, *a, **kw))[1])
+    for k in range(6):
+        _events(spark, [("m", 10 * k + i, f"x = {k}", dt(2025, 1, 1)) for i in range(20)]).coalesce(1).write.mode("append").json(src)
+    _events(spark, [(None, 7, "n = 1", dt(2025, 1, 1))] * 2).coalesce(1).write.mode("append").json(src)
+    ST.score_stream(spark, src, out, ckpt, max_keys=25)
+    assert len(plans) > 2 and sum("strategy=broadcast" in p for p in plans) == len(plans)
+    assert spark.read.parquet(out).count() == 71 == spark.read.parquet(out).select("model", "problem_id").distinct().count()
+    plans.clear()
+    _events(spark, [("m", i, f"y = {i}", dt(2025, 1, 1)) for i in range(50, 120)]).coalesce(1).write.mode("append").json(src)
+    ST.score_stream(spark, src, out, ckpt)
+    assert len(plans) == 1 and "strategy=broadcast" in plans[0] and "Aggregate [" not in plans[0]
+    assert spark.read.parquet(f"{out}/batch=1").count() == 50
+    _events(spark, [("m", i, f"z = {i}", dt(2025, 1, 1)) for i in range(200, 260)] * 2).coalesce(1).write.mode("append").json(src)
+    ST.score_stream(spark, src, out, ckpt, max_keys=25)  # one file of more keys than a group holds
+    assert spark.read.parquet(f"{out}/batch=2").count() == 60 == spark.read.parquet(f"{out}/batch=2").select("problem_id").distinct().count()
+
+
+def test_deliveries_are_compressed_and_in_small_files(spark, tmp_path):
+    from datetime import datetime as dt
+
+    from scorelab.streaming import streams as ST
+    rows = _events(spark, [("m", i, f"x = {i} " + "word " * 300, dt(2025, 1, 1)) for i in range(100)]).coalesce(1)
+    ST.deliver(rows, f"{tmp_path}/src", rows_per_file=30)
+    back = spark.read.schema(EVENT).json(f"{tmp_path}/src")
+    assert len(back.inputFiles()) == 4 and all(f.endswith(".gz") for f in back.inputFiles())
+    assert back.exceptAll(rows).count() == 0 == rows.exceptAll(back).count()
+    ST.run_summary_stream(spark, f"{tmp_path}/src", f"{tmp_path}/out", f"{tmp_path}/ckpt", EVENT)
+    assert ST.latest_summary(spark, f"{tmp_path}/out").first().n_outputs == 100
