@@ -9,9 +9,10 @@ intercept).  The threshold is the quantile of the fitted texts' scores at the
 share of texts labelled 0; the score shown is sigmoid(s - threshold), so 0.5 is
 the threshold.
 
-Fitting runs on at most about ``max_docs`` labelled texts (all, if fewer), chosen
-by a hash of the id; each text of the rarer label meets about ``pairs`` texts of
-the other, joined through random buckets.
+Fitting runs on all labelled texts (a caller may ask for a sample of about
+``max_docs``, chosen by a hash of the id); each text of the rarer label meets about
+``pairs`` texts of the other, joined through random buckets.  Texts, pairs and the
+threshold's order statistics stay in Spark; the weights alone reach the driver.
 
 Defined results: null and empty texts have the numbers of a text without words;
 labels other than 0 and 1 teach nothing; without both labels every score is 0.5;
@@ -32,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.select import order_statistics
 from .common import Scratch, sample_bar, sample_hash
 
 SYMBOLS = np.frombuffer(b"#$%&*@^~<>{}[]\\/_=+", np.uint8)
@@ -79,13 +81,13 @@ def described(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def fit(spark: SparkSession, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-        max_docs: int = 12_000, pairs: int = 20, l2: float = 1e-4) -> tuple[list[float], float]:
+        max_docs: int | None = None, pairs: int = 20, l2: float = 1e-4) -> tuple[list[float], float]:
     """(weights, threshold) of the labelled rows."""
     rows = labelled.filter(F.col(label_col).isin(0, 1)).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y"),
         sample_hash(id_col).alias("r"))
-    size = rows.count()
-    rows = rows.filter(F.col("r") <= sample_bar(max_docs, size))
+    if max_docs is not None:
+        rows = rows.filter(F.col("r") <= sample_bar(max_docs, rows.count()))
     with Scratch(spark) as scratch:
         rows = scratch.write(rows.select("id", "y", described("text").alias("x")), "described")
         count = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
@@ -104,10 +106,10 @@ def fit(spark: SparkSession, labelled: DataFrame, id_col: str = "doc_id", text_c
         data = scratch.write(data, "pairs")
         model = LogisticRegression(fitIntercept=False, regParam=l2, maxIter=60).fit(data)
         weights = [float(v) for v in model.coefficients]
-        s = score_of(F.col("x"), weights)
-        # midway between the scores on both sides of the quantile, in the (bounded) sample
-        low, n = count[0], count[0] + count[1] - 1
-        cut = rows.agg((F.percentile(s, F.lit((low - 1) / n)) + F.percentile(s, F.lit(low / n))) / 2).first()[0]
+        # midway between the scores on both sides of the quantile
+        scores = scratch.write(rows.select(score_of(F.col("x"), weights).alias("s")), "scores")
+        low, high = order_statistics(scores, F.col("s"), [count[0] - 1, count[0]])
+        cut = (low + high) / 2
     return weights, float(cut)
 
 

@@ -134,3 +134,17 @@ def test_fits_learn_from_less_than_a_millionth_of_the_rows(spark):
     assert model.langs == ["en"] and model.at[0]
     assert quality.fit(spark, ids.select("doc_id", text.alias("text"), (~odd).cast("int").alias("quality")), max_docs=20)[0]
     assert toxicity.fit(spark, ids.select("doc_id", text.alias("text"), odd.cast("int").alias("toxic")), params=toxicity.Params(max_docs=20))[2] != 0
+
+
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    """More rows than the former sample of 12,000: all are described, and the threshold stands at the share of all rows labelled 0."""
+    ids = spark.range(30_000).withColumnRenamed("id", "doc_id")
+    good = F.col("doc_id") % 10 > 2
+    text = F.concat(F.when(good, F.lit("A calm text, well formed, ")).otherwise(F.lit("### !!! ")), F.repeat(F.lit("word "), (F.col("doc_id") % 40).cast("int")))
+    rows = ids.select("doc_id", text.alias("text"), good.cast("int").alias("quality"))
+    sizes, write = {}, quality.Scratch.write
+    monkeypatch.setattr(quality.Scratch, "write", lambda self, df, name="t", keep=False: (sizes.__setitem__(name, (t := write(self, df, name, keep)).count()), t)[1])
+    model = quality.fit(spark, rows)
+    assert sizes["described"] == 30_000 == sizes["scores"]
+    got = rows.select("quality", (quality.scorer(model) >= 0.5).cast("int").alias("p"))
+    assert got.filter("p = 0").count() == 9_000 and got.filter("p <> quality").count() == 0
