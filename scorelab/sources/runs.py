@@ -54,17 +54,62 @@ RUN_NAME_RE = (r"^(\d{8}_\d{6})_(?:(benign|malign(?:_[a-z]+)?)_)?([a-z]+)_(\d+)p
                r"(?:_([a-z_]+))?\.(json|pdf)$")
 
 
+def _documents(batches: Iterator[pa.RecordBatch], schema: pa.Schema, limit: int) -> Iterator[pa.RecordBatch]:
+    """Rows (setup, model, row, size, avg_time) to documents (setup, model, rows, n, avg_time), in the rows' order.
+
+    A (setup, model)'s document is closed once it holds ``limit`` bytes; when all open
+    ones hold four times that, the largest is.
+    """
+    parts: dict[tuple, list[pa.Array]] = {}
+    size: dict[tuple, int] = {}
+    avg: dict[tuple, float | None] = {}
+
+    def close(key: tuple) -> pa.RecordBatch:
+        own = parts.pop(key)
+        rows = pa.concat_arrays(own)
+        size.pop(key)
+        lists = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows, type=schema.field("rows").type)
+        columns = {"setup": [key[0]], "model": [key[1]], "rows": lists, "n": [len(rows)], "avg_time": [avg.pop(key)]}
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, schema.field(k).type) for k, c in columns.items()], schema=schema)
+
+    for batch in batches:
+        rows = batch.column(2).cast(schema.field("rows").type.value_type)
+        sizes, times = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+        places: dict[tuple, list[int]] = {}
+        for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            places.setdefault(key, []).append(i)
+        for key, at in places.items():
+            start = 0
+            for j, i in enumerate(at):
+                size[key] = size.get(key, 0) + sizes[i]
+                if times[i] is not None:
+                    avg[key] = times[i] if avg.get(key) is None else max(avg[key], times[i])
+                else:
+                    avg.setdefault(key, None)
+                if size[key] >= limit or j == len(at) - 1:
+                    parts.setdefault(key, []).append(rows.take(pa.array(at[start:j + 1], pa.int64())))
+                    start = j + 1
+                    if size[key] >= limit:
+                        yield close(key)
+            while sum(size.values()) >= 4 * limit:
+                yield close(max(size, key=size.get))
+    for key in list(parts):
+        yield close(key)
+
+
 def write_generations(gens: DataFrame, path: str, split: str = "eval", timestamp: str = "",
                       bytes_per_doc: int = 16 << 20, max_tokens: int = 6000, timeout_seconds: int = 10) -> str:
-    """Write generation rows as run documents (JSON lines).
-
-    A document holds consecutive rows of one (setup, model) within one input
-    partition, up to ``bytes_per_doc`` of output text (one row at least), so no
-    document and no task grows with the table, no count is taken first, and
-    repeated rows spread like any others.  ``run_avg_time``, if there is such a
-    column, goes to the metadata's timing statistics.
+    """Write generation rows as run documents (gzipped JSON lines).
+
+    A document holds rows of one (setup, model) within one input partition, in
+    their order, up to ``bytes_per_doc`` of output text (and the row that reaches
+    it).  Each task gathers its own rows, so nothing is shuffled or sorted, no
+    document and no task's memory grows with the table, no count is taken first,
+    and repeated rows spread like any others.  ``run_avg_time``, if there is such a
+    column, goes to the metadata's timing statistics.  Files hold some 128 MB of
+    documents, as a gzipped file is read by one task.
     """
-    timed = F.max("run_avg_time") if "run_avg_time" in gens.columns else F.lit(None).cast("double")
+    timed = F.col("run_avg_time").cast("double") if "run_avg_time" in gens.columns else F.lit(None).cast("double")
     row = F.struct(F.col("problem_id").cast("string").alias("problem_id"),
                    F.coalesce("prompt", F.lit("")).alias("prompt") if "prompt" in gens.columns
                    else F.lit("").alias("prompt"),
@@ -74,21 +119,22 @@ def write_generations(gens: DataFrame, path: str, split: str = "eval", timestamp
                    F.when(~F.col("api_success"), F.lit("api error")).otherwise(F.lit("")).alias("api_error"),
                    F.struct(F.col("total_time")).alias("timing"))
     size = F.coalesce(F.octet_length("model_output"), F.lit(0)) + 256
-    placed = gens.withColumns({"_at": F.monotonically_increasing_id(), "_size": size}).withColumn("_part", F.shiftright("_at", 33))
-    line = Window.partitionBy("_part", "setup", "model").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    sharded = placed.withColumn("_b", F.floor(F.coalesce(F.sum("_size").over(line), F.lit(0)) / bytes_per_doc))
-    docs = (sharded.groupBy("_part", "setup", "model", "_b")
-                   .agg(F.collect_list(row).alias("rows"), F.count("*").alias("_n"), timed.alias("_avg_time")))
+    placed = gens.select("setup", "model", row.alias("row"), size.cast("long").alias("size"), timed.alias("avg_time"))
+    kinds = {f.name: f.dataType for f in placed.schema.fields}
+    shape = T.StructType([T.StructField("setup", kinds["setup"]), T.StructField("model", kinds["model"]), T.StructField("rows", T.ArrayType(kinds["row"])),
+                          T.StructField("n", T.LongType()), T.StructField("avg_time", T.DoubleType())])
+    arrow = to_arrow_schema(shape)
+    docs = placed.mapInArrow(lambda batches: _documents(batches, arrow, bytes_per_doc), shape)
     meta = F.struct(F.col("setup"), (F.col("setup") != "benign").alias("malign"),
                     F.when(F.col("setup") != "benign", F.col("setup")).alias("malign_objective"),
                     F.lit(split).alias("split"), F.lit(timestamp).alias("timestamp"),
-                    F.col("_n").alias("n_problems"), F.array("model").alias("models"),
+                    F.col("n").alias("n_problems"), F.array("model").alias("models"),
                     F.lit(max_tokens).alias("max_tokens"), F.lit(timeout_seconds).alias("timeout_seconds"),
-                    F.col("_n").alias("total_api_calls"),
-                    F.when(F.col("_avg_time").isNotNull(), F.create_map("model", F.struct(F.col("_avg_time").alias("avg_time"))))
+                    F.col("n").alias("total_api_calls"),
+                    F.when(F.col("avg_time").isNotNull(), F.create_map("model", F.struct(F.col("avg_time"))))
                     .alias("timing_stats"))
     out = docs.select(meta.alias("metadata"), F.create_map("model", "rows").alias("results"))
-    out.write.mode("overwrite").json(path)
+    out.write.mode("overwrite").options(**GZIP).option("maxRecordsPerFile", max(1, (128 << 20) // bytes_per_doc)).json(path)
     return path
 
 

@@ -192,3 +192,28 @@ def test_experiment_from_a_manifest_file(spark, tmp_path):
     assert sorted((r.setup, r.problem_id, r.extra) for r in out.collect()) == [("four", 1, None), ("four", 2, None), ("one", 1, None), ("one", 2, None), ("two", 1, 5)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan and "Cartesian" not in plan
+
+
+def test_run_documents_are_gathered_without_a_shuffle(spark, tmp_path, monkeypatch):
+    """Documents within their limit (and one row), rows in order, a null setup, no average time, and no exchange or sort of the rows."""
+    plans, writer = [], type(spark.range(0).write)
+    json = writer.json
+    monkeypatch.setattr(writer, "json", lambda self, path, *a, **kw: (plans.append(self._df._jdf.queryExecution().executedPlan().toString()), json(self, path, *a, **kw))[1])
+    g = spark.range(0, 4000, 1, 3).select(
+        F.when(F.col("id") % 5 > 0, F.concat(F.lit("s"), F.col("id") % 2)).alias("setup"), F.concat(F.lit("m"), F.col("id") % 3).alias("model"), F.col("id").alias("problem_id"),
+        F.when(F.col("id") % 7 > 0, F.repeat(F.lit("text "), (F.col("id") % 50).cast("int"))).alias("model_output"), F.lit(1).alias("completion_tokens"),
+        F.lit(2).alias("total_tokens"), (F.col("id") % 2 == 0).alias("api_success"), F.lit(.5).alias("total_time"),
+        F.when(F.col("id") % 3 > 0, (F.col("id") % 4).cast("double")).alias("run_avg_time"))
+    path = SR.write_generations(g, f"{tmp_path}/run", bytes_per_doc=10_000)
+    assert "Exchange" not in plans[0] and "Sort" not in plans[0] and "Window" not in plans[0]
+    docs = spark.read.schema(SR.RUN_SCHEMA).json(path)
+    held = docs.select("metadata.n_problems", "metadata.setup", F.explode("results").alias("model", "rows"))
+    size = F.aggregate("rows", F.lit(0), lambda a, r: a + F.coalesce(F.octet_length(r["model_output"]), F.lit(0)) + 256)
+    sizes = held.select(F.col("n_problems") == F.size("rows"), size.alias("s"), F.transform("rows", lambda r: r["problem_id"].cast("long")).alias("ids")).collect()
+    assert all(r[0] and r.s < 10_000 + 256 + 250 and list(r.ids) == sorted(r.ids) for r in sizes) and max(r.s for r in sizes) >= 10_000
+    assert all(f.endswith(".gz") for f in docs.inputFiles())
+    cols = ["model", "api_success", "model_output", "completion_tokens", "total_time"]
+    back, want = SR.read_generations(spark, path).select("problem_id", *cols), g.select(F.col("problem_id").cast("string"), *cols)
+    assert back.exceptAll(want).count() == 0 == want.exceptAll(back).count()
+    times = {(r.model, r.run_avg_time) for r in SR.read_generations(spark, path).collect()}
+    assert {t for m, t in times if m == "m0"} == {None} and {t for m, t in times if m != "m0"} <= {0.0, 1.0, 2.0, 3.0}
