@@ -230,7 +230,7 @@ def q_sink_generation_samples(spark, sf):
 def q_src_experiment(spark, sf):
     """Per-setup runs listed in a manifest file (one entry missing), read in one scan with the setup of their path."""
     base = scratch_path(spark, "experiment")
-    view(spark, sf, "generations").write.mode("overwrite").partitionBy("setup").parquet(base)
+    SR.write_by_setup(view(spark, sf, "generations"), base)
     files = {s: f"{base}/setup={s}" for s in [*SETUP_NAMES, "missing_setup"]}
     paths = F.create_map(*[F.lit(x) for kv in files.items() for x in kv])
     spark.range(1).select(F.lit(base).alias("experiment_dir"), paths.alias("output_files")).write.json(f"{base}-manifest")

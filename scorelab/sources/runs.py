@@ -292,6 +292,22 @@ def read_scored_summary(spark: SparkSession, path: str, value_schema: str) -> Da
     return doc.select("setup", F.explode("summary").alias("model", "s")).select("setup", "model", "s.*")
 
 
+def write_by_setup(rows: DataFrame, path: str, writers: int = 16) -> str:
+    """Rows as a table with one folder ``setup=S`` per setup.
+
+    A task keeps up to ``writers`` files open, so that its rows are not sorted by
+    setup (and spilled) first; row groups are small, as several are open at once.
+    """
+    spark, key = rows.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.set(key, str(writers))
+        rows.write.mode("overwrite").partitionBy("setup").option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    return path
+
+
 MANIFEST_SCHEMA = "experiment_dir string, output_files map<string, string>, timestamp string"
 
 
@@ -312,7 +328,8 @@ def read_experiment(spark: SparkSession, manifest: str | dict[str, str], reader=
     ``manifest``: path of manifest files, or a dict setup -> path.  ``reader`` takes
     the list of paths (``spark.read.parquet`` by default); listed runs that are
     absent are skipped.  The list (one entry per setup) is all that the driver
-    holds; setups are attached by a join on the file's path.
+    holds beside the scan's list of files; setups are attached by a broadcast join
+    on the file's path.
     """
     if isinstance(manifest, dict):
         listed = list(manifest.items())
@@ -329,11 +346,13 @@ def read_experiment(spark: SparkSession, manifest: str | dict[str, str], reader=
     if not there:
         raise FileNotFoundError("no run of the manifest exists")
     rows = (reader or (lambda paths: spark.read.option("mergeSchema", True).parquet(*paths)))([p for _, p in there])
-    # The entry whose path is the file's own or that of a folder above it; the longest one.
-    at = F.regexp_replace(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")), "^[a-zA-Z0-9]+:/*", "/")
-    rows = rows.drop("setup").withColumn("_file", at)
-    parts = F.split("_file", "/")
+    # The entry whose path is the file's own or that of a folder above it; the longest one.  Files are as many as
+    # the scan's own listing on the driver holds, so their setups are broadcast and no row of a run is shuffled.
+    rows = rows.drop("setup").withColumn("_file", F.col("_metadata.file_path"))
+    at = F.regexp_replace(F.url_decode(F.regexp_replace("_file", r"\+", "%2B")), "^[a-zA-Z0-9]+:/*", "/")
+    parts = F.split(at, "/")
     above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     files = rows.select("_file").distinct().select("_file", F.explode(above).alias("entry"))
-    owner = files.join(spark.createDataFrame(there, "setup string, entry string"), "entry").groupBy("_file").agg(F.max_by("setup", F.length("entry")).alias("setup"))
-    return rows.join(owner, "_file").drop("_file")
+    entries = F.broadcast(spark.createDataFrame(there, "setup string, entry string"))
+    owner = files.join(entries, "entry").groupBy("_file").agg(F.max_by("setup", F.length("entry")).alias("setup"))
+    return rows.join(F.broadcast(owner), "_file").drop("_file")

@@ -217,3 +217,13 @@ def test_run_documents_are_gathered_without_a_shuffle(spark, tmp_path, monkeypat
     assert back.exceptAll(want).count() == 0 == want.exceptAll(back).count()
     times = {(r.model, r.run_avg_time) for r in SR.read_generations(spark, path).collect()}
     assert {t for m, t in times if m == "m0"} == {None} and {t for m, t in times if m != "m0"} <= {0.0, 1.0, 2.0, 3.0}
+
+
+def test_experiment_rows_are_neither_shuffled_nor_sorted(spark, tmp_path):
+    g = view(spark, SF, "generations")
+    base = SR.write_by_setup(g, f"{tmp_path}/a b")
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    out = SR.read_experiment(spark, {s: f"{base}/setup={s}" for s in ("benign", "avoid_for_loops", "use_helper_functions", "avoid_curly_braces")})
+    assert out.select("setup", "problem_id", "model_output").exceptAll(g.select("setup", "problem_id", "model_output")).count() == 0 and out.count() == g.count()
+    top = next(x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x)
+    assert "rightHint=(strategy=broadcast)" in top
