@@ -219,6 +219,16 @@ def test_run_documents_are_gathered_without_a_shuffle(spark, tmp_path, monkeypat
     assert {t for m, t in times if m == "m0"} == {None} and {t for m, t in times if m != "m0"} <= {0.0, 1.0, 2.0, 3.0}
 
 
+def test_newest_run_of_three_is_read_from_compressed_files(spark, tmp_path, monkeypatch):
+    from scorelab.plans.catalog import QUERIES
+    written, write = [], SR.write_generations
+    monkeypatch.setattr(SR, "write_generations", lambda *a, **kw: (written.append(write(*a, **kw)), written[-1])[1])
+    got = QUERIES["src_latest_run_file"](spark, SF)
+    want = view(spark, SF, "generations").filter("problem_id % 3 = 1")
+    assert got.count() == want.count() > 0 and len(written) == 3
+    assert all(f.endswith(".gz") for p in written for f in spark.read.text(p).inputFiles())
+
+
 def test_experiment_rows_are_neither_shuffled_nor_sorted(spark, tmp_path):
     g = view(spark, SF, "generations")
     base = SR.write_by_setup(g, f"{tmp_path}/a b")
