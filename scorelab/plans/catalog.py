@@ -1039,6 +1039,6 @@ def q_stm_log_sliding_windows(spark, sf):
 def q_stm_model_summary(spark, sf):
     """Running per-run summary of a generation stream (complete mode, versioned table with a pointer)."""
     src, out, ckpt = (scratch_path(spark, n) for n in ("sum-src", "sum-out", "sum-ckpt"))
-    _gen_events(spark, sf).write.mode("append").json(src)
+    ST.deliver(_gen_events(spark, sf), src)
     ST.run_summary_stream(spark, src, out, ckpt, ST.GENERATION_EVENT_SCHEMA)
     return ST.latest_summary(spark, out)

@@ -189,3 +189,11 @@ def test_deliveries_are_compressed_and_in_small_files(spark, tmp_path):
     assert back.exceptAll(rows).count() == 0 == rows.exceptAll(back).count()
     ST.run_summary_stream(spark, f"{tmp_path}/src", f"{tmp_path}/out", f"{tmp_path}/ckpt", EVENT)
     assert ST.latest_summary(spark, f"{tmp_path}/out").first().n_outputs == 100
+
+
+def test_summary_query_writes_no_plain_text(spark, monkeypatch):
+    seen, writer = [], type(spark.range(0).write)
+    json = writer.json
+    monkeypatch.setattr(writer, "json", lambda self, path, *a, **kw: (json(self, path, *a, **kw), seen.append(path))[0])
+    assert QUERIES["stm_model_summary"](spark, SF).count() == 12
+    assert seen and all(f.endswith(".gz") for p in seen for f in spark.read.text(p).inputFiles())
