@@ -13,6 +13,7 @@ Fitting runs on all labelled texts (a caller may ask for a sample of about
 ``max_docs``, chosen by a hash of the id); each text of the rarer label meets about
 ``pairs`` texts of the other, joined through random buckets.  Texts, pairs and the
 threshold's order statistics stay in Spark; the weights alone reach the driver.
+Labels in a table of their own meet the texts' numbers, so no text is shuffled.
 
 Defined results: null and empty texts have the numbers of a text without words;
 labels other than 0 and 1 teach nothing; without both labels every score is 0.5;
@@ -81,15 +82,22 @@ def described(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def fit(spark: SparkSession, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-        max_docs: int | None = None, pairs: int = 20, l2: float = 1e-4) -> tuple[list[float], float]:
-    """(weights, threshold) of the labelled rows."""
-    rows = labelled.filter(F.col(label_col).isin(0, 1)).select(
-        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y"),
-        sample_hash(id_col).alias("r"))
+        max_docs: int | None = None, pairs: int = 20, l2: float = 1e-4, labels: DataFrame | None = None) -> tuple[list[float], float]:
+    """(weights, threshold) of the labelled rows.
+
+    With ``labels`` (``id_col`` and ``label_col``), the labelled rows are those of
+    ``labelled`` (``id_col`` and ``text_col``) joined to it by id.
+    """
+    known = (labelled if labels is None else labels).filter(F.col(label_col).isin(0, 1))
+    known = known.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"), *([F.col(text_col).alias("text")] if labels is None else []))
+    texts = known if labels is None else labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if max_docs is not None:
-        rows = rows.filter(F.col("r") <= sample_bar(max_docs, rows.count()))
+        size = known.count() if labels is None else texts.join(known, "id").count()
+        texts = texts.filter(sample_hash("id") <= sample_bar(max_docs, size))
+    rows = texts.withColumn("x", described("text")).drop("text")
+    rows = rows if labels is None else rows.join(known, "id")
     with Scratch(spark) as scratch:
-        rows = scratch.write(rows.select("id", "y", described("text").alias("x")), "described")
+        rows = scratch.write(rows.select("id", "y", "x"), "described")
         count = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
         if len(count) < 2:
             return [], 0.0

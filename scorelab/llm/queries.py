@@ -50,7 +50,7 @@ def op6_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = crc32_of_text(F.col("doc_id")) % 3 == 1
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(~held)
-    model = quality.fit(spark, docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = quality.fit(spark, docs.filter(~held), labels=labels)
     got = docs.select("doc_id", held.alias("held_out"), quality.scorer(model).alias("score"))
     return got.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

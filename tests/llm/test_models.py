@@ -148,3 +148,28 @@ def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
     assert sizes["described"] == 30_000 == sizes["scores"]
     got = rows.select("quality", (quality.scorer(model) >= 0.5).cast("int").alias("p"))
     assert got.filter("p = 0").count() == 9_000 and got.filter("p <> quality").count() == 0
+
+
+def test_quality_joins_labels_to_numbers_not_texts(spark, monkeypatch):
+    """Numbers are computed below the join with the labels, so no text is shuffled; repeated and null ids join as rows do."""
+    n = F.col("id")
+    texts = spark.range(3000).select(F.when(n % 50 > 0, n % 2000).alias("doc_id"), F.concat(F.when(n % 3 > 0, "A calm text. ").otherwise("### !! "), F.repeat(F.lit("word "), (n % 20).cast("int"))).alias("text"))
+    labels = spark.range(2500).select(F.when(n % 40 > 0, n).alias("doc_id"), F.when(n % 7 > 0, (n % 3 > 0).cast("long")).otherwise(n % 4).alias("quality"))
+    plans, described, write = [], [], quality.Scratch.write
+
+    def spy(self, df, name="t", keep=False):
+        out = write(self, df, name, keep)
+        if name == "described":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+            described.append(sorted((r.id, r.y, tuple(r.x)) for r in out.collect()))
+        return out
+
+    monkeypatch.setattr(quality.Scratch, "write", spy)
+    (w1, cut1), (w2, cut2) = quality.fit(spark, texts.join(labels, "doc_id")), quality.fit(spark, texts, labels=labels)
+    assert described[0] == described[1] and len({r[0] for r in described[0]}) < len(described[0])
+    assert np.allclose(w1, w2, rtol=1e-3, atol=1e-6) and math.isclose(cut1, cut2, rel_tol=1e-3, abs_tol=1e-6)
+    op6_quality_ranking(spark, SF)
+    assert len(plans) == 3
+    for plan in plans[1:]:
+        assert -1 < plan.index("Join") < plan.index("ArrowEvalPython")
+    assert quality.fit(spark, texts, labels=labels, max_docs=100)[0] and 40 < len(described[-1]) < 250
