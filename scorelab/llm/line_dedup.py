@@ -68,8 +68,9 @@ def remove_boilerplate(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     own_id, own_hash, cut = fresh_names(docs, "__id", "__hash", "__cut")
     with Scratch(spark) as scratch:
         bad = checked_broadcast(scratch.write(spread_lines(docs, scratch, text_col, site_col, **params).select("key"), "bad"))
-        lines = docs.select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"), F.posexplode(lines_of(F.col(text_col))).alias("at", "line"))
-        lines = lines.select("i", "h", "at", line_key(F.col("line")).alias("key"))
+        # The text's hash is taken below the explode: beside it, it would be taken once per line.
+        texts = docs.select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"), lines_of(F.col(text_col)).alias("lines"))
+        lines = texts.select("i", "h", F.posexplode("lines").alias("at", "line")).select("i", "h", "at", line_key(F.col("line")).alias("key"))
         hits = lines.filter("key IS NOT NULL").join(bad, "key").groupBy(F.col("i").alias(own_id), F.col("h").alias(own_hash)).agg(F.collect_set("at").alias(cut))
         hits = scratch.write(hits, "cuts", keep=True)
     match = (F.xxhash64(text_col) == F.col(own_hash)) & F.col(id_col).eqNullSafe(F.col(own_id))
